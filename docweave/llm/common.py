@@ -48,7 +48,7 @@ def lower_ascii(c: Column) -> Column:
     ASCII letter in it; texts with one of those take the slower exact way.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(c.rlike("[İK]"), F.translate(c, upper, upper.lower())).otherwise(F.lower(c))
+    return F.when(c.rlike("[\u0130\u212A]"), F.translate(c, upper, upper.lower())).otherwise(F.lower(c))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import chat_format, quality, url_filter, warc
+from docweave.llm import chat_format, html_extract, license_scan, packing, quality, url_filter, warc
 from docweave.llm.common import table
 
+
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are; operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge_quality(docs).drop("text")
@@ -24,6 +40,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(turns)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json")).drop("ids")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_records(index, payloads=False).drop("payload", "url")
@@ -35,10 +56,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op4_compression_bands, op5_chat_format, op8_warc, op10_url_filter)
+    for f in (op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op8_warc, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.ORACLE_SQL,
     "op5_chat_format": chat_format.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,

@@ -17,6 +17,7 @@ in use.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest stri
 
 #: Ranges closer than this are read as one; a read is no longer than MAX_READ (one record may be).
 GAP, MAX_READ = 64 << 10, 8 << 20
+#: Archive bytes that one task reads.
+TASK_BYTES = 32 << 20
 CRLF = "\r\n"
 
 
@@ -200,7 +203,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                             rows = [r | {"payload": None} for r in rows]
                         yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
-    ranged = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(total / TASK_BYTES))
+    ranged = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ranged.mapInArrow(read, RECORDS)
 
 
