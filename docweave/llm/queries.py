@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import chat_format, html_extract, license_scan, packing, quality, url_filter, warc
+from docweave.llm import chat_format, ctw, html_extract, license_scan, packing, quality, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -20,6 +21,11 @@ def tokenizer_path(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ctw.score_texts(docs, learn=~ctw.held_out(F.col("doc_id")))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -56,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op8_warc, op10_url_filter)
+    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op8_warc, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {
