@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import settle
 
-CACHED_WORDS = 400_000
+#: Words in each generation of a task's cache.
+CACHED_WORDS = 600_000
 #: The mixture is a table of sources sent to every task; there may be so many.
 MAX_SOURCES = 1000
 
@@ -43,7 +44,9 @@ class WordTokenizer:
     """Ids of a text by a tokenizer that drops white space, so that words can be cached.
 
     Words between ASCII spaces are encoded by themselves and remembered as bytes (ids as
-    little-endian ``dtype``); the cache is emptied when it is full.
+    little-endian ``dtype``), in two generations: when the younger is full it becomes the
+    older, and words in use come back from there.  New words are encoded many at a time,
+    with one of the tokenizer's special tokens between them.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -55,21 +58,44 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark, self.mark_id = special[0] if special else (None, -1)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.cache) + len(words) > CACHED_WORDS:
+            self.older, self.cache = self.cache, {}
+        texts = [w.decode("utf-8", "replace") for w in words]
+        together = [k for k, t in enumerate(texts) if self.mark and self.mark not in t]
+        for k in sorted(set(range(len(texts))).difference(together)):
+            self.cache[words[k]] = self._ids(texts[k]).tobytes()
+        for at in range(0, len(together), 2000):
+            part = together[at : at + 2000]
+            ids = self._ids(self.mark.join([texts[k] for k in part]))
+            marks = np.flatnonzero(ids == self.mark_id)
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            for k, a, b in zip(part, [0, *(width * (marks + 1)).tolist()], [*(width * marks).tolist(), len(raw)], strict=True):
+                self.cache[words[k]] = raw[a:b]
 
     def encode(self, text: str) -> bytes:
         words = text.encode("utf-8", "replace").split()
-        cache = self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                for w, e in zip(part, encoded, strict=True):
-                    cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([cache[w] for w in words]) + self.end
+        unknown = []
+        for w in dict.fromkeys(words):
+            if w not in self.cache:
+                known = self.older.get(w)
+                if known is None:
+                    unknown.append(w)
+                else:
+                    self.cache[w] = known
+        if unknown:
+            before = self.cache
+            self._learn(unknown)
+            if self.cache is not before:  # a new generation began: take this text's words along
+                self.cache |= {w: before[w] for w in words if w in before}
+        return b"".join(map(self.cache.__getitem__, words)) + self.end
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
