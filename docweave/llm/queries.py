@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chat_format, ctw, html_extract, license_scan, packing, quality, url_filter, warc
+from docweave.llm import chat_format, ctw, html_extract, jaccard_join, license_scan, packing, quality, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -56,13 +56,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, payloads=False).drop("payload", "url")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op8_warc, op10_url_filter)
+    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op8_warc, op9_jaccard_join, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {
