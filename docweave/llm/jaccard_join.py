@@ -43,7 +43,8 @@ from docweave.llm.shingles import mix, set_ids, shingle_sets, word_hashes
 
 WORDS = 5
 SLOTS = 1 << 20
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 4 << 20
+BUCKET_TEXT = 16 << 20
 #: No set larger than this is light, whatever the costs.
 MOST_LIGHT = 20
 #: Cost of verifying a candidate pair, in list entries.
@@ -90,8 +91,8 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 128):
+            yield batch.slice(at, 128)
 
 
 def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -186,9 +187,9 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, percent: int, bo
                     light += [(k, set_id, small) for k, small in _subset_keys(values, percent, boundary)]
                 if n > boundary or max(partners(n, percent)) > boundary:
                     p = prefix_length(n, percent)
-                    kept.append((values[:p], np.full(p, set_id, np.int64), np.full(p, n), np.arange(p)))
+                    kept.append((values[:p].copy(), np.full(p, set_id, np.int64), np.full(p, n), np.arange(p)))
             size += sum(map(len, texts))
-            if size >= BLOCK_TEXT or len(light) > 1_000_000:
+            if size >= BLOCK_TEXT or len(light) > 200_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -285,7 +286,7 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     small = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}  # a row per small size
     boundary = choose_boundary(small, percent)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    lists = write_lists(docs, text, word_levels(measured), percent, boundary, math.ceil(total / BLOCK_TEXT) + 6)
+    lists = write_lists(docs, text, word_levels(measured), percent, boundary, math.ceil(total / BUCKET_TEXT) + 6)
     entries = shared_entries(lists)
 
     # sets of one list and size band, against the smallest id among them

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chat_format, ctw, html_extract, jaccard_join, license_scan, packing, quality, url_filter, warc
+from docweave.llm import chat_format, ctw, html_extract, jaccard_join, license_scan, lsa_decontaminate, packing, quality, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json")).drop("ids")
 
 
+def op7_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_records(index, payloads=False).drop("payload", "url")
@@ -66,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op8_warc, op9_jaccard_join, op10_url_filter)
+    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op7_lsa_decontaminate, op8_warc, op9_jaccard_join, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {
