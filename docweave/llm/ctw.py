@@ -19,9 +19,8 @@ How it runs:
 1. One pass cuts the rows into blocks of text and writes them, with the block's distinct
    (context, byte) pairs and words, and how often training rows hold them.  All else works
    on these, so no text is shuffled until the end.
-2. Pairs are summed over blocks.  The trees are grouped bottom-up, a level per aggregation,
-   and the mixture goes top-down, a level per join: plain DataFrame steps on (context,
-   node) rows, without a size bound.
+2. Pairs are summed over blocks.  The trees grow bottom-up and the mixture goes top-down:
+   deep levels in groups of whole subtrees, the upper levels as DataFrame steps.
 3. Every block gets back the code lengths of its own pairs, and only those, and scores its
    texts.  A task holds a block and its slice of the model, never the model.
 """
@@ -32,6 +31,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ from docweave.llm.common import settle
 
 DEPTH = 5  # bytes of context: with the byte itself 48 bits of a 64-bit number
 END = b"\xff"  # ends every text; no UTF-8 text holds this byte
-BLOCK_BYTES = 16 << 20
+NEAR = 3  # contexts up to this long are grouped by Spark, longer ones within groups
+BLOCK_BYTES = 32 << 20
 STEP_BYTES = 1 << 20
 LN2, LN_PI = math.log(2), math.log(math.pi)
 
@@ -181,60 +182,121 @@ def _word_bucket(word: bytes, buckets: int) -> int:
 # -- the trees ---------------------------------------------------------------------------
 
 
-def ln_gamma(x: Column) -> Column:
-    """ln of the gamma function for x >= 1/2: Stirling's series at x + 7 and the recurrence."""
+def ln_gamma(x):
+    """ln of the gamma function for x >= 1/2, of a Column or an array: Stirling's series at x + 7, and the recurrence."""
+    ln = F.ln if isinstance(x, Column) else np.log
     z = x + 7
-    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    series = (z - 0.5) * ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
     product = x
     for i in range(1, 7):
         product = product * (x + i)
-    return series - F.ln(product)
-
-
-def ln_kt(a: Column, b: Column) -> Column:
-    a, b = a.cast("double"), b.cast("double")
-    return F.when((a == 0) & (b == 0), 0.0).otherwise(ln_gamma(a + 0.5) + ln_gamma(b + 0.5) - ln_gamma(a + b + 1) - LN_PI)
-
-
-def code_lengths(pairs: DataFrame) -> DataFrame:
-    """``key, log10p`` of every (context, byte) key, from ``key, n``: its training count, 0 included."""
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.struct(
-            F.call_function("shiftleft", F.lit(1), i).bitwiseOR(F.call_function("shiftright", F.col("byte"), F.lit(8) - i)).alias("node"),
-            F.call_function("shiftright", F.col("byte"), F.lit(7) - i).bitwiseAND(1).alias("bit"),
-        ),
-    )
-    wide = pairs.select("key", F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
-    steps = wide.select("key", "ctx", "n", F.inline(bits))
-    levels: list[DataFrame] = []
-    counts = [F.sum(F.when(F.col("bit") == v, F.col("n")).otherwise(0)).alias(c) for v, c in ((0, "a"), (1, "b"))]
-    level = steps.groupBy("ctx", "node").agg(*counts)
-    level = settle(level.withColumn("own", ln_kt(F.col("a"), F.col("b"))).withColumn("all", F.col("own")))
-    levels.append(level)
-    for depth in range(DEPTH - 1, -1, -1):
-        shorter = F.col("ctx").bitwiseAND(F.lit((1 << 8 * depth) - 1))
-        level = level.groupBy(shorter.alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("all").alias("below"))
+    return series - ln(product)
+
+
+def ln_kt(a, b):
+    """ln P_kt(a, b) of Columns or arrays of doubles."""
+    return ln_gamma(a + 0.5) + ln_gamma(b + 0.5) - ln_gamma(a + b + 1) - LN_PI
+
+
+@dataclass
+class Level:
+    """Nodes at one depth, sorted by id: the context, and in the lowest eight bits the node of the byte's tree."""
+
+    ids: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    own: np.ndarray  # ln P_kt
+    all: np.ndarray  # ln P_w
+
+    def ones(self) -> np.ndarray:
+        return (self.b + 0.5) / (self.a + self.b + 1)
+
+    def share(self) -> np.ndarray:
+        return np.exp(self.own - self.all - LN2)
+
+
+def _grouped(ids: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return [ids[first], *[np.add.reduceat(c[order], first) for c in columns]]
+
+
+def nodes_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, bit) of the eight decisions of every key, eight rows."""
+    byte = keys & np.uint64(255)
+    steps = np.arange(8, dtype=np.uint64)[:, None]
+    node = (np.uint64(1) << steps) | (byte >> (np.uint64(8) - steps))
+    return (keys & ~np.uint64(255)) | node, (byte >> (np.uint64(7) - steps)) & np.uint64(1)
+
+
+def deep_levels(keys: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels DEPTH down to NEAR, from keys that share the nearest NEAR bytes or none."""
+    ids, bits = nodes_of(keys)
+    counts = np.broadcast_to(n.astype(np.float64), ids.shape)
+    found, a, b = _grouped(ids.ravel(), np.where(bits == 0, counts, 0).ravel(), np.where(bits == 1, counts, 0).ravel())
+    own = ln_kt(a, b)
+    levels = [Level(found, a, b, own, own)]
+    for depth in range(DEPTH - 1, NEAR - 1, -1):
+        last = levels[-1]
+        found, a, b, below = _grouped(last.ids & np.uint64((1 << 8 * depth + 8) - 1), last.a, last.b, last.all)
+        own = ln_kt(a, b)
+        levels.append(Level(found, a, b, own, np.logaddexp(own, below) - LN2))
+    return levels
+
+
+def code_lengths(pairs: DataFrame, groups: int) -> DataFrame:
+    """``key, log10p`` of every (context, byte) key, from ``key, n``: its training count, 0 included.
+
+    The deep levels are worked out in groups of keys whose nearest NEAR bytes of context are
+    alike, so that a group holds whole subtrees: at most 2**24 keys for each such context.
+    The NEAR upper levels are a few rows per short context and plain DataFrame steps.
+    """
+    near = (1 << 8 * NEAR) - 1
+    pairs = pairs.select("key", "n", F.pmod(F.shiftright("key", 8).bitwiseAND(near), F.lit(groups)).cast("int").alias("part"))
+
+    def grow(t: pa.Table) -> pa.Table:
+        top = deep_levels(t["key"].to_numpy().astype(np.uint64), t["n"].to_numpy())[-1]
+        return pa.table({"id": top.ids.astype(np.int64), "a": top.a, "b": top.b, "own": top.own, "all": top.all})
+
+    level = settle(pairs.groupBy("part").applyInArrow(grow, "id bigint, a double, b double, own double, all double"))
+    levels = [level]
+    for depth in range(NEAR - 1, -1, -1):
+        shorter = F.col("id").bitwiseAND(F.lit((1 << 8 * depth + 8) - 1))
+        level = level.groupBy(shorter.alias("id")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("all").alias("below"))
         level = level.withColumn("own", ln_kt(F.col("a"), F.col("b")))
         high, low = F.greatest("own", "below"), F.least("own", "below")
         level = settle(level.withColumn("all", high + F.log1p(F.exp(low - high)) - LN2).drop("below"))
         levels.append(level)
     # from the root: one = probability of a one so far, rest = share left to longer contexts
-    estimate = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
     above = None
     for depth, level in enumerate(reversed(levels)):
-        share = F.lit(1.0) if depth == DEPTH else F.exp(F.col("own") - F.col("all") - LN2)
-        level = level.select("ctx", "node", estimate.alias("p1"), share.alias("w"))
+        share = F.exp(F.col("own") - F.col("all") - LN2)
+        level = level.select("id", ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).alias("p1"), share.alias("w"))
         if above is None:
-            above = level.select("ctx", "node", (F.col("w") * F.col("p1")).alias("one"), (1 - F.col("w")).alias("rest"))
+            above = level.select("id", (F.col("w") * F.col("p1")).alias("one"), (1 - F.col("w")).alias("rest"))
             continue
-        shorter = F.col("ctx").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
-        up = above.select(F.col("ctx").alias("short"), "node", F.col("one").alias("up_one"), F.col("rest").alias("up_rest"))
-        above = level.withColumn("short", shorter).join(up, ["short", "node"]).select(
-            "ctx", "node", (F.col("up_one") + F.col("up_rest") * F.col("w") * F.col("p1")).alias("one"), (F.col("up_rest") * (1 - F.col("w"))).alias("rest")
+        shorter = F.col("id").bitwiseAND(F.lit((1 << 8 * depth) - 1))
+        up = above.select(F.col("id").alias("short"), F.col("one").alias("up_one"), F.col("rest").alias("up_rest"))
+        above = level.withColumn("short", shorter).join(up, "short").select(
+            "id", (F.col("up_one") + F.col("up_rest") * F.col("w") * F.col("p1")).alias("one"), (F.col("up_rest") * (1 - F.col("w"))).alias("rest")
         )
-    p = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    return steps.drop("n").join(above.drop("rest"), ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(p)).alias("log10p"))
+    above = above.withColumn("top_part", F.pmod(F.shiftright("id", 8), F.lit(groups)).cast("int"))
+
+    def finish(mine: pa.Table, top: pa.Table) -> pa.Table:
+        keys = mine["key"].to_numpy().astype(np.uint64)
+        ids = top["id"].to_numpy().astype(np.uint64)
+        order = np.argsort(ids)
+        ids, one, rest = ids[order], top["one"].to_numpy()[order], top["rest"].to_numpy()[order]
+        for depth, level in zip(range(NEAR + 1, DEPTH + 1), reversed(deep_levels(keys, mine["n"].to_numpy())[:-1]), strict=True):
+            up = np.searchsorted(ids, level.ids & np.uint64((1 << 8 * depth) - 1))
+            share = level.share() if depth < DEPTH else np.ones(len(level.ids))
+            ids, one, rest = level.ids, one[up] + rest[up] * share * level.ones(), rest[up] * (1 - share)
+        nodes, bits = nodes_of(keys)
+        p = one[np.searchsorted(ids, nodes)]
+        return pa.table({"key": mine["key"], "log10p": np.log10(np.where(bits == 1, p, 1 - p)).sum(axis=0)})
+
+    return pairs.groupBy("part").cogroup(above.groupBy("top_part")).applyInArrow(finish, "key bigint, log10p double")
 
 
 # -- sums over blocks, and back ------------------------------------------------------------
@@ -321,7 +383,7 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     train, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     pairs = settle(sum_pairs(blocks))
-    lengths = lengths_by_block(blocks, code_lengths(pairs.select("key", "n")), buckets)
+    lengths = lengths_by_block(blocks, code_lengths(pairs.select("key", "n"), buckets), buckets)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
@@ -346,16 +408,18 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
             stops = np.cumsum(sizes)
             texts = [bytes(raw[s - n : s]) for s, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
             scores = _score_texts(texts, keys, values)
-            split = [t.split() for t in texts]
+            counted = []
+            for t in texts:
+                ws = t.split()
+                counted.append((len(ws) + 1, len(ws) - sum(map(unknown.__contains__, ws)) + end_known, math.fsum(map(costs.__getitem__, ws)) + end_cost))
+            n_tokens, n_known, base = zip(*counted, strict=True)
             n_bytes = sizes + 1
             out.append(
                 pa.table(
                     {
                         key: pa.array(row["ids"], mine.schema.field("ids").type.value_type), "held_out": pa.array([not x for x in row["learn"]]),
-                        "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()),
-                        "n_known": pa.array([len(w) - sum(map(unknown.__contains__, w)) + end_known for w in split], pa.int64()),
-                        "train_tokens": pa.array([train] * len(texts), pa.int64()),
-                        "base_score": pa.array([math.fsum(map(costs.__getitem__, w)) + end_cost for w in split], pa.float64()),
+                        "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+                        "train_tokens": pa.array([train] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()),
                         "score": scores, "n_bytes": pa.array(sizes, pa.int64()), "bits_per_byte": -scores / math.log10(2) / n_bytes,
                     }
                 )
