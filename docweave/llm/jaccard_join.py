@@ -141,12 +141,41 @@ def _subset_keys(values: np.ndarray, percent: int, boundary: int) -> Iterator[tu
             yield k, n == low
 
 
-def write_lists(docs: DataFrame, text: str, levels: np.ndarray, percent: int, boundary: int, buckets: int) -> DataFrame:
-    """On disk, per block of texts: its prefix entries, its distinct prefix shingles by bucket, its subsets."""
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers of 48 bits as zstandard over their byte planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Differences modulo 2**48, which undo a running sum."""
+    return np.diff(values, prepend=np.uint64(0)) & np.uint64((1 << 48) - 1)
+
+
+def _sums(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64) & np.uint64((1 << 48) - 1)
+
+
+def write_lists(docs: DataFrame, text: str, levels: np.ndarray, percent: int, boundary: int) -> DataFrame:
+    """On disk, per block of texts: the prefixes of its sets, and the subsets of its light sets.
+
+    A prefix shingle is kept to its 48 leading bits, its level among them: others that
+    begin alike only make candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.string()), ("kind", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        schema = pa.schema([("block", pa.string()), ("kind", pa.string()), *[(c, pa.binary()) for c in "abc"]])
+        kept: list[tuple[np.ndarray, int, int]] = []
         seen: set[int] = set()
         light: list[tuple[int, int, bool]] = []
         size = 0
@@ -154,21 +183,12 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, percent: int, bo
         def flush() -> Iterator[pa.RecordBatch]:
             rows, block = [], uuid.uuid4().hex
             if kept:
-                keys, ids, sizes, places = (np.concatenate(x) for x in zip(*kept, strict=True))
-                order = np.argsort(keys, kind="stable")
-                keys, ids, sizes, places = keys[order], ids[order], sizes[order], places[order]
-                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                often = np.minimum(np.diff(first, append=len(keys)), 2).astype(np.uint8)
-                distinct = keys[first]
-                entries = np.rec.fromarrays([keys, ids, sizes.astype("<u4"), places.astype("<u4")]).tobytes()
-                rows.append({"block": block, "kind": "entries", "bucket": -1, "a": entries})
-                of = (distinct % np.uint64(buckets)).astype(np.int64)
-                for bucket in np.unique(of).tolist():
-                    mine = of == bucket
-                    rows.append({"block": block, "kind": "keys", "bucket": bucket, "a": distinct[mine].tobytes(), "b": often[mine].tobytes()})
+                keys = np.concatenate([k for k, _, _ in kept]) >> np.uint64(16)
+                ids, sizes = np.array([i for _, i, _ in kept], "<i8"), np.array([n for _, _, n in kept], "<u4")
+                rows.append({"block": block, "kind": "prefixes", "a": _planes(_gaps(keys)), "b": ids.tobytes(), "c": sizes.tobytes()})
             if light:
                 k, i, s = zip(*light, strict=True)
-                rows.append({"block": block, "kind": "light", "bucket": -1, "a": np.array(k, "<i8").tobytes(), "b": np.array(i, "<i8").tobytes(), "c": bytes(s)})
+                rows.append({"block": block, "kind": "light", "a": np.array(k, "<i8").tobytes(), "b": np.array(i, "<i8").tobytes(), "c": bytes(s)})
             for r in rows:
                 yield pa.RecordBatch.from_pylist([r], schema=schema)
             kept.clear()
@@ -186,21 +206,17 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, percent: int, bo
                 if n <= boundary:
                     light += [(k, set_id, small) for k, small in _subset_keys(values, percent, boundary)]
                 if n > boundary or max(partners(n, percent)) > boundary:
-                    p = prefix_length(n, percent)
-                    kept.append((values[:p].copy(), np.full(p, set_id, np.int64), np.full(p, n), np.arange(p)))
+                    kept.append((values[: prefix_length(n, percent)].copy(), set_id, n))
             size += sum(map(len, texts))
             if size >= BLOCK_TEXT or len(light) > 200_000:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    return settle(docs.select(text).mapInArrow(run, "block string, kind string, bucket int, a binary, b binary, c binary"))
-
-
-_ENTRY = np.dtype([("key", "<u8"), ("set_id", "<i8"), ("n", "<u4"), ("place", "<u4")])
+    return settle(docs.select(text).mapInArrow(run, "block string, kind string, a binary, b binary, c binary"))
 
 
-def shared_entries(lists: DataFrame) -> DataFrame:
+def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
     """On disk: the entries of lists with two sets or more, ``shingle, set_id, n, place``.
 
     First the distinct shingles of the blocks are counted, by bucket; then every block gets
@@ -208,32 +224,47 @@ def shared_entries(lists: DataFrame) -> DataFrame:
     as a block; a list's length plays no part.
     """
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+        for batch in batches:
+            for block, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = np.sort(_sums(_from_planes(a)))
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                often = np.minimum(np.diff(first, append=len(keys)), 2).astype(np.uint8)
+                keys = keys[first]
+                of = (keys % np.uint64(buckets)).astype(np.int64)
+                parts = [(int(k), of == k) for k in np.unique(of)]
+                yield pa.RecordBatch.from_pylist([{"block": block, "bucket": k, "a": _planes(_gaps(keys[m])), "b": often[m].tobytes()} for k, m in parts], schema=schema)
+
     def count(t: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(a, "<u8") for a in t["a"].to_pylist()]
+        blocks = [_sums(_from_planes(a)) for a in t["a"].to_pylist()]
         keys = np.concatenate(blocks)
         often = np.concatenate([np.frombuffer(b, np.uint8) for b in t["b"].to_pylist()])
         order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
-        shared = sorted_keys[first][np.add.reduceat(often[order].astype(np.int64), first) > 1]
-        mine = [b[np.isin(b, shared, assume_unique=True)].tobytes() for b in blocks]
-        return pa.table({"block": t["block"], "a": pa.array(mine, pa.binary())})
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        shared = ordered[first][np.add.reduceat(often[order].astype(np.int64), first) > 1]
+        mine = [_planes(_gaps(b[np.isin(b, shared, assume_unique=True)])) for b in blocks]
+        return pa.table({"at": t["block"], "a": pa.array(mine, pa.binary())})
 
     def pick(entries: pa.Table, shared: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(shared["a"].to_pylist()), "<u8")
-        keys = np.sort(keys)
-        out = []
-        for a in entries["a"].to_pylist():
-            e = np.frombuffer(a, _ENTRY)
+        keys = np.sort(np.concatenate([np.array([], np.uint64), *[_sums(_from_planes(a)) for a in shared["a"].to_pylist()]]))
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b, c in zip(*(entries[x].to_pylist() for x in "abc"), strict=True):
+            own, ids, sizes = _sums(_from_planes(a)), np.frombuffer(b, "<i8"), np.frombuffer(c, "<u4").astype(np.int64)
+            lengths = sizes - -(-percent * sizes // 100) + 1  # prefix_length
+            places = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            hit = np.zeros(len(own), bool)
             if len(keys):
-                at = np.minimum(np.searchsorted(keys, e["key"]), len(keys) - 1)
-                out.append(e[keys[at] == e["key"]])
-        e = np.concatenate(out) if out else np.array([], _ENTRY)
-        return pa.table({"shingle": e["key"].astype(np.int64), "set_id": e["set_id"], "n": e["n"].astype(np.int32), "place": e["place"].astype(np.int32)})
-
-    counted = lists.where("kind = 'keys'").select("bucket", "block", "a", "b").groupBy("bucket").applyInArrow(count, "block string, a binary")
-    entries = lists.where("kind = 'entries'").select("block", "a")
-    picked = entries.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(pick, "shingle bigint, set_id bigint, n int, place int")
+                hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+            for column, v in zip(columns, (own.astype(np.int64), np.repeat(ids, lengths), np.repeat(sizes, lengths).astype(np.int32), places.astype(np.int32)), strict=True):
+                column.append(v[hit])
+        return pa.table({name: np.concatenate(v) for name, v in zip(("shingle", "set_id", "n", "place"), columns, strict=True)})
+
+    entries = lists.where("kind = 'prefixes'").select("block", "a", "b", "c")
+    spread_out = entries.select("block", "a").mapInArrow(spread, "block string, bucket int, a binary, b binary")
+    counted = spread_out.groupBy("bucket").applyInArrow(count, "at string, a binary")
+    picked = entries.groupBy("block").cogroup(counted.groupBy("at")).applyInArrow(pick, "shingle bigint, set_id bigint, n int, place int")
     return settle(picked)
 
 
@@ -251,31 +282,55 @@ def light_links(lists: DataFrame) -> DataFrame:
     return rows.join(pivots, "subset").where("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar.  texts: ``set_id, text``.
+FILTER_SLOTS = 1 << 20
 
-    a's text goes to b, in groups of bounded size: b's own text goes to each of them.
+
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar.  nodes: a document for every set id.
+
+    a's text goes to b, in groups of at most about PIVOT_GROUP; b's own text goes to each.
+    Texts travel compressed, and most that no pair asks for stay behind: a bit per hash slot
+    of the wanted documents goes along with the scan.
     """
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_GROUP).cast("int").alias("groups"))
-    left = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("g"))
-    left = left.join(texts.withColumnRenamed("set_id", "a"), "a").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("g").alias("y_g"), F.col("text").alias("x_text"))
-    right = groups.join(texts.withColumnRenamed("set_id", "b"), "b").select(
-        F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("pivot_g"), F.col("text").alias("pivot_text")
-    )
-
-    def run(mine: pa.Table, pivot: pa.Table) -> pa.Table:
-        if not pivot.num_rows or not mine.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        [base] = shingle_sets(_texts(pivot["pivot_text"])[:1], WORDS)
-        sets = shingle_sets(_texts(mine["x_text"]), WORDS)
-        at = np.minimum(np.searchsorted(base, sets.values), len(base) - 1)
-        both = np.concatenate(([0], np.cumsum(base[at] == sets.values)))
-        inter = both[sets.bounds[1:]] - both[sets.bounds[:-1]]
-        union = np.diff(sets.bounds) + len(base) - inter
-        similar = pa.array(100 * inter >= percent * union)
-        return mine.select(["x", "y"]).filter(similar).rename_columns(["a", "b"])
+    mine = pairs.join(groups, "b").select(F.col("a").alias("set_id"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("g"), F.lit(False).alias("is_pivot"))
+    own = groups.select(F.col("b").alias("set_id"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(True).alias("is_pivot"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).cast("int")
+    wanted = settle(mine.unionByName(own).join(nodes.select("set_id", "_doc"), "set_id"))
+    bits = np.zeros(FILTER_SLOTS, bool)
+    bits[wanted.select(slot("_doc").alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True  # FILTER_SLOTS rows at most
+    packed = np.packbits(bits).tobytes()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        asked, zstd = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            batch = batch.filter(pa.array(asked[batch.column(2).to_numpy()]))
+            for few in _small([batch]):
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([zstd.compress(t) for t in _texts(few.column(1))], pa.binary())], names=["_doc", "body"])
+
+    def run(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        zstd = zstandard.ZstdDecompressor()
+        sets = shingle_sets([zstd.decompress(x) for x in t["body"].to_pylist()], WORDS)
+        right = set_ids(sets).astype(np.int64) == t["set_id"].to_numpy()  # ids of documents may repeat
+        pivots = np.flatnonzero(right & t["is_pivot"].to_numpy())
+        similar = np.zeros(t.num_rows, bool)
+        if len(pivots):
+            base = sets.values[sets.bounds[pivots[0]] : sets.bounds[pivots[0] + 1]]
+            at = np.minimum(np.searchsorted(base, sets.values), len(base) - 1)
+            both = np.concatenate(([0], np.cumsum(base[at] == sets.values)))
+            inter = both[sets.bounds[1:]] - both[sets.bounds[:-1]]
+            union = np.diff(sets.bounds) + len(base) - inter
+            similar = right & ~t["is_pivot"].to_numpy() & (100 * inter >= percent * union)
+        return t.select(["set_id", "pivot"]).filter(pa.array(similar)).rename_columns(["a", "b"])
 
-    return left.groupBy("y", "y_g").cogroup(right.groupBy("pivot", "pivot_g")).applyInArrow(run, "a bigint, b bigint")
+    kind = docs.schema[key].dataType.simpleString()
+    bodies = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("text"), slot(key).alias("slot")).mapInArrow(send, f"_doc {kind}, body binary")
+    rows = bodies.join(wanted, "_doc").select("set_id", "pivot", "g", "is_pivot", "body")
+    return rows.groupBy("pivot", "g").applyInArrow(run, "a bigint, b bigint")
 
 
 def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -286,8 +341,8 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     small = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}  # a row per small size
     boundary = choose_boundary(small, percent)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    lists = write_lists(docs, text, word_levels(measured), percent, boundary, math.ceil(total / BUCKET_TEXT) + 6)
-    entries = shared_entries(lists)
+    lists = write_lists(docs, text, word_levels(measured), percent, boundary)
+    entries = shared_entries(lists, percent, math.ceil(total / BUCKET_TEXT) + 6)
 
     # sets of one list and size band, against the smallest id among them
     band = F.floor(F.log(F.col("n") + 0.0) / math.log(100 / percent)).cast("int")
@@ -297,15 +352,11 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     stars = banded.join(pivots, ["shingle", "band"]).where("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = settle(stars)
 
-    wanted = entries.select("set_id").distinct().join(nodes, "set_id").select("set_id", "_doc")
-    with_text = docs.select(F.col(key).alias("_doc"), F.col(text).alias("text")).join(wanted, "_doc").select("set_id", "text")
-    texts = settle(_own_texts(with_text))
-    links = settle(verify(stars, texts, percent).unionByName(light_links(lists)))
+    links = settle(verify(stars, docs, nodes, key, text, percent).unionByName(light_links(lists)))
     found = connected_components(links)
 
     # what is left: sets of one list in different components
     labelled = entries.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    labelled = settle(labelled)
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
     open_lists = labelled.join(mixed, "shingle")
     one = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "place", "component")])
@@ -320,28 +371,17 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     across = one.join(two, (one["shingle"] == two["shingle"]) & meets).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = settle(across.join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(verify(across, texts, percent))
-
-
-def _own_texts(rows: DataFrame) -> DataFrame:
-    """One text per set id, and only texts that have it (ids of documents may repeat)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for few in _small(batches):
-            ids = set_ids(shingle_sets(_texts(few.column(1)), WORDS)).astype(np.int64)
-            yield few.filter(pa.array(ids == few.column(0).to_numpy()))
-
-    return rows.mapInArrow(run, "set_id bigint, text string").dropDuplicates(["set_id"])
+    return links.unionByName(verify(across, docs, nodes, key, text, percent))
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``key, n_shingles, component_id`` of every row.
 
     component_id: the smallest key reachable over links, its own included.  A null, empty
-    or blank text has no shingles and no links; equal texts are linked; repeated rows get
-    a row each; a row with a null key has no component of its own, though it can stand
-    between others; texts of any length are read whole; an empty table gives no rows;
-    other columns are ignored.
+    or blank text has no shingles and no links; equal sets are linked; repeated rows get
+    a row each; a row with a null key links nothing and has no component; rows that share
+    a key are compared each; texts of any length are read whole; an empty table gives no
+    rows; other columns are ignored.
     """
     docs = docs.select(key, text)
     measured = measure(docs, key, text)
