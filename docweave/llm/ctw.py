@@ -30,7 +30,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +43,7 @@ from docweave.llm.common import settle
 DEPTH = 5  # bytes of context: with the byte itself 48 bits of a 64-bit number
 END = b"\xff"  # ends every text; no UTF-8 text holds this byte
 NEAR = 3  # contexts up to this long are grouped by Spark, longer ones within groups
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 STEP_BYTES = 1 << 20
 LN2, LN_PI = math.log(2), math.log(math.pi)
 
@@ -54,6 +54,13 @@ def _compress(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
+def _compress_all(parts: list[bytes]) -> bytes:
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1).compressobj(size=sum(map(len, parts)))
+    return b"".join([*map(z.compress, parts), z.flush()])
+
+
 def _decompress(data: bytes) -> bytes:
     import zstandard
 
@@ -87,7 +94,7 @@ def pair_keys(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]
     return keys[own], np.repeat(np.arange(len(parts), dtype=np.uint64), sizes)
 
 
-def _steps(texts: list[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
+def _steps(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
     """Texts as parts of at most STEP_BYTES together, long ones cut: (text numbers, parts)."""
     numbers, parts, size = [], [], 0
     for i, text in enumerate(texts):
@@ -112,11 +119,11 @@ def _merge(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts, first)
 
 
-def count_pairs(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all texts, sorted, and how often the texts to learn from hold them."""
+def count_pairs(texts: list[bytes], learn: list[bool], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all texts and their ends, sorted, and how often the texts to learn from hold them."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     for wanted in (True, False):
-        for _, parts in _steps([t for t, x in zip(texts, learn, strict=True) if x == wanted]):
+        for _, parts in _steps(t + end for t, x in zip(texts, learn, strict=True) if x == wanted):
             keys, _ = pair_keys(parts)
             keys.sort()
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -134,8 +141,8 @@ def write_blocks(docs: DataFrame, key: str, text: str, learn: Column, buckets: i
 
     def rows(block: str, ids: list, texts: list[bytes], learns: list[bool]) -> Iterator[dict]:
         sizes = np.array([len(t) for t in texts], "<i8").tobytes()
-        yield {"block": block, "kind": "text", "bucket": -1, "ids": ids, "sizes": sizes, "learn": bytes(learns), "a": _compress(b"".join(texts)), "b": None}
-        keys, counts = count_pairs([t + END for t in texts], learns)
+        yield {"block": block, "kind": "text", "bucket": -1, "ids": ids, "sizes": sizes, "learn": bytes(learns), "a": _compress_all(texts), "b": None}
+        keys, counts = count_pairs(texts, learns, END)
         of = (keys % np.uint64(buckets)).astype(np.int32)
         for bucket in range(buckets):
             mine = of == bucket
@@ -351,9 +358,9 @@ def lengths_by_block(blocks: DataFrame, lengths: DataFrame, buckets: int) -> Dat
     return left.cogroup(right).applyInArrow(run, "block string, kind string, a binary, b binary")
 
 
-def _score_texts(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(texts))
-    for numbers, parts in _steps([t + END for t in texts]):
+def _score_texts(texts: Iterable[bytes], n: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    total = np.zeros(n)
+    for numbers, parts in _steps(texts):
         found, part = pair_keys(parts)
         packed = (found << np.uint64(16)) | part  # 48 bits and at most 2**16 parts
         packed.sort()
@@ -388,29 +395,30 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
     def score(mine: pa.Table, model: pa.Table) -> pa.Table:
-        keys, values, counts = [np.array([], np.uint64)], [np.array([], "<f4")], {}
-        for kind_of, a, b in zip(model["kind"].to_pylist(), model["a"].to_pylist(), model["b"].to_pylist(), strict=True):
-            if kind_of == "pairs":
-                keys.append(_unpack_sorted(a))
-                values.append(np.frombuffer(_decompress(b), "<f4"))
+        scale = math.log10(train + distinct + 1)
+        keys, values, costs, unknown = [np.array([], np.uint64)], [np.array([], "<f4")], {}, set()
+        for kind_of, a, b in zip(model["kind"], model["a"], model["b"], strict=True):
+            if kind_of.as_py() == "pairs":
+                keys.append(_unpack_sorted(a.as_py()))
+                values.append(np.frombuffer(_decompress(b.as_py()), "<f4"))
             else:
-                counts |= zip(_decompress(a).split(b" "), np.frombuffer(_decompress(b), "<i8").tolist(), strict=True)
-        keys, values = np.concatenate(keys), np.concatenate(values).astype(np.float64)
+                own, counts = _decompress(a.as_py()).split(b" "), np.frombuffer(_decompress(b.as_py()), "<i8")
+                costs.update(zip(own, (np.log10(counts + 1.0) - scale).tolist(), strict=True))
+                unknown.update(own[k] for k in np.flatnonzero(counts == 0).tolist())
+        keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        scale = math.log10(train + distinct + 1)
-        costs = {w: math.log10(c + 1) - scale for w, c in counts.items()}
-        unknown = {w for w, c in counts.items() if not c}
+        del order
         end_cost, end_known = math.log10(ends + 1) - scale, int(ends > 0)
         out: list[pa.Table] = []
         for row in mine.to_pylist():
             raw, sizes = memoryview(_decompress(row["a"])), np.frombuffer(row["sizes"], "<i8")
             stops = np.cumsum(sizes)
-            texts = [bytes(raw[s - n : s]) for s, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
-            scores = _score_texts(texts, keys, values)
+            spans = list(zip((stops - sizes).tolist(), stops.tolist(), strict=True))
+            scores = _score_texts((bytes(raw[i:j]) + END for i, j in spans), len(spans), keys, values)
             counted = []
-            for t in texts:
-                ws = t.split()
+            for i, j in spans:
+                ws = bytes(raw[i:j]).split()
                 counted.append((len(ws) + 1, len(ws) - sum(map(unknown.__contains__, ws)) + end_known, math.fsum(map(costs.__getitem__, ws)) + end_cost))
             n_tokens, n_known, base = zip(*counted, strict=True)
             n_bytes = sizes + 1
@@ -419,7 +427,7 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
                     {
                         key: pa.array(row["ids"], mine.schema.field("ids").type.value_type), "held_out": pa.array([not x for x in row["learn"]]),
                         "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                        "train_tokens": pa.array([train] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()),
+                        "train_tokens": pa.array([train] * len(spans), pa.int64()), "base_score": pa.array(base, pa.float64()),
                         "score": scores, "n_bytes": pa.array(sizes, pa.int64()), "bits_per_byte": -scores / math.log10(2) / n_bytes,
                     }
                 )
