@@ -16,14 +16,16 @@ The boundary is chosen by cost: from the numbers of sets of each small size, the
 that would be listed against the list entries and candidates that would be made.
 
 Groups of copies never make all pairs.  Equal sets are one node.  In a list, sets of a
-size band are first compared with one of them, the pivot, and joined to its component
-where similar; only sets of one list that are still in different components are then
-compared with each other.  All pairs that could connect two components are looked at, so
+size band are first compared with one of them, the pivot, every set with one or two of its
+pivots, in a few rounds; only sets of one list that are still in different components are
+then compared with each other.  All pairs that could connect two components are looked at, so
 the components are exact, though links inside a component needn't be listed.
 
-"Rarest first" goes by how often a shingle's rarest word occurs in all documents.  The
-counts are kept in a table of fixed size (hash slots, one byte each), which is what tasks
-are sent; words that share a slot only make the order less good, not the result.
+"Rarest first" goes by how often a shingle's rarest word occurs in all documents; shingles
+that several sets of one task share, such as those of a passage that many documents carry,
+come behind all others.  Both are kept in tables of fixed size (hash slots: one byte for
+words, one bit for shingles), which is what tasks are sent; what shares a slot only makes
+the order less good, not the result.
 """
 
 from __future__ import annotations
@@ -35,20 +37,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import connected_components, settle
-from docweave.llm.shingles import mix, set_ids, shingle_sets, word_hashes
+from docweave.llm.shingles import mix, set_ids, shingle_sets, slots, word_hashes
 
 WORDS = 5
 SLOTS = 1 << 20
+FREQUENT_SLOTS = 1 << 23
+#: A shingle in so many sets of about GATHER shingles of one task counts as frequent.
+FREQUENT, GATHER = 3, 4_000_000
 BLOCK_TEXT = 4 << 20
 BUCKET_TEXT = 16 << 20
 #: No set larger than this is light, whatever the costs.
 MOST_LIGHT = 20
 #: Cost of verifying a candidate pair, in list entries.
 VERIFY_COST = 30
+PIVOT_ROUNDS = 2
 PIVOT_GROUP = 256  # candidates of a pivot that one group verifies
 
 
@@ -96,37 +102,68 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """On disk: a row per document (set_id, n), and per task the words' slots and counts."""
+    """On disk: a row per document (set_id, n), and per task the words' slots and counts and the frequent shingles' bits."""
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, "set_id", "n", "slot", "words", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, schema = np.zeros(SLOTS, np.int64), None
+        counts, frequent, key_type = np.zeros(SLOTS, np.int64), np.zeros(FREQUENT_SLOTS, bool), None
+        gathered: list[np.ndarray] = []
+        seen: set[int] = set()
+
+        def find_frequent() -> None:
+            if gathered:
+                values = np.sort(np.concatenate(gathered))
+                hit = values[FREQUENT - 1 :] == values[: len(values) - FREQUENT + 1]
+                frequent[slots(values[: len(hit)][hit], FREQUENT_SLOTS)] = True
+            gathered.clear()
+            seen.clear()
+
         for few in _small(batches):
             texts = _texts(few.column(1))
             words, _ = word_hashes(texts)
-            counts += np.bincount((words % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            at, n = np.unique((words % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
+            counts[at] += n
             sets = shingle_sets(texts, WORDS)
-            empty = pa.nulls(few.num_rows, pa.int64())
-            out = pa.RecordBatch.from_arrays([few.column(0), pa.array(set_ids(sets).astype(np.int64)), pa.array(np.diff(sets.bounds)), empty.cast(pa.int32()), empty], names=[key, "set_id", "n", "slot", "words"])
-            schema = out.schema
-            yield out
-        if schema is not None:
-            slots = np.flatnonzero(counts)
-            for part in np.array_split(slots, max(1, len(slots) // 50_000)):
-                nothing = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(nothing, schema.field(0).type), pa.nulls(nothing, pa.int64()), pa.nulls(nothing, pa.int64()), pa.array(part.astype(np.int32)), pa.array(counts[part])], names=schema.names)
-
-    return settle(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, set_id bigint, n bigint, slot int, words bigint"))
+            ids = set_ids(sets).astype(np.int64)
+            for values, set_id in zip(sets, ids.tolist(), strict=True):
+                if set_id not in seen:
+                    seen.add(set_id)
+                    gathered.append(values)
+            if sum(map(len, gathered)) > GATHER:
+                find_frequent()
+            empty, key_type = pa.nulls(few.num_rows, pa.int64()), few.column(0).type
+            yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids), pa.array(np.diff(sets.bounds)), empty.cast(pa.int32()), empty, empty], names=names)
+        if key_type is None:
+            return
+        find_frequent()
+        bits = np.packbits(frequent, bitorder="little").view("<i8")
+        for values, column in ((counts, 4), (bits, 5)):
+            held = np.flatnonzero(values)
+            for part in np.array_split(held, max(1, len(held) // 50_000)):
+                columns = [pa.nulls(len(part), key_type), *[pa.nulls(len(part), pa.int64())] * 2, pa.array(part.astype(np.int32)), *[pa.nulls(len(part), pa.int64())] * 2]
+                columns[column] = pa.array(values[part].astype(np.int64))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return settle(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, set_id bigint, n bigint, slot int, words bigint, bits bigint"))
 
 
 def word_levels(measured: DataFrame) -> np.ndarray:
     """One byte per slot: four steps for every doubling of the count.  Fixed size: SLOTS rows."""
-    sums = measured.where("slot is not null").groupBy("slot").agg(F.sum("words").alias("words")).toArrow()
+    sums = measured.where("words is not null").groupBy("slot").agg(F.sum("words").alias("words")).toArrow()
     levels = np.zeros(SLOTS, np.uint8)
-    levels[sums["slot"].to_numpy()] = np.minimum(255, np.floor(4 * np.log2(sums["words"].to_numpy() + 1)))
+    levels[sums["slot"].to_numpy()] = np.minimum(127, np.floor(4 * np.log2(sums["words"].to_numpy() + 1)))
     return levels
 
 
+def frequent_shingles(measured: DataFrame) -> np.ndarray:
+    """One truth value per slot.  Fixed size: FREQUENT_SLOTS / 64 rows."""
+    rows = measured.where("bits is not null").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FREQUENT_SLOTS // 64, "<i8")
+    bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
 def _subset_keys(values: np.ndarray, percent: int, boundary: int) -> Iterator[tuple[int, bool]]:
     """(key, whether the set has the smaller of the two sizes) of every subset a light set lists."""
     n = len(values)
@@ -166,14 +203,17 @@ def _sums(gaps: np.ndarray) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64) & np.uint64((1 << 48) - 1)
 
 
-def write_lists(docs: DataFrame, text: str, levels: np.ndarray, percent: int, boundary: int) -> DataFrame:
+def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.ndarray, percent: int, boundary: int) -> DataFrame:
     """On disk, per block of texts: the prefixes of its sets, and the subsets of its light sets.
 
     A prefix shingle is kept to its 48 leading bits, its level among them: others that
     begin alike only make candidates.
     """
 
+    packed = np.packbits(frequent).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         schema = pa.schema([("block", pa.string()), ("kind", pa.string()), *[(c, pa.binary()) for c in "abc"]])
         kept: list[tuple[np.ndarray, int, int]] = []
         seen: set[int] = set()
@@ -198,7 +238,7 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, percent: int, bo
         for few in _small(batches):
             texts = _texts(few.column(0))
             ids = set_ids(shingle_sets(texts, WORDS)).astype(np.int64)
-            for values, set_id in zip(shingle_sets(texts, WORDS, levels), ids.tolist(), strict=True):
+            for values, set_id in zip(shingle_sets(texts, WORDS, levels, marked), ids.tolist(), strict=True):
                 n = len(values)
                 if not n or set_id in seen:  # equal sets are one node
                     continue
@@ -283,6 +323,9 @@ def light_links(lists: DataFrame) -> DataFrame:
 
 
 FILTER_SLOTS = 1 << 20
+FREQUENT_SLOTS = 1 << 23
+#: A shingle in so many sets of about GATHER shingles of one task counts as frequent.
+FREQUENT, GATHER = 3, 4_000_000
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -333,6 +376,16 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
     return rows.groupBy("pivot", "g").applyInArrow(run, "a bigint, b bigint")
 
 
+def _first_shared(percent: int) -> Column:
+    """Whether a list can be the first that two similar sets share: sizes fit, and enough is behind the places.
+
+    Similar sets pass in their first common list; that they fail in later ones does no harm.
+    """
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    behind = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (behind >= need)
+
+
 def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """``a, b`` of set ids: links enough to connect every component."""
     sizes = measured.where("slot is null")
@@ -341,39 +394,54 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     small = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}  # a row per small size
     boundary = choose_boundary(small, percent)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    lists = write_lists(docs, text, word_levels(measured), percent, boundary)
+    lists = write_lists(docs, text, word_levels(measured), frequent_shingles(measured), percent, boundary)
     entries = shared_entries(lists, percent, math.ceil(total / BUCKET_TEXT) + 6)
 
-    # sets of one list and size band, against the smallest id among them
-    band = F.floor(F.log(F.col("n") + 0.0) / math.log(100 / percent)).cast("int")
-    banded = entries.withColumn("band", band)
-    pivots = banded.groupBy("shingle", "band").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("most"))
-    pivots = pivots.where("pivot <> most").drop("most")
-    stars = banded.join(pivots, ["shingle", "band"]).where("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = settle(stars)
-
-    links = settle(verify(stars, docs, nodes, key, text, percent).unionByName(light_links(lists)))
-    found = connected_components(links)
+    links = settle(light_links(lists))
+    tried, labelled = None, entries.withColumn("component", F.col("set_id"))
+    for _ in range(PIVOT_ROUNDS):
+        stars = _pivot_pairs(labelled, percent)
+        if tried is not None:
+            stars = stars.join(tried, ["a", "b"], "left_anti")
+        # of its pivots a set tries the one it shares most lists with, and the smallest
+        best = stars.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("most"), F.min("b").alias("least"))
+        stars = settle(best.select("a", F.explode(F.array_distinct(F.array("most", "least"))).alias("b")))
+        found = verify(stars, docs, nodes, key, text, percent)
+        links, tried = settle(links.unionByName(found)), stars if tried is None else tried.unionByName(stars)
+        labelled = _with_components(entries, connected_components(links))
 
     # what is left: sets of one list in different components
-    labelled = entries.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    open_lists = labelled.join(mixed, "shingle")
+    open_lists = settle(labelled.join(mixed, "shingle"))
     one = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "place", "component")])
     two = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "place", "component")])
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    behind = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    before = F.least("place_a", "place_b")
-    meets = (
-        (F.col("set_id_a") < F.col("set_id_b")) & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (before + behind >= need)
-    )
+    meets = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("component_a") != F.col("component_b")) & _first_shared(percent)
     across = one.join(two, (one["shingle"] == two["shingle"]) & meets).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = settle(across.join(tried, ["a", "b"], "left_anti"))
     return links.unionByName(verify(across, docs, nodes, key, text, percent))
 
 
+def _with_components(entries: DataFrame, found: DataFrame) -> DataFrame:
+    return entries.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+
+def _pivot_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """``a, b, lists``: sets and the pivots of their lists that they could be similar to, in other components.
+
+    A list's pivot, per size band, is the smallest set that comes early enough in its own order.
+    """
+    band = F.floor(F.log(F.col("n") + 0.0) / math.log(100 / percent)).cast("int")
+    early = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    banded = labelled.withColumn("band", band)
+    columns = ("set_id", "n", "place", "component")
+    pivots = banded.where(early).groupBy("shingle", "band").agg(F.min(F.struct(*columns)).alias("p"))
+    pivots = pivots.select("shingle", "band", *[F.col(f"p.{c}").alias(f"{c}_b") for c in columns])
+    near = banded.select("shingle", "band", *[F.col(c).alias(f"{c}_a") for c in columns])
+    pairs = near.join(pivots, ["shingle", "band"]).where((F.col("component_a") != F.col("component_b")) & _first_shared(percent))
+    return pairs.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).agg(F.count("*").alias("lists"))
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``key, n_shingles, component_id`` of every row.
 

@@ -163,7 +163,7 @@ def scan_licenses(
     text: str = "text",
     phrases: dict[str, str] | None = None,
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
-    threshold: float = 0.8,
+    threshold: float = 0.9,
 ) -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score``, a row per row.
 
@@ -205,7 +205,7 @@ t(label, ts) AS (VALUES
 line AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
 block AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(line, '{brk}'), lambda x: x <> '')) AS bs FROM line),
 m AS (SELECT doc_id, label, len(list_intersect(bs, ts)) AS shared, len(ts) AS n FROM block CROSS JOIN t),
-hit AS (SELECT doc_id, label, max(CAST(shared AS DOUBLE) / n) AS score FROM m WHERE shared >= ceil(0.8 * n - 1e-9) GROUP BY doc_id, label),
+hit AS (SELECT doc_id, label, max(CAST(shared AS DOUBLE) / n) AS score FROM m WHERE shared >= ceil(0.9 * n - 1e-9) GROUP BY doc_id, label),
 best AS (SELECT doc_id, max(score) AS score FROM hit GROUP BY doc_id),
 bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY doc_id),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -84,6 +84,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.array([], np.uint64), np.concatenate(([0], np.cumsum(counts)))
 
 
+def slots(values: np.ndarray, n: int) -> np.ndarray:
+    """Slot of each number among ``n``, a power of two: its leading bits."""
+    return (values >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64)
+
+
 @dataclass
 class Sets:
     """Shingle sets of some texts: text i has ``values[bounds[i]:bounds[i + 1]]``, sorted, without repeats."""
@@ -96,12 +101,13 @@ class Sets:
             yield self.values[a:b]
 
 
-def shingle_sets(texts: list[bytes], k: int = 5, level: np.ndarray | None = None) -> Sets:
+def shingle_sets(texts: list[bytes], k: int = 5, level: np.ndarray | None = None, frequent: np.ndarray | None = None) -> Sets:
     """Sets of distinct k-word shingles; of fewer words, the whole sequence; of none, empty.
 
     With ``level``, a small number for each of its slots, a shingle's number begins with
     the least level among its words (a word's slot: its hash modulo the slots) and goes on
-    with 56 bits of hash, so that sorted sets come lowest level first.
+    with 56 bits of hash, so that sorted sets come lowest level first.  ``frequent``, a truth
+    value for each of its slots (a power of two), puts the shingles it marks behind all others.
     """
     words, bounds = word_hashes(texts)
     counts = np.diff(bounds)
@@ -136,7 +142,10 @@ def shingle_sets(texts: list[bytes], k: int = 5, level: np.ndarray | None = None
         lengths[i] = 1
     values = mix(roll[keep])
     if low is not None:
-        values = (low[keep].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
+        low = np.minimum(low[keep], 127)
+        if frequent is not None:
+            low |= frequent[slots(values, len(frequent))].astype(np.uint8) << 7
+        values = (low.astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
     starts = np.concatenate(([0], np.cumsum(lengths)))
     for a, b in zip(starts.tolist(), starts[1:].tolist()):  # noqa: B905
         values[a:b].sort()
