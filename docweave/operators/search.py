@@ -84,7 +84,7 @@ def merge_hybrid(semantic: DataFrame, keyword: DataFrame, keys: list[str], weigh
     both = s.join(w, keys, "full_outer")
     source = F.when(F.col("_s").isNull(), "keyword").when(F.col("_k").isNull(), "semantic").otherwise("both")
     total = F.coalesce("_s", F.lit(0.0)) * weight + F.coalesce("_k", F.lit(0.0)) * (1 - weight)
-    return both.select(*keys, F.round(total, 6).alias("score"), source.alias("source"))
+    return both.select(*keys, total.alias("score"), source.alias("source"))
 
 
 def normalize_weights(semantic: float, keyword: float) -> tuple[float, float]:

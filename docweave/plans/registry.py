@@ -47,23 +47,23 @@ WITH s AS (SELECT q.vec_id AS query_id, v.vec_id,
              round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
            FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""")
+SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
 def vector_topk(t) -> DataFrame:
     rows = t("embeddings")
     found = search.search_all(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10)
-    return found.withColumn("score", F.round("score", 5)).withColumn("rank", F.col("rank").cast("bigint"))
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("""
 WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)
-SELECT v.vec_id, v.label, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score
+SELECT v.vec_id, v.label, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
 FROM embeddings v, q WHERE v.label IN (1, 2, 3)
 ORDER BY round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id LIMIT 10""")
 def vector_filtered_topk(t) -> DataFrame:
     rows = t("embeddings")
     first = rows.where("vec_id = 0").first()
     found = search.top_k(store.safe_filter(rows, {"label": [1, 2, 3]}, ("label",)), "embedding", list(first["embedding"]), 10, "vec_id")
-    return found.select("vec_id", "label", F.round("score", 5).alias("score"))
+    return found.select("vec_id", "label", "score")
 
 
 _HITS = """
@@ -83,21 +83,21 @@ WITH {_HITS},
 c AS (SELECT clause, max(score) AS score FROM h WHERE unit_type = 'CLAUSE' AND clause % 2 = 0 GROUP BY clause),
 i AS (SELECT clause, item, score FROM h WHERE unit_type = 'CLAUSE_ITEM'),
 u AS (SELECT clause, count(*) AS n_items, arg_max(item, (score, -item)) AS best_item FROM i GROUP BY clause)
-SELECT c.clause, CAST(NULL AS BIGINT) AS item, round(c.score, 5) AS score, coalesce(n_items, 0) AS n_items, best_item FROM c LEFT JOIN u USING (clause)
-UNION ALL SELECT clause, item, round(score, 5), 0, NULL FROM i WHERE clause NOT IN (SELECT clause FROM c)""")
+SELECT c.clause, CAST(NULL AS BIGINT) AS item, c.score, coalesce(n_items, 0) AS n_items, best_item FROM c LEFT JOIN u USING (clause)
+UNION ALL SELECT clause, item, score, 0, NULL FROM i WHERE clause NOT IN (SELECT clause FROM c)""")
 def clause_roll_up(t) -> DataFrame:
     hits = _hits(t).where("unit_type = 'CLAUSE_ITEM' or clause % 2 = 0")
-    return search.roll_up(hits, "unit_type", "clause", "item", "score").withColumn("score", F.round("score", 5))
+    return search.roll_up(hits, "unit_type", "clause", "item", "score")
 
 
 @query(f"""
 WITH {_HITS}, k AS (SELECT l.doc_id AS item, CAST(l.quality AS DOUBLE) AS score FROM labels l WHERE l.toxic = 0)
-SELECT item, round(coalesce(h.score, 0) * 0.7 + coalesce(k.score, 0) * 0.3, 5) AS score,
+SELECT item, coalesce(h.score, 0) * 0.7::DOUBLE + coalesce(k.score, 0) * (1 - 0.7::DOUBLE) AS score,
        CASE WHEN h.item IS NULL THEN 'keyword' WHEN k.item IS NULL THEN 'semantic' ELSE 'both' END AS source
 FROM h FULL JOIN k USING (item)""")
 def hybrid_merge(t) -> DataFrame:
     keyword = t("labels").where("toxic = 0").select(F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("score"))
-    return search.merge_hybrid(_hits(t).select("item", "score"), keyword, ["item"], search.normalize_weights(0.7, 0.3)[0]).withColumn("score", F.round("score", 5))
+    return search.merge_hybrid(_hits(t).select("item", "score"), keyword, ["item"], search.normalize_weights(0.7, 0.3)[0])
 
 
 # -- texts, segments, windows ------------------------------------------------------------------
