@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,22 +65,56 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(new)))
 
 
+#: Links that one task contracts.
+LINKS_PER_TASK = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as stars: every id linked to the smallest one it can reach over them."""
+    links = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not sum(len(lo) for lo, _ in links):
+        return
+    lo, hi = (np.concatenate(x) for x in zip(*links, strict=True))
+    ids, place = np.unique(np.concatenate((lo, hi)), return_inverse=True)
+    a, b = place[: len(lo)], place[len(lo) :]
+    label = np.arange(len(ids))
+    while True:
+        least, before = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    leaves = np.flatnonzero(label != np.arange(len(ids)))
+    for at in range(0, len(leaves), 50_000):
+        part = leaves[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[label[part]]), pa.array(ids[part])], names=["lo", "hi"])
+
+
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``(id, component)`` of every id in ``edges``; component is the smallest id reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): every step links
-    neighbours to the smallest id they know, so that paths halve and no hub gathers its
-    neighbours in one group: both steps only take minima, which are pre-aggregated before
-    the shuffle, and joins whose hot keys adaptive execution splits.
+    Rounds of two parts, until the links are stars.  Tasks contract the links they hold, a
+    bounded number each, to stars; then alternating large-star and small-star steps
+    (Kiveris et al., 2014) link neighbours to the smallest id they know, with minima that
+    are pre-aggregated before the shuffle and joins whose hot keys adaptive execution
+    splits, so no hub gathers its neighbours in one group.  Links that fit one task are
+    done after its contraction.
     Each round is written to the shared folder.  Null ids are ignored; self-links and
     repeated links do no harm; no links give no rows.
     """
     e = settle(
-        edges.select(F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"))
+        edges.select(F.least(src, dst).cast("bigint").alias("lo"), F.greatest(src, dst).cast("bigint").alias("hi"))
         .where("lo is not null and hi is not null and lo <> hi")
         .distinct()
     )
     while True:
+        tasks = math.ceil(e.count() / LINKS_PER_TASK)
+        e = settle(e.coalesce(max(1, tasks)).mapInArrow(_contract, "lo bigint, hi bigint"))
+        if tasks <= 1:
+            break
         # large star: neighbours larger than u go to the smallest of u's neighbourhood
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))

@@ -421,7 +421,11 @@ def test_jaccard_join_empty(spark, none):
     assert jaccard_join.similar_components(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [500_000, 7])
+def test_components(spark, monkeypatch, per_task):
+    from docweave.llm import common
+
+    monkeypatch.setattr(common, "LINKS_PER_TASK", per_task)
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (21, 21), (None, 4), (2, 1), *[(30, i) for i in range(31, 60)], *[(i, i + 1) for i in range(100, 130)]]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     want = {**dict.fromkeys([1, 2, 3, 7, 8, 9], 1), 20: 20, 21: 20, **dict.fromkeys(range(30, 60), 30), **dict.fromkeys(range(100, 131), 100)}
