@@ -123,13 +123,19 @@ def ingest(items: DataFrame, order: str, content: str, embedding: str, batch: in
     return placed.withColumns({"batch": F.floor(F.col("item_index") / batch), "reason": reason})
 
 
-def _numbered(rows: DataFrame, order: str) -> DataFrame:
-    """item_index by ``order``: counted in ranges, so that no task sorts all rows."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row per task
+def _numbered(rows: DataFrame, order: str, buckets: int = 64) -> DataFrame:
+    """item_index by ``order``, a number: counted in ranges of it, so that no task sorts all rows.
+
+    The ranges are fixed by approximate quantiles first, so a row's range is the same
+    whenever it is worked out again.
+    """
+    bounds = sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01)))
+    held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    placed = rows.withColumn("_p", F.size(F.filter(held, lambda b: b < F.col(order))))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    base = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row per range
     own = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return ranged.withColumn("_i", own).join(base, "_p").withColumn("item_index", F.col("_base") + F.col("_i") - 1).drop("_p", "_i", "_base")
+    return placed.withColumn("_i", own).join(base, "_p").withColumn("item_index", F.col("_base") + F.col("_i") - 1).drop("_p", "_i", "_base")
 
 
 def ingest_summary(ingested: DataFrame) -> DataFrame:
