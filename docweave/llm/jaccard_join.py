@@ -54,7 +54,7 @@ BUCKET_TEXT = 16 << 20
 MOST_LIGHT = 20
 #: Cost of verifying a candidate pair, in list entries.
 VERIFY_COST = 30
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 PIVOT_GROUP = 256  # candidates of a pivot that one group verifies
 
 
@@ -256,21 +256,38 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.nda
     return settle(docs.select(text).mapInArrow(run, "block string, kind string, a binary, b binary, c binary"))
 
 
+def is_early(place, n, percent: int):
+    """Whether a set of n can share enough with one that is no smaller, if this place holds the first they share."""
+    return place <= n + (-2 * percent * n) // (100 + percent)
+
+
 def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
     """On disk: the entries of lists with two sets or more, ``shingle, set_id, n, place``.
 
     First the distinct shingles of the blocks are counted, by bucket; then every block gets
     its own shared ones back and lets the rest of its entries go.  Both sides are as large
     as a block; a list's length plays no part.
+    A list in which no set is early (``is_early``) is not the first that two similar sets
+    share, as the smaller one would be: it goes, too.
     """
 
+    def placed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries of each set, place of each entry)."""
+        lengths = sizes - -(-percent * sizes // 100) + 1  # prefix_length
+        return lengths, np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
         for batch in batches:
-            for block, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = np.sort(_sums(_from_planes(a)))
+            for block, a, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                keys, sizes = _sums(_from_planes(a)), np.frombuffer(c, "<u4").astype(np.int64)
+                lengths, places = placed(sizes)
+                early = is_early(places, np.repeat(sizes, lengths), percent)
+                order = np.argsort(keys, kind="stable")
+                keys, early = keys[order], early[order]
                 first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                often = np.minimum(np.diff(first, append=len(keys)), 2).astype(np.uint8)
+                often = np.minimum(np.diff(first, append=len(keys)), 2).astype(np.uint8)  # 1 or 2: sets; 4: one is early
+                often |= np.logical_or.reduceat(early, first).astype(np.uint8) << 2
                 keys = keys[first]
                 of = (keys % np.uint64(buckets)).astype(np.int64)
                 parts = [(int(k), of == k) for k in np.unique(of)]
@@ -283,7 +300,8 @@ def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        shared = ordered[first][np.add.reduceat(often[order].astype(np.int64), first) > 1]
+        enough = np.add.reduceat((often[order] & 3).astype(np.int64), first) > 1
+        shared = ordered[first][enough & (np.maximum.reduceat(often[order], first) >= 4)]
         mine = [_planes(_gaps(b[np.isin(b, shared, assume_unique=True)])) for b in blocks]
         return pa.table({"at": t["block"], "a": pa.array(mine, pa.binary())})
 
@@ -292,8 +310,7 @@ def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
         columns: list[list[np.ndarray]] = [[], [], [], []]
         for a, b, c in zip(*(entries[x].to_pylist() for x in "abc"), strict=True):
             own, ids, sizes = _sums(_from_planes(a)), np.frombuffer(b, "<i8"), np.frombuffer(c, "<u4").astype(np.int64)
-            lengths = sizes - -(-percent * sizes // 100) + 1  # prefix_length
-            places = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            lengths, places = placed(sizes)
             hit = np.zeros(len(own), bool)
             if len(keys):
                 hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
@@ -302,7 +319,7 @@ def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
         return pa.table({name: np.concatenate(v) for name, v in zip(("shingle", "set_id", "n", "place"), columns, strict=True)})
 
     entries = lists.where("kind = 'prefixes'").select("block", "a", "b", "c")
-    spread_out = entries.select("block", "a").mapInArrow(spread, "block string, bucket int, a binary, b binary")
+    spread_out = entries.select("block", "a", "c").mapInArrow(spread, "block string, bucket int, a binary, b binary")
     counted = spread_out.groupBy("bucket").applyInArrow(count, "at string, a binary")
     picked = entries.groupBy("block").cogroup(counted.groupBy("at")).applyInArrow(pick, "shingle bigint, set_id bigint, n int, place int")
     return settle(picked)
@@ -432,7 +449,7 @@ def _pivot_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     A list's pivot, per size band, is the smallest set that comes early enough in its own order.
     """
     band = F.floor(F.log(F.col("n") + 0.0) / math.log(100 / percent)).cast("int")
-    early = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    early = F.col("place") <= F.col("n") + F.floor(-2 * percent * F.col("n") / (100 + percent))
     banded = labelled.withColumn("band", band)
     columns = ("set_id", "n", "place", "component")
     pivots = banded.where(early).groupBy("shingle", "band").agg(F.min(F.struct(*columns)).alias("p"))
