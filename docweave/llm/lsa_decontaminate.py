@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Vocabulary and counts: the words of the benchmark and of a bounded sample of documents;
-   how many documents hold each of them is counted over all documents.
+1. Vocabulary and counts: the words of the benchmark, and those that a share of all
+   documents holds, which bounds their number; documents are counted over all of them.
 2. Latent space: a randomised singular value decomposition (Halko, Martinsson and Tropp,
-   2011) of the TF-IDF passages of that sample and of the benchmark, distributed: every
-   task multiplies its passages, only matrices of vocabulary times rank meet.
+   2011) of the TF-IDF passages of all documents, whole, and of the benchmark, distributed:
+   every task multiplies its passages, only matrices of vocabulary times rank meet.
    Benchmark passages weigh as much as all others together, so that the space tells them
    apart.
 3. Search: windows of every document, at three lengths, are projected and compared by
@@ -14,8 +14,9 @@
    sentence) must be there too.  So paraphrases that keep most words in order are found,
    and texts on the same matter are left alone.
 
-What tasks are sent is bounded by the fit's parameters and the benchmark, whose size is
-checked.  Steps 1 and 3 are passes over the documents without a shuffle of texts.
+What tasks are sent is bounded by the vocabulary's share and the benchmark, whose size is
+checked.  All steps are passes over the documents without a shuffle of texts; step 2 reads
+words as places in the vocabulary, written once.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from docweave.llm.common import settle
 from docweave.llm.shingles import word_hashes
 
-#: The latent space is fitted on so many documents, spread over all by their keys' hash.
-FIT_DOCS = 400
-FIT_TASKS = 4
+#: Words that a smaller share of the documents holds all weigh like one at this share; only
+#: the benchmark's have a latent vector.  So weights don't depend on how many documents there are.
+SHARE = 1 / 500
 RANK, EXTRA, POWER_STEPS = 128, 8, 2
 PASSAGE, STRIDE = 64, 32
 #: Words in a block; windows are runs of 2, 4, 8, ... blocks, every half of their length.
@@ -44,6 +45,9 @@ BLOCK = 8
 SEGMENT = 1 << 14  # words of a text that are looked at together
 MAX_ITEMS = 20_000
 TABLE = 1 << 20
+COUNTED = 1 << 21  # words that a task counts before it hands them on
+TOGETHER = 32  # passages that are multiplied together
+PART = 1024  # rows of a matrix that are summed together
 
 
 @dataclass(frozen=True)
@@ -111,92 +115,158 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 256)
 
 
-def document_frequencies(docs: DataFrame, text: str, words: np.ndarray) -> np.ndarray:
-    """In how many documents each word of the vocabulary occurs, over all of them."""
-    slots = slot_table(words)
+def _merged(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, sorted, with their counts summed."""
+    word, count = np.concatenate(words), np.concatenate(counts)
+    order = np.argsort(word, kind="stable")
+    word, count = word[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    return word[first], np.add.reduceat(count, first)
+
+
+def document_frequencies(docs: DataFrame, text: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words (sorted hashes) that ``least`` documents or more hold, and in how many they occur, over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(words), np.int64)
+        words, counts, size = [], [], 0
         for few in _small(batches):
             hashes, bounds = word_hashes(lowered(few.column(0)))
-            at = lookup(words, slots, hashes)
-            owner = np.repeat(np.arange(few.num_rows, dtype=np.int64), np.diff(bounds))[at >= 0]
-            pairs = owner * len(words) + at[at >= 0]
-            pairs.sort()
-            pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
-            counts += np.bincount(pairs % len(words), minlength=len(words))
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["word", "docs"])
-
-    sums = docs.select(text).mapInArrow(run, "word int, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs")).toArrow()
-    out = np.zeros(len(words), np.int64)
-    out[sums["word"].to_numpy()] = sums["docs"].to_numpy()
-    return out
-
-
-def _passages(places: np.ndarray, idf: np.ndarray, bounds: np.ndarray, passage: int, stride: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, unit TF-IDF weights) of every passage of texts given as vocabulary places, -1 unknown."""
-    for a, b in zip(bounds, bounds[1:]):  # noqa: B905
-        for at in range(a, max(a + 1, b - passage + stride), stride):
-            own = places[at : min(b, at + passage)]
-            own, counts = np.unique(own[own >= 0], return_counts=True)
-            weights = counts * idf[own]
-            norm = np.sqrt((weights**2).sum())
-            if norm > 0:
-                yield own, weights / norm
-
-
-def _dense(texts: list[bytes], words: np.ndarray, slots: np.ndarray, idf: np.ndarray, passage: int, stride: int) -> Iterator[np.ndarray]:
-    hashes, bounds = word_hashes(texts)
-    rows = []
-    for own, weights in _passages(lookup(words, slots, hashes), idf, bounds, passage, stride):
-        row = np.zeros(len(words), np.float32)
-        row[own] = weights
-        rows.append(row)
-        if len(rows) == 256:
-            yield np.array(rows)
-            rows = []
-    if rows:
-        yield np.array(rows)
-
-
-def fit_space(sample: DataFrame, items: list[bytes], words: np.ndarray, idf: np.ndarray, unknown: float) -> Space:
-    """The randomised decomposition; sample: a table of at most about FIT_DOCS texts."""
+            if not len(hashes):
+                continue
+            order = np.argsort(hashes, kind="stable")  # a word's documents stay in order
+            word, owner = hashes[order], np.repeat(np.arange(few.num_rows), np.diff(bounds))[order]
+            new = np.concatenate(([True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])))
+            word = word[new]
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            words.append(word[first])
+            counts.append(np.diff(np.append(first, len(word))))
+            size += len(first)
+            if size > COUNTED:
+                word, count = _merged(words, counts)
+                words, counts, size = [word], [count], len(word)
+                if size > COUNTED // 2:
+                    yield _counted(word, count)
+                    words, counts, size = [], [], 0
+        if words:
+            yield _counted(*_merged(words, counts))
+
+    sums = docs.select(text).mapInArrow(run, "word bigint, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).toArrow()
+    words, held = sums["word"].to_numpy().astype(np.uint64), sums["docs"].to_numpy()
+    order = np.argsort(words)
+    return words[order], held[order]
+
+
+def _counted(word: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(count.astype(np.int64))], names=["word", "docs"])
+
+
+def word_places(docs: DataFrame, text: str, words: np.ndarray) -> DataFrame:
+    """A row per text: the place in the vocabulary of every word, -1 without one, as int32 numbers."""
     slots = slot_table(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in _small(batches):
+            hashes, bounds = word_hashes(lowered(few.column(0)))
+            data = pa.py_buffer(lookup(words, slots, hashes).astype("<i4").tobytes())
+            offsets = pa.py_buffer((bounds * 4).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), few.num_rows, [None, offsets, data])], names=["places"])
+
+    return docs.select(text).mapInArrow(run, "places binary")
+
+
+def passages(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of every passage of some texts: PASSAGE words every STRIDE, the last one ends with the text."""
+    size = np.diff(bounds)
+    count = np.where(size > 0, np.maximum(1, -(-(size - PASSAGE + STRIDE) // STRIDE)), 0)
+    at = _runs(np.zeros(len(size), np.int64), count) * STRIDE
+    return np.repeat(bounds[:-1], count) + at, np.minimum(PASSAGE, np.repeat(size, count) - at)
+
+
+def _weighted(places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, unit TF-IDF weights: passages times these words) of a few passages at a time."""
+    seen, local = np.zeros(len(idf), bool), np.zeros(len(idf), np.int64)
+    for at in range(0, len(starts), TOGETHER):
+        size = sizes[at : at + TOGETHER]
+        word = places[_runs(starts[at : at + TOGETHER], size)]
+        row = np.repeat(np.arange(len(size)), size)[word >= 0]
+        word = word[word >= 0]
+        if not len(word):
+            continue
+        seen[word] = True
+        own = np.flatnonzero(seen)
+        seen[own], local[own] = False, np.arange(len(own))
+        weights = np.bincount(row * len(own) + local[word], minlength=len(size) * len(own)).reshape(len(size), -1).astype(np.float32)
+        weights *= idf[own]
+        norm = np.sqrt(np.einsum("ij,ij->i", weights, weights))
+        weights, norm = weights[norm > 0], norm[norm > 0]
+        yield own, weights / norm[:, None]
+
+
+def _product(parts: Iterator[tuple[np.ndarray, np.ndarray]], basis: np.ndarray, gram: bool) -> tuple[np.ndarray, int]:
+    """A'(A basis), or (A basis)'(A basis), over some passages; and their number."""
+    total, n = np.zeros((basis.shape[1],) * 2 if gram else basis.shape, np.float32), 0
+    for own, weights in parts:
+        y = weights @ basis[own]
+        if gram:
+            total += y.T @ y
+        else:
+            total[own] += weights.T @ y
+        n += len(weights)
+    return total, n
+
+
+def fit_space(docs: DataFrame, items: list[bytes], words: np.ndarray, idf: np.ndarray, unknown: float) -> Space:
+    """The randomised decomposition over all texts; docs: their words' places, written."""
     rank = min(RANK, len(words))
     basis = np.linalg.qr(np.random.default_rng(11).standard_normal((len(words), min(rank + EXTRA, len(words)))))[0].astype(np.float32)
-    own = np.concatenate(list(_dense(items, words, slots, idf, 1 << 30, 1 << 30)) or [np.zeros((0, len(words)), np.float32)])
-    passages = sample.select("text").coalesce(FIT_TASKS)
+    idf = idf.astype(np.float32)
+    hashes, item_bounds = word_hashes(items)
+    own = list(_weighted(lookup(words, slot_table(words), hashes), item_bounds[:-1], np.diff(item_bounds), idf))
+    n_own = sum(len(w) for _, w in own)
+    context = docs.sparkSession.sparkContext
 
     def product(basis: np.ndarray, gram: bool) -> tuple[np.ndarray, int]:
-        """Sum of A'(A basis), or of (A basis)'(A basis), over the sample's passages; and their number."""
-        shared = sample.sparkSession.sparkContext.broadcast(basis)
+        """The same over all texts, summed by parts of the matrix, so that the driver gets one matrix."""
+        shared = context.broadcast((basis, idf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, total, n = shared.value, None, 0
-            for few in _small(batches):
-                for a in _dense(lowered(few.column(0)), words, slots, idf, PASSAGE, STRIDE):
-                    y = a @ q
-                    part = y.T @ y if gram else a.T @ y
-                    total, n = part if total is None else total + part, n + len(a)
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"n": [n], "m": [total.astype("<f4").tobytes()]}, schema=pa.schema([("n", pa.int64()), ("m", pa.binary())]))
-
-        rows = passages.mapInArrow(run, "n bigint, m binary").collect()  # FIT_TASKS rows at most
+            q, idf = shared.value
+
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for few in _small(batches):
+                    texts = [np.frombuffer(x.as_py(), "<i4") for x in few.column(0)]
+                    yield from _weighted(np.concatenate(texts), *passages(np.cumsum([0, *map(len, texts)])), idf)
+
+            total, n = _product(parts(), q, gram)
+            for at in range(0, len(total) if n else 0, PART):
+                part = total[at : at + PART].astype("<f4").tobytes()
+                yield pa.RecordBatch.from_pydict({"part": [at // PART], "n": [n], "m": [part]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
+
+        def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, part = 0.0, 0, None
+            for t in tables:
+                for i, k, m in zip(*(c.to_pylist() for c in t.columns), strict=True):
+                    total, n, part = total + np.frombuffer(m, "<f4").astype(np.float64), n + k, i
+            yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "m": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
+
+        schema = "part int, n bigint, m binary"
+        rows = docs.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()  # one matrix
         shared.unpersist()
-        shape = (basis.shape[1], basis.shape[1]) if gram else basis.shape
-        return sum((np.frombuffer(r["m"], "<f4").reshape(shape).astype(np.float64) for r in rows), np.zeros(shape)), sum(r["n"] for r in rows)
+        shape = (basis.shape[1],) * 2 if gram else basis.shape
+        if not rows:
+            return np.zeros(shape), 0
+        rows.sort(key=lambda r: r["part"])
+        return np.frombuffer(b"".join(r["m"] for r in rows), np.float64).reshape(shape), rows[0]["n"]
 
     weight = None
     for _ in range(POWER_STEPS):
         z, n = product(basis, gram=False)
-        weight = max(1, n) / max(1, len(own))
-        z += weight * (own.T @ (own @ basis))
-        basis = np.linalg.qr(z)[0].astype(np.float32)
-    gram = product(basis, gram=True)[0] + weight * ((own @ basis).T @ (own @ basis))
+        weight = max(1, n) / max(1, n_own)
+        basis = np.linalg.qr(z + weight * _product(iter(own), basis, False)[0])[0].astype(np.float32)
+    gram = product(basis, gram=True)[0] + weight * _product(iter(own), basis, True)[0]
     values, turn = np.linalg.eigh(gram)
     vectors = (basis @ turn[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
-    return Space(words, idf.astype(np.float32), unknown, vectors)
+    return Space(words, idf, unknown, vectors)
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -309,14 +379,14 @@ def find_leaks(
         return spark.createDataFrame([], schema)
     item_ids, items = [r[item] for r in rows], [normalized(r["text"]) for r in rows]
 
-    chosen = F.pmod(F.xxhash64(key), F.lit(max(1, total // FIT_DOCS))) == 0
-    sample = settle(docs.where(chosen).select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 200_000).alias("text")).limit(2 * FIT_DOCS))  # the fit's bound; the search has none
-    seen = sample.select("text").mapInArrow(_distinct_words, "word bigint").groupBy("word").count().where("count > 2").toArrow()
     item_words, item_bounds = word_hashes(items)
-    words = np.unique(np.concatenate((item_words, seen["word"].to_numpy().astype(np.uint64))))
-    held = document_frequencies(docs, text, words)
-    idf, unknown = np.log((total + 1) / (held + 1)) + 0.1, math.log(total + 1) + 0.1
-    space = fit_space(sample, items, words, idf, unknown)
+    least = max(1.0, total * SHARE)
+    frequent, held = document_frequencies(docs, text, least)
+    words = np.unique(np.concatenate((item_words, frequent)))
+    counts = np.full(len(words), least)
+    counts[np.searchsorted(words, frequent)] = held
+    idf, unknown = np.log((total + 1) / (counts + 1)) + 0.1, math.log((total + 1) / (least + 1)) + 0.1
+    space = fit_space(settle(word_places(docs, text, words)), items, words, idf, unknown)
 
     places = space.index(item_words)
     queries = []
@@ -357,13 +427,6 @@ def find_leaks(
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for few in _small(batches):
-        hashes, bounds = word_hashes(lowered(few.column(0)))
-        each = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]  # noqa: B905
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).astype(np.int64))], names=["word"])
-
-
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that give away a benchmark item.  Rows with a null key go or stay by their own text."""
     leaking = find_leaks(docs, benchmark, key, text).select(F.col(key).alias("_leak")).distinct()

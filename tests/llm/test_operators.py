@@ -327,6 +327,33 @@ def test_decontamination(spark, none):
     assert lsa_decontaminate.find_leaks(none, bench).count() == 0 and lsa_decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_fits_all_documents(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randint(0, 150)}" for _ in range(60)) + (" rare" if i % 300 == 0 else " late" if i % 100 == 7 else "")) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words, held = lsa_decontaminate.document_frequencies(docs, "text", 1)
+    plain = collections.Counter(w for _, t in rows for w in set(t.split()))
+    hashes, _ = shingles.word_hashes([w.encode() for w in plain])
+    assert dict(zip(words.tolist(), held.tolist())) == dict(zip(hashes.tolist(), plain.values()))
+    assert len(lsa_decontaminate.document_frequencies(docs, "text", 12)[0]) == len(plain) - 1
+
+    # a long text's end takes part in the fit, and the fit is the decomposition of all passages
+    texts = [lsa_decontaminate.normalized(t) for _, t in rows[:30]] + [b"tail " * 50_000 + b"w1 w2 w3 " * 20]
+    words = np.unique(shingles.word_hashes(texts)[0])
+    docs = spark.createDataFrame([(t.decode(),) for t in texts], "text string").repartition(3)
+    idf, dense = np.ones(len(words)), []
+    for t in texts:
+        at = np.searchsorted(words, shingles.word_hashes([t])[0])
+        for a in range(0, max(1, len(at) - 32), 32):
+            dense.append(np.bincount(at[a : a + 64], minlength=len(words)))
+    dense = np.array(dense) / np.linalg.norm(dense, axis=1)[:, None]
+    item = np.bincount(np.searchsorted(words, shingles.word_hashes([texts[0]])[0]), minlength=len(words)).astype(float)
+    item *= np.sqrt(len(dense)) / np.linalg.norm(item)
+    space = lsa_decontaminate.fit_space(lsa_decontaminate.word_places(docs, "text", words), texts[:1], words, idf, 1.0)
+    best = np.linalg.svd(np.vstack([dense, item]))[1][: space.vectors.shape[1]]
+    assert np.linalg.norm(np.vstack([dense, item]) @ space.vectors) == pytest.approx(np.linalg.norm(best), rel=1e-3)
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):
