@@ -8,7 +8,8 @@
    Benchmark passages weigh as much as all others together, so that the space tells them
    apart.
 3. Search: windows of every document, at three lengths, are projected and compared by
-   cosine with all benchmark items.
+   cosine with what the space keeps of each benchmark item.  Places with RUN words of an
+   item in a row are found by their hashes, too, so that copies don't depend on the rank.
 4. Check: for what passes, the longest common subsequence of words between the item and
    the text around the window must hold enough of the item, and its answer (the last
    sentence) must be there too.  So paraphrases that keep most words in order are found,
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import settle
-from docweave.llm.shingles import word_hashes
+from docweave.llm.shingles import ROLL, mix, word_hashes
 
 #: Words that a smaller share of the documents holds all weigh like one at this share; only
 #: the benchmark's have a latent vector.  So weights don't depend on how many documents there are.
 SHARE = 1 / 500
+FIT_TASKS = 256  # at most, each of which hands on one matrix
 RANK, EXTRA, POWER_STEPS = 128, 8, 2
 PASSAGE, STRIDE = 64, 32
 #: Words in a block; windows are runs of 2, 4, 8, ... blocks, every half of their length.
@@ -47,6 +49,8 @@ MAX_ITEMS = 20_000
 TABLE = 1 << 20
 COUNTED = 1 << 21  # words that a task counts before it hands them on
 TOGETHER = 32  # passages that are multiplied together
+ITEMS_TOGETHER = 512  # items that windows are compared with together
+RUN = 8  # words of an item that make a place worth a check by themselves
 PART = 1024  # rows of a matrix that are summed together
 
 
@@ -76,6 +80,11 @@ class Space:
     def index(self, hashes: np.ndarray) -> np.ndarray:
         return lookup(self.words, self.slots, hashes)
 
+    def cosine(self, hashes: np.ndarray, query: np.ndarray) -> float:
+        places = self.index(hashes)
+        norm = np.sqrt((np.where(places >= 0, self.idf[places], self.unknown_idf) ** 2).sum())
+        return float(self.weighted[places].sum(axis=0) @ query / max(1e-9, norm))
+
 
 def slot_table(words: np.ndarray) -> np.ndarray:
     """First word of each slot, by the leading 20 bits of sorted hashes."""
@@ -250,7 +259,7 @@ def fit_space(docs: DataFrame, items: list[bytes], words: np.ndarray, idf: np.nd
             yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "m": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
 
         schema = "part int, n bigint, m binary"
-        rows = docs.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()  # one matrix
+        rows = docs.coalesce(FIT_TASKS).mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()  # one matrix
         shared.unpersist()
         shape = (basis.shape[1],) * 2 if gram else basis.shape
         if not rows:
@@ -347,10 +356,63 @@ def find_windows(
             b = np.minimum(a + length, blocks[which])
             low, high = base[which] + a, base[which] + b
             norm = np.sqrt(np.maximum(weights[high] - weights[low], 1e-9)).astype(np.float32)
-            dots = (sums[high] - sums[low]) @ queries[:, items]
-            for w, k in zip(*np.nonzero(dots >= least * norm[:, None]), strict=True):
-                s = mine[which[w]]
-                yield int(text[s]), int(begin[s] + a[w] * BLOCK), int(b[w] - a[w]) * BLOCK, int(items[k]), float(dots[w, k] / norm[w])
+            vectors = sums[high] - sums[low]
+            for few in range(0, len(items), ITEMS_TOGETHER):
+                dots = vectors @ queries[:, items[few : few + ITEMS_TOGETHER]]
+                for w, k in zip(*np.nonzero(dots >= least * norm[:, None]), strict=True):
+                    s = mine[which[w]]
+                    yield int(text[s]), int(begin[s] + a[w] * BLOCK), int(b[w] - a[w]) * BLOCK, int(items[few + k]), float(dots[w, k] / norm[w])
+
+
+@dataclass
+class Runs:
+    """Runs of RUN words of the items, of shorter items their whole text: (item, offset) of each hash, by length."""
+
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _rolled(hashes: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of the run of so many words that begins at each word); lengths ascend."""
+    roll, k = hashes.copy(), 1
+    for length in lengths:
+        while k < length:
+            roll = roll[:-1] * ROLL + hashes[k:]
+            k += 1
+        if not len(roll):
+            return
+        yield length, mix(roll)
+
+
+def item_runs(hashes: np.ndarray, bounds: np.ndarray) -> Runs:
+    size = np.diff(bounds)
+    out = {}
+    for length, rolled in _rolled(hashes, sorted({int(x) for x in np.minimum(size, RUN) if x > 0})):
+        mine = np.flatnonzero(np.minimum(size, RUN) == length)
+        count = size[mine] - length + 1
+        item, offset = np.repeat(mine, count), _runs(np.zeros(len(mine), np.int64), count)
+        value = rolled[bounds[item] + offset]
+        order = np.argsort(value, kind="stable")
+        words, first = np.unique(value[order], return_index=True)
+        out[length] = words, slot_table(words), np.append(first, len(value)), item[order], offset[order]
+    return Runs(out)
+
+
+def find_runs(hashes: np.ndarray, bounds: np.ndarray, runs: Runs) -> list[tuple[int, int, int]]:
+    """(text, item, start) of every place where a text has a run of an item's words; start: where the item would begin."""
+    out = []
+    for length, rolled in _rolled(hashes, list(runs.by_length)):
+        words, slots, first, item, offset = runs.by_length[length]
+        found = lookup(words, slots, rolled)
+        at = np.flatnonzero(found >= 0)
+        text = np.searchsorted(bounds, at, side="right") - 1
+        inside = at + length <= bounds[text + 1]
+        at, text, found = at[inside], text[inside], found[at[inside]]
+        count = first[found + 1] - first[found]
+        which = _runs(first[found], count)
+        start = np.repeat(at - bounds[text], count) - offset[which]
+        if len(start):
+            out.append(np.unique(np.stack([np.repeat(text, count), item[which], np.maximum(0, start)], 1), axis=0))
+    return [tuple(x) for x in np.concatenate(out).tolist()] if out else []
 
 
 LEAKS = "item_id bigint, start bigint, cosine double, subsequence double, answer double"
@@ -393,18 +455,21 @@ def find_leaks(
     for a, b in zip(item_bounds, item_bounds[1:]):  # noqa: B905
         own = places[a:b]
         vector = (space.vectors[own] * space.idf[own, None]).sum(axis=0)
-        queries.append(vector / max(1e-9, math.sqrt(float((space.idf[own] ** 2).sum()))))
-    sent = spark.sparkContext.broadcast((space, np.array(queries, np.float32).T.copy(), [x.split() for x in items], [answer_of(r["text"]) for r in rows]))
+        queries.append(vector / max(1e-9, float(np.linalg.norm(vector))))  # by what the space keeps of the item
+    sent = spark.sparkContext.broadcast((space, np.array(queries, np.float32).T.copy(), [x.split() for x in items], [answer_of(r["text"]) for r in rows], item_runs(item_words, item_bounds)))
 
     windows = windows_for(np.diff(item_bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, queries, item_words, answers = sent.value
+        space, queries, item_words, answers, runs = sent.value
         for few in _small(batches):
             texts = lowered(few.column(1))
             hashes, bounds = word_hashes(texts)
             picked, out = [], []
-            found = sorted(find_windows(hashes, bounds, space, queries, windows, limits.cosine), key=lambda h: (h[0], h[3], -h[4], h[1]))
+            found = [*find_windows(hashes, bounds, space, queries, windows, limits.cosine)]
+            # last, without a cosine yet: places with a run of an item's words, whatever the space keeps of it
+            found += [(row, start, len(item_words[i]), i, -2.0) for row, i, start in find_runs(hashes, bounds, runs)]
+            found.sort(key=lambda h: (h[0], h[3], -h[4], h[1]))
             for row, hits in groupby(found, key=lambda h: h[0]):
                 split, best = texts[row].split(), {}
                 for _, start, n, i, cosine in hits:
@@ -416,6 +481,8 @@ def find_leaks(
                     share = common_subsequence(wanted, around) / len(wanted)
                     answer = common_subsequence(answers[i], around) / len(answers[i])
                     if share >= limits.subsequence and answer >= limits.answer and (i not in best or share > best[i][2]):
+                        if cosine < -1:
+                            cosine = space.cosine(hashes[bounds[row] + start : min(bounds[row + 1], bounds[row] + start + n)], queries[:, i])
                         best[i] = (start, cosine, share, answer)
                 for i, scores in sorted(best.items()):
                     picked.append(row)

@@ -354,6 +354,17 @@ def test_decontamination_fits_all_documents(spark):
     assert np.linalg.norm(np.vstack([dense, item]) @ space.vectors) == pytest.approx(np.linalg.norm(best), rel=1e-3)
 
 
+def test_decontamination_of_more_items_than_the_space_holds(spark):
+    rng = random.Random(8)
+    varied = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    items = [(k, f"{varied(24)}. {varied(3)} end.") for k in range(1500)] + [(1500, "Short one? Yes.")]
+    rows = [(k, f"{varied(40)} {text} {varied(40)}") for k, text in items] + [(5000 + k, varied(100)) for k in range(100)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = lsa_decontaminate.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k, _ in items}
+    assert all(-1 <= r.cosine <= 1.001 for r in got)
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):
