@@ -25,13 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id stays.
 
-    Of rows that share that id one stays, too; rows without an id stay.
+    Rows are told apart by id and text, so rows that share an id are judged each by its own
+    text; of rows alike in both one stays.  Rows without an id stay.
     """
     docs = docs.select(COLUMNS)
-    found = jaccard_join.similar_components(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    rows = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.similar_components(rows.select("_row", "text"), "_row")
+    named = found.select("_row", "component_id").distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    kept = rows.join(first, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -418,27 +418,16 @@ def find_runs(hashes: np.ndarray, bounds: np.ndarray, runs: Runs) -> list[tuple[
 LEAKS = "item_id bigint, start bigint, cosine double, subsequence double, answer double"
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", limits: Thresholds | None = None
-) -> DataFrame:
-    """A row per document and benchmark item that it gives away: ``key, item_id, start, cosine, subsequence, answer``.
-
-    start: the first word of the best window; cosine, subsequence and answer: its scores.
-    Clean documents have no row.  Null and empty texts and items leak nothing and nothing
-    leaks; items alike each get their rows; repeated documents each get theirs; texts of
-    any length are read whole; an empty table on either side gives no rows; other columns
-    are ignored.
-    """
+def _searcher(docs: DataFrame, benchmark: DataFrame, text: str, item: str, limits: Thresholds | None) -> Callable[[pa.Array], tuple[list[int], list[tuple]]] | None:
+    """What finds leaks in some texts: (places of texts that leak, (item, start, scores) of each leak); None: nothing can leak."""
     limits = limits or Thresholds()
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, {LEAKS}"
     rows = benchmark.select(item, "text").where(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).orderBy(item, "text").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} benchmark items: search them in parts")
     total = docs.count()
     if not rows or not total:
-        return spark.createDataFrame([], schema)
+        return None
     item_ids, items = [r[item] for r in rows], [normalized(r["text"]) for r in rows]
 
     item_words, item_bounds = word_hashes(items)
@@ -460,33 +449,56 @@ def find_leaks(
 
     windows = windows_for(np.diff(item_bounds))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(column: pa.Array) -> tuple[list[int], list[tuple]]:
         space, queries, item_words, answers, runs = sent.value
+        texts = lowered(column)
+        hashes, bounds = word_hashes(texts)
+        picked, out = [], []
+        found = [*find_windows(hashes, bounds, space, queries, windows, limits.cosine)]
+        # last, without a cosine yet: places with a run of an item's words, whatever the space keeps of it
+        found += [(row, start, len(item_words[i]), i, -2.0) for row, i, start in find_runs(hashes, bounds, runs)]
+        found.sort(key=lambda h: (h[0], h[3], -h[4], h[1]))
+        for row, hits in groupby(found, key=lambda h: h[0]):
+            split, best = texts[row].split(), {}
+            for _, start, n, i, cosine in hits:
+                if i in best and best[i][2] >= 1:
+                    continue
+                wanted = item_words[i]
+                middle, reach = start + n // 2, max(n // 2, len(wanted))
+                around = split[max(0, middle - reach) : middle + reach]
+                share = common_subsequence(wanted, around) / len(wanted)
+                answer = common_subsequence(answers[i], around) / len(answers[i])
+                if share >= limits.subsequence and answer >= limits.answer and (i not in best or share > best[i][2]):
+                    if cosine < -1:
+                        cosine = space.cosine(hashes[bounds[row] + start : min(bounds[row + 1], bounds[row] + start + n)], queries[:, i])
+                    best[i] = (start, cosine, share, answer)
+            for i, scores in sorted(best.items()):
+                picked.append(row)
+                out.append((item_ids[i], *scores))
+        return picked, out
+
+    return search
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", limits: Thresholds | None = None
+) -> DataFrame:
+    """A row per document and benchmark item that it gives away: ``key, item_id, start, cosine, subsequence, answer``.
+
+    start: the first word of the best window; cosine, subsequence and answer: its scores.
+    Clean documents have no row.  Null and empty texts and items leak nothing and nothing
+    leaks; items alike each get their rows; repeated documents each get theirs; texts of
+    any length are read whole; an empty table on either side gives no rows; other columns
+    are ignored.
+    """
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, {LEAKS}"
+    search = _searcher(docs, benchmark, text, item, limits)
+    if search is None:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for few in _small(batches):
-            texts = lowered(few.column(1))
-            hashes, bounds = word_hashes(texts)
-            picked, out = [], []
-            found = [*find_windows(hashes, bounds, space, queries, windows, limits.cosine)]
-            # last, without a cosine yet: places with a run of an item's words, whatever the space keeps of it
-            found += [(row, start, len(item_words[i]), i, -2.0) for row, i, start in find_runs(hashes, bounds, runs)]
-            found.sort(key=lambda h: (h[0], h[3], -h[4], h[1]))
-            for row, hits in groupby(found, key=lambda h: h[0]):
-                split, best = texts[row].split(), {}
-                for _, start, n, i, cosine in hits:
-                    if i in best and best[i][2] >= 1:
-                        continue
-                    wanted = item_words[i]
-                    middle, reach = start + n // 2, max(n // 2, len(wanted))
-                    around = split[max(0, middle - reach) : middle + reach]
-                    share = common_subsequence(wanted, around) / len(wanted)
-                    answer = common_subsequence(answers[i], around) / len(answers[i])
-                    if share >= limits.subsequence and answer >= limits.answer and (i not in best or share > best[i][2]):
-                        if cosine < -1:
-                            cosine = space.cosine(hashes[bounds[row] + start : min(bounds[row + 1], bounds[row] + start + n)], queries[:, i])
-                        best[i] = (start, cosine, share, answer)
-                for i, scores in sorted(best.items()):
-                    picked.append(row)
-                    out.append((item_ids[i], *scores))
+            picked, out = search(few.column(1))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(picked, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, "item_id", "start", "cosine", "subsequence", "answer"])
@@ -494,7 +506,17 @@ def find_leaks(
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that give away a benchmark item.  Rows with a null key go or stay by their own text."""
-    leaking = find_leaks(docs, benchmark, key, text).select(F.col(key).alias("_leak")).distinct()
-    return docs.join(leaking, docs[key].eqNullSafe(leaking["_leak"]), "left_anti")
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that give away a benchmark item: every row goes or stays by its own text, whatever its key."""
+    search = _searcher(docs, benchmark, text, "item_id", None)
+    if search is None:
+        return docs
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in _small(batches):
+            kept = np.ones(few.num_rows, bool)
+            kept[search(few.column(place))[0]] = False
+            yield few.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -365,6 +365,24 @@ def test_decontamination_of_more_items_than_the_space_holds(spark):
     assert all(-1 <= r.cosine <= 1.001 for r in got)
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    varied = lambda: " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(40))
+    bench = spark.createDataFrame([(0, f"{varied()}. The last words.")], "item_id bigint, text string")
+    leak = bench.first()["text"]
+    clean = [(i, varied()) for i in (None, None, 1, 1, 2)]
+    rows = [*clean, (None, leak), (1, leak), (3, leak)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = lsa_decontaminate.remove_leaks(docs, bench)
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(clean)
+    assert lsa_decontaminate.remove_leaks(docs, bench.limit(0)).count() == len(rows)
+
+    got = corpus_pipeline.near_duplicates(spark, docs.union(docs.where("doc_id = 2")), "")
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([*clean, (None, leak), (1, leak)])
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):
