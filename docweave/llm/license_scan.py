@@ -3,8 +3,8 @@
 Two searches over every whole text:
 
 * base phrases: places where the words of a phrase stand consecutively;
-* templates: text blocks (lines) that contain at least ``threshold`` of a license
-  template's distinct words.
+* templates: text blocks (lines, with the words behind them that a wrapped notice takes)
+  that contain at least ``threshold`` of a license template's distinct words.
 
 The second is a containment join between blocks and templates.  Words are put in one
 global order, rarest in the corpus first.  A block with ``need`` of a template's n words
@@ -31,6 +31,7 @@ from docweave.llm.common import lower_ascii, once
 #: Runs of what is not a word, after A-Z were lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATE_WORDS = 20_000
+LINE = "\uE000"  # stands for a line break among words
 
 #: Phrase -> label.
 PHRASES: dict[str, str] = {
@@ -116,10 +117,12 @@ def word_frequencies(docs: DataFrame, words: list[str], lowered: str) -> dict[st
 
 
 def match_templates(
-    docs: DataFrame, key: str, lowered: str, templates: tuple[tuple[str, str], ...], threshold: float
+    docs: DataFrame, key: str, lowered: str, templates: tuple[tuple[str, str], ...], threshold: float, wrapped: bool = False
 ) -> DataFrame:
-    """``key, label, score`` for every row and label whose template a line of it contains.
+    """``key, label, score`` for every row and label whose template a block of it contains.
 
+    Blocks are the lines; with ``wrapped``, every line with as many of the words behind it
+    as the longest template has, so that notices are found however they are wrapped.
     score: the greatest containment.  docs: one row per key, with lower-cased text.
     """
     spark = docs.sparkSession
@@ -142,10 +145,22 @@ def match_templates(
     # prefix filter on the lines before they are split into words
     least = min(r[5] for r in rows)
     pattern = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(map(re.escape, sorted(starts))) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    lines = docs.where(F.col(lowered).rlike(pattern)).select(key, F.explode(F.filter(F.split(lowered, "\n"), lambda x: x.rlike(pattern))).alias("line"))
     ranks_of = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    blocks = once(lines.select(key, F.array_distinct(words_of(F.col("line"))).alias("words")), _ranks=ranks_of)
-    blocks = blocks.select(key, F.array_sort(F.filter(F.transform("words", lambda w: F.try_element_at(F.col("_ranks"), w)), lambda r: r.isNotNull())).alias("held"))
+    searched = docs.where(F.col(lowered).rlike(pattern))
+    if wrapped:
+        longest = max(len([w for w in re.split(BREAKS, text.lower()) if w]) for _, text in templates)
+        marked = once(searched.select(key, F.replace(lowered, F.lit("\n"), F.lit(f" {LINE} ")).alias("_m")), _w=words_of(F.col("_m")))
+        marks = F.filter(F.transform("_w", lambda w, i: F.when(w == LINE, i)), lambda i: i.isNotNull())
+        ends = F.transform(marks, lambda p, k: p - k)  # in words, without the marks
+        words = once(marked.select(key, F.array_remove("_w", LINE).alias("_w"), ends.alias("_e")), _ranks=ranks_of)
+        ranked = once(words, _r=F.transform("_w", lambda w: F.try_element_at(F.col("_ranks"), w)), _a=F.concat(F.array(F.lit(0)), "_e"), _b=F.concat("_e", F.array(F.size("_w"))))
+        runs = ranked.select(key, "_r", F.inline(F.arrays_zip("_a", "_b"))).where("_b > _a")
+        blocks = runs.select(key, F.slice("_r", F.col("_a") + 1, F.col("_b") - F.col("_a") + longest).alias("_r"))
+        blocks = blocks.select(key, F.array_sort(F.array_distinct(F.filter("_r", lambda r: r.isNotNull()))).alias("held"))
+    else:
+        lines = searched.select(key, F.explode(F.filter(F.split(lowered, "\n"), lambda x: x.rlike(pattern))).alias("line"))
+        blocks = once(lines.select(key, F.array_distinct(words_of(F.col("line"))).alias("words")), _ranks=ranks_of)
+        blocks = blocks.select(key, F.array_sort(F.filter(F.transform("words", lambda w: F.try_element_at(F.col("_ranks"), w)), lambda r: r.isNotNull())).alias("held"))
     blocks = blocks.where(F.size("held") >= least)
     candidates = (
         blocks.select(key, "held", F.posexplode("held").alias("j", "rank"))
@@ -164,20 +179,23 @@ def scan_licenses(
     phrases: dict[str, str] | None = None,
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     threshold: float = 0.9,
+    wrapped: bool = True,
 ) -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score``, a row per row.
 
     labels: the base labels and those of the templates found, distinct, sorted, joined by
     commas.  score: 1 with a base phrase, else the greatest containment found, else 0.
     Null and empty texts have no words and no labels; texts are searched whole; rows with
-    the same key share what is found in any of them; rows with a null key only get base
-    labels; an empty table gives no rows; other columns are ignored.
+    the same key share what is found in any of them, rows with a null key only those with
+    the same text; an empty table gives no rows; other columns are ignored.
     """
     found = find_phrases(docs.select(F.col(key), F.col(text)), PHRASES if phrases is None else phrases, text)
-    lowered = docs.select(F.col(key), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
-    hits = match_templates(lowered, key, "_low", templates, threshold)
-    per_key = hits.groupBy(key).agg(F.collect_set("label").alias("_more"), F.max("score").alias("_best"))  # a set of few labels
-    return found.join(per_key, key, "left").select(
+    # rows without a key are told apart by their texts
+    own = F.struct(F.col(key).alias("key"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("text"))
+    lowered = docs.select(own.alias("_k"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    hits = match_templates(lowered, "_k", "_low", templates, threshold, wrapped)
+    per_key = hits.groupBy("_k").agg(F.collect_set("label").alias("_more"), F.max("score").alias("_best"))  # a set of few labels
+    return found.withColumn("_k", own).join(per_key, "_k", "left").select(
         key, "n_words", "n_base", "first_word", "last_word", "base_labels",
         F.array_join(F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"),

@@ -156,6 +156,19 @@ def test_license_join_loses_nothing(spark):
     assert got == {(i, label, round(s, 9)) for (i, label), s in want.items()} and len(got) >= len(license_scan.TEMPLATES)
 
 
+def test_license_notices_are_found_however_wrapped(spark):
+    import textwrap
+
+    rows = [(None if k % 2 else k, "Intro\n" + textwrap.fill(f"a b {t} c d", width, break_long_words=False), label) for k, (width, (label, t)) in enumerate((w, x) for w in (12, 40, 72) for x in license_scan.TEMPLATES)]
+    rows.append((None, "nothing here\nof the kind", None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, want string")
+    found = license_scan.scan_licenses(docs.select("doc_id", "text")).collect()
+    assert len(found) == len(rows)
+    labels = collections.Counter((r.doc_id, r.n_words, label) for r in found for label in r.labels.split(","))
+    wanted = collections.Counter((i, len([w for w in re.split(license_scan.BREAKS, t.lower()) if w]), label or "") for i, t, label in rows)
+    assert not wanted - labels, wanted - labels
+
+
 # -- 3: html --------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>if(a<b)"</p>"</script></head><body class="has-sidebar"><header><h1>Site</h1></header>
