@@ -47,12 +47,16 @@ def entity_counts(docs: DataFrame, doc: str, text: str, patterns: dict[str, list
     return per_doc.groupBy("type", "name").agg(F.sum("_n").alias("count"), F.count("*").alias("n_docs"))
 
 
-def cooccurrence(entities: DataFrame, doc: str, name: str, most_per_doc: int = 50) -> DataFrame:
+def cooccurrence(entities: DataFrame, doc: str, name: str, block: int = 50) -> DataFrame:
     """Edges ``source, target, n_docs`` between entities of one document; entities are taken once per document.
 
-    A document's entities are an array of at most ``most_per_doc``, the first by name; the
-    pairs come out of it without a join.
+    A document's entities are arrays of ``block``, by name; every two arrays of a document
+    are paired, each pair in a row of its own, and edges come out of the pair.
     """
-    sets = entities.groupBy(doc).agg(F.slice(F.array_sort(F.collect_set(name)), 1, most_per_doc).alias("_e"))
-    pairs = F.flatten(F.transform("_e", lambda a, i: F.transform(F.slice("_e", i + 2, F.lit(most_per_doc)), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return sets.select(F.inline(pairs)).groupBy("source", "target").agg(F.count("*").alias("n_docs"))
+    named = entities.where(F.col(doc).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(doc).alias("_d")).agg(F.array_sort(F.collect_set(name)).alias("_e"))
+    blocks = named.select("_d", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_e") - 1) / block).cast("int")), lambda k: F.slice("_e", k * block + 1, F.lit(block)))).alias("_i", "_a"))
+    inside = blocks.select(F.col("_a"), F.col("_a").alias("_b"))
+    several = blocks.where("_i > 0 or size(_a) = " + str(block))
+    across = several.join(several.select("_d", F.col("_i").alias("_j"), F.col("_a").alias("_b")), "_d").where("_i < _j").select("_a", "_b")
+    pairs = F.flatten(F.transform("_a", lambda a: F.transform(F.filter("_b", lambda b: a < b), lambda b: F.struct(a.alias("source"), b.alias("target")))))
+    return inside.unionByName(across).select(F.inline(pairs)).groupBy("source", "target").agg(F.count("*").alias("n_docs"))

@@ -148,3 +148,9 @@ def test_streaming(spark, sf_dir, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     stream_segments(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == segments.split_segments(docs, "doc_id", "text").count()
+
+
+def test_all_entities_of_a_document_are_linked(spark):
+    rows = [(1, f"e{k:03}") for k in range(130)] + [(2, "e000"), (2, "e129"), (2, "e129"), (3, "e001"), (None, "e000"), (None, "e129"), (4, None)]
+    edges = {(r.source, r.target): r.n_docs for r in summaries.cooccurrence(frame(spark, rows, "d int, e string"), "d", "e").collect()}
+    assert len(edges) == 130 * 129 // 2 and edges.pop(("e000", "e129")) == 2 and set(edges.values()) == {1}
