@@ -46,11 +46,11 @@ def explode_char_windows(docs: DataFrame, key: str, text: str, size: int = 4000,
     return windows.select(key, "window", "_w.start", "_w.end", F.substring("_text", F.col("_w.start") + 1, F.col("_w.end") - F.col("_w.start")).alias("text"))
 
 
-def explode_row_windows(rows: DataFrame, key: str, order: str, size: int = 10, overlap: int = 2) -> DataFrame:
-    """A row for each window of ``size`` rows, every ``size - overlap``, that it lies in; windows end with the document."""
+def explode_row_windows(rows: DataFrame, key: str, order: str, size: int = 10, overlap: int = 2, ties: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each window of ``size`` rows, every ``size - overlap``, that it lies in; windows end with the document; ``ties`` order rows alike in ``order``."""
     step = size - overlap
     w = Window.partitionBy(key)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(order, *ties)) - 1).withColumn("_n", F.count("*").over(w))
     last = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / step)).cast("int")
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / step)).cast("int")
     return placed.withColumn("window", F.explode(F.sequence(first, F.least(F.floor(F.col("_i") / step).cast("int"), last)))).withColumnRenamed("_i", "row").drop("_n")

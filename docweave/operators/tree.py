@@ -105,15 +105,15 @@ def group_by_number(rows: DataFrame, key: str, order: str, number: str, text: st
     return grouped.select(key, "number", "n", F.get(texts, 0).alias("title"), F.trim(F.array_join(F.slice(texts, 2, 1_000_000), "\n")).alias("content"))
 
 
-def flatten_json(docs: DataFrame, key: str, json: str, max_depth: int = 20) -> DataFrame:
+def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
     """Nested documents to rows in pre-order: ``key, order_index`` (from 1), ``level, id, parent_id, title, content, role, region``.
 
-    A step per depth unnests the children of all nodes at once, until none are left.
+    A step per depth unnests the children of all nodes at once, until none are left, however deep it goes on.
     """
     node = docs.select(key, F.parse_json(json).alias("_n"), F.array(F.lit(0)).alias("_path"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"))
     text = lambda path: F.try_variant_get("_n", f"$.{path}", "string")
     found = None
-    for _ in range(max_depth):
+    while True:
         own = node.select(key, "_path", "level", text("id").alias("id"), "parent_id", text("title").alias("title"), text("content").alias("content"), text("content_tags.role").alias("role"), text("content_tags.region").alias("region"))
         found = own if found is None else found.unionByName(own)
         children = F.try_variant_get("_n", "$.children", "array<variant>")

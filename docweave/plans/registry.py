@@ -150,7 +150,7 @@ rw AS (SELECT *, unnest(range(CAST(greatest(0, ceil((i - 3) / 3.0)) AS BIGINT),
 
 
 def _row_windows(t) -> DataFrame:
-    return segments.explode_row_windows(t("conversations").dropDuplicates(["conv_id", "turn"]), "conv_id", "turn", 4, 1)
+    return segments.explode_row_windows(t("conversations"), "conv_id", "turn", 4, 1, ties=("role", "text"))
 
 
 @query(f"WITH {_ROW_WINDOWS} SELECT conv_id, turn, k AS \"window\" FROM rw")

@@ -154,3 +154,19 @@ def test_all_entities_of_a_document_are_linked(spark):
     rows = [(1, f"e{k:03}") for k in range(130)] + [(2, "e000"), (2, "e129"), (2, "e129"), (3, "e001"), (None, "e000"), (None, "e129"), (4, None)]
     edges = {(r.source, r.target): r.n_docs for r in summaries.cooccurrence(frame(spark, rows, "d int, e string"), "d", "e").collect()}
     assert len(edges) == 130 * 129 // 2 and edges.pop(("e000", "e129")) == 2 and set(edges.values()) == {1}
+
+
+def test_deep_json_is_flattened_whole(spark):
+    json = '{"id": "n25"}'
+    for k in range(24, 0, -1):
+        json = f'{{"id": "n{k}", "children": [{json}]}}'
+    rows = tree.flatten_json(frame(spark, [(1, json)], "d int, j string"), "d", "j").orderBy("order_index").collect()
+    assert [(r.level, r.id) for r in rows] == [(k, f"n{k}") for k in range(1, 26)]
+
+
+def test_repeated_turns_all_lie_in_windows(spark, tmp_path):
+    from docweave.plans.registry import QUERIES
+
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 1, "user", "c"), (1, 2, "user", "d")]
+    frame(spark, rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(r.turn for r in QUERIES["row_windows"](spark, str(tmp_path)).collect()) == [0, 1, 1, 2]
