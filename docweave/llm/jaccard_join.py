@@ -17,9 +17,17 @@ that would be listed against the list entries and candidates that would be made.
 
 Groups of copies never make all pairs.  Equal sets are one node.  In a list, sets of a
 size band are first compared with one of them, the pivot, every set with one or two of its
-pivots, in a few rounds; only sets of one list that are still in different components are
-then compared with each other.  All pairs that could connect two components are looked at, so
-the components are exact, though links inside a component needn't be listed.
+pivots, in a few rounds: first the set that shares most of its prefix, later members of the
+list's largest component, another one each round.  Only sets of one list that are still in
+different components are then compared with each other.  All pairs that could connect two
+components are looked at, so the components are exact, though links inside a component
+needn't be listed.
+
+Before texts travel, pairs are held against their sketches: a bit per hash slot, set if an
+odd number of a set's shingles fall there.  Every shingle that only one of two sets has
+changes one bit, so sketches that differ in d bits prove at least d such shingles; similar
+sets of n and m have at most (100 - p) (n + m) / (100 + p).  No similar pair is lost, and in
+a group of near copies hardly any other pair is left.
 
 "Rarest first" goes by how often a shingle's rarest word occurs in all documents; shingles
 that several sets of one task share, such as those of a passage that many documents carry,
@@ -41,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import connected_components, settle
-from docweave.llm.shingles import mix, set_ids, shingle_sets, slots, word_hashes
+from docweave.llm.shingles import Sets, mix, set_ids, shingle_sets, slots, word_hashes
 
 WORDS = 5
 SLOTS = 1 << 20
@@ -50,12 +58,14 @@ FREQUENT_SLOTS = 1 << 23
 FREQUENT, GATHER = 3, 4_000_000
 BLOCK_TEXT = 4 << 20
 BUCKET_TEXT = 16 << 20
-#: No set larger than this is light, whatever the costs.
+#: Boundaries up to this are weighed; a set of 20 would list 10**4 subsets, so larger ones never cost least.
 MOST_LIGHT = 20
 #: Cost of verifying a candidate pair, in list entries.
 VERIFY_COST = 30
 PIVOT_ROUNDS = 3
-PIVOT_GROUP = 256  # candidates of a pivot that one group verifies
+PIVOT_GROUP = 60_000  # shingles of a pivot's candidates that one group verifies, about
+SKETCH = 1024  # bits
+FILTER_SLOTS = 1 << 20
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -203,8 +213,15 @@ def _sums(gaps: np.ndarray) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64) & np.uint64((1 << 48) - 1)
 
 
+def _sketches(sets: Sets) -> np.ndarray:
+    """SKETCH / 64 numbers for each set."""
+    own = np.repeat(np.arange(len(sets.bounds) - 1), np.diff(sets.bounds))
+    held = np.bincount(own * SKETCH + (sets.values % np.uint64(SKETCH)).astype(np.int64), minlength=(len(sets.bounds) - 1) * SKETCH)
+    return np.packbits((held & 1).astype(bool).reshape(-1, SKETCH), axis=1, bitorder="little").view("<i8")
+
+
 def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.ndarray, percent: int, boundary: int) -> DataFrame:
-    """On disk, per block of texts: the prefixes of its sets, and the subsets of its light sets.
+    """On disk, per block of texts: the prefixes and sketches of its sets, and the subsets of its light sets.
 
     A prefix shingle is kept to its 48 leading bits, its level among them: others that
     begin alike only make candidates.
@@ -215,7 +232,7 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         schema = pa.schema([("block", pa.string()), ("kind", pa.string()), *[(c, pa.binary()) for c in "abc"]])
-        kept: list[tuple[np.ndarray, int, int]] = []
+        kept: list[tuple[np.ndarray, int, int, bytes]] = []
         seen: set[int] = set()
         light: list[tuple[int, int, bool]] = []
         size = 0
@@ -223,9 +240,10 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.nda
         def flush() -> Iterator[pa.RecordBatch]:
             rows, block = [], uuid.uuid4().hex
             if kept:
-                keys = np.concatenate([k for k, _, _ in kept]) >> np.uint64(16)
-                ids, sizes = np.array([i for _, i, _ in kept], "<i8"), np.array([n for _, _, n in kept], "<u4")
-                rows.append({"block": block, "kind": "prefixes", "a": _planes(_gaps(keys)), "b": ids.tobytes(), "c": sizes.tobytes()})
+                prefixes, ids, sizes, sketches = zip(*kept, strict=True)
+                keys, ids = np.concatenate(prefixes) >> np.uint64(16), np.array(ids, "<i8").tobytes()
+                rows.append({"block": block, "kind": "prefixes", "a": _planes(_gaps(keys)), "b": ids, "c": np.array(sizes, "<u4").tobytes()})
+                rows.append({"block": block, "kind": "sketches", "a": ids, "b": b"".join(sketches), "c": None})
             if light:
                 k, i, s = zip(*light, strict=True)
                 rows.append({"block": block, "kind": "light", "a": np.array(k, "<i8").tobytes(), "b": np.array(i, "<i8").tobytes(), "c": bytes(s)})
@@ -238,7 +256,8 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.nda
         for few in _small(batches):
             texts = _texts(few.column(0))
             ids = set_ids(shingle_sets(texts, WORDS)).astype(np.int64)
-            for values, set_id in zip(shingle_sets(texts, WORDS, levels, marked), ids.tolist(), strict=True):
+            sets = shingle_sets(texts, WORDS, levels, marked)
+            for values, set_id, sketch in zip(sets, ids.tolist(), _sketches(sets), strict=True):
                 n = len(values)
                 if not n or set_id in seen:  # equal sets are one node
                     continue
@@ -246,7 +265,7 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.nda
                 if n <= boundary:
                     light += [(k, set_id, small) for k, small in _subset_keys(values, percent, boundary)]
                 if n > boundary or max(partners(n, percent)) > boundary:
-                    kept.append((values[: prefix_length(n, percent)].copy(), set_id, n))
+                    kept.append((values[: prefix_length(n, percent)].copy(), set_id, n, sketch.tobytes()))
             size += sum(map(len, texts))
             if size >= BLOCK_TEXT or len(light) > 200_000:
                 yield from flush()
@@ -258,11 +277,13 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.nda
 
 def is_early(place, n, percent: int):
     """Whether a set of n can share enough with one that is no smaller, if this place holds the first they share."""
-    return place <= n + (-2 * percent * n) // (100 + percent)
+    return (100 + percent) * (n - place) >= 2 * percent * n
 
 
 def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """On disk: the entries of lists with two sets or more, ``shingle, set_id, n, place``.
+    """On disk: the entries of lists with two sets or more, ``shingle, set_id, n, place, share``.
+
+    share: how much of the set's prefix is in such lists, of 100.
 
     First the distinct shingles of the blocks are counted, by bucket; then every block gets
     its own shared ones back and lets the rest of its entries go.  Both sides are as large
@@ -307,21 +328,22 @@ def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
 
     def pick(entries: pa.Table, shared: pa.Table) -> pa.Table:
         keys = np.sort(np.concatenate([np.array([], np.uint64), *[_sums(_from_planes(a)) for a in shared["a"].to_pylist()]]))
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for a, b, c in zip(*(entries[x].to_pylist() for x in "abc"), strict=True):
             own, ids, sizes = _sums(_from_planes(a)), np.frombuffer(b, "<i8"), np.frombuffer(c, "<u4").astype(np.int64)
             lengths, places = placed(sizes)
             hit = np.zeros(len(own), bool)
             if len(keys):
                 hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
-            for column, v in zip(columns, (own.astype(np.int64), np.repeat(ids, lengths), np.repeat(sizes, lengths).astype(np.int32), places.astype(np.int32)), strict=True):
+            share = 100 * np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64) // lengths
+            for column, v in zip(columns, (own.astype(np.int64), np.repeat(ids, lengths), *[x.astype(np.int32) for x in (np.repeat(sizes, lengths), places, np.repeat(share, lengths))]), strict=True):
                 column.append(v[hit])
-        return pa.table({name: np.concatenate(v) for name, v in zip(("shingle", "set_id", "n", "place"), columns, strict=True)})
+        return pa.table({name: np.concatenate(v) for name, v in zip(("shingle", "set_id", "n", "place", "share"), columns, strict=True)})
 
     entries = lists.where("kind = 'prefixes'").select("block", "a", "b", "c")
     spread_out = entries.select("block", "a", "c").mapInArrow(spread, "block string, bucket int, a binary, b binary")
     counted = spread_out.groupBy("bucket").applyInArrow(count, "at string, a binary")
-    picked = entries.groupBy("block").cogroup(counted.groupBy("at")).applyInArrow(pick, "shingle bigint, set_id bigint, n int, place int")
+    picked = entries.groupBy("block").cogroup(counted.groupBy("at")).applyInArrow(pick, "shingle bigint, set_id bigint, n int, place int, share int")
     return settle(picked)
 
 
@@ -339,21 +361,41 @@ def light_links(lists: DataFrame) -> DataFrame:
     return rows.join(pivots, "subset").where("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
-FILTER_SLOTS = 1 << 20
-FREQUENT_SLOTS = 1 << 23
-#: A shingle in so many sets of about GATHER shingles of one task counts as frequent.
-FREQUENT, GATHER = 3, 4_000_000
+def sketch_table(lists: DataFrame) -> DataFrame:
+    """``set_id, sketch`` (an array of SKETCH / 64 numbers); sets that several blocks hold have several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b, "<i8")), SKETCH // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), sketches], names=["set_id", "sketch"])
+
+    return lists.where("kind = 'sketches'").select("a", "b").mapInArrow(run, "set_id bigint, sketch array<bigint>")
+
+
+def _sketch_bits() -> Column:
+    """In how many bits the sketches of a and b differ."""
+    return sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64)), F.lit(0))
+
+
+def _near_sketches(percent: int) -> Column:
+    """Whether sets a and b, of n_a and n_b, can be similar by their sketches."""
+    return (100 + percent) * _sketch_bits() <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar.  nodes: a document for every set id.
+    """The pairs ``a, b`` (n_a: a's size) whose whole sets are similar.  nodes: a document for every set id.
 
-    a's text goes to b, in groups of at most about PIVOT_GROUP; b's own text goes to each.
+    a's text goes to b, in groups of about PIVOT_GROUP shingles; b's own text goes to each.
+    Only pivots with more than one group are looked up, few enough that no pivot's pairs
+    need to meet for it.
     Texts travel compressed, and most that no pair asks for stay behind: a bit per hash slot
     of the wanted documents goes along with the scan.
     """
-    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_GROUP).cast("int").alias("groups"))
-    mine = pairs.join(groups, "b").select(F.col("a").alias("set_id"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("g"), F.lit(False).alias("is_pivot"))
+    groups = pairs.groupBy("b").agg(F.ceil(F.sum("n_a") / PIVOT_GROUP).cast("int").alias("groups"))
+    mine = pairs.join(groups.where("groups > 1"), "b", "left").select(
+        F.col("a").alias("set_id"), F.col("b").alias("pivot"), F.coalesce(F.pmod(F.xxhash64("a"), F.col("groups")), F.lit(0)).cast("int").alias("g"), F.lit(False).alias("is_pivot")
+    )
     own = groups.select(F.col("b").alias("set_id"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(True).alias("is_pivot"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).cast("int")
     wanted = settle(mine.unionByName(own).join(nodes.select("set_id", "_doc"), "set_id"))
@@ -414,49 +456,84 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     lists = write_lists(docs, text, word_levels(measured), frequent_shingles(measured), percent, boundary)
     entries = shared_entries(lists, percent, math.ceil(total / BUCKET_TEXT) + 6)
 
-    links = settle(light_links(lists))
-    tried, labelled = None, entries.withColumn("component", F.col("set_id"))
-    for _ in range(PIVOT_ROUNDS):
-        stars = _pivot_pairs(labelled, percent)
-        if tried is not None:
-            stars = stars.join(tried, ["a", "b"], "left_anti")
-        # of its pivots a set tries the one it shares most lists with, and the smallest
-        best = stars.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("most"), F.min("b").alias("least"))
-        stars = settle(best.select("a", F.explode(F.array_distinct(F.array("most", "least"))).alias("b")))
+    links, sketches = settle(light_links(lists)), sketch_table(lists)
+    couples, large = split_lists(entries, percent)
+    tried, labelled = None, large.withColumns({"component": F.col("set_id"), "members": F.lit(1)})
+    for k in range(PIVOT_ROUNDS):
+        pairs = _pivot_pairs(labelled, percent, k)
+        pairs = pairs.unionByName(couples) if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        near = settle(_with_sketches(pairs, sketches).where(_near_sketches(percent)).select("a", "b", "n_a", "couple", _sketch_bits().alias("bits")))
+        # of the pivots that it can be similar to, a set tries the nearest by their sketches and another one
+        best = near.where("not couple").groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("one"), F.min_by("b", F.xxhash64("b")).alias("two"), F.first("n_a").alias("n_a"))
+        stars = best.select("a", F.explode(F.array_distinct(F.array("one", "two"))).alias("b"), "n_a")
+        stars = settle(stars.unionByName(near.where("couple").select("a", "b", "n_a")).distinct())
         found = verify(stars, docs, nodes, key, text, percent)
-        links, tried = settle(links.unionByName(found)), stars if tried is None else tried.unionByName(stars)
-        labelled = _with_components(entries, connected_components(links))
+        links, tried = settle(links.unionByName(found)), stars.select("a", "b") if tried is None else tried.unionByName(stars.select("a", "b"))
+        labelled = settle(_open_lists(labelled, connected_components(links)))
 
     # what is left: sets of one list in different components
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    open_lists = settle(labelled.join(mixed, "shingle"))
-    one = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "place", "component")])
-    two = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "place", "component")])
-    meets = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("component_a") != F.col("component_b")) & _first_shared(percent)
-    across = one.join(two, (one["shingle"] == two["shingle"]) & meets).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    left = labelled.select("set_id").distinct()
+    known = sketches.join(left, "set_id", "left_semi").dropDuplicates(["set_id"])
+    open_lists = labelled.join(known, "set_id")
+    columns = ("set_id", "n", "place", "component", "sketch")
+    one = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns])
+    meets = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("component_a") != F.col("component_b")) & _first_shared(percent) & _near_sketches(percent)
+    across = one.join(two, (one["shingle"] == two["shingle"]) & meets).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a").distinct()
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = settle(across.join(tried, ["a", "b"], "left_anti"))
     return links.unionByName(verify(across, docs, nodes, key, text, percent))
 
 
-def _with_components(entries: DataFrame, found: DataFrame) -> DataFrame:
-    return entries.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``pairs`` with ``sketch_a, sketch_b``."""
+    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    known = settle(sketches.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]))
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs
+
+
+def split_lists(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b, n_a, n_b, couple`` of lists with two sets, and the entries, each once, of larger ones (on disk).
+
+    Most lists hold two sets: they are done with their one pair and take no part in what follows.
+    """
+    own = settle(entries.groupBy("shingle", "set_id").agg(*[F.first(c).alias(c) for c in ("n", "place", "share")]))
+    ends = F.struct("set_id", "n", "place")
+    lists = own.groupBy("shingle").agg(F.count("*").alias("sets"), F.min(ends).alias("x"), F.max(ends).alias("y"))
+    couples = lists.where("sets = 2").select(*[F.col(f"{p}.{c}").alias(f"{c}_{q}") for p, q in ("xa", "yb") for c in ("set_id", "n", "place")])
+    couples = couples.where(_first_shared(percent)).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b", F.lit(True).alias("couple")).distinct()
+    return couples, settle(own.join(lists.where("sets > 2").select("shingle"), "shingle", "left_semi"))
+
+
+def _open_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries of lists with sets of several components, with ``component`` and its ``members``."""
+    entries, members = entries.drop("component", "members"), found.groupBy("component").agg(F.count("*").cast("int").alias("members"))
+    named = found.join(members, "component").withColumnRenamed("id", "set_id")
+    labelled = entries.join(named, "set_id", "left").withColumns({"component": F.coalesce("component", "set_id"), "members": F.coalesce("members", F.lit(1))})
+    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    return labelled.join(mixed, "shingle", "left_semi")
 
 
-def _pivot_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """``a, b, lists``: sets and the pivots of their lists that they could be similar to, in other components.
+def _pivot_pairs(labelled: DataFrame, percent: int, k: int) -> DataFrame:
+    """``a, b, n_a, n_b, couple`` (false): sets and the pivots of their lists that they could be similar to, in other components.
 
-    A list's pivot, per size band, is the smallest set that comes early enough in its own order.
+    A list's pivot, per size band, is a set that comes early enough in its own order: in the
+    first round (k = 0) one that shares most of its prefix, then one of the list's largest
+    component and one of all sets by turns, another one each round.
     """
     band = F.floor(F.log(F.col("n") + 0.0) / math.log(100 / percent)).cast("int")
-    early = F.col("place") <= F.col("n") + F.floor(-2 * percent * F.col("n") / (100 + percent))
+    turn = F.xxhash64(F.lit(k), "set_id")
+    rank = F.struct("share", turn) if k == 0 else F.struct("members", turn) if k % 2 else turn
     banded = labelled.withColumn("band", band)
     columns = ("set_id", "n", "place", "component")
-    pivots = banded.where(early).groupBy("shingle", "band").agg(F.min(F.struct(*columns)).alias("p"))
+    pivots = banded.where(is_early(F.col("place"), F.col("n"), percent)).groupBy("shingle", "band").agg(F.max_by(F.struct(*columns), rank).alias("p"))
     pivots = pivots.select("shingle", "band", *[F.col(f"p.{c}").alias(f"{c}_b") for c in columns])
     near = banded.select("shingle", "band", *[F.col(c).alias(f"{c}_a") for c in columns])
-    pairs = near.join(pivots, ["shingle", "band"]).where((F.col("component_a") != F.col("component_b")) & _first_shared(percent))
-    return pairs.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).agg(F.count("*").alias("lists"))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = near.join(pivots, ["shingle", "band"]).where((F.col("component_a") != F.col("component_b")) & (_first_shared(percent) if k == 0 else fits))
+    return pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b", F.lit(False).alias("couple")).distinct()
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

@@ -486,6 +486,45 @@ def test_jaccard_join_is_exact(spark, monkeypatch, boundary):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def near_copies(n, seed=5):
+    """Copies of one text of 120 words, each with one to four words replaced."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        own = base[:]
+        for at in rng.sample(range(120), rng.randint(1, 4)):
+            own[at] = f"n{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_jaccard_join_near_copies_and_long_text(spark):
+    long = [f"v{i % 700}x{i % 997}" for i in range(40_000)]
+    rows = near_copies(200) + [(1000, " ".join(long)), (1001, " ".join([*long[:20_000], "cut", *long[20_000:]]))]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+@pytest.mark.parametrize("n", [200, 400, 800])
+def test_jaccard_join_pairs_of_near_copies_are_linear(spark, monkeypatch, n):
+    verify, pairs = jaccard_join.verify, []
+    monkeypatch.setattr(jaccard_join, "verify", lambda found, *rest: (pairs.append(found.count()), verify(found, *rest))[1])
+    docs = spark.createDataFrame(near_copies(n), "doc_id bigint, text string")
+    assert jaccard_join.similar_components(docs).select("component_id").distinct().count() < n // 2
+    assert sum(pairs) <= 10 * n
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = random.Random(3)
+    base = [f"a{i}" for i in range(300)]
+    texts = [" ".join(rng.choice([w, w, w, w, f"b{rng.randint(0, 9)}"]) for w in base).encode() for _ in range(30)]
+    sets = shingles.shingle_sets(texts)
+    bits = np.unpackbits(jaccard_join._sketches(sets).view(np.uint8), axis=1)
+    for (i, a), (j, b) in itertools.combinations(enumerate(map(set, sets)), 2):
+        assert (bits[i] != bits[j]).sum() <= len(a ^ b)
+
+
 def test_jaccard_join_empty(spark, none):
     assert jaccard_join.similar_components(none).count() == 0
 
