@@ -2,11 +2,13 @@
 
 1. Vocabulary and counts: the words of the benchmark, and those that a share of all
    documents holds, which bounds their number; documents are counted over all of them.
-2. Latent space: a randomised singular value decomposition (Halko, Martinsson and Tropp,
-   2011) of the TF-IDF passages of all documents, whole, and of the benchmark, distributed:
-   every task multiplies its passages, only matrices of vocabulary times rank meet.
-   Benchmark passages weigh as much as all others together, so that the space tells them
-   apart.
+2. Latent space: a randomised singular value decomposition of the TF-IDF passages of all
+   documents, whole, and of the benchmark, distributed: every task multiplies its passages,
+   only matrices of vocabulary times rank meet.  One pass is enough, by the Nystroem form
+   for positive semidefinite matrices (Tropp, Yurtsever, Udell and Cevher, 2017); three
+   quarters of the test matrix are the benchmark's own leading directions, the others are
+   random.  Benchmark passages weigh as much as all others together, so that the space tells
+   them apart.
 3. Search: windows of every document, at three lengths, are projected and compared by
    cosine with what the space keeps of each benchmark item.  Places with RUN words of an
    item in a row are found by their hashes, too, so that copies don't depend on the rank.
@@ -16,8 +18,8 @@
    and texts on the same matter are left alone.
 
 What tasks are sent is bounded by the vocabulary's share and the benchmark, whose size is
-checked.  All steps are passes over the documents without a shuffle of texts; step 2 reads
-words as places in the vocabulary, written once.
+checked.  Step 1 writes the words of every batch of documents as places in the batch's own
+list of words; the other steps read those instead of texts, without a shuffle of them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ from docweave.llm.shingles import ROLL, mix, word_hashes
 #: the benchmark's have a latent vector.  So weights don't depend on how many documents there are.
 SHARE = 1 / 500
 FIT_TASKS = 256  # at most, each of which hands on one matrix
-RANK, EXTRA, POWER_STEPS = 128, 8, 2
+RANK, EXTRA = 128, 8
 PASSAGE, STRIDE = 64, 32
 #: Words in a block; windows are runs of 2, 4, 8, ... blocks, every half of their length.
 BLOCK = 8
@@ -80,8 +83,7 @@ class Space:
     def index(self, hashes: np.ndarray) -> np.ndarray:
         return lookup(self.words, self.slots, hashes)
 
-    def cosine(self, hashes: np.ndarray, query: np.ndarray) -> float:
-        places = self.index(hashes)
+    def cosine(self, places: np.ndarray, query: np.ndarray) -> float:
         norm = np.sqrt((np.where(places >= 0, self.idf[places], self.unknown_idf) ** 2).sum())
         return float(self.weighted[places].sum(axis=0) @ query / max(1e-9, norm))
 
@@ -133,54 +135,71 @@ def _merged(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return word[first], np.add.reduceat(count, first)
 
 
-def document_frequencies(docs: DataFrame, text: str, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words (sorted hashes) that ``least`` documents or more hold, and in how many they occur, over all of them."""
+def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """On disk: a row per batch of texts (``keys``, ``bounds`` of each text's words, the batch's sorted ``words``, the ``places`` of its words among them), and rows of ``word, docs``: a word's number of documents in a task."""
+    kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, size = [], [], 0
         for few in _small(batches):
-            hashes, bounds = word_hashes(lowered(few.column(0)))
-            if not len(hashes):
-                continue
+            hashes, bounds = word_hashes(lowered(few.column(1)))
             order = np.argsort(hashes, kind="stable")  # a word's documents stay in order
             word, owner = hashes[order], np.repeat(np.arange(few.num_rows), np.diff(bounds))[order]
-            new = np.concatenate(([True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])))
-            word = word[new]
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            words.append(word[first])
-            counts.append(np.diff(np.append(first, len(word))))
-            size += len(first)
+            other = word[1:] != word[:-1]
+            first = np.concatenate((np.ones(min(1, len(word)), bool), other))
+            new = np.concatenate((np.ones(min(1, len(word)), bool), other | (owner[1:] != owner[:-1])))
+            place = np.empty(len(word), np.int64)
+            place[order] = np.cumsum(first) - 1
+            own = word[first]
+            places = place.astype("<u2" if len(own) <= 1 << 16 else "<u4")
+            yield _row(few.column(0), bounds.astype("<i8").tobytes(), own.astype("<u8").tobytes(), places.tobytes(), few.schema.field(0).type)
+            if not len(own):
+                continue
+            words.append(own)
+            counts.append(np.add.reduceat(new.astype(np.int64), np.flatnonzero(first)))
+            size += len(own)
             if size > COUNTED:
                 word, count = _merged(words, counts)
                 words, counts, size = [word], [count], len(word)
                 if size > COUNTED // 2:
-                    yield _counted(word, count)
+                    yield from _counted(word, count, few.schema.field(0).type)
                     words, counts, size = [], [], 0
         if words:
-            yield _counted(*_merged(words, counts))
+            yield from _counted(*_merged(words, counts), few.schema.field(0).type)
 
-    sums = docs.select(text).mapInArrow(run, "word bigint, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).toArrow()
-    words, held = sums["word"].to_numpy().astype(np.uint64), sums["docs"].to_numpy()
-    order = np.argsort(words)
-    return words[order], held[order]
+    return settle(docs.select(key, text).mapInArrow(run, f"keys array<{kind.simpleString()}>, bounds binary, words binary, places binary, word bigint, docs bigint"))
 
 
-def _counted(word: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(count.astype(np.int64))], names=["word", "docs"])
+def _row(keys: pa.Array, bounds: bytes, words: bytes, places: bytes, kind: pa.DataType) -> pa.RecordBatch:
+    listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+    columns = [listed.cast(pa.list_(kind)), *[pa.array([x], pa.binary()) for x in (bounds, words, places)], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["keys", "bounds", "words", "places", "word", "docs"])
 
 
-def word_places(docs: DataFrame, text: str, words: np.ndarray) -> DataFrame:
-    """A row per text: the place in the vocabulary of every word, -1 without one, as int32 numbers."""
-    slots = slot_table(words)
+def _counted(word: np.ndarray, count: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(word), 50_000):
+        own, n = word[at : at + 50_000].astype(np.int64), count[at : at + 50_000].astype(np.int64)
+        columns = [pa.nulls(len(own), pa.list_(kind)), *[pa.nulls(len(own), pa.binary())] * 3, pa.array(own), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, names=["keys", "bounds", "words", "places", "word", "docs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for few in _small(batches):
-            hashes, bounds = word_hashes(lowered(few.column(0)))
-            data = pa.py_buffer(lookup(words, slots, hashes).astype("<i4").tobytes())
-            offsets = pa.py_buffer((bounds * 4).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), few.num_rows, [None, offsets, data])], names=["places"])
 
-    return docs.select(text).mapInArrow(run, "places binary")
+def decode(row: dict, words: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the vocabulary of every word, -1 without one; words before each text and after the last) of a batch."""
+    own, bounds = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["bounds"], "<i8")
+    places = np.frombuffer(row["places"], "<u2" if len(own) <= 1 << 16 else "<u4")
+    return np.append(lookup(words, slots, own), np.int32(-1))[places] if len(places) else np.array([], np.int32), bounds
+
+
+def document_frequencies(encoded: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words (sorted hashes) that ``least`` documents or more hold, and in how many they occur, over all of them."""
+    sums = encoded.where("word is not null").groupBy("word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).toArrow()
+    words, held = sums["word"].to_numpy().astype(np.uint64), sums["docs"].to_numpy()
+    order = np.argsort(words)
+    return words[order], held[order]
+
+
+def batches_of(encoded: DataFrame) -> DataFrame:
+    return encoded.where("bounds is not null").select("keys", "bounds", "words", "places")
 
 
 def passages(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,71 +230,75 @@ def _weighted(places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, idf: np
         yield own, weights / norm[:, None]
 
 
-def _product(parts: Iterator[tuple[np.ndarray, np.ndarray]], basis: np.ndarray, gram: bool) -> tuple[np.ndarray, int]:
-    """A'(A basis), or (A basis)'(A basis), over some passages; and their number."""
-    total, n = np.zeros((basis.shape[1],) * 2 if gram else basis.shape, np.float32), 0
+def _product(parts: Iterator[tuple[np.ndarray, np.ndarray]], basis: np.ndarray) -> tuple[np.ndarray, int]:
+    """A'(A basis) over some passages, and their number."""
+    total, n = np.zeros(basis.shape, np.float32), 0
     for own, weights in parts:
-        y = weights @ basis[own]
-        if gram:
-            total += y.T @ y
-        else:
-            total[own] += weights.T @ y
+        total[own] += weights.T @ (weights @ basis[own])
         n += len(weights)
     return total, n
 
 
-def fit_space(docs: DataFrame, items: list[bytes], words: np.ndarray, idf: np.ndarray, unknown: float) -> Space:
-    """The randomised decomposition over all texts; docs: their words' places, written."""
-    rank = min(RANK, len(words))
-    basis = np.linalg.qr(np.random.default_rng(11).standard_normal((len(words), min(rank + EXTRA, len(words)))))[0].astype(np.float32)
-    idf = idf.astype(np.float32)
+def leading_directions(items: list[tuple[np.ndarray, np.ndarray]], size: int, count: int) -> np.ndarray:
+    """The leading right singular vectors of the items' passages, at most ``count``, by two steps of subspace iteration."""
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((size, count)))[0].astype(np.float32)
+    for _ in range(3):
+        basis = np.linalg.qr(_product(iter(items), basis)[0])[0].astype(np.float32)
+    return basis
+
+
+def nystroem(test: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
+    """The leading ``rank`` eigenvectors of a positive semidefinite matrix from its product with an orthonormal test matrix."""
+    shift = np.sqrt(len(test)) * np.finfo(np.float64).eps * max(1e-30, np.linalg.norm(product))
+    shifted = product + shift * test
+    core = test.T @ shifted
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-9 * max(values.max(), 1e-30)
+    return np.linalg.svd(shifted @ (turn[:, kept] / np.sqrt(values[kept])), full_matrices=False)[0][:, :rank]
+
+
+def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np.ndarray, unknown: float) -> Space:
+    """The randomised decomposition over all texts, as encoded."""
+    rank, size = min(RANK, len(words)), min(RANK + EXTRA, len(words))
+    idf, slots = idf.astype(np.float32), slot_table(words)
     hashes, item_bounds = word_hashes(items)
-    own = list(_weighted(lookup(words, slot_table(words), hashes), item_bounds[:-1], np.diff(item_bounds), idf))
+    own = list(_weighted(lookup(words, slots, hashes), item_bounds[:-1], np.diff(item_bounds), idf))
     n_own = sum(len(w) for _, w in own)
-    context = docs.sparkSession.sparkContext
-
-    def product(basis: np.ndarray, gram: bool) -> tuple[np.ndarray, int]:
-        """The same over all texts, summed by parts of the matrix, so that the driver gets one matrix."""
-        shared = context.broadcast((basis, idf))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, idf = shared.value
-
-            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for few in _small(batches):
-                    texts = [np.frombuffer(x.as_py(), "<i4") for x in few.column(0)]
-                    yield from _weighted(np.concatenate(texts), *passages(np.cumsum([0, *map(len, texts)])), idf)
-
-            total, n = _product(parts(), q, gram)
-            for at in range(0, len(total) if n else 0, PART):
-                part = total[at : at + PART].astype("<f4").tobytes()
-                yield pa.RecordBatch.from_pydict({"part": [at // PART], "n": [n], "m": [part]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
-
-        def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n, part = 0.0, 0, None
-            for t in tables:
-                for i, k, m in zip(*(c.to_pylist() for c in t.columns), strict=True):
-                    total, n, part = total + np.frombuffer(m, "<f4").astype(np.float64), n + k, i
-            yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "m": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
-
-        schema = "part int, n bigint, m binary"
-        rows = docs.coalesce(FIT_TASKS).mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()  # one matrix
-        shared.unpersist()
-        shape = (basis.shape[1],) * 2 if gram else basis.shape
-        if not rows:
-            return np.zeros(shape), 0
-        rows.sort(key=lambda r: r["part"])
-        return np.frombuffer(b"".join(r["m"] for r in rows), np.float64).reshape(shape), rows[0]["n"]
-
-    weight = None
-    for _ in range(POWER_STEPS):
-        z, n = product(basis, gram=False)
-        weight = max(1, n) / max(1, n_own)
-        basis = np.linalg.qr(z + weight * _product(iter(own), basis, False)[0])[0].astype(np.float32)
-    gram = product(basis, gram=True)[0] + weight * _product(iter(own), basis, True)[0]
-    values, turn = np.linalg.eigh(gram)
-    vectors = (basis @ turn[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
-    return Space(words, idf, unknown, vectors)
+    random = np.random.default_rng(11).standard_normal((len(words), size - 3 * size // 4))
+    test = np.linalg.qr(np.hstack([leading_directions(own, len(words), 3 * size // 4), random]))[0].astype(np.float32)
+    shared = batches.sparkSession.sparkContext.broadcast((test, idf, words, slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test, idf, words, slots = shared.value
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    places, bounds = decode(row, words, slots)
+                    yield from _weighted(places, *passages(bounds), idf)
+
+        total, n = _product(parts(), test)
+        for at in range(0, len(total) if n else 0, PART):
+            part = total[at : at + PART].astype("<f4").tobytes()
+            yield pa.RecordBatch.from_pydict({"part": [at // PART], "n": [n], "m": [part]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
+
+    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, part = 0.0, 0, None
+        for t in tables:
+            for i, k, m in zip(*(c.to_pylist() for c in t.columns), strict=True):
+                total, n, part = total + np.frombuffer(m, "<f4").astype(np.float64), n + k, i
+        yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "m": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
+
+    schema = "part int, n bigint, m binary"
+    summed = batches.select("bounds", "words", "places").coalesce(FIT_TASKS).mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
+    rows = sorted(summed.collect(), key=lambda r: r["part"])  # one matrix
+    shared.unpersist()
+    product, n = np.zeros(test.shape), 0
+    if rows:
+        product, n = np.frombuffer(b"".join(r["m"] for r in rows), np.float64).reshape(test.shape), rows[0]["n"]
+    product = product + max(1, n) / max(1, n_own) * _product(iter(own), test)[0]
+    vectors = nystroem(test.astype(np.float64), product, rank)
+    return Space(words, idf, unknown, np.ascontiguousarray(vectors, np.float32))
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -316,7 +339,7 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def find_windows(
-    hashes: np.ndarray, bounds: np.ndarray, space: Space, queries: np.ndarray, windows: list[tuple[int, np.ndarray]], least: float
+    places: np.ndarray, bounds: np.ndarray, space: Space, queries: np.ndarray, windows: list[tuple[int, np.ndarray]], least: float
 ) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, first word, words, item, cosine) of the windows that pass, for some texts' words at once."""
     # long texts are looked at in segments, which overlap by the longest window
@@ -328,7 +351,6 @@ def find_windows(
         begin += own
     text, begin = np.array(text), np.array(begin)
     size = np.minimum(np.diff(bounds)[text] - begin, SEGMENT + reach)
-    places = space.index(hashes)
     idf = np.where(places >= 0, space.idf[places], space.unknown_idf).astype(np.float32)
     first = bounds[:-1][text] + begin
     group = np.cumsum(size) // (4 * SEGMENT)  # so many words at once
@@ -344,7 +366,8 @@ def find_windows(
         squares[cell], rows[cell] = idf[at].astype(np.float64) ** 2, places[at]
         weights = np.concatenate(([0.0], np.cumsum(squares.reshape(-1, BLOCK).sum(axis=1))))
         sums = np.zeros((blocks.sum() + 1, space.vectors.shape[1]), np.float32)
-        space.weighted.take(rows, axis=0).reshape(len(sums) - 1, BLOCK, -1).sum(axis=1, out=sums[1:])  # -1: the zeros
+        for k in range(BLOCK):
+            sums[1:] += space.weighted.take(rows[k::BLOCK], axis=0)  # -1: the zeros
         np.cumsum(sums, axis=0, out=sums)
         for length, items in windows:
             if not len(items):
@@ -418,26 +441,27 @@ def find_runs(hashes: np.ndarray, bounds: np.ndarray, runs: Runs) -> list[tuple[
 LEAKS = "item_id bigint, start bigint, cosine double, subsequence double, answer double"
 
 
-def _searcher(docs: DataFrame, benchmark: DataFrame, text: str, item: str, limits: Thresholds | None) -> Callable[[pa.Array], tuple[list[int], list[tuple]]] | None:
-    """What finds leaks in some texts: (places of texts that leak, (item, start, scores) of each leak); None: nothing can leak."""
+Search = Callable[[np.ndarray, np.ndarray], tuple[list[int], list[tuple]]]
+
+
+def _searcher(encoded: DataFrame, total: int, benchmark: DataFrame, item: str, limits: Thresholds | None) -> tuple[Broadcast, Search] | None:
+    """The space, sent, and what finds leaks in some texts' places: (texts that leak, (item, start, scores) of each leak); None: nothing can leak."""
     limits = limits or Thresholds()
-    spark = docs.sparkSession
     rows = benchmark.select(item, "text").where(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).orderBy(item, "text").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} benchmark items: search them in parts")
-    total = docs.count()
     if not rows or not total:
         return None
     item_ids, items = [r[item] for r in rows], [normalized(r["text"]) for r in rows]
 
     item_words, item_bounds = word_hashes(items)
     least = max(1.0, total * SHARE)
-    frequent, held = document_frequencies(docs, text, least)
+    frequent, held = document_frequencies(encoded, least)
     words = np.unique(np.concatenate((item_words, frequent)))
     counts = np.full(len(words), least)
     counts[np.searchsorted(words, frequent)] = held
     idf, unknown = np.log((total + 1) / (counts + 1)) + 0.1, math.log((total + 1) / (least + 1)) + 0.1
-    space = fit_space(settle(word_places(docs, text, words)), items, words, idf, unknown)
+    space = fit_space(batches_of(encoded), items, words, idf, unknown)
 
     places = space.index(item_words)
     queries = []
@@ -445,39 +469,39 @@ def _searcher(docs: DataFrame, benchmark: DataFrame, text: str, item: str, limit
         own = places[a:b]
         vector = (space.vectors[own] * space.idf[own, None]).sum(axis=0)
         queries.append(vector / max(1e-9, float(np.linalg.norm(vector))))  # by what the space keeps of the item
-    sent = spark.sparkContext.broadcast((space, np.array(queries, np.float32).T.copy(), [x.split() for x in items], [answer_of(r["text"]) for r in rows], item_runs(item_words, item_bounds)))
-
+    own = [places[a:b].tolist() for a, b in zip(item_bounds, item_bounds[1:])]  # noqa: B905
+    answers = [space.index(word_hashes([b" ".join(answer_of(r["text"]))])[0]).tolist() for r in rows]
+    sent = encoded.sparkSession.sparkContext.broadcast((space, np.array(queries, np.float32).T.copy(), own, answers, item_runs(item_words, item_bounds)))
     windows = windows_for(np.diff(item_bounds))
 
-    def search(column: pa.Array) -> tuple[list[int], list[tuple]]:
+    def search(places: np.ndarray, bounds: np.ndarray) -> tuple[list[int], list[tuple]]:
         space, queries, item_words, answers, runs = sent.value
-        texts = lowered(column)
-        hashes, bounds = word_hashes(texts)
         picked, out = [], []
-        found = [*find_windows(hashes, bounds, space, queries, windows, limits.cosine)]
+        found = [*find_windows(places, bounds, space, queries, windows, limits.cosine)]
         # last, without a cosine yet: places with a run of an item's words, whatever the space keeps of it
+        hashes = np.where(places >= 0, space.words[places], np.uint64(0))  # items have no unknown words
         found += [(row, start, len(item_words[i]), i, -2.0) for row, i, start in find_runs(hashes, bounds, runs)]
         found.sort(key=lambda h: (h[0], h[3], -h[4], h[1]))
         for row, hits in groupby(found, key=lambda h: h[0]):
-            split, best = texts[row].split(), {}
+            split, best = places[bounds[row] : bounds[row + 1]], {}
             for _, start, n, i, cosine in hits:
                 if i in best and best[i][2] >= 1:
                     continue
                 wanted = item_words[i]
                 middle, reach = start + n // 2, max(n // 2, len(wanted))
-                around = split[max(0, middle - reach) : middle + reach]
+                around = split[max(0, middle - reach) : middle + reach].tolist()
                 share = common_subsequence(wanted, around) / len(wanted)
                 answer = common_subsequence(answers[i], around) / len(answers[i])
                 if share >= limits.subsequence and answer >= limits.answer and (i not in best or share > best[i][2]):
                     if cosine < -1:
-                        cosine = space.cosine(hashes[bounds[row] + start : min(bounds[row + 1], bounds[row] + start + n)], queries[:, i])
+                        cosine = space.cosine(split[start : start + n], queries[:, i])
                     best[i] = (start, cosine, share, answer)
             for i, scores in sorted(best.items()):
                 picked.append(row)
                 out.append((item_ids[i], *scores))
         return picked, out
 
-    return search
+    return sent, search
 
 
 def find_leaks(
@@ -491,32 +515,40 @@ def find_leaks(
     any length are read whole; an empty table on either side gives no rows; other columns
     are ignored.
     """
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, {LEAKS}"
-    search = _searcher(docs, benchmark, text, item, limits)
-    if search is None:
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, {LEAKS}"
+    encoded = encode(docs, key, text)
+    found = _searcher(encoded, docs.count(), benchmark, item, limits)
+    if found is None:
         return docs.sparkSession.createDataFrame([], schema)
+    sent, search = found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for few in _small(batches):
-            picked, out = search(few.column(1))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(picked, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, "item_id", "start", "cosine", "subsequence", "answer"])
+        space = sent.value[0]
+        for batch in batches:
+            for at, row in enumerate(batch.to_pylist()):
+                picked, out = search(*decode(row, space.words, space.slots))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                keys = batch.column(0)[at].values.take(pa.array(picked, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, "item_id", "start", "cosine", "subsequence", "answer"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return batches_of(encoded).mapInArrow(run, schema)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that give away a benchmark item: every row goes or stays by its own text, whatever its key."""
-    search = _searcher(docs, benchmark, text, "item_id", None)
-    if search is None:
+    found = _searcher(encode(docs.select(F.lit(0).alias("_k"), text), "_k", text), docs.count(), benchmark, "item_id", None)
+    if found is None:
         return docs
-    place = docs.columns.index(text)
+    (sent, search), place = found, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = sent.value[0]
         for few in _small(batches):
+            hashes, bounds = word_hashes(lowered(few.column(place)))
             kept = np.ones(few.num_rows, bool)
-            kept[search(few.column(place))[0]] = False
+            kept[search(space.index(hashes), bounds)[0]] = False
             yield few.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -344,16 +344,17 @@ def test_decontamination_fits_all_documents(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randint(0, 150)}" for _ in range(60)) + (" rare" if i % 300 == 0 else " late" if i % 100 == 7 else "")) for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    words, held = lsa_decontaminate.document_frequencies(docs, "text", 1)
+    encoded = lsa_decontaminate.encode(docs, "doc_id", "text")
+    words, held = lsa_decontaminate.document_frequencies(encoded, 1)
     plain = collections.Counter(w for _, t in rows for w in set(t.split()))
     hashes, _ = shingles.word_hashes([w.encode() for w in plain])
     assert dict(zip(words.tolist(), held.tolist())) == dict(zip(hashes.tolist(), plain.values()))
-    assert len(lsa_decontaminate.document_frequencies(docs, "text", 12)[0]) == len(plain) - 1
+    assert len(lsa_decontaminate.document_frequencies(encoded, 12)[0]) == len(plain) - 1
 
     # a long text's end takes part in the fit, and the fit is the decomposition of all passages
     texts = [lsa_decontaminate.normalized(t) for _, t in rows[:30]] + [b"tail " * 50_000 + b"w1 w2 w3 " * 20]
     words = np.unique(shingles.word_hashes(texts)[0])
-    docs = spark.createDataFrame([(t.decode(),) for t in texts], "text string").repartition(3)
+    docs = spark.createDataFrame([(0, t.decode()) for t in texts], "doc_id bigint, text string").repartition(3)
     idf, dense = np.ones(len(words)), []
     for t in texts:
         at = np.searchsorted(words, shingles.word_hashes([t])[0])
@@ -362,11 +363,65 @@ def test_decontamination_fits_all_documents(spark):
     dense = np.array(dense) / np.linalg.norm(dense, axis=1)[:, None]
     item = np.bincount(np.searchsorted(words, shingles.word_hashes([texts[0]])[0]), minlength=len(words)).astype(float)
     item *= np.sqrt(len(dense)) / np.linalg.norm(item)
-    space = lsa_decontaminate.fit_space(lsa_decontaminate.word_places(docs, "text", words), texts[:1], words, idf, 1.0)
+    space = lsa_decontaminate.fit_space(lsa_decontaminate.batches_of(lsa_decontaminate.encode(docs, "doc_id", "text")), texts[:1], words, idf, 1.0)
     best = np.linalg.svd(np.vstack([dense, item]))[1][: space.vectors.shape[1]]
     assert np.linalg.norm(np.vstack([dense, item]) @ space.vectors) == pytest.approx(np.linalg.norm(best), rel=1e-3)
 
 
+def test_latent_space_and_search_against_plain_computations(spark):
+    rng = np.random.default_rng(12)
+    share = 1 / np.arange(1, 1501)  # words of a natural language are this uneven
+    text = lambda n: " ".join(f"z{k}" for k in rng.choice(1500, n, p=share / share.sum()))
+    texts, items = [text(int(n)) for n in rng.integers(1, 400, 600)], [lsa_decontaminate.normalized(text(30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    encoded = lsa_decontaminate.encode(docs, "doc_id", "text")
+    words = np.unique(np.concatenate((shingles.word_hashes(items)[0], lsa_decontaminate.document_frequencies(encoded, 3)[0])))
+    idf = rng.uniform(0.5, 4, len(words))
+    space = lsa_decontaminate.fit_space(lsa_decontaminate.batches_of(encoded), items, words, idf, 5.0)
+
+    def rows(texts):
+        places, out = {w: i for i, w in enumerate(words.tolist())}, []
+        for t in texts:
+            own = shingles.word_hashes([t])[0].tolist()
+            for a in range(0, max(1, len(own) - 32), 32):
+                v = np.zeros(len(words))
+                for w in own[a : a + 64]:
+                    if w in places:
+                        v[places[w]] += idf[places[w]]
+                out.append(v / np.linalg.norm(v)) if v.any() else None
+        return np.array(out)
+
+    a, own = rows([t.encode() for t in texts]), rows(items)
+    a = np.vstack([a, own * np.sqrt(len(a) / len(own))])
+    best = (np.linalg.svd(a)[1][: space.vectors.shape[1]] ** 2).sum()
+    assert np.allclose(space.vectors.T @ space.vectors, np.eye(space.vectors.shape[1]), atol=1e-4)
+    assert ((a @ space.vectors) ** 2).sum() >= 0.9 * best
+
+    hashes, bounds = shingles.word_hashes([t.encode() for t in texts[:40]])
+    queries = np.linalg.qr(rng.standard_normal((space.vectors.shape[1], 60)))[0].astype(np.float32)
+    got = {(t, s, n, i): c for t, s, n, i, c in lsa_decontaminate.find_windows(space.index(hashes), bounds, space, queries, [(4, np.arange(60))], 0.1)}
+    want = {}
+    for t in range(40):
+        own = hashes[bounds[t] : bounds[t + 1]]
+        blocks = -(-len(own) // 8)
+        for k in range(max(1, -(-(blocks - 4) // 2) + 1)):
+            n = (min(2 * k + 4, blocks) - 2 * k) * 8
+            for i in range(60):
+                if (c := space.cosine(space.index(own[16 * k : 16 * k + n]), queries[:, i])) >= 0.1:
+                    want[t, 16 * k, n, i] = c
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_decontamination_odd_keys(spark):
+    leak = "the quick brown fox jumps over the lazy dog near the old mill. It was late in the evening then."
+    bench = spark.createDataFrame([(0, leak), (1, leak), (None, leak)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(None, leak), (None, "clean words only here"), (7, leak), (7, leak), (8, "word " * 30 + leak)], "doc_id bigint, text string")
+    got = collections.Counter((r.doc_id, r.item_id) for r in lsa_decontaminate.find_leaks(docs, bench).collect())
+    assert got == collections.Counter((d, i) for d in (None, 7, 7, 8) for i in (0, 1, None))
+    named = docs.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text")
+    assert {r.doc_id for r in lsa_decontaminate.find_leaks(named, bench).collect()} == {None, "k7", "k8"}
+
+
 def test_decontamination_of_more_items_than_the_space_holds(spark):
     rng = random.Random(8)
     varied = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
