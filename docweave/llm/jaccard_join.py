@@ -62,7 +62,7 @@ BUCKET_TEXT = 16 << 20
 MOST_LIGHT = 20
 #: Cost of verifying a candidate pair, in list entries.
 VERIFY_COST = 30
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 PIVOT_GROUP = 60_000  # shingles of a pivot's candidates that one group verifies, about
 SKETCH = 1024  # bits
 FILTER_SLOTS = 1 << 20

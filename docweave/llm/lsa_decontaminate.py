@@ -240,33 +240,69 @@ def _product(parts: Iterator[tuple[np.ndarray, np.ndarray]], basis: np.ndarray)
 
 
 def leading_directions(items: list[tuple[np.ndarray, np.ndarray]], size: int, count: int) -> np.ndarray:
-    """The leading right singular vectors of the items' passages, at most ``count``, by two steps of subspace iteration."""
-    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((size, count)))[0].astype(np.float32)
+    """The leading right singular vectors of the items' passages, at most ``count``, by steps of subspace iteration."""
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((size, count), np.float32))[0]
     for _ in range(3):
-        basis = np.linalg.qr(_product(iter(items), basis)[0])[0].astype(np.float32)
+        basis = np.linalg.qr(_product(iter(items), basis)[0])[0]
     return basis
 
 
 def nystroem(test: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
-    """The leading ``rank`` eigenvectors of a positive semidefinite matrix from its product with an orthonormal test matrix."""
+    """The leading ``rank`` eigenvectors of a positive semidefinite matrix from its product with an orthonormal test matrix.
+
+    ``product`` is overwritten: the matrices are the largest the driver holds.
+    """
     shift = np.sqrt(len(test)) * np.finfo(np.float64).eps * max(1e-30, np.linalg.norm(product))
-    shifted = product + shift * test
-    core = test.T @ shifted
+    product += shift * test
+    core = sum(test[a : a + PART].T.astype(np.float64) @ product[a : a + PART] for a in range(0, len(test), PART))
     values, turn = np.linalg.eigh((core + core.T) / 2)
     kept = values > 1e-9 * max(values.max(), 1e-30)
-    return np.linalg.svd(shifted @ (turn[:, kept] / np.sqrt(values[kept])), full_matrices=False)[0][:, :rank]
+    half = product @ (turn[:, kept] / np.sqrt(values[kept]))  # half @ half.T is the approximation
+    values, turn = np.linalg.eigh(half.T @ half)
+    best = np.argsort(values)[::-1][:rank]
+    best = best[values[best] > 1e-12 * max(values.max(), 1e-30)]
+    return (half @ (turn[:, best] / np.sqrt(values[best]))).astype(np.float32)
+
+
+PARTS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())])
+
+
+def _parts(matrix: np.ndarray, n: int = 0) -> Iterator[pa.RecordBatch]:
+    """A matrix as float32 numbers, PART rows at a time."""
+    for at in range(0, len(matrix), PART):
+        part = matrix[at : at + PART].astype("<f4").tobytes()
+        yield pa.RecordBatch.from_pydict({"part": [at // PART], "n": [n], "m": [part]}, schema=PARTS)
+
+
+def _matrix(rows: list, columns: int, size: int) -> np.ndarray:
+    out = np.zeros((size, columns), np.float32)
+    for r in rows:
+        out[r["part"] * PART :][:PART] = np.frombuffer(r["m"], "<f4").reshape(-1, columns)
+    return out
 
 
 def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np.ndarray, unknown: float) -> Space:
-    """The randomised decomposition over all texts, as encoded."""
+    """The randomised decomposition over all texts, as encoded.
+
+    The matrices that meet have vocabulary times rank numbers; single tasks make the test
+    matrix and the decomposition, so that the driver only hands them on.
+    """
     rank, size = min(RANK, len(words)), min(RANK + EXTRA, len(words))
-    idf, slots = idf.astype(np.float32), slot_table(words)
+    idf, slots, schema = idf.astype(np.float32), slot_table(words), "part int, n bigint, m binary"
     hashes, item_bounds = word_hashes(items)
-    own = list(_weighted(lookup(words, slots, hashes), item_bounds[:-1], np.diff(item_bounds), idf))
-    n_own = sum(len(w) for _, w in own)
-    random = np.random.default_rng(11).standard_normal((len(words), size - 3 * size // 4))
-    test = np.linalg.qr(np.hstack([leading_directions(own, len(words), 3 * size // 4), random]))[0].astype(np.float32)
-    shared = batches.sparkSession.sparkContext.broadcast((test, idf, words, slots))
+    item_places = lookup(words, slots, hashes)
+    spark = batches.sparkSession
+
+    def item_parts() -> list[tuple[np.ndarray, np.ndarray]]:
+        return list(_weighted(item_places, item_bounds[:-1], np.diff(item_bounds), idf))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            random = np.random.default_rng(11).standard_normal((len(idf), size - 3 * size // 4), np.float32)
+            yield from _parts(np.linalg.qr(np.hstack([leading_directions(item_parts(), len(idf), 3 * size // 4), random]))[0])
+
+    test = _matrix(spark.range(1, numPartitions=1).mapInArrow(begin, schema).collect(), size, len(words))
+    shared = spark.sparkContext.broadcast((test, idf, words, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, idf, words, slots = shared.value
@@ -278,27 +314,28 @@ def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np
                     yield from _weighted(places, *passages(bounds), idf)
 
         total, n = _product(parts(), test)
-        for at in range(0, len(total) if n else 0, PART):
-            part = total[at : at + PART].astype("<f4").tobytes()
-            yield pa.RecordBatch.from_pydict({"part": [at // PART], "n": [n], "m": [part]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
+        if n:
+            yield from _parts(total, n)
 
     def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, part = 0.0, 0, None
         for t in tables:
             for i, k, m in zip(*(c.to_pylist() for c in t.columns), strict=True):
                 total, n, part = total + np.frombuffer(m, "<f4").astype(np.float64), n + k, i
-        yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "m": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "m": [total.astype("<f4").tobytes()]}, schema=PARTS)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = shared.value[0]
+        rows, own = [r for batch in batches for r in batch.to_pylist()], item_parts()
+        product = _matrix(rows, size, len(test)).astype(np.float64)
+        product += max([1, *(r["n"] for r in rows)]) / max(1, sum(len(w) for _, w in own)) * _product(iter(own), test)[0]
+        yield from _parts(nystroem(test, product, rank))
 
-    schema = "part int, n bigint, m binary"
     summed = batches.select("bounds", "words", "places").coalesce(FIT_TASKS).mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
-    rows = sorted(summed.collect(), key=lambda r: r["part"])  # one matrix
-    shared.unpersist()
-    product, n = np.zeros(test.shape), 0
-    if rows:
-        product, n = np.frombuffer(b"".join(r["m"] for r in rows), np.float64).reshape(test.shape), rows[0]["n"]
-    product = product + max(1, n) / max(1, n_own) * _product(iter(own), test)[0]
-    vectors = nystroem(test.astype(np.float64), product, rank)
-    return Space(words, idf, unknown, np.ascontiguousarray(vectors, np.float32))
+    rows = summed.repartition(1).mapInArrow(finish, schema).collect()  # one matrix
+    shared.destroy()
+    vectors = _matrix(rows, len(rows[0]["m"]) // 4 // min(PART, len(words)), len(words)) if rows else np.zeros((len(words), rank), np.float32)
+    return Space(words, idf.astype(np.float64), unknown, vectors)
 
 
 def common_subsequence(a: list, b: list) -> int:
