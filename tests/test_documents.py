@@ -135,6 +135,24 @@ def test_decode_is_best(scores):
     assert abs(value(tuple(map(int, chunk.decode(start, go_on, cfg)))) - best) < 1e-9
 
 
+def test_mended_starts():
+    same, other = [1.0, 0.0], [0.0, 1.0]
+    mend = lambda starts, vectors, heading=(), enum=(): np.flatnonzero(chunk.mend_starts(np.array(starts, bool), *[np.isin(np.arange(len(starts)), x) for x in (heading, enum)], np.array(vectors))).tolist()
+    assert mend([1, 0, 0], [same] * 3, heading=[0]) == [0]  # the heading is cut off, but so like the rest that it comes back
+    assert mend([1, 0, 0], [other, same, same], heading=[0]) == [0, 1]
+    assert mend([1, 0, 0], [other, same, same], heading=[0], enum=[1]) == [0]
+    assert mend([1, 0, 1, 1, 0], [same, same, same, other, other]) == [0, 3]  # joins the left
+    assert mend([1, 0, 1, 1, 0], [same, same, other, other, other]) == [0, 2]  # joins the right
+    assert mend([1], [same]) == [0]
+
+
+def test_classes_of_contract_texts(spark):
+    df = spark.createDataFrame([(1, "Lease agreement: rental of real estate. Payment is due."), (2, "nothing")], "d int, t string")
+    got = df.select("d", labels.classify(F.col("t"), rules.DOCUMENT_TYPES).alias("kind"), labels.classify(F.col("t"), rules.CONTRACT_DOMAINS).alias("domain"), labels.rank_classes(F.col("t"), rules.CLAUSE_CATEGORIES).alias("ranked")).orderBy("d").collect()
+    assert (got[0].kind.label, got[0].kind.score, got[0].domain.label, got[0].domain.score) == ("CONTRACT", 1, "PROPERTY", 3)
+    assert got[0].ranked and got[0].ranked[0].share == 1.0 and got[1].ranked == [] and got[1].kind.score == 0
+
+
 def test_chunks_partition_blocks(spark):
     df = frame(spark, [(1, "TITLE:\n1. first item,\n  goes on\n2. second item\n\nplain text here"), (2, "")], "d int, t string")
     got = chunk.chunk_texts(df, "d", "t").orderBy("chunk").collect()
