@@ -55,16 +55,28 @@ def search_all(queries: DataFrame, table: DataFrame, key: str, vector: str, k: i
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def roll_up(hits: DataFrame, unit_type: str, clause: str, item: str, score: str) -> DataFrame:
+def semantic_search(queries: DataFrame, table: DataFrame, details: DataFrame, key: str, vector: str, k: int, columns: list[str], content: str | None = None) -> DataFrame:
+    """The k best rows of ``table`` for every query with their ``columns`` of ``details``: ``query_id, rank, key, score, ...``.
+
+    Filters are those of ``table``.  content: the text to bring along; only hits' rows are
+    looked up, after the search.  Hits without details stay, with nulls.
+    """
+    kept = [*columns, *([content] if content else [])]
+    return search_all(queries, table, key, vector, k).join(details.select(key, *kept), key, "left").select("query_id", "rank", key, "score", *kept)
+
+
+def roll_up(hits: DataFrame, unit_type: str, clause: str, item: str, score: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Per clause its best hit's score and its items by score; items of clauses that weren't hit stand alone.
 
-    ``clause, item, score, n_items, best_item``: item is null for clauses.
+    ``clause, item, score, n_items, best_item``: item is null for clauses.  within: columns,
+    such as the query's id, by which hits are taken apart.
     """
-    clauses = hits.where(F.col(unit_type) == "CLAUSE").groupBy(clause).agg(F.max(score).alias(score))
+    by, kind = [*within, clause], hits.schema[item].dataType
+    clauses = hits.where(F.col(unit_type) == "CLAUSE").groupBy(*by).agg(F.max(score).alias(score))
     items = hits.where(F.col(unit_type) == "CLAUSE_ITEM")
-    under = items.groupBy(clause).agg(F.count("*").alias("n_items"), F.max_by(item, F.struct(F.col(score), -F.col(item))).alias("best_item"))
-    whole = clauses.join(under, clause, "left").select(clause, F.lit(None).cast(hits.schema[item].dataType).alias(item), score, F.coalesce("n_items", F.lit(0)).alias("n_items"), "best_item")
-    alone = items.join(clauses, clause, "left_anti").select(clause, item, score, F.lit(0).cast("bigint").alias("n_items"), F.lit(None).cast(hits.schema[item].dataType).alias("best_item"))
+    under = items.groupBy(*by).agg(F.count("*").alias("n_items"), F.max_by(item, F.struct(F.col(score), -F.col(item))).alias("best_item"))
+    whole = clauses.join(under, by, "left").select(*by, F.lit(None).cast(kind).alias(item), score, F.coalesce("n_items", F.lit(0)).alias("n_items"), "best_item")
+    alone = items.join(clauses, by, "left_anti").select(*by, item, score, F.lit(0).cast("bigint").alias("n_items"), F.lit(None).cast(kind).alias("best_item"))
     return whole.unionByName(alone)
 
 

@@ -66,15 +66,17 @@ def parent_by_level(rows: DataFrame, key: str, order: str, level: str, levels: i
 def parent_by_prefix(rows: DataFrame, key: str, order: str, number: str, out: str = "parent") -> DataFrame:
     """Adds the order of the nearest earlier row whose digits are a strict prefix of this row's.
 
-    Every row looks for its strict prefixes, the empty one included, by an equi-join.  Rows
-    without a number neither have nor are parents.
+    Every row stands under its own number, and under each strict prefix of it, the empty one
+    included, as one that looks for a parent; along a prefix the greatest number of order
+    before each row is its parent there.  So the work grows with the rows times the depth.
+    Rows without a number neither have nor are parents.  order: whole numbers.
     """
     digits = F.regexp_extract_all(number, F.lit(r"(\d+)"), F.lit(1))
     numbered = rows.where(F.coalesce(F.col(number), F.lit("")) != "").select(key, order, digits.alias("_d"))
-    prefixes = F.transform(F.filter(F.sequence(F.lit(0), F.size("_d")), lambda k: k < F.size("_d")), lambda k: F.array_join(F.slice("_d", F.lit(1), k), "."))
-    child = numbered.select(key, order, F.explode(prefixes).alias("_p"))
-    parent = numbered.select(key, F.col(order).alias("_o"), F.array_join("_d", ".").alias("_p"))
-    found = child.join(parent, [key, "_p"]).where(F.col("_o") < F.col(order)).groupBy(key, order).agg(F.max("_o").alias(out))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("_d")), lambda k: F.struct(F.array_join(F.slice("_d", F.lit(1), k), ".").alias("_p"), F.when(k == F.size("_d"), F.col(order)).alias("_o")))
+    under = Window.partitionBy(key, "_p").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    looked = numbered.select(key, order, F.inline(prefixes)).withColumn("_f", F.max("_o").over(under))
+    found = looked.where(F.col("_o").isNull()).groupBy(key, order).agg(F.max("_f").alias(out)).where(F.col(out).isNotNull())
     return rows.join(found, [key, order], "left")
 
 

@@ -54,50 +54,61 @@ def vector_topk(t) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("""
-WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)
-SELECT v.vec_id, v.label, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-FROM embeddings v, q WHERE v.label IN (1, 2, 3)
-ORDER BY round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id LIMIT 10""")
+def _ranked(where: str, k: int) -> str:
+    """SQL of the k best rows of every query (rows whose id is divisible by 50)."""
+    return f"""
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where})) WHERE rank <= {k})"""
+
+
+@query(f"WITH {_ranked('v.label IN (1, 2, 3)', 10)} SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r")
 def vector_filtered_topk(t) -> DataFrame:
     rows = t("embeddings")
-    first = rows.where("vec_id = 0").first()
-    found = search.top_k(store.safe_filter(rows, {"label": [1, 2, 3]}, ("label",)), "embedding", list(first["embedding"]), 10, "vec_id")
-    return found.select("vec_id", "label", "score")
+    return search.search_all(rows.where("vec_id % 50 = 0"), store.safe_filter(rows, {"label": [1, 2, 3]}, ("label",)), "vec_id", "embedding", 10)
 
 
-_HITS = """
-h AS (SELECT e.vec_id AS item, CAST(e.label AS BIGINT) AS clause, CASE WHEN e.vec_id % 3 = 0 THEN 'CLAUSE' ELSE 'CLAUSE_ITEM' END AS unit_type,
-        round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-      FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+_HITS = f"""{_ranked('true', 100)},
+h AS (SELECT query_id, vec_id AS item, CAST(label AS BIGINT) AS clause, CASE WHEN vec_id % 3 = 0 THEN 'CLAUSE' ELSE 'CLAUSE_ITEM' END AS unit_type, score FROM r)"""
 
 
 def _hits(t) -> DataFrame:
+    """The 100 best of every query, as clauses and items."""
     rows = t("embeddings")
-    first = F.array(*[F.lit(float(x)) for x in rows.where("vec_id = 0").first()["embedding"]])
-    return rows.select(F.col("vec_id").alias("item"), F.col("label").cast("bigint").alias("clause"), F.when(F.col("vec_id") % 3 == 0, "CLAUSE").otherwise("CLAUSE_ITEM").alias("unit_type"), F.round(text.dot(F.col("embedding"), first), 6).alias("score"))
+    found = search.search_all(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 100).join(rows.select("vec_id", "label"), "vec_id")
+    return found.select("query_id", F.col("vec_id").alias("item"), F.col("label").cast("bigint").alias("clause"), F.when(F.col("vec_id") % 3 == 0, "CLAUSE").otherwise("CLAUSE_ITEM").alias("unit_type"), "score")
 
 
 @query(f"""
 WITH {_HITS},
-c AS (SELECT clause, max(score) AS score FROM h WHERE unit_type = 'CLAUSE' AND clause % 2 = 0 GROUP BY clause),
-i AS (SELECT clause, item, score FROM h WHERE unit_type = 'CLAUSE_ITEM'),
-u AS (SELECT clause, count(*) AS n_items, arg_max(item, (score, -item)) AS best_item FROM i GROUP BY clause)
-SELECT c.clause, CAST(NULL AS BIGINT) AS item, c.score, coalesce(n_items, 0) AS n_items, best_item FROM c LEFT JOIN u USING (clause)
-UNION ALL SELECT clause, item, score, 0, NULL FROM i WHERE clause NOT IN (SELECT clause FROM c)""")
+c AS (SELECT query_id, clause, max(score) AS score FROM h WHERE unit_type = 'CLAUSE' GROUP BY ALL),
+i AS (SELECT query_id, clause, item, score FROM h WHERE unit_type = 'CLAUSE_ITEM'),
+u AS (SELECT query_id, clause, count(*) AS n_items, arg_max(item, (score, -item)) AS best_item FROM i GROUP BY ALL)
+SELECT query_id, clause, CAST(NULL AS BIGINT) AS item, c.score, coalesce(n_items, 0) AS n_items, best_item FROM c LEFT JOIN u USING (query_id, clause)
+UNION ALL SELECT query_id, clause, item, score, 0, NULL FROM i ANTI JOIN c USING (query_id, clause)""")
 def clause_roll_up(t) -> DataFrame:
-    hits = _hits(t).where("unit_type = 'CLAUSE_ITEM' or clause % 2 = 0")
-    return search.roll_up(hits, "unit_type", "clause", "item", "score")
+    return search.roll_up(_hits(t), "unit_type", "clause", "item", "score", within=("query_id",))
 
 
 @query(f"""
-WITH {_HITS}, k AS (SELECT l.doc_id AS item, CAST(l.quality AS DOUBLE) AS score FROM labels l WHERE l.toxic = 0)
-SELECT item, coalesce(h.score, 0) * 0.7::DOUBLE + coalesce(k.score, 0) * (1 - 0.7::DOUBLE) AS score,
+WITH {_HITS}, k AS (SELECT q.vec_id AS query_id, l.doc_id AS item, CAST(l.quality AS DOUBLE) AS score FROM labels l JOIN embeddings q ON l.quality = q.label WHERE l.toxic = 0 AND q.vec_id % 50 = 0)
+SELECT query_id, item, coalesce(h.score, 0) * 0.7::DOUBLE + coalesce(k.score, 0) * (1 - 0.7::DOUBLE) AS score,
        CASE WHEN h.item IS NULL THEN 'keyword' WHEN k.item IS NULL THEN 'semantic' ELSE 'both' END AS source
-FROM h FULL JOIN k USING (item)""")
+FROM h FULL JOIN k USING (query_id, item)""")
 def hybrid_merge(t) -> DataFrame:
-    keyword = t("labels").where("toxic = 0").select(F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("score"))
-    return search.merge_hybrid(_hits(t).select("item", "score"), keyword, ["item"], search.normalize_weights(0.7, 0.3)[0])
+    asked = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("quality"))
+    keyword = t("labels").where("toxic = 0").join(asked, "quality").select("query_id", F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("score"))
+    return search.merge_hybrid(_hits(t).select("query_id", "item", "score"), keyword, ["query_id", "item"], search.normalize_weights(0.7, 0.3)[0])
+
+
+@query(f"""
+WITH {_ranked('v.label <> 0', 5)}
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score, lang, source, md5(text) AS digest FROM r LEFT JOIN documents ON vec_id = doc_id""")
+def semantic_search(t) -> DataFrame:
+    rows = t("embeddings")
+    texts = t("documents").withColumnRenamed("doc_id", "vec_id")
+    found = search.semantic_search(rows.where("vec_id % 50 = 0"), rows.where("label <> 0"), texts, "vec_id", "embedding", 5, ["lang", "source"], content="text")
+    return found.withColumn("digest", F.md5("text")).drop("text")
 
 
 # -- texts, segments, windows ------------------------------------------------------------------
@@ -503,23 +514,23 @@ def entity_counts(t) -> DataFrame:
     return summaries.entity_counts(t("documents"), "doc_id", "text", _PATTERNS)
 
 
-@query("""
-WITH e AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS name FROM orders)
-SELECT a.name AS source, b.name AS target, count(*) AS n_docs FROM e a JOIN e b ON a.c = b.c AND a.name < b.name GROUP BY 1, 2""")
+@query(f"""
+WITH {_ENTITIES}, d AS (SELECT DISTINCT doc_id, name FROM e)
+SELECT a.name AS source, b.name AS target, count(*) AS n_docs FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY 1, 2""")
 def entity_graph(t) -> DataFrame:
-    return summaries.cooccurrence(t("orders"), "o_custkey", "o_orderpriority")
+    found = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_PATTERNS["OTHER"][0]), F.lit(1))).alias("name"))
+    return summaries.cooccurrence(found, "doc_id", "name")
 
 
-@query("""
-WITH s AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0))
-SELECT query_id, md5(string_agg('【' || vec_id || '】' || substr(coalesce(text, ''), 1, 80), chr(10) || chr(10) ORDER BY rank)) AS digest FROM s LEFT JOIN documents ON vec_id = doc_id WHERE rank <= 5 GROUP BY query_id""")
+@query(f"""
+WITH {_ranked('true', 10)}
+SELECT query_id, md5(string_agg('【' || vec_id || '】' || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS digest FROM r LEFT JOIN documents ON vec_id = doc_id GROUP BY query_id""")
 def retrieval_context(t) -> DataFrame:
     rows = t("embeddings")
-    hits = search.search_all(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 5)
-    texts = t("documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 80).alias("content"))
+    hits = search.search_all(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10)
+    texts = t("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     joined = hits.join(texts, "vec_id", "left").withColumn("title", F.col("vec_id").cast("string"))
-    return search.context_of(joined, "query_id", "rank", "title", "content", 5).select("query_id", F.md5("context").alias("digest"))
+    return search.context_of(joined, "query_id", "rank", "title", "content", 10).select("query_id", F.md5("context").alias("digest"))
 
 
 @query()
