@@ -123,10 +123,11 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         def find_frequent() -> None:
             if gathered:
-                values = np.sort(np.concatenate(gathered))
+                values = np.concatenate(gathered)
+                gathered.clear()
+                values.sort()
                 hit = values[FREQUENT - 1 :] == values[: len(values) - FREQUENT + 1]
                 frequent[slots(values[: len(hit)][hit], FREQUENT_SLOTS)] = True
-            gathered.clear()
             seen.clear()
 
         for few in _small(batches):

@@ -247,21 +247,21 @@ def leading_directions(items: list[tuple[np.ndarray, np.ndarray]], size: int, co
     return basis
 
 
-def nystroem(test: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
-    """The leading ``rank`` eigenvectors of a positive semidefinite matrix from its product with an orthonormal test matrix.
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a'b, summed in double precision, PART rows at a time."""
+    return sum(a[at : at + PART].T.astype(np.float64) @ b[at : at + PART] for at in range(0, len(a), PART))
 
-    ``product`` is overwritten: the matrices are the largest the driver holds.
-    """
-    shift = np.sqrt(len(test)) * np.finfo(np.float64).eps * max(1e-30, np.linalg.norm(product))
-    product += shift * test
-    core = sum(test[a : a + PART].T.astype(np.float64) @ product[a : a + PART] for a in range(0, len(test), PART))
+
+def nystroem(test: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
+    """The leading ``rank`` eigenvectors of a positive semidefinite matrix from its product with an orthonormal test matrix."""
+    core = _cross(test, product)
     values, turn = np.linalg.eigh((core + core.T) / 2)
-    kept = values > 1e-9 * max(values.max(), 1e-30)
-    half = product @ (turn[:, kept] / np.sqrt(values[kept]))  # half @ half.T is the approximation
-    values, turn = np.linalg.eigh(half.T @ half)
+    kept = values > 1e-6 * max(values.max(), 1e-30)  # single precision carries no more
+    half = product @ (turn[:, kept] / np.sqrt(values[kept])).astype(np.float32)  # half @ half.T is the approximation
+    values, turn = np.linalg.eigh(_cross(half, half))
     best = np.argsort(values)[::-1][:rank]
-    best = best[values[best] > 1e-12 * max(values.max(), 1e-30)]
-    return (half @ (turn[:, best] / np.sqrt(values[best]))).astype(np.float32)
+    best = best[values[best] > 1e-6 * max(values.max(), 1e-30)]
+    return half @ (turn[:, best] / np.sqrt(values[best])).astype(np.float32)
 
 
 PARTS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("m", pa.binary())])
@@ -309,8 +309,8 @@ def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np
 
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    places, bounds = decode(row, words, slots)
+                for at in range(batch.num_rows):
+                    places, bounds = decode(batch.slice(at, 1).to_pylist()[0], words, slots)
                     yield from _weighted(places, *passages(bounds), idf)
 
         total, n = _product(parts(), test)
@@ -327,8 +327,8 @@ def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = shared.value[0]
         rows, own = [r for batch in batches for r in batch.to_pylist()], item_parts()
-        product = _matrix(rows, size, len(test)).astype(np.float64)
-        product += max([1, *(r["n"] for r in rows)]) / max(1, sum(len(w) for _, w in own)) * _product(iter(own), test)[0]
+        product = _matrix(rows, size, len(test))
+        product += np.float32(max([1, *(r["n"] for r in rows)]) / max(1, sum(len(w) for _, w in own))) * _product(iter(own), test)[0]
         yield from _parts(nystroem(test, product, rank))
 
     summed = batches.select("bounds", "words", "places").coalesce(FIT_TASKS).mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
@@ -563,8 +563,9 @@ def find_leaks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = sent.value[0]
         for batch in batches:
-            for at, row in enumerate(batch.to_pylist()):
-                picked, out = search(*decode(row, space.words, space.slots))
+            rest = batch.drop_columns(["keys"])
+            for at in range(batch.num_rows):
+                picked, out = search(*decode(rest.slice(at, 1).to_pylist()[0], space.words, space.slots))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 keys = batch.column(0)[at].values.take(pa.array(picked, pa.int64()))
