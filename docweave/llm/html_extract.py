@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.common import settle
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S
 )
@@ -45,6 +47,8 @@ NOT_CONTENT = re.compile(
 )
 NOT_CONTENT_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar toolbar form".split())
 LABELS = ("article", "main")
+#: A tag gets a weight of its own if it is one in so many tokens of the labelled pages, or more.
+RAREST = 10_000
 
 
 @dataclass(frozen=True)
@@ -171,16 +175,15 @@ def learn_weights(pages: DataFrame, content: str = "html") -> Weights:
         for batch in batches:
             for page in batch.column(0):
                 total.update(count_classes(page.as_py() or ""))
-        kept = [(k, i, n) for (k, i), n in total.items() if len(k) < 20]
+        kept = [(k, i, n) for (k, i), n in total.items()]
         yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in kept], "inside": [x[1] for x in kept], "n": [x[2] for x in kept]}, schema=pa.schema([("kind", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
 
-    rows = (
+    counts = settle(
         pages.select(content).mapInArrow(count, "kind string, inside boolean, n bigint")
         .groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inn"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("out"))
-        .orderBy(F.desc(F.col("inn") + F.col("out")), "kind").limit(200)  # the names of tags are few; made-up ones don't matter
-        .collect()
     )
-    inn, out = sum(r["inn"] for r in rows), sum(r["out"] for r in rows)
+    inn, out = (x or 0 for x in counts.agg(F.sum("inn"), F.sum("out")).first())
+    rows = counts.where((F.col("inn") + F.col("out")) * RAREST >= inn + out).collect()  # RAREST rows at most
     if not inn or not out:
         return Weights()
     odds = {r["kind"]: math.log((r["inn"] + 0.5) / (inn + 1)) - math.log((r["out"] + 0.5) / (out + 1)) for r in rows}

@@ -187,6 +187,18 @@ def test_html_extraction(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_weights_count_all_tags(spark):
+    tag = "x-a-long-name-of-a-custom-element"
+    pages = [(f"<nav><{tag}>menu</{tag}></nav><article><p>words here</p></article>",)] * 20 + [("".join(f"<made{i}>" for i in range(300)) + "<main>text</main>",)]
+    weights = html_extract.learn_weights(spark.createDataFrame(pages, "html string"))
+    assert tag in weights.tags and "made299" in weights.tags and "p" in weights.tags
+    counts = collections.Counter()
+    for (page,) in pages:
+        counts.update(html_extract.count_classes(page))
+    inn, out = (sum(n for (_, i), n in counts.items() if i == side) for side in (True, False))
+    assert weights.tags[tag] == pytest.approx(min(-0.2, math.log((counts[tag, True] + 0.5) / (inn + 1)) - math.log((counts[tag, False] + 0.5) / (out + 1))))
+
+
 def test_best_run_is_best():
     rng = random.Random(5)
     for _ in range(300):
