@@ -15,6 +15,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,9 +27,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import settle
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S
-)
+QUOTE_OR_END = re.compile("[>\"']")
+NAME_END = re.compile(r"[\s/>]")
 ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +39,8 @@ DROPPED = RAW | frozenset("head nav footer aside form button select option input
 #: A start tag of these closes an open element of the same family.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article main section div aside nav footer header form td th".split())
+#: Where the search for elements to close stops, or finds one.
+MARKED = SCOPES | frozenset().union(*CLOSES.values())
 #: Words in class or id that mark a block as not content.
 NOT_CONTENT = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|sidebars?|menus?|nav\w*|breadcrumbs?"
@@ -61,13 +64,38 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str  # "word": a run of text; otherwise the tag's name
     text: str
-    path: tuple[int, ...]  # open elements, outermost first, by number
+    element: int  # the innermost open element, -1 outside all
+    dropped: bool
+    linked: bool
+
+
+@dataclass(slots=True)
+class Element:
+    """An element; begin and end: the tokens inside it, which follow each other."""
+
+    name: str
+    parent: int
+    depth: int
+    label: int  # the innermost labelled element around or at it, -1 if none is
     dropped: bool
     linked: bool
+    begin: int
+    end: int = -1
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element, and what the rules ask about those below it, so that no rule walks them all."""
+
+    number: int
+    name: str
+    cut: int  # place of the lowest one that a labelled element may not start in, -1: none
+    paragraph: bool  # a <p> is open above the last scope
+    marked: int  # place of the nearest one that ends the search for elements to close
 
 
 def _drops(name: str, attributes: str, in_label: bool) -> bool:
@@ -88,64 +116,147 @@ def _drops(name: str, attributes: str, in_label: bool) -> bool:
     return False
 
 
-def tokenize(page: str) -> tuple[list[Token], list[str]]:
-    """Tokens of a page, and the name of every element by its number."""
-    tokens: list[Token] = []
-    names: list[str] = []
-    stack: list[tuple[int, str, bool]] = []  # number, name, whether its own start tag drops it
-    at, end = 0, len(page)
+def _ends(page: str) -> tuple[array, array]:
+    """Places of quotes and ``>``, and where a tag ends that reaches them outside quotes; -1: nowhere."""
+    places = array("q", (m.start() for m in QUOTE_OR_END.finditer(page)))
+    ends, nearest = array("q", bytes(8 * len(places))), {'"': -1, "'": -1}
+    for i in range(len(places) - 1, -1, -1):
+        c = page[places[i]]
+        if c == ">":
+            ends[i] = places[i]
+        else:
+            closing = nearest[c]
+            ends[i] = ends[closing + 1] if 0 <= closing < len(places) - 1 else -1
+            nearest[c] = i
+    return places, ends
 
-    def token(kind: str, text: str) -> None:
-        off = {n for _, n, _ in stack}
-        tokens.append(Token(kind, text, tuple(k for k, _, _ in stack), any(d for _, _, d in stack), "a" in off))
 
-    def close(name: str) -> None:
-        while stack and stack.pop()[1] != name:
-            pass
+def markup(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(tag's name, attributes, text, end tag) of every tag and run of text; one of name and text is empty.
 
-    while at < end:
-        m = TOKEN.match(page, at)
-        if m is None:  # an unclosed tag at the end of the page
-            break
-        at = m.end()
-        slash, name, attributes, text = m.groups()
-        if text is not None:
-            token("word", text)
-        elif name is not None:
-            name = name.lower()
-            if slash:
-                if any(n == name for _, n, _ in stack):
-                    close(name)
-                    token(name, "")
-                continue
-            if name in LABELS:  # content never starts in an advert or menu that someone forgot to close
-                cut = next((i for i, (_, n, d) in enumerate(stack) if d and n not in ("aside", "footer", "form")), None)
-                if cut is not None and not any(n in LABELS for _, n, _ in stack):
-                    del stack[cut:]
-            if name not in INLINE and name not in VOID:
-                open_names = [n for _, n, _ in stack]
-                last_scope = max((i for i, n in enumerate(open_names) if n in SCOPES), default=-1)
-                if "p" in open_names[last_scope + 1 :]:
-                    close("p")
-            for family in [CLOSES.get(name, ())]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][1] in family:
-                        del stack[i:]
-                        break
-                    if stack[i][1] in SCOPES:
-                        break
-            if name == "body":
-                stack[:] = [x for x in stack if x[1] == "html"]
-            token(name, "")
-            if name in VOID or attributes.rstrip().endswith("/") and name not in INLINE and name not in SCOPES:
-                continue
-            if name in RAW:  # text up to the end tag is not markup
-                over = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = over.end() if over else end
+    Every character is looked at a bounded number of times, also where tags, quotes or
+    comments are never closed: such a ``<`` is text, a comment goes on to the page's end.
+    """
+    places, ends = _ends(page)
+    at, size, last = 0, len(page), page.rfind(">")
+    name_end = -1  # of the latest name looked at, which later ones inside it share
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            yield "", "", page[at:end], False
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), at) and at < last:
+            at = page.find(">", at) + 1
+            continue
+        slash = page.startswith("</", at)
+        begin = at + 1 + slash
+        if at < last and begin < size and page[begin].isascii() and page[begin].isalpha():
+            if begin >= name_end:
+                name_end = NAME_END.search(page, begin).start()  # there is a > behind
+            k = bisect_left(places, name_end)
+            end = ends[k] if k < len(places) else -1
+            if end >= 0:
+                name = page[begin:name_end].lower()
+                at = end + 1
+                if name in RAW and not slash:  # text up to the end tag is not markup
+                    over = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at, last + 1)
+                    at = over.end() if over else size
+                yield name, page[name_end:end], "", slash
                 continue
-            stack.append((len(names), name, _drops(name, attributes, any(n in LABELS for _, n, _ in stack))))
-            names.append(name)
-    return tokens, names
+        yield "", "", "<", False
+        at += 1
+
+
+class Page:
+    """The tokens and elements of a page, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.tokens: list[Token] = []
+        self.elements: list[Element] = []
+        self.stack: list[Open] = []
+        self.open: Counter = Counter()
+        for name, attributes, text, slash in markup(page):
+            if text:
+                self._token("word", text)
+            elif slash:
+                if self.open[name]:
+                    self._close(name)
+                    self._token(name, "")
+            else:
+                self._start(name, attributes)
+        self._cut(0)
+
+    def _token(self, kind: str, text: str) -> None:
+        number = self.stack[-1].number if self.stack else -1
+        inside = self.elements[number] if self.stack else None
+        self.tokens.append(Token(kind, text, number, bool(inside and inside.dropped), bool(inside and inside.linked)))
+
+    def _push(self, name: str, drops: bool) -> None:
+        below, number, place = self.stack[-1] if self.stack else None, len(self.elements), len(self.stack)
+        around = self.elements[below.number] if below else None
+        label = number if name in LABELS else around.label if around else -1
+        self.elements.append(Element(
+            name, below.number if below else -1, place, label, drops or bool(around and around.dropped),
+            name == "a" or bool(around and around.linked), len(self.tokens),
+        ))
+        cut = below.cut if below else -1
+        if cut < 0 and drops and name not in ("aside", "footer", "form"):
+            cut = place
+        paragraph = name == "p" or name not in SCOPES and bool(below and below.paragraph)
+        marked = place if name in MARKED else below.marked if below else -1
+        self.stack.append(Open(number, name, cut, paragraph, marked))
+        self.open[name] += 1
+
+    def _pop(self) -> Open:
+        top = self.stack.pop()
+        self.elements[top.number].end = len(self.tokens)
+        self.open[top.name] -= 1
+        return top
+
+    def _cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self._pop()
+
+    def _close(self, name: str) -> None:
+        while self.stack and self._pop().name != name:
+            pass
+
+    def _start(self, name: str, attributes: str) -> None:
+        stack = self.stack
+        labelled = any(self.open[x] for x in LABELS)
+        if name in LABELS and stack and stack[-1].cut >= 0 and not labelled:
+            self._cut(stack[-1].cut)  # content never starts in an advert or menu that someone forgot to close
+        if name not in INLINE and name not in VOID and stack and stack[-1].paragraph:
+            self._close("p")
+        if name in CLOSES and stack:
+            place = stack[-1].marked
+            while place >= 0:
+                if stack[place].name in CLOSES[name]:
+                    self._cut(place)
+                    break
+                if stack[place].name in SCOPES:
+                    break
+                place = stack[place - 1].marked if place else -1
+        if name == "body":
+            self._only_html()
+        self._token(name, "")
+        if name in VOID or name in RAW or attributes.rstrip().endswith("/") and name not in INLINE and name not in SCOPES:
+            return
+        self._push(name, _drops(name, attributes, any(self.open[x] for x in LABELS)))
+
+    def _only_html(self) -> None:
+        """All open elements but html end; those html that stood in others begin anew, once."""
+        again = 0
+        while self.stack and self.open["html"] < len(self.stack):
+            again += self._pop().name == "html"
+        for _ in range(again):
+            self._push("html", False)
 
 
 def class_of(token: Token) -> str:
@@ -155,11 +266,11 @@ def class_of(token: Token) -> str:
 def count_classes(page: str) -> Counter:
     """(class, inside) -> words or tags, for a page that labels its content; else nothing."""
     counts: Counter = Counter()
-    tokens, names = tokenize(page)
-    if not any(n in LABELS for n in names):
+    read = Page(page)
+    if not any(e.name in LABELS for e in read.elements):
         return counts
-    for t in tokens:
-        inside = not t.dropped and any(names[k] in LABELS for k in t.path) and t.kind not in LABELS
+    for t in read.tokens:
+        inside = not t.dropped and t.element >= 0 and read.elements[t.element].label >= 0 and t.kind not in LABELS
         counts[class_of(t), inside] += len(t.text.split()) if t.kind == "word" else 1
     return counts
 
@@ -207,7 +318,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def extract_text(page: str, weights: Weights) -> str:
-    tokens, names = tokenize(page)
+    read = Page(page)
+    tokens, elements = read.tokens, read.elements
     scores = []
     for t in tokens:
         if t.kind != "word":
@@ -218,18 +330,19 @@ def extract_text(page: str, weights: Weights) -> str:
     start, end = best_run(scores)
     if start == end:
         return ""
-    # the region grows to the element around its words, up to a labelled container
-    paths = [t.path for t in tokens[start:end] if t.kind == "word" and not t.dropped and t.text.strip()]
-    shared = 0
-    while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
-        shared += 1
-    around = paths[0][:shared]
-    labelled = [i for i, k in enumerate(around) if names[k] in LABELS]
-    if labelled:
-        around = around[: labelled[-1] + 1]
-    if around and names[around[-1]] not in ("html", "body"):
-        inside = [i for i, t in enumerate(tokens) if t.path[: len(around)] == around]
-        start, end = min(start, inside[0]), max(end, inside[-1] + 1)
+    # the region grows to the element around its words, up to a labelled container; the
+    # element around the first and the last of them is around all
+    words = [t.element for t in tokens[start:end] if t.kind == "word" and not t.dropped and t.text.strip()]
+    around, other = words[0], words[-1]
+    while around != other:
+        if other < 0 or around >= 0 and elements[around].depth >= elements[other].depth:
+            around = elements[around].parent
+        else:
+            other = elements[other].parent
+    if around >= 0 and elements[around].label >= 0:
+        around = elements[around].label
+    if around >= 0 and elements[around].name not in ("html", "body"):
+        start, end = min(start, elements[around].begin), max(end, elements[around].end)
     parts = []
     for t in tokens[start:end]:
         if t.dropped:

@@ -10,6 +10,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -187,6 +188,24 @@ def test_html_extraction(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<a ", "<b>x ", "<div>x", "<a<a", "<a '", "<!x ", "</script", '<div class="ad">x <article>y</article>', "<html><body>", "<li><b>x", "<p>x<div>"])
+def test_html_never_closed(part):
+    """1 MB of what is never closed is read in seconds."""
+    page, began = part * (1_000_000 // len(part)) + " '>", time.perf_counter()
+    html_extract.extract_text(page, html_extract.Weights())
+    assert time.perf_counter() - began < 20  # about 4 s; hours if each tag looked at all others
+
+
+def test_html_markup_keeps_all_characters():
+    """What markup() yields, put together again, is the page without its comments."""
+    rng = random.Random(11)
+    bits = ["<div>", "</p>", "<a href='x'>", "word ", "<", ">", '"', "'", "<b", "</", "/>", "<x y=\"1\"z>", "é "]
+    for _ in range(2000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 15)))
+        found = "".join(text or f"<{'/' * slash}{name}{attributes}>" for name, attributes, text, slash in html_extract.markup(page))
+        assert found == page.lower()
+
+
 def test_html_weights_count_all_tags(spark):
     tag = "x-a-long-name-of-a-custom-element"
     pages = [(f"<nav><{tag}>menu</{tag}></nav><article><p>words here</p></article>",)] * 20 + [("".join(f"<made{i}>" for i in range(300)) + "<main>text</main>",)]
