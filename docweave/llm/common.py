@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session has none (tests, a laptop) a folder of our own is set.
+    Only where a session on one machine has none (tests, a laptop) a folder of our own is
+    set; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         where = spark.sparkContext.getCheckpointDir()
+    if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if where is None:
         where = f"file://{tempfile.mkdtemp(prefix='docweave-checkpoint-')}"
         spark.sparkContext.setCheckpointDir(where)
