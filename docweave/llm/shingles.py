@@ -32,12 +32,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        n = max(n, BATCH_BYTES + 1)
+    """Powers of BASE and of its inverse, n of them or more; those for usual sizes are kept."""
+    if "up" not in _powers or len(_powers["up"]) < n:
+        made = {}
         for name, base in (("up", BASE), ("down", UNBASE)):
-            steps = np.full(n, base, np.uint64)
+            steps = np.full(max(n, BATCH_BYTES + 1), base, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+            made[name] = np.cumprod(steps, dtype=np.uint64)
+        if n > BATCH_BYTES + 1:  # one long text
+            return made["up"], made["down"]
+        _powers.update(made)
     return _powers["up"], _powers["down"]
 
 
