@@ -16,9 +16,18 @@ from docweave.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Bytes of rows that travel to Python at once.  Spark's own bounds, 10,000 rows and 64 MB, put
+#: most of a partition of long texts into one batch, which JVM and Python then hold at once.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the compression bands reject go."""
+    bound_batches(spark)
     return quality.judge_quality(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
@@ -28,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so rows that share an id are judged each by its own
     text; of rows alike in both one stays.  Rows without an id stay.
     """
+    bound_batches(spark)
     docs = docs.select(COLUMNS)
     rows = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
     found = jaccard_join.similar_components(rows.select("_row", "text"), "_row")
@@ -39,11 +49,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give away a benchmark item go."""
+    bound_batches(spark)
     return lsa_decontaminate.remove_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences, with their token ids."""
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
