@@ -111,6 +111,29 @@ def keep_from(rows: DataFrame, score: str, least: str) -> DataFrame:
     return rows.where(F.coalesce(F.col(score).cast("string"), F.lit("0")) >= least)
 
 
+def label_windows(placed: DataFrame, key: str, order: str, text: str = "text", regions=rules.REGION_WORDS, nc_types=rules.NC_TYPE_WORDS, role_words=rules.ROLE_WORDS, pattern: str = rules.ROLE_PATTERN, least: int = 2) -> DataFrame:
+    """Rows in windows (``window, row``) to ``key, order, region, nc_type, role``: labelled in each window, then the most frequent label.
+
+    Region and nc_type of a row are those of its own text, in whatever window; its role is
+    that of the window's whole text.
+    """
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row", F.col(text).alias("_t")))), lambda r: r["_t"])
+    whole = placed.groupBy(key, "window").agg(F.array_join(lines, " ").alias("_whole"))
+    roles = whole.select(key, "window", role_of(F.lower(strip(F.col("_whole"))), role_words, pattern, least).alias("role"))
+    voted = vote(placed.select(key, "row", "window").join(roles, [key, "window"]), [key, "row"], "role")
+    own = label_segments(placed.select(key, order, "row", text).dropDuplicates([key, "row"]), text, regions, nc_types, role_words, pattern, least)
+    return own.select(key, order, "row", "region", "nc_type").join(voted, [key, "row"]).drop("row")
+
+
+REPLY = "struct<spans: array<struct<start: bigint, end: bigint, region: string, nc_type: string, role: string>>>"
+
+
+def reply_spans(reply: Column) -> Column:
+    """The spans in a model's reply; none if it isn't the JSON asked for."""
+    parsed = F.from_json(reply, REPLY, {"mode": "PERMISSIVE"})
+    return F.coalesce(parsed["spans"], F.array().cast("array<struct<start: bigint, end: bigint, region: string, nc_type: string, role: string>>"))
+
+
 def classify(text: Column, classes: list[tuple[str, list[str]]], divisor: float = 5.0) -> Column:
     """``{label, score, confidence}``: the class with most of its words in the text, the first declared of equals."""
     t = F.lower(text)

@@ -55,6 +55,12 @@ def search_all(queries: DataFrame, table: DataFrame, key: str, vector: str, k: i
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """Vectors of length one, so that inner products are cosines; a zero vector has none: null."""
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    return rows.withColumn("_norm", norm).withColumn(vector, F.when(F.col("_norm") > 0, F.transform(vector, lambda x: x.cast("double") / F.col("_norm")))).drop("_norm")
+
+
 def semantic_search(queries: DataFrame, table: DataFrame, details: DataFrame, key: str, vector: str, k: int, columns: list[str], content: str | None = None) -> DataFrame:
     """The k best rows of ``table`` for every query with their ``columns`` of ``details``: ``query_id, rank, key, score, ...``.
 

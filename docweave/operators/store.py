@@ -5,6 +5,8 @@ A table is a DataFrame with a boolean ``deleted``; a mutation returns the table
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,16 @@ def safe_filter(table: DataFrame, filters: dict, fields: tuple[str, ...] = FILTE
     return out
 
 
+def expression_filter(table: DataFrame, expression: str, fields: tuple[str, ...]) -> DataFrame:
+    """Rows by a condition given as text: comparisons of allowed fields with values; other names and calls are refused."""
+    bare = re.sub(r"'[^']*'", " 0 ", expression)
+    words = re.findall(r"[A-Za-z_]\w*", bare)
+    strange = [w for w in words if w not in fields and w.lower() not in ("and", "or", "not", "in", "is", "null", "like", "between", "true", "false")]
+    if strange or re.search(r"[^\w\s.,()<>=!+\-*/%]", bare) or re.search(rf"\b({'|'.join(map(re.escape, fields))})\s*\(", bare):
+        raise ValueError(f"condition not allowed: {expression}")
+    return table.where(expression)
+
+
 def page(table: DataFrame, order: list, skip: int = 0, limit: int = 100) -> DataFrame:
     """One page of a total order, and its number."""
     return table.orderBy(*order).offset(skip).limit(limit).withColumn("page", F.lit(skip // limit + 1))
@@ -99,6 +111,21 @@ def replace_by_id(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return append(soft_delete(table, rows, key), rows.withColumn("deleted", F.lit(False)))
 
 
+def delete_rows(table: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
+    """``table`` without the rows of the keys given, such as a document's vectors."""
+    return table.join(doomed.select(key).distinct(), key, "left_anti")
+
+
+def reprocess(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """What the table held of the keys in ``rows`` goes, and ``rows`` come: the same however often it is done."""
+    return append(delete_rows(table, rows, key), rows)
+
+
+def relabel(spans: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Role, region and nc_type of ``changes`` where they aren't null; nothing else changes."""
+    return update(spans, changes.select(key, *[c for c in ("role", "region", "nc_type") if c in changes.columns]), key)
+
+
 def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return append(table, rows.join(table, key, "left_anti"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import rules
-from docweave.functions.text import to_date
+from docweave.functions.text import strip, to_date
 
 
 def timeline(clauses: DataFrame, doc: str, clause: str, text: str, patterns=rules.DATE_PATTERNS, around: int = 100) -> DataFrame:
@@ -60,3 +60,9 @@ def cooccurrence(entities: DataFrame, doc: str, name: str, block: int = 50) -> D
     across = several.join(several.select("_d", F.col("_i").alias("_j"), F.col("_a").alias("_b")), "_d").where("_i < _j").select("_a", "_b")
     pairs = F.flatten(F.transform("_a", lambda a: F.transform(F.filter("_b", lambda b: a < b), lambda b: F.struct(a.alias("source"), b.alias("target")))))
     return inside.unionByName(across).select(F.inline(pairs)).groupBy("source", "target").agg(F.count("*").alias("n_docs"))
+
+
+def key_points(text: Column, most: int = 5) -> Column:
+    """The leading sentences, at most so many: what stands for a model's key points without one."""
+    sentences = F.filter(F.transform(F.split(text, "[.!?。！？]"), strip), lambda s: s != "")
+    return F.slice(sentences, 1, most)

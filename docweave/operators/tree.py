@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import rules
-from docweave.functions.text import first_pattern, last_group
+from docweave.functions.text import first_pattern, last_group, strip
+from docweave.operators.joins import nearest
 
 
 def classify_elements(segments: DataFrame, text: str = "text", role: str = "role", nc_type: str = "nc_type") -> DataFrame:
@@ -26,7 +29,7 @@ def classify_elements(segments: DataFrame, text: str = "text", role: str = "role
         fits = place.isNotNull() & allowed
         found = F.lit(None).cast("string")
         for i, p in enumerate(patterns, 1):
-            groups = 2 if p.count("(") - p.count(r"\(") - p.count(r"（\(") * 0 > 1 and name == "clause" and i == 2 else 1
+            groups = re.compile(p).groups
             found = F.when(place == i, last_group(t, p, groups)).otherwise(found)
         title = F.when(fits, found if name != "clause_item" else F.lit(None)).otherwise(title)
         kind, hint, numbered = F.when(fits, name).otherwise(kind), F.when(fits, place).otherwise(hint), F.when(fits, True).otherwise(numbered)
@@ -104,7 +107,7 @@ def group_by_number(rows: DataFrame, key: str, order: str, number: str, text: st
     each = F.array_sort(F.collect_list(F.struct(order, text)))
     grouped = rows.groupBy(key, F.coalesce(F.col(number), F.lit("unknown")).alias("number")).agg(each.alias("_t"), F.count("*").alias("n"))
     texts = F.transform("_t", lambda r: r[text])
-    return grouped.select(key, "number", "n", F.get(texts, 0).alias("title"), F.trim(F.array_join(F.slice(texts, 2, 1_000_000), "\n")).alias("content"))
+    return grouped.select(key, "number", "n", F.get(texts, 0).alias("title"), F.trim(F.array_join(F.slice(texts, F.lit(2), F.size(texts)), "\n")).alias("content"))
 
 
 def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
@@ -134,3 +137,87 @@ def tree_text(rows: DataFrame, key: str, order: str, kind: str, title: str, cont
     body = F.when(F.col(kind).isin("section", "clause"), F.col(content))
     lines = rows.select(key, order, F.array_compact(F.array(line, body)).alias("_l"))
     return lines.groupBy(key).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "_l"))), lambda r: r["_l"])), "\n\n").alias("text"))
+
+
+#: Tags that a node may carry, and texts of a document's metadata.
+TAG_NAMES = ("role", "region", "nc_type", "score")
+METADATA_TEXTS = ("title", "type", "created_at", "file_url")
+
+
+def _said(before: str):
+    return lambda x: F.concat(F.lit(before), x)
+
+
+def validate(docs: DataFrame, key: str, json: str) -> DataFrame:
+    """``key, errors``: what is wrong with each nested document, in page order; nothing: an empty array.
+
+    A document has metadata with an id, texts and a list of drafters, a structure, and
+    perhaps a boolean ``vectorization``; every node has an id, a title or a content, a list
+    of children if any, and tags of known names with a whole score.
+    """
+    doc = docs.select(key, F.parse_json(json).alias("_d"))
+    get = lambda c, path: F.try_variant_get(c, f"$.{path}", "variant")
+    type_of = lambda c, path: F.schema_of_variant(get(c, path))
+    wrong = lambda c, path, ok, say: F.when(get(c, path).isNotNull() & ~ok(type_of(c, path)), say)
+    is_list, is_text = lambda t: t.startswith("ARRAY"), lambda t: t == "STRING"
+    head = F.array_compact(F.array(
+        F.when(get("_d", "metadata").isNull(), "metadata is missing").otherwise(F.when(get("_d", "metadata.id").isNull(), "metadata.id is missing")),
+        wrong("_d", "metadata.drafters", is_list, "metadata.drafters is no list"),
+        *[wrong("_d", f"metadata.{f}", is_text, f"metadata.{f} is no text") for f in METADATA_TEXTS],
+        F.when(get("_d", "structure").isNull(), "structure is missing"),
+        wrong("_d", "vectorization", lambda t: t == "BOOLEAN", "vectorization is no boolean"),
+    ))
+    node = doc.where(get("_d", "structure").isNotNull()).select(key, get("_d", "structure").alias("_n"), F.array(F.lit(0)).alias("_path"))
+    found = doc.select(key, F.array().cast("array<int>").alias("_path"), F.posexplode(head).alias("_at", "_error"))
+    while True:
+        tags = []
+        for kind in ("title_tags", "content_tags"):
+            held = F.try_variant_get("_n", f"$.{kind}", "map<string, variant>")
+            strange = F.filter(F.array_sort(F.map_keys(held)), lambda k: ~k.isin(*TAG_NAMES))
+            tags += [
+                F.array(wrong("_n", kind, lambda t: t.startswith("OBJECT"), f"{kind} is no object")),
+                F.coalesce(F.transform(strange, _said(f"{kind}: unknown tag ")), F.array().cast("array<string>")),
+                F.array(wrong("_n", f"{kind}.score", lambda t: t.isin("BIGINT", "BOOLEAN"), f"{kind}.score is no whole number")),
+            ]
+        own = F.array_compact(F.concat(
+            F.array(F.when(get("_n", "id").isNull(), "id is missing"), F.when(get("_n", "content").isNull() & get("_n", "title").isNull(), "neither title nor content"), wrong("_n", "children", is_list, "children is no list")), *tags,
+        ))
+        found = found.unionByName(node.select(key, "_path", F.posexplode(own).alias("_at", "_error")))
+        children = F.try_variant_get("_n", "$.children", "array<variant>")
+        node = node.select(key, "_path", F.posexplode(children).alias("_i", "_c")).select(key, F.col("_c").alias("_n"), F.concat("_path", F.array("_i")).alias("_path"))
+        if node.isEmpty():
+            break
+    listed = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_path", "_at", "_error"))), lambda e: e["_error"]).alias("errors"))
+    return docs.select(key).join(listed, key, "left").select(key, F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+
+
+def item_tree(rows: DataFrame, key: str, item: str, parent: str) -> DataFrame:
+    """Adds ``depth`` (0: a root) and ``path`` (ids from the root, with slashes); a parent that isn't there makes a root.
+
+    One join per level.  Rows on a circle of parents hang under no root and are left out.
+    """
+    own = rows.select(key, F.col(item).alias("_id"), F.col(parent).alias("_up"))
+    known = own.select(key, F.col("_id").alias("_up"), F.lit(True).alias("_known"))
+    linked = own.join(known, [key, "_up"], "left")
+    level = linked.where("_known is null").select(key, "_id", F.lit(0).alias("depth"), F.col("_id").cast("string").alias("path"))
+    below, found = linked.where("_known").select(key, "_id", "_up"), level
+    while True:
+        above = level.select(key, F.col("_id").alias("_up"), "depth", "path")
+        level = below.join(above, [key, "_up"]).select(key, "_id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("_id").cast("string")).alias("path"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return rows.join(found.withColumnRenamed("_id", item), [key, item])
+
+
+def sections_from_headings(segments: DataFrame, role: str = "role", kind: str = "block_type") -> DataFrame:
+    return segments.where((F.col(role) == "NON_CLAUSE") & (F.col(kind) == "heading"))
+
+
+def items_by_pattern(segments: DataFrame, key: str, order: str, text: str, is_clause: Column) -> DataFrame:
+    """Segments numbered like items under the nearest clause, the earlier one of equals: ``clause, title`` (the number) and ``content``."""
+    number = rf"^([（\(][{rules.CN}\d]+[）\)]|\d+\.\s)"
+    near = nearest(segments, key, order, is_clause, order, "clause")
+    title = F.regexp_extract(text, number, 1)
+    found = near.where(F.col(text).rlike(number) & F.col("clause").isNotNull())
+    return found.withColumns({"title": title, "content": strip(F.substring(F.col(text), F.length(title) + 1, F.length(text)))})

@@ -536,3 +536,6 @@ def retrieval_context(t) -> DataFrame:
 @query()
 def chunk_text(t) -> DataFrame:
     return chunk.chunk_texts(t("documents"), "doc_id", "text", "summary")
+
+
+from docweave.plans import item_queries, rule_queries  # noqa: E402, F401  they register themselves
