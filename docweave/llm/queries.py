@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chat_format, ctw, html_extract, jaccard_join, license_scan, lsa_decontaminate, packing, quality, url_filter, warc
+from docweave.llm import chat_format, ctw, divergence, html_extract, jaccard_join, license_scan, lsa_decontaminate, packing, quality, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -68,9 +68,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op7_lsa_decontaminate, op8_warc, op9_jaccard_join, op10_url_filter)
+    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op7_lsa_decontaminate, op8_warc, op9_jaccard_join, op10_url_filter, op11_source_divergence)
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": chat_format.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
 }
