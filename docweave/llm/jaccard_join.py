@@ -66,6 +66,7 @@ PIVOT_ROUNDS = 2
 PIVOT_GROUP = 60_000  # shingles of a pivot's candidates that one group verifies, about
 SKETCH = 1024  # bits
 FILTER_SLOTS = 1 << 20
+SQUARE = 2000  # sets of a list that one task holds against as many others, about
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -384,8 +385,8 @@ def _near_sketches(percent: int) -> Column:
     return (100 + percent) * _sketch_bits() <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """The pairs ``a, b`` (n_a: a's size) whose whole sets are similar.  nodes: a document for every set id.
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, percent: int, words: int = WORDS) -> DataFrame:
+    """The pairs ``a, b`` (n_a: a's size) whose whole sets, of ``words`` words a shingle, are similar.  nodes: a document for every set id.
 
     a's text goes to b, in groups of about PIVOT_GROUP shingles; b's own text goes to each.
     Only pivots with more than one group are looked up, few enough that no pivot's pairs
@@ -417,7 +418,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
         import zstandard
 
         zstd = zstandard.ZstdDecompressor()
-        sets = shingle_sets([zstd.decompress(x) for x in t["body"].to_pylist()], WORDS)
+        sets = shingle_sets([zstd.decompress(x) for x in t["body"].to_pylist()], words)
         right = set_ids(sets).astype(np.int64) == t["set_id"].to_numpy()  # ids of documents may repeat
         pivots = np.flatnonzero(right & t["is_pivot"].to_numpy())
         similar = np.zeros(t.num_rows, bool)
@@ -475,17 +476,34 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     # what is left: sets of one list in different components
     left = labelled.select("set_id").distinct()
     known = sketches.join(left, "set_id", "left_semi").dropDuplicates(["set_id"])
-    open_lists = labelled.join(known, "set_id")
-    columns = ("set_id", "n", "place", "component", "sketch")
-    one = open_lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in columns])
-    two = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns])
-    meets = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("component_a") != F.col("component_b")) & _first_shared(percent) & _near_sketches(percent)
-    across = one.join(two, (one["shingle"] == two["shingle"]) & meets).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a").distinct()
+    across = across_lists(labelled.join(known, "set_id"), _first_shared(percent) & _near_sketches(percent))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = settle(across.join(tried, ["a", "b"], "left_anti"))
     return links.unionByName(verify(across, docs, nodes, key, text, percent))
 
 
+def across_lists(open_lists: DataFrame, meets: Column) -> DataFrame:
+    """``a, b, n_a``, a < b: pairs of sets of one list (``shingle``) and different components that ``meets`` lets pass.
+
+    In a list every set outside its largest component is held against every set, in squares of
+    about SQUARE by SQUARE sets, so that no task gets a long list whole; inside the largest
+    component nothing is.  ``meets``: over columns with the suffixes _a and _b.
+    """
+    parts = open_lists.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    sizes = parts.groupBy("shingle").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("large"))
+    sides = lambda c: F.ceil(c / SQUARE).cast("int")
+    sizes = sizes.select("shingle", F.col("large.component").alias("large"), sides(F.col("all") - F.col("large.size")).alias("rows"), sides(F.col("all")).alias("columns"))
+    placed = open_lists.join(sizes, "shingle")
+    columns = ("set_id", "n", "place", "component", "sketch")
+    own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "set_id"), F.greatest(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = placed.where("component <> large").select("shingle", own(F.col("rows"), 1).alias("i"), every(F.col("columns")).alias("j"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    all_ = placed.where("rows > 0").select("shingle", every(F.col("rows")).alias("i"), own(F.col("columns"), 2).alias("j"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    pairs = few.join(all_, ["shingle", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & meets)
+    least, most = F.least("set_id_a", "set_id_b"), F.greatest("set_id_a", "set_id_b")
+    return pairs.select(least.alias("a"), most.alias("b"), F.when(least == F.col("set_id_a"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a")).distinct()
+
+
 def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """``pairs`` with ``sketch_a, sketch_b``."""
     ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
@@ -537,6 +555,17 @@ def _pivot_pairs(labelled: DataFrame, percent: int, k: int) -> DataFrame:
     return pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b", F.lit(False).alias("couple")).distinct()
 
 
+def name_components(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``key, n_shingles, component_id`` of ``rows`` (key, set_id, n): found has the component of set ids that are linked."""
+    least = rows.where("n > 0").groupBy("set_id").agg(F.min(key).alias("first"))
+    labelled = least.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    smallest = labelled.groupBy("component").agg(F.min("first").alias("smallest"))
+    named = settle(labelled.join(smallest, "component").select("set_id", "smallest"))
+    return rows.join(named, "set_id", "left").select(
+        key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNull(), F.lit(None)).otherwise(F.coalesce("smallest", key)).alias("component_id")
+    )
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``key, n_shingles, component_id`` of every row.
 
@@ -550,10 +579,4 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     measured = measure(docs, key, text)
     rows = measured.where("slot is null").select(key, "set_id", "n")
     found = connected_components(find_links(docs, measured, key, text, percent))
-    least = rows.where("n > 0").groupBy("set_id").agg(F.min(key).alias("first"))
-    labelled = least.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    smallest = labelled.groupBy("component").agg(F.min("first").alias("smallest"))
-    named = settle(labelled.join(smallest, "component").select("set_id", "smallest"))
-    return rows.join(named, "set_id", "left").select(
-        key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNull(), F.lit(None)).otherwise(F.coalesce("smallest", key)).alias("component_id")
-    )
+    return name_components(rows, found, key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chat_format, ctw, divergence, html_extract, jaccard_join, license_scan, lsa_decontaminate, packing, quality, url_filter, warc
+from docweave.llm import chat_format, ctw, divergence, html_extract, jaccard_join, license_scan, lsa_decontaminate, minhash, packing, quality, repair, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -72,9 +72,18 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair_digests(turns, repair.damage(turns))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op7_lsa_decontaminate, op8_warc, op9_jaccard_join, op10_url_filter, op11_source_divergence)
+    for f in (op1_ctw_score, op2_license_scan, op3_html_extract, op4_compression_bands, op5_chat_format, op6_packing, op7_lsa_decontaminate, op8_warc, op9_jaccard_join, op10_url_filter, op11_source_divergence, op12_minhash_duplicates, op13_conversation_repair)
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
     "op11_source_divergence": divergence.ORACLE_SQL,
+    "op13_conversation_repair": repair.oracle_sql(),
 }
