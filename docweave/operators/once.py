@@ -1,7 +1,10 @@
-"""A barrier against repeated expressions."""
+"""Barriers: against repeated expressions, and against a lineage that grows with every round."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +16,18 @@ def compute_once(rows: DataFrame, **columns: Column) -> DataFrame:
     generator are not.
     """
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to spark.checkpoint.dir and read from there, so that later rounds begin at files.
+
+    Only a session on one machine that has no such folder gets one of its own; on a cluster
+    that is an error.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='docweave-checkpoint-')}")
+    return df.checkpoint()

@@ -52,12 +52,27 @@ def safe_filter(table: DataFrame, filters: dict, fields: tuple[str, ...] = FILTE
     return out
 
 
+#: What Spark reads as an escape, a comment or a quoted name; none of it can be part of a comparison.
+_REFUSED = ("\\", "--", "/*", '"', "`", ";")
+_WORDS = ("and", "or", "not", "in", "is", "null", "like", "between", "true", "false")
+
+
 def expression_filter(table: DataFrame, expression: str, fields: tuple[str, ...]) -> DataFrame:
-    """Rows by a condition given as text: comparisons of allowed fields with values; other names and calls are refused."""
-    bare = re.sub(r"'[^']*'", " 0 ", expression)
-    words = re.findall(r"[A-Za-z_]\w*", bare)
-    strange = [w for w in words if w not in fields and w.lower() not in ("and", "or", "not", "in", "is", "null", "like", "between", "true", "false")]
-    if strange or re.search(r"[^\w\s.,()<>=!+\-*/%]", bare) or re.search(rf"\b({'|'.join(map(re.escape, fields))})\s*\(", bare):
+    """Rows by a condition given as text: comparisons of allowed fields with values; other names and calls are refused.
+
+    Backslashes, comments, double quotes and backticks are refused before anything else, so a
+    value ends at the next single quote for Spark as it does here; two values side by side and
+    a word before a value (a raw or typed literal) are refused, too.
+    """
+    bare = re.sub(r"'[^']*'", " \x00 ", expression)
+    names = re.findall(r"[^\W\d]\w*", bare)
+    calls = "|".join(map(re.escape, [*fields, *[w for w in _WORDS if w not in ("in", "and", "or", "not")]]))
+    if (
+        any(x in expression for x in _REFUSED) or "\x00" in expression
+        or any(n not in fields and n.lower() not in _WORDS for n in names)
+        or re.search(r"[^\w\s.,()<>=!+\-*/%\x00]", bare)
+        or re.search(rf"(?i)\b({calls})\s*\(|\x00\s*\x00|\b(?!(?:in|and|or|not|like|between)\b)[^\W\d]\w*\s+\x00|\x00\s*\(|\)\s*\(", bare)
+    ):
         raise ValueError(f"condition not allowed: {expression}")
     return table.where(expression)
 
@@ -81,12 +96,19 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
 
 
-def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Non-null values of ``changes`` replace the table's; keys without changes stay."""
-    new = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"_{c}") for c in new])
-    out = table.join(renamed, key, "left")
-    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in new else F.col(c) for c in table.columns])
+def update(table: DataFrame, changes: DataFrame, key: str, clear: dict[str, str] | None = None) -> DataFrame:
+    """Non-null values of ``changes`` replace the table's; keys without changes stay.
+
+    clear: column to the boolean column of ``changes`` that says where it becomes null.  A key
+    that ``changes`` has more than once takes each column's greatest value, and is cleared if
+    any of its rows says so; no row of the table is doubled.
+    """
+    clear = clear or {}
+    new = [c for c in changes.columns if c != key and c not in clear.values()]
+    once = changes.groupBy(key).agg(*[F.max(c).alias(f"_{c}") for c in new], *[F.bool_or(F.coalesce(flag, F.lit(False))).alias(f"_no_{c}") for c, flag in clear.items()])
+    out = table.join(once, key, "left")
+    value = lambda c: F.coalesce(f"_{c}", c) if c in new else F.col(c)
+    return out.select(*[(F.when(~F.coalesce(f"_no_{c}", F.lit(False)), value(c)) if c in clear else value(c)).alias(c) for c in table.columns])
 
 
 def soft_delete(table: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
@@ -116,9 +138,25 @@ def delete_rows(table: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
     return table.join(doomed.select(key).distinct(), key, "left_anti")
 
 
-def reprocess(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """What the table held of the keys in ``rows`` goes, and ``rows`` come: the same however often it is done."""
-    return append(delete_rows(table, rows, key), rows)
+def reprocess(table: DataFrame, rows: DataFrame, key: str, redone: DataFrame | None = None) -> DataFrame:
+    """What the table held of the keys in ``redone`` (else those in ``rows``) goes, and ``rows`` come.
+
+    The same however often it is done.  A rerun may yield no rows for a key: ``redone`` names
+    it, and nothing of it stays.
+    """
+    return append(delete_rows(table, rows if redone is None else redone, key), rows)
+
+
+def rewrite_partitions(path: str, rows: DataFrame, redone: DataFrame, key: str) -> None:
+    """``reprocess`` for Parquet files partitioned by ``key``: only the folders of the keys redone are written.
+
+    Overwriting is dynamic, so it replaces the folders that have rows; a key that yielded none
+    gets one row that is marked as deleted, which ``live`` leaves out.
+    """
+    gone = redone.select(key).distinct().join(rows.select(key).distinct(), key, "left_anti").withColumn("deleted", F.lit(True))
+    rows = rows if "deleted" in rows.columns else rows.withColumn("deleted", F.lit(False))
+    every = rows.unionByName(gone, allowMissingColumns=True)
+    every.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def relabel(spans: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import rules
 from docweave.functions.text import first_pattern, last_group, strip
 from docweave.operators.joins import nearest
+from docweave.operators.once import cut_lineage
+
+#: What is said of a text that can't be read, and rows that are passed on at once.
+NO_JSON, TOO_DEEP, ROWS = "is no JSON", "is nested too deeply", 5000
 
 
 def classify_elements(segments: DataFrame, text: str = "text", role: str = "role", nc_type: str = "nc_type") -> DataFrame:
@@ -110,25 +117,113 @@ def group_by_number(rows: DataFrame, key: str, order: str, number: str, text: st
     return grouped.select(key, "number", "n", F.get(texts, 0).alias("title"), F.trim(F.array_join(F.slice(texts, F.lit(2), F.size(texts)), "\n")).alias("content"))
 
 
+def _read(text: str | None) -> tuple[object, str | None]:
+    """A nested document and what is wrong with its text; null is a document without anything."""
+    if text is None:
+        return None, None
+    try:
+        return json.loads(text), None
+    except ValueError:
+        return None, NO_JSON
+    except RecursionError:
+        return None, TOO_DEEP
+
+
+def _text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _field(node: object, *path: str) -> object:
+    for name in path:
+        node = node.get(name) if isinstance(node, dict) else None
+    return node
+
+
+def _children(node: object) -> list:
+    found = _field(node, "children")
+    return found if isinstance(found, list) else []
+
+
+def _nodes(root: object) -> Iterator[tuple[object, int, str | None]]:
+    """Every node in pre-order with its level, from 1, and its parent's id."""
+    todo = [(root, 1, None)]
+    while todo:
+        node, level, parent = todo.pop()
+        yield node, level, parent
+        own = _text(_field(node, "id"))
+        todo += [(child, level + 1, own) for child in reversed(_children(node))]
+
+
+NODE_FIELDS = {"id": ("id",), "title": ("title",), "content": ("content",), "role": ("content_tags", "role"), "region": ("content_tags", "region")}
+
+
 def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
-    """Nested documents to rows in pre-order: ``key, order_index`` (from 1), ``level, id, parent_id, title, content, role, region``.
+    """Nested documents to rows in pre-order: ``key, order_index`` (from 1), ``level, id, parent_id, title, content, role, region, error``.
 
-    A step per depth unnests the children of all nodes at once, until none are left, however deep it goes on.
+    One pass: a document is read once and its nodes are passed on as they are met, so neither
+    the plan nor the work of a node depends on how deep it lies.  A text that is no JSON is one
+    row with an ``error`` and nothing else; other documents aren't touched by it.  A null is a
+    node without anything; numbers and objects in text fields are their JSON.
     """
-    node = docs.select(key, F.parse_json(json).alias("_n"), F.array(F.lit(0)).alias("_path"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"))
-    text = lambda path: F.try_variant_get("_n", f"$.{path}", "string")
-    found = None
-    while True:
-        own = node.select(key, "_path", "level", text("id").alias("id"), "parent_id", text("title").alias("title"), text("content").alias("content"), text("content_tags.role").alias("role"), text("content_tags.region").alias("region"))
-        found = own if found is None else found.unionByName(own)
-        children = F.try_variant_get("_n", "$.children", "array<variant>")
-        node = node.select(key, text("id").alias("parent_id"), "_path", (F.col("level") + 1).alias("level"), F.posexplode(children).alias("_i", "_c")).select(
-            key, F.col("_c").alias("_n"), F.concat("_path", F.array("_i")).alias("_path"), "level", "parent_id"
-        )
-        if node.isEmpty():
-            break
-    order = F.row_number().over(Window.partitionBy(key).orderBy("_path"))
-    return found.withColumn("order_index", order).drop("_path")
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["order_index", "level", "id", "parent_id", "title", "content", "role", "region", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, pa.int32() if n in ("order_index", "level") else pa.string()) for n in names])
+        made: list[dict] = []
+        for batch in batches:
+            at: list[int] = []
+
+            def flush(batch=batch, at=at) -> pa.RecordBatch:
+                rows = pa.RecordBatch.from_pylist(made, schema=schema)
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *rows.columns], names=[key, *names])
+                made.clear()
+                at.clear()
+                return out
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                root, error = _read(text)
+                if error:
+                    at.append(i)
+                    made.append({"error": error})
+                    continue
+                for k, (node, level, parent) in enumerate(_nodes(root), 1):
+                    at.append(i)
+                    made.append({"order_index": k, "level": level, "parent_id": parent, **{n: _text(_field(node, *p)) for n, p in NODE_FIELDS.items()}})
+                    if len(made) == ROWS:
+                        yield flush()
+            if made:
+                yield flush()
+
+    return docs.select(key, json).mapInArrow(run, f"`{key}` {kind}, order_index int, level int, id string, parent_id string, title string, content string, role string, region string, error string")
+
+
+def assemble_json(rows: DataFrame, key: str, order: str = "order_index", level: str = "level") -> DataFrame:
+    """The inverse of ``flatten_json``: ``key, json`` of every document from its rows (id, title, content, role, region).
+
+    Rows come by ``order``, as ``flatten_json`` writes them: a level is at most one more than
+    that of the row before, the least level is the top.  In JSON text that is brackets only: a node opens with its own
+    fields, and what closes before it follows from two neighbouring levels, which one window
+    shows.  So nothing is nested step by step, whatever the depth.  A document with several top
+    rows gets them as the children of a node without fields.  Null fields are left out; rows
+    without a level are no nodes; an empty table gives no documents.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    held = rows.where(F.col(level).isNotNull())
+    tops = Window.partitionBy(key)
+    tags = F.struct("role", "region")
+    named = F.to_json(F.struct("id", "title", "content", F.when(F.coalesce("role", "region").isNotNull(), tags).alias("content_tags")))
+    before, after = F.lag(level).over(w), F.lead(level).over(w)
+    depth = F.col("_depth")
+    placed = held.select(key, order, F.col(level).alias("_l"), named.alias("_own"), before.alias("_b"), after.alias("_a"), F.min(level).over(tops).alias("_top"))
+    placed = placed.withColumn("_depth", F.col("_l") - F.col("_top"))
+    fields = F.substring("_own", 2, F.length("_own") - 2)
+    opened = F.concat(F.lit("{"), fields, F.when(fields == "", "").otherwise(","), F.lit('"children":['))
+    closing = F.when(F.col("_a").isNull(), depth + 1).otherwise(F.greatest(depth - (F.col("_a") - F.col("_top")) + 1, F.lit(0)))
+    text = F.concat(F.when(F.coalesce(F.col("_l") <= F.col("_b"), F.lit(False)), ",").otherwise(""), opened, F.repeat(F.lit("]}"), closing.cast("int")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("_t")))), lambda r: r["_t"]), "")
+    out = placed.groupBy(key).agg(joined.alias("_j"), F.count_if(depth == 0).alias("_n"))
+    return out.select(key, F.when(F.col("_n") == 1, F.col("_j")).otherwise(F.concat(F.lit('{"children":['), "_j", F.lit("]}"))).alias("json"))
 
 
 def tree_text(rows: DataFrame, key: str, order: str, kind: str, title: str, content: str) -> DataFrame:
@@ -144,8 +239,41 @@ TAG_NAMES = ("role", "region", "nc_type", "score")
 METADATA_TEXTS = ("title", "type", "created_at", "file_url")
 
 
-def _said(before: str):
-    return lambda x: F.concat(F.lit(before), x)
+def _wrong_node(node: object) -> Iterator[str]:
+    held = node if isinstance(node, dict) else {}
+    if "id" not in held:
+        yield "id is missing"
+    if "content" not in held and "title" not in held:
+        yield "neither title nor content"
+    if "children" in held and not isinstance(held["children"], list):
+        yield "children is no list"
+    for kind in ("title_tags", "content_tags"):
+        tags = held.get(kind, {})
+        if not isinstance(tags, dict):
+            yield f"{kind} is no object"
+            continue
+        yield from (f"{kind}: unknown tag {t}" for t in sorted(tags, key=str.encode) if t not in TAG_NAMES)
+        if "score" in tags and not (isinstance(tags["score"], int) and -(2**63) <= tags["score"] < 2**63):
+            yield f"{kind}.score is no whole number"
+
+
+def _wrong(doc: object) -> Iterator[str]:
+    doc = doc if isinstance(doc, dict) else {}
+    about = doc.get("metadata") if isinstance(doc.get("metadata"), dict) else {}
+    if "metadata" not in doc:
+        yield "metadata is missing"
+    elif "id" not in about:
+        yield "metadata.id is missing"
+    if not isinstance(about.get("drafters", []), list):
+        yield "metadata.drafters is no list"
+    yield from (f"metadata.{f} is no text" for f in METADATA_TEXTS if not isinstance(about.get(f, ""), str))
+    if "structure" not in doc:
+        yield "structure is missing"
+    if not isinstance(doc.get("vectorization", True), bool):
+        yield "vectorization is no boolean"
+    if "structure" in doc:
+        for node, _, _ in _nodes(doc["structure"]):
+            yield from _wrong_node(node)
 
 
 def validate(docs: DataFrame, key: str, json: str) -> DataFrame:
@@ -153,61 +281,49 @@ def validate(docs: DataFrame, key: str, json: str) -> DataFrame:
 
     A document has metadata with an id, texts and a list of drafters, a structure, and
     perhaps a boolean ``vectorization``; every node has an id, a title or a content, a list
-    of children if any, and tags of known names with a whole score.
+    of children if any, and tags of known names with a whole score.  A text that is no JSON has
+    that as its one error; a null has nothing of what is asked for.  One pass, as deep as it goes.
     """
-    doc = docs.select(key, F.parse_json(json).alias("_d"))
-    get = lambda c, path: F.try_variant_get(c, f"$.{path}", "variant")
-    type_of = lambda c, path: F.schema_of_variant(get(c, path))
-    wrong = lambda c, path, ok, say: F.when(get(c, path).isNotNull() & ~ok(type_of(c, path)), say)
-    is_list, is_text = lambda t: t.startswith("ARRAY"), lambda t: t == "STRING"
-    head = F.array_compact(F.array(
-        F.when(get("_d", "metadata").isNull(), "metadata is missing").otherwise(F.when(get("_d", "metadata.id").isNull(), "metadata.id is missing")),
-        wrong("_d", "metadata.drafters", is_list, "metadata.drafters is no list"),
-        *[wrong("_d", f"metadata.{f}", is_text, f"metadata.{f} is no text") for f in METADATA_TEXTS],
-        F.when(get("_d", "structure").isNull(), "structure is missing"),
-        wrong("_d", "vectorization", lambda t: t == "BOOLEAN", "vectorization is no boolean"),
-    ))
-    node = doc.where(get("_d", "structure").isNotNull()).select(key, get("_d", "structure").alias("_n"), F.array(F.lit(0)).alias("_path"))
-    found = doc.select(key, F.array().cast("array<int>").alias("_path"), F.posexplode(head).alias("_at", "_error"))
-    while True:
-        tags = []
-        for kind in ("title_tags", "content_tags"):
-            held = F.try_variant_get("_n", f"$.{kind}", "map<string, variant>")
-            strange = F.filter(F.array_sort(F.map_keys(held)), lambda k: ~k.isin(*TAG_NAMES))
-            tags += [
-                F.array(wrong("_n", kind, lambda t: t.startswith("OBJECT"), f"{kind} is no object")),
-                F.coalesce(F.transform(strange, _said(f"{kind}: unknown tag ")), F.array().cast("array<string>")),
-                F.array(wrong("_n", f"{kind}.score", lambda t: t.isin("BIGINT", "BOOLEAN"), f"{kind}.score is no whole number")),
-            ]
-        own = F.array_compact(F.concat(
-            F.array(F.when(get("_n", "id").isNull(), "id is missing"), F.when(get("_n", "content").isNull() & get("_n", "title").isNull(), "neither title nor content"), wrong("_n", "children", is_list, "children is no list")), *tags,
-        ))
-        found = found.unionByName(node.select(key, "_path", F.posexplode(own).alias("_at", "_error")))
-        children = F.try_variant_get("_n", "$.children", "array<variant>")
-        node = node.select(key, "_path", F.posexplode(children).alias("_i", "_c")).select(key, F.col("_c").alias("_n"), F.concat("_path", F.array("_i")).alias("_path"))
-        if node.isEmpty():
-            break
-    listed = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_path", "_at", "_error"))), lambda e: e["_error"]).alias("errors"))
-    return docs.select(key).join(listed, key, "left").select(key, F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                root, error = _read(text)
+                found.append([error] if error else list(_wrong(root)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=[key, "errors"])
+
+    return docs.select(key, json).mapInArrow(run, f"`{key}` {kind}, errors array<string>")
 
 
 def item_tree(rows: DataFrame, key: str, item: str, parent: str) -> DataFrame:
     """Adds ``depth`` (0: a root) and ``path`` (ids from the root, with slashes); a parent that isn't there makes a root.
 
-    One join per level.  Rows on a circle of parents hang under no root and are left out.
+    Pointers are doubled: every round joins each id's way up with that of where it ends, so a
+    depth of d takes log2(d) rounds, each written to the checkpoint folder.  An id that several
+    rows have is one node, under the smallest of their parents, and each row gets its place.
+    Null keys are a key; rows without an id are roots without a path.  Rows on a circle of
+    parents, or under one, hang under no root and are left out.
     """
-    own = rows.select(key, F.col(item).alias("_id"), F.col(parent).alias("_up"))
-    known = own.select(key, F.col("_id").alias("_up"), F.lit(True).alias("_known"))
-    linked = own.join(known, [key, "_up"], "left")
-    level = linked.where("_known is null").select(key, "_id", F.lit(0).alias("depth"), F.col("_id").cast("string").alias("path"))
-    below, found = linked.where("_known").select(key, "_id", "_up"), level
+    own = rows.where(F.col(item).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(item).alias("_id")).agg(F.min(parent).alias("_up"))
+    known = own.select("_k", F.col("_id").alias("_up"))
+    same = lambda a, b: F.col(f"{a}._k").eqNullSafe(F.col(f"{b}._k"))
+    there = own.alias("a").join(known.alias("b"), same("a", "b") & (F.col("a._up") == F.col("b._up")), "left_semi")
+    roots = own.alias("a").join(known.alias("b"), same("a", "b") & (F.col("a._up") == F.col("b._up")), "left_anti").withColumn("_up", F.lit(None).cast(own.schema["_up"].dataType))
+    ways = cut_lineage(there.unionByName(roots).select("_k", "_id", "_up", F.lit(0).alias("depth"), F.col("_id").cast("string").alias("path")))
+    left = None
     while True:
-        above = level.select(key, F.col("_id").alias("_up"), "depth", "path")
-        level = below.join(above, [key, "_up"]).select(key, "_id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("_id").cast("string")).alias("path"))
-        if level.isEmpty():
+        open_ = ways.where("_up is not null")
+        before, left = left, open_.count()
+        if left == 0 or left == before:  # nothing ended at a root: what is left goes round in circles
             break
-        found = found.unionByName(level)
-    return rows.join(found.withColumnRenamed("_id", item), [key, item])
+        further = open_.alias("a").join(ways.alias("b"), same("a", "b") & (F.col("a._up") == F.col("b._id")))
+        further = further.select("a._k", "a._id", "b._up", (F.col("a.depth") + F.col("b.depth") + 1).alias("depth"), F.concat_ws("/", "b.path", "a.path").alias("path"))
+        ways = cut_lineage(ways.where("_up is null").unionByName(further))
+    placed = ways.select("_k", "_id", F.when(F.col("_up").isNull(), F.col("depth")).alias("depth"), "path")
+    out = rows.alias("r").join(placed.alias("p"), F.col(f"r.{key}").eqNullSafe(F.col("p._k")) & (F.col(f"r.{item}") == F.col("p._id")), "left")
+    return out.where(F.col("p.depth").isNotNull() | F.col(f"r.{item}").isNull()).select("r.*", F.coalesce("p.depth", F.lit(0)).alias("depth"), "p.path")
 
 
 def sections_from_headings(segments: DataFrame, role: str = "role", kind: str = "block_type") -> DataFrame:

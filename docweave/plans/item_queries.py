@@ -151,8 +151,7 @@ def expression_filter(t) -> DataFrame:
 def reprocess_rows(t) -> DataFrame:
     rows = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     again = rows.where("o_custkey % 7 = 0")
-    # every customer redone had a row before, also if none of its orders is left
-    return store.append(store.delete_rows(rows, again, "o_custkey"), again.where("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.lit("N")))
+    return store.reprocess(rows, again.where("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.lit("N")), "o_custkey", redone=again)
 
 
 @query("SELECT doc_id, lang AS role, CASE WHEN quality = 1 THEN 'SIGN' ELSE source END AS region, CASE WHEN quality = 0 THEN 'TITLE' END AS nc_type, n_chars FROM documents LEFT JOIN labels USING (doc_id)")

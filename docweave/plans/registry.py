@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import rules, text
-from docweave.operators import chunk, joins, labels, search, segments, store, summaries, tree
+from docweave.operators import joins, labels, search, segments, store, summaries, tree
 from docweave.sources import parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,9 +533,4 @@ def retrieval_context(t) -> DataFrame:
     return search.context_of(joined, "query_id", "rank", "title", "content", 10).select("query_id", F.md5("context").alias("digest"))
 
 
-@query()
-def chunk_text(t) -> DataFrame:
-    return chunk.chunk_texts(t("documents"), "doc_id", "text", "summary")
-
-
-from docweave.plans import item_queries, rule_queries  # noqa: E402, F401  they register themselves
+from docweave.plans import chunk_queries, item_queries, nested_queries, rule_queries  # noqa: E402, F401  they register themselves
