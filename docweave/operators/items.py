@@ -57,13 +57,14 @@ def hydrate(hits: DataFrame, clauses: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``page``, ``span_ids`` (by seq) and ``block_id`` to hits with clause_id and item_id (null: the clause itself).
 
     clauses: clause_id, page; spans: owner_type, owner_id, seq, span_id.  Hits of unknown
-    clauses have none of them.  Only spans of hits are gathered.
+    clauses have none of them.  Only spans of hits are gathered.  A clause that has several
+    rows is the one with the least page, so a hit stays one row; hits that are equal stay two.
     """
     kind, owner = F.when(F.col("item_id").isNull(), "CLAUSE").otherwise("CLAUSE_ITEM"), F.coalesce("item_id", "clause_id")
     asked = hits.withColumns({"owner_type": kind, "owner_id": owner})
     wanted = spans.join(asked.select("owner_type", "owner_id").distinct(), ["owner_type", "owner_id"], "left_semi")
     held = wanted.groupBy("owner_type", "owner_id").agg(F.array_sort(F.collect_list(F.struct("seq", "span_id"))).alias("_spans"))
-    known = clauses.select("clause_id", "page", F.lit(True).alias("_known"))
+    known = clauses.groupBy("clause_id").agg(F.min("page").alias("page"), F.lit(True).alias("_known"))
     out = asked.join(known, "clause_id", "left").join(held, ["owner_type", "owner_id"], "left")
     first = F.get("_spans", 0)["seq"]
     block = F.concat_ws("-", F.lit("block"), F.col("clause_id").cast("string"), first.cast("string"))
@@ -97,3 +98,37 @@ def zip_shortest(*arrays: Column) -> Column:
 def overlay(under: Column, over: Column) -> Column:
     """A map of both maps' keys; where both have one, the value of ``over``."""
     return F.map_concat(F.map_filter(under, lambda k, v: ~F.map_contains_key(over, k)), over)
+
+
+def align(key: str, *tables: tuple[DataFrame, list[str]]) -> DataFrame:
+    """Rows of several tables by their place in the document: ``key, place`` (from 0) and all their columns.
+
+    tables: (rows, the columns that order them).  Places are counted in each table, whatever
+    gaps its own numbers have; a document has as many rows as the shortest of its tables, none
+    if one has none.  Column names must differ but for ``key``; null keys are a key.
+    """
+    out = None
+    for rows, order in tables:
+        counted = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+        if out is None:
+            out = counted
+            continue
+        other = counted.withColumnsRenamed({key: "_key", "place": "_place"})
+        out = out.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("place") == F.col("_place"))).drop("_key", "_place")
+    return out
+
+
+def chunk_items(chunks: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Chunks (``chunk, first, n, text``) and their labels (``order, role, region, nc_type``) as rows for a vector table, one by one.
+
+    A chunk of a clause is a CLAUSE, any other a CLAUSE_ITEM; null roles are NON_CLAUSE, null
+    regions MAIN.  ``loc``: chunk_span (its blocks' numbers), order_index; ``biz_tags``: block_count.
+    """
+    both = align(key, (chunks, ["chunk"]), (labels, ["order"]))
+    role, span = F.coalesce("role", F.lit("NON_CLAUSE")), F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)
+    own = F.concat_ws("_chunk_", F.col(key).cast("string"), F.col("place").cast("string"))
+    return both.select(
+        F.when(role == "CLAUSE", "CLAUSE").otherwise("CLAUSE_ITEM").alias("unit_type"), key, F.concat(F.lit("document_"), F.col(key).cast("string")).alias("doc_name"), own.alias("clause_id"), own.alias("item_id"),
+        F.col("place").alias("clause_order_index"), role.alias("role"), F.coalesce("region", F.lit("MAIN")).alias("region"), "nc_type", F.col("text").alias("content"),
+        F.struct(span.alias("chunk_span"), F.col("place").alias("order_index")).alias("loc"), F.struct(F.col("n").alias("block_count"), F.lit("semantic_structure").alias("chunking_method")).alias("biz_tags"),
+    )

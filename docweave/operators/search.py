@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import dot
+from docweave.operators.once import cut_lineage
 
 BLOCK_ROWS = 2048
 
@@ -21,14 +23,37 @@ def top_k(table: DataFrame, vector: str, query: list[float], k: int, key: str) -
 
 
 def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """``size, ids, m``: up to BLOCK_ROWS vectors of one length, their ids as an array, the vectors as one matrix of doubles."""
+    kind = dict(rows.dtypes)[key]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                matrix = np.array(part.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_pydict({"ids": [part.column(0).to_numpy().astype("<i8").tobytes()], "m": [matrix.tobytes()]}, schema=pa.schema([("ids", pa.binary()), ("m", pa.binary())]))
-
-    return rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, "ids binary, m binary")
+            lists = batch.column(1)
+            sizes, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                for at in range(0, len(own), BLOCK_ROWS):
+                    part = own[at : at + BLOCK_ROWS]
+                    matrix = flat[starts[part][:, None] + np.arange(size)]
+                    ids = batch.column(0).take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids), pa.array([np.ascontiguousarray(matrix).tobytes()], pa.binary())], names=["size", "ids", "m"])
+
+    kept = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(key, vector)
+    return kept.mapInArrow(run, f"size int, ids array<{kind}>, m binary")
+
+
+def _best_of(batches: Iterator[pa.RecordBatch], k: int, key: str) -> Iterator[pa.RecordBatch]:
+    """The k best rows per query of every pair of blocks (``q_ids, q_m, ids, m``), equals by id."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            q_ids, ids = (batch.column(c)[row].values for c in (0, 2))
+            left, right = (np.frombuffer(batch.column(c)[row].as_py()).reshape(len(own), -1) for c, own in ((1, q_ids), (3, ids)))
+            order = np.argsort(pc.array_sort_indices(ids).to_numpy())  # an id's place among the ids
+            scores = np.round(left @ right.T, 6)
+            best = np.lexsort((np.broadcast_to(order, scores.shape), -scores), axis=1)[:, :k]
+            asked = q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), best.shape[1])))
+            yield pa.RecordBatch.from_arrays([asked, ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", key, "score"])
 
 
 def search_all(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -36,23 +61,113 @@ def search_all(queries: DataFrame, table: DataFrame, key: str, vector: str, k: i
 
     Both sides are cut into blocks of BLOCK_ROWS vectors; every pair of blocks is one
     matrix product that keeps k rows per query; the k best of those are the result.
-    Exact, and no task holds more than two blocks.
+    Exact, and no task holds more than two blocks.  Ids are of any type that can be sorted;
+    vectors are compared with those of their own length; null vectors, ids and elements aren't
+    found and find nothing.
     """
-    left = _blocks(queries, key, vector).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    pairs = left.join(_blocks(table, key, vector), how="cross")  # blocks, not rows
+    kind = dict(table.dtypes)[key]
+    left = _blocks(queries, key, vector).select(F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    pairs = left.join(_blocks(table, key, vector), how="cross").where("q_size = size").select("q_ids", "q_m", "ids", "m")  # blocks, not rows
+    best = pairs.mapInArrow(lambda batches: _best_of(batches, k, key), f"query_id {dict(queries.dtypes)[key]}, `{key}` {kind}, score double")
+    return _ranked(best, key, k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, q_m, ids, m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                scores = np.round(np.frombuffer(q_m).reshape(len(q_ids), -1) @ np.frombuffer(m).reshape(len(ids), -1).T, 6)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", key, "score"])
-
-    best = pairs.mapInArrow(run, f"query_id bigint, `{key}` bigint, score double")
+
+def _ranked(hits: DataFrame, key: str, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class ClusteredIndex:
+    """Vectors in cells around centres, searched exactly: a cell is read only if it can hold a hit.
+
+    For a query q and a vector v = c + r of a cell with centre c, q v is at most q c + |q| R,
+    R the cell's greatest |r|.  First every query reads its PROBES most promising cells; its
+    k-th best score there is a floor.  Then it reads all others whose bound is no lower, and no
+    more: whatever is left can't be among the k best.  If no bound is low enough that is every
+    cell, and the search is that of ``search_all``.
+
+    Centres are k-means of a sample of at most SAMPLE vectors (a documented bound: centres only
+    decide what is read, never what is found); every vector is indexed.  Cells are written by
+    cell, so that reading one is reading its files.
+    """
+
+    SAMPLE, CELLS, PROBES = 20_000, 1024, 4
+
+    def __init__(self, table: DataFrame, key: str, vector: str, cells: int | None = None, seed: int = 7):
+        self.key, self.vector = key, vector
+        rows = table.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+        total = rows.count()
+        self.cells = min(self.CELLS, max(1, cells or round(total**0.5 / 2)))
+        share = min(1.0, self.SAMPLE / max(total, 1))
+        some = np.array([r[0] for r in rows.select("_v").sample(share, seed).limit(self.SAMPLE).collect()] or [r[0] for r in rows.select("_v").limit(self.cells).collect()])
+        centres = self.centres = self._means(some, self.cells, seed) if len(some) else np.zeros((1, 1))
+        kind = dict(table.dtypes)[key]
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lengths = (centres**2).sum(axis=1)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                cell = (lengths - 2 * own @ centres.T).argmin(axis=1)
+                off = np.linalg.norm(own - centres[cell], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(off)], names=[key, "_v", "cell", "off"])
+
+        self.rows = cut_lineage(rows.mapInArrow(place, f"`{key}` {kind}, _v array<double>, cell int, off double").repartition("cell"))
+        self.radii = {r["cell"]: (r["off"], r["n"]) for r in self.rows.groupBy("cell").agg(F.max("off").alias("off"), F.count("*").alias("n")).collect()}  # a row per cell
+
+    @staticmethod
+    def _means(rows: np.ndarray, n: int, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        centres = rows[rng.choice(len(rows), min(n, len(rows)), replace=False)].copy()
+        for _ in range(8):
+            cell = ((centres**2).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
+            sums, sizes = np.zeros_like(centres), np.bincount(cell, minlength=len(centres))
+            np.add.at(sums, cell, rows)
+            centres[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
+        return centres
+
+    def _bounds(self, queries: DataFrame) -> DataFrame:
+        """``query_id, _q, cell, bound, turn``: all cells of a query, the most promising first."""
+        centres, radii = self.centres, self.radii
+        held = np.array(sorted(radii), np.int32)
+        far = np.array([radii[c][0] for c in held.tolist()])
+        kind = dict(queries.dtypes)[self.key]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    own = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    # scores are rounded to six places: what is lower by less may round to the same
+                    bounds = own @ centres[held].T + np.linalg.norm(own, axis=1)[:, None] * far + 2e-6
+                    order = np.argsort(-bounds, axis=1, kind="stable")
+                    each = pa.array(np.repeat(np.arange(part.num_rows), len(held)))
+                    turns = np.tile(np.arange(len(held), dtype=np.int32), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(each), pa.array(held[order].ravel()), pa.array(np.take_along_axis(bounds, order, 1).ravel()), pa.array(turns)], names=["query_id", "cell", "bound", "turn"])
+
+        asked = queries.where(F.col(self.vector).isNotNull()).select(self.key, F.transform(self.vector, lambda x: x.cast("double")).alias("_v"))
+        return asked.mapInArrow(run, f"query_id {kind}, cell int, bound double, turn int")
+
+    def _read(self, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """The k best of the cells ``asked`` (query_id, cell), per query."""
+        vectors = queries.where(F.col(self.vector).isNotNull()).select(F.col(self.key).alias("query_id"), F.transform(self.vector, lambda x: x.cast("double")).alias("_q"))
+        pairs = asked.join(self.rows, "cell").join(vectors, "query_id")
+        scored = pairs.select("query_id", self.key, F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
+        return _ranked(scored, self.key, k)
+
+    def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """What ``search_all`` finds, and ``query_id, cells, share``: how many cells a query read, and what share of the vectors."""
+        bounds = cut_lineage(self._bounds(queries))
+        first = cut_lineage(self._read(bounds.where(F.col("turn") < self.PROBES), queries, k))
+        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        more = bounds.where(F.col("turn") >= self.PROBES).join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+        more = cut_lineage(more.select("query_id", "cell"))
+        found = _ranked(first.drop("rank").unionByName(self._read(more, queries, k).drop("rank")), self.key, k)
+        sizes = F.create_map(*[F.lit(x) for c, (_, n) in sorted(self.radii.items()) for x in (c, n)])
+        total = max(1, sum(n for _, n in self.radii.values()))
+        read = bounds.where(F.col("turn") < self.PROBES).select("query_id", "cell").unionByName(more)
+        return found, read.groupBy("query_id").agg(F.count("*").alias("cells"), (F.sum(sizes[F.col("cell")]) / total).alias("share"))
 
 
 def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
@@ -74,18 +189,43 @@ def semantic_search(queries: DataFrame, table: DataFrame, details: DataFrame, ke
 def roll_up(hits: DataFrame, unit_type: str, clause: str, item: str, score: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Per clause its best hit's score and its items by score; items of clauses that weren't hit stand alone.
 
-    ``clause, item, score, n_items, best_item``: item is null for clauses.  within: columns,
-    such as the query's id, by which hits are taken apart.
+    ``clause, item, score, n_items, best_item`` (the first of equals): item is null for clauses.
+    within: columns, such as the query's id, by which hits are taken apart.
     """
     by, kind = [*within, clause], hits.schema[item].dataType
     clauses = hits.where(F.col(unit_type) == "CLAUSE").groupBy(*by).agg(F.max(score).alias(score))
     items = hits.where(F.col(unit_type) == "CLAUSE_ITEM")
-    under = items.groupBy(*by).agg(F.count("*").alias("n_items"), F.max_by(item, F.struct(F.col(score), -F.col(item))).alias("best_item"))
+    under = items.groupBy(*by).agg(F.count("*").alias("n_items"), F.min_by(item, F.struct(-F.col(score), F.col(item))).alias("best_item"))
     whole = clauses.join(under, by, "left").select(*by, F.lit(None).cast(kind).alias(item), score, F.coalesce("n_items", F.lit(0)).alias("n_items"), "best_item")
     alone = items.join(clauses, by, "left_anti").select(*by, item, score, F.lit(0).cast("bigint").alias("n_items"), F.lit(None).cast(kind).alias("best_item"))
     return whole.unionByName(alone)
 
 
+def nest_hits(hits: DataFrame, query: str = "query_id", rank: str = "rank", unit_type: str = "unit_type", clause: str = "clause", item: str = "item", score: str = "score") -> DataFrame:
+    """Hits in their order to clauses with sub-items: ``query, place, unit_type, clause, item, score, sub_items``.
+
+    A clause's best hit stands for it, the first of equals; it has the items that come after
+    that hit, as an array of ``{rank, item, score}`` in order.  Items before a clause's first
+    hit, or of clauses that aren't hit, stand alone, with no sub-items; items between a
+    clause's first hit and a better one went with the hit that was replaced.  place: from 1, by
+    score, then clauses as they were first met, then what stands alone.  Ids of any type; a
+    null clause is a clause; hits of other kinds and without a rank are left out.
+    """
+    kind, own = F.col(unit_type), Window.partitionBy(query, clause)
+    met = F.when(kind == "CLAUSE", F.col(rank))
+    placed = hits.where(kind.isin("CLAUSE", "CLAUSE_ITEM") & F.col(rank).isNotNull()).select(query, rank, unit_type, clause, item, score)
+    placed = placed.withColumn("_first", F.min(met).over(own)).withColumn("_best", F.min_by(rank, F.when(kind == "CLAUSE", F.struct(-F.coalesce(F.col(score), F.lit(0.0)), F.col(rank)))).over(own))
+    heads = placed.where((kind == "CLAUSE") & (F.col(rank) == F.col("_best")))
+    alone = placed.where((kind == "CLAUSE_ITEM") & (F.col("_first").isNull() | (F.col(rank) < F.col("_first"))))
+    sub = placed.where((kind == "CLAUSE_ITEM") & (F.col(rank) > F.col("_best")))
+    lists = sub.groupBy(F.col(query).alias("_q"), F.col(clause).alias("_c")).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), F.col(item).alias("item"), F.col(score).alias("score")))).alias("sub_items"))
+    whole = heads.join(lists, F.col(query).eqNullSafe(F.col("_q")) & F.col(clause).eqNullSafe(F.col("_c")), "left").drop("_q", "_c")
+    none = F.array().cast(lists.schema["sub_items"].dataType)
+    every = whole.withColumn("sub_items", F.coalesce("sub_items", none)).unionByName(alone.withColumn("sub_items", none))
+    order = Window.partitionBy(query).orderBy(F.desc_nulls_last(score), F.when(kind == "CLAUSE", 0).otherwise(1), F.coalesce(F.when(kind == "CLAUSE", F.col("_first")), F.col(rank)))
+    return every.select(query, F.row_number().over(order).alias("place"), unit_type, clause, item, score, "sub_items")
+
+
 def keyword_hits(tables: list[tuple[DataFrame, str, str, list[str]]], keyword: str) -> DataFrame:
     """``unit_type, id, relevance`` over several (table, unit_type, id, columns): 1 where the keyword is in, in any case."""
     out = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import strip
+from docweave.functions.text import lstrip, strip
 
 
 def split_segments(docs: DataFrame, key: str, text: str, separator: str = "\n", dense: bool = True) -> DataFrame:
@@ -62,3 +62,37 @@ def segments_in_windows(segments: DataFrame, key: str, size: int = 4000, overlap
     first = F.greatest(F.lit(0), F.ceil((F.col("end") - size) / step)).cast("int")
     last = F.floor(F.col("start") / step).cast("int")
     return segments.withColumn("window", F.explode(F.when(first <= last, F.sequence(first, last))))
+
+
+def overlay_spans(spans: DataFrame, key: str, label: str, labels: list[str], window: str | None = None, step: int = 0, default: str | None = None) -> DataFrame:
+    """``key, start, end, label``: overlapping labelled spans as ones that don't overlap, in page order.
+
+    Spans (``start, end``) of a window count from its beginning, window times ``step``.  A sweep
+    over the borders of a document adds up, label by label, the spans that begin and end
+    there: one window over as many rows as there are borders.  Between two borders the label of
+    most spans holds, the first in ``labels`` of equals; neighbours with one label are one
+    span.  Uncovered stretches have ``default``, or are left out if that is null.  Spans that
+    are empty, have a null or a label that isn't listed don't count.
+    """
+    shift = F.col(window) * step if window else F.lit(0)
+    placed = spans.select(key, (F.col("start") + shift).cast("bigint").alias("_s"), (F.col("end") + shift).cast("bigint").alias("_e"), F.col(label).alias("_l")).where(F.col("_l").isin(labels) & (F.col("_s") < F.col("_e")))
+    edge = lambda c, n: F.struct(F.col(c).alias("at"), F.lit(n).alias("d"))
+    edges = placed.select(key, "_l", F.inline(F.array(edge("_s", 1), edge("_e", -1))))
+    borders = edges.groupBy(key, "at").agg(*[F.sum(F.when(F.col("_l") == name, F.col("d")).otherwise(0)).alias(f"_{i}") for i, name in enumerate(labels)])
+    w = Window.partitionBy(key).orderBy("at")
+    open_ = borders.select(key, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *[F.sum(f"_{i}").over(w).alias(f"_{i}") for i in range(len(labels))])
+    best = F.array_max(F.array(*[F.struct(F.col(f"_{i}").alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, name in enumerate(labels)]))
+    voted = open_.where("end is not null").select(key, "start", "end", F.when(best["n"] > 0, best["label"]).otherwise(F.lit(default)).alias("label"))
+    fresh = F.when(F.lag("label").over(w.orderBy("start")).eqNullSafe(F.col("label")), 0).otherwise(1)
+    runs = voted.withColumn("_f", fresh).withColumn("_r", F.sum("_f").over(w.orderBy("start")))
+    return runs.where("label is not null").groupBy(key, "_r").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("label").alias("label")).drop("_r")
+
+
+def line_spans(windows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, start, end, line``: the lines of a window that aren't blank, stripped, by characters from its beginning."""
+    held = windows.select(*keys, F.posexplode(F.split(text, "\n")).alias("_i", "_line"))
+    w = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    begun = held.withColumn("_b", F.coalesce(F.sum(F.length("_line") + 1).over(w), F.lit(0)))
+    lead = F.length("_line") - F.length(lstrip(F.col("_line")))
+    line = strip(F.col("_line"))
+    return begun.where(line != "").select(*keys, (F.col("_b") + lead).alias("start"), (F.col("_b") + lead + F.length(line)).alias("end"), line.alias("line"))

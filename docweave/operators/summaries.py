@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import rules
 from docweave.functions.text import strip, to_date
+from docweave.operators.matches import find_all
 
 
 def timeline(clauses: DataFrame, doc: str, clause: str, text: str, patterns=rules.DATE_PATTERNS, around: int = 100) -> DataFrame:
-    """An event per date found: ``doc, clause, raw_date, pattern, date, context``; the clause is carried along, not searched for."""
-    found = None
-    for name, p in patterns:
-        hits = clauses.select(doc, clause, F.col(text).alias("_t"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)))).alias("raw_date"), F.lit(name).alias("pattern"))
-        found = hits if found is None else found.unionByName(hits)
-    at = F.instr("_t", F.col("raw_date"))
-    begin = F.greatest(F.lit(1), at - around)
-    context = F.substring("_t", begin, at - begin + F.length("raw_date") + around)
-    return found.select(doc, clause, "raw_date", "pattern", to_date(F.col("raw_date")).alias("date"), context.alias("context"))
+    """An event per place of a date: ``doc, clause, raw_date, pattern, date, start, context, place``.
+
+    place: the event's number in its document, from 1, by date, then clause and start; what is
+    no date comes last.  The clause is carried along, not searched for; every place of a date
+    that is named more than once is an event with the context of its own.
+    """
+    found = find_all(clauses, [doc, clause], text, list(patterns), around)
+    dated = found.select(doc, clause, F.col("value").alias("raw_date"), "pattern", to_date(F.col("value")).alias("date"), "start", "context")
+    w = Window.partitionBy(doc).orderBy(F.asc_nulls_last("date"), clause, "start", "pattern")
+    return dated.withColumn("place", F.row_number().over(w))
 
 
 def summarize(clauses: DataFrame, doc: str, order: str, title: str, content: str, most: int = 15_000, blocks: int = 10) -> DataFrame:
-    """Per document its clauses as 【title】content up to ``most`` characters, its first sentences, and ids of its first blocks."""
+    """Per document its clauses as 【title】content up to ``most`` characters, and ids of its first blocks."""
     line = F.concat(F.lit("【"), F.coalesce(F.nullif(F.col(title), F.lit("")), F.lit("无标题")), F.lit("】"), F.coalesce(F.col(content), F.lit("")))
     each = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("_l")))), lambda r: r["_l"])
     ids = F.slice(F.array_sort(F.collect_list(F.col(order))), 1, blocks)

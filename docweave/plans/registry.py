@@ -493,7 +493,7 @@ WITH c AS (SELECT user_id, event_id, event_type || ' on ' || strftime(ts, '%Y-%m
 SELECT user_id, event_id, regexp_extract(text, '([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})', 1) AS raw_date, 'dash' AS pattern, CAST(regexp_extract(text, '([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})', 1) AS DATE) AS date FROM c""")
 def timeline(t) -> DataFrame:
     clauses = t("events").select("user_id", "event_id", F.concat(F.col("event_type"), F.lit(" on "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" for "), F.col("value").cast("string")).alias("text"))
-    return summaries.timeline(clauses, "user_id", "event_id", "text", [("dash", r"\d{4}-\d{1,2}-\d{1,2}"), ("ymd", r"\d{4}年\d{1,2}月\d{1,2}日")]).drop("context")
+    return summaries.timeline(clauses, "user_id", "event_id", "text", [("dash", r"\d{4}-\d{1,2}-\d{1,2}"), ("ymd", r"\d{4}年\d{1,2}月\d{1,2}日")]).drop("context", "start", "place")
 
 
 @query(f"""
@@ -533,4 +533,4 @@ def retrieval_context(t) -> DataFrame:
     return search.context_of(joined, "query_id", "rank", "title", "content", 10).select("query_id", F.md5("context").alias("digest"))
 
 
-from docweave.plans import chunk_queries, item_queries, nested_queries, rule_queries  # noqa: E402, F401  they register themselves
+from docweave.plans import chunk_queries, item_queries, nested_queries, rule_queries, search_queries  # noqa: E402, F401  they register themselves
