@@ -76,11 +76,11 @@ def overlay_spans(spans: DataFrame, key: str, label: str, labels: list[str], win
     """
     shift = F.col(window) * step if window else F.lit(0)
     placed = spans.select(key, (F.col("start") + shift).cast("bigint").alias("_s"), (F.col("end") + shift).cast("bigint").alias("_e"), F.col(label).alias("_l")).where(F.col("_l").isin(labels) & (F.col("_s") < F.col("_e")))
-    edge = lambda c, n: F.struct(F.col(c).alias("at"), F.lit(n).alias("d"))
+    edge = lambda c, n: F.struct(F.col(c).alias("_at"), F.lit(n).alias("_d"))
     edges = placed.select(key, "_l", F.inline(F.array(edge("_s", 1), edge("_e", -1))))
-    borders = edges.groupBy(key, "at").agg(*[F.sum(F.when(F.col("_l") == name, F.col("d")).otherwise(0)).alias(f"_{i}") for i, name in enumerate(labels)])
-    w = Window.partitionBy(key).orderBy("at")
-    open_ = borders.select(key, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *[F.sum(f"_{i}").over(w).alias(f"_{i}") for i in range(len(labels))])
+    borders = edges.groupBy(key, "_at").agg(*[F.sum(F.when(F.col("_l") == name, F.col("_d")).otherwise(0)).alias(f"_{i}") for i, name in enumerate(labels)])
+    w = Window.partitionBy(key).orderBy("_at")
+    open_ = borders.select(key, F.col("_at").alias("start"), F.lead("_at").over(w).alias("end"), *[F.sum(f"_{i}").over(w).alias(f"_{i}") for i in range(len(labels))])
     best = F.array_max(F.array(*[F.struct(F.col(f"_{i}").alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, name in enumerate(labels)]))
     voted = open_.where("end is not null").select(key, "start", "end", F.when(best["n"] > 0, best["label"]).otherwise(F.lit(default)).alias("label"))
     fresh = F.when(F.lag("label").over(w.orderBy("start")).eqNullSafe(F.col("label")), 0).otherwise(1)
