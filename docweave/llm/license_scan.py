@@ -211,6 +211,7 @@ def _oracle() -> str:
         + " AND ".join(f"ws[i + {k}] = '{x}'" if k else f"ws[i] = '{x}'" for k, x in enumerate(phrase.split()))
         for phrase, label in PHRASES.items()
     )
+    longest = max(len([w for w in re.split(BREAKS, text.lower()) if w]) for _, text in TEMPLATES)
     return rf"""
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
@@ -220,8 +221,11 @@ b AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY doc_id),
 t(label, ts) AS (VALUES
     {templates}),
-line AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
-block AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(line, '{brk}'), lambda x: x <> '')) AS bs FROM line),
+line AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, unnest(range(CAST(len(string_split(low, chr(10))) AS INT))) AS i FROM d),
+size AS (SELECT doc_id, i, CAST(len(list_filter(regexp_split_to_array(line, '{brk}'), lambda x: x <> '')) AS BIGINT) AS n FROM line),
+stop AS (SELECT doc_id, n, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS b FROM size),
+-- a line's words and as many behind it as the longest template has
+block AS (SELECT doc_id, list_distinct(ws[b - n + 1:b + {longest}]) AS bs FROM stop JOIN w USING (doc_id) WHERE n > 0),
 m AS (SELECT doc_id, label, len(list_intersect(bs, ts)) AS shared, len(ts) AS n FROM block CROSS JOIN t),
 hit AS (SELECT doc_id, label, max(CAST(shared AS DOUBLE) / n) AS score FROM m WHERE shared >= ceil(0.9 * n - 1e-9) GROUP BY doc_id, label),
 best AS (SELECT doc_id, max(score) AS score FROM hit GROUP BY doc_id),

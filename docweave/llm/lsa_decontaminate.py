@@ -8,7 +8,8 @@
    for positive semidefinite matrices (Tropp, Yurtsever, Udell and Cevher, 2017); three
    quarters of the test matrix are the benchmark's own leading directions, the others are
    random.  Benchmark passages weigh as much as all others together, so that the space tells
-   them apart.
+   them apart.  A space of RANK directions holds GROUP items; more items are fitted in groups,
+   each with a space of its own, so what is found doesn't depend on how many there are.
 3. Search: windows of every document, at three lengths, are projected and compared by
    cosine with what the space keeps of each benchmark item.  Places with RUN words of an
    item in a row are found by their hashes, too, so that copies don't depend on the rank.
@@ -28,7 +29,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import groupby, product
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ PASSAGE, STRIDE = 64, 32
 BLOCK = 8
 SEGMENT = 1 << 14  # words of a text that are looked at together
 MAX_ITEMS = 20_000
+#: Items that share a latent space: twice its rank, so that it can tell them apart.
+GROUP = 256
 TABLE = 1 << 20
 COUNTED = 1 << 21  # words that a task counts before it hands them on
 TOGETHER = 32  # passages that are multiplied together
@@ -481,19 +484,26 @@ LEAKS = "item_id bigint, start bigint, cosine double, subsequence double, answer
 Search = Callable[[np.ndarray, np.ndarray], tuple[list[int], list[tuple]]]
 
 
-def _searcher(encoded: DataFrame, total: int, benchmark: DataFrame, item: str, limits: Thresholds | None) -> tuple[Broadcast, Search] | None:
-    """The space, sent, and what finds leaks in some texts' places: (texts that leak, (item, start, scores) of each leak); None: nothing can leak."""
+def _searchers(encoded: DataFrame, total: int, benchmark: DataFrame, item: str, limits: Thresholds | None) -> list[tuple[Broadcast, Search]]:
+    """For every GROUP items their space, sent, and what finds leaks in some texts' places: (texts that leak, (item, start, scores) of each leak).
+
+    Nothing can leak where there are no items or documents.  Documents are counted once; the
+    passes of the fit and the work of a search grow with the number of groups.
+    """
     limits = limits or Thresholds()
     rows = benchmark.select(item, "text").where(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).orderBy(item, "text").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} benchmark items: search them in parts")
     if not rows or not total:
-        return None
-    item_ids, items = [r[item] for r in rows], [normalized(r["text"]) for r in rows]
+        return []
+    least = max(1.0, total * SHARE)
+    counted = document_frequencies(encoded, least)
+    return [_searcher(encoded, total, rows[at : at + GROUP], item, limits, least, *counted) for at in range(0, len(rows), GROUP)]
 
+
+def _searcher(encoded: DataFrame, total: int, rows: list, item: str, limits: Thresholds, least: float, frequent: np.ndarray, held: np.ndarray) -> tuple[Broadcast, Search]:
+    item_ids, items = [r[item] for r in rows], [normalized(r["text"]) for r in rows]
     item_words, item_bounds = word_hashes(items)
-    least = max(1.0, total * SHARE)
-    frequent, held = document_frequencies(encoded, least)
     words = np.unique(np.concatenate((item_words, frequent)))
     counts = np.full(len(words), least)
     counts[np.searchsorted(words, frequent)] = held
@@ -555,16 +565,15 @@ def find_leaks(
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, {LEAKS}"
     encoded = encode(docs, key, text)
-    found = _searcher(encoded, docs.count(), benchmark, item, limits)
-    if found is None:
+    searchers = _searchers(encoded, docs.count(), benchmark, item, limits)
+    if not searchers:
         return docs.sparkSession.createDataFrame([], schema)
-    sent, search = found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = sent.value[0]
         for batch in batches:
             rest = batch.drop_columns(["keys"])
-            for at in range(batch.num_rows):
+            for at, (sent, search) in product(range(batch.num_rows), searchers):
+                space = sent.value[0]
                 picked, out = search(*decode(rest.slice(at, 1).to_pylist()[0], space.words, space.slots))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -576,17 +585,17 @@ def find_leaks(
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that give away a benchmark item: every row goes or stays by its own text, whatever its key."""
-    found = _searcher(encode(docs.select(F.lit(0).alias("_k"), text), "_k", text), docs.count(), benchmark, "item_id", None)
-    if found is None:
+    searchers = _searchers(encode(docs.select(F.lit(0).alias("_k"), text), "_k", text), docs.count(), benchmark, "item_id", None)
+    if not searchers:
         return docs
-    (sent, search), place = found, docs.columns.index(text)
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = sent.value[0]
         for few in _small(batches):
             hashes, bounds = word_hashes(lowered(few.column(place)))
             kept = np.ones(few.num_rows, bool)
-            kept[search(space.index(hashes), bounds)[0]] = False
+            for sent, search in searchers:
+                kept[search(sent.value[0].index(hashes), bounds)[0]] = False
             yield few.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -331,3 +331,55 @@ def test_orders_of_forward_vectors_are_those_of_the_edits():
         costs, order = repair.forward(codes, repair.NONE)
         audits = {s: "".join(repair.edits_between(codes, repair.NONE, s)) for s in range(4) if costs[s] < repair.NEVER}
         assert sorted(audits, key=audits.get) == sorted(audits, key=lambda s: order[s]) and np.all(np.array(repair.backward(codes, 3))[0] >= costs[3])
+
+
+# -- 2 and 7 again --------------------------------------------------------------------------------
+
+
+def test_wrapped_notices_in_code_and_sql(spark):
+    import textwrap
+
+    import duckdb
+
+    from docweave.llm import license_scan
+
+    rng = random.Random(11)
+    rows = [(0, None), (1, ""), (2, "\n\n"), (3, "under the MIT\nlicense"), (4, "Licensed\nunder the Apache\nLicense, Version 2.0 and more")]
+    for _, notice in license_scan.TEMPLATES:
+        for width in (12, 30, 70):
+            before, after = (" ".join(rng.choices(["alpha", "beta", "gamma", "the", "license"], k=rng.randint(0, 40))) for _ in range(2))
+            rows.append((len(rows), f"{before}\n" + "\n".join(textwrap.wrap(notice, width)) + f"\n{after}"))
+            lost = notice.split()
+            del lost[:: rng.choice([2, 4, 9])]  # with too few of its words, or just enough
+            rows.append((len(rows), "\n".join(textwrap.wrap(" ".join(lost), width))))
+    got = sorted(map(tuple, license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    columns = "doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score"
+    want = sorted(con.execute(f"select {columns} from ({license_scan.ORACLE_SQL})").fetchall())
+    assert got == want and sum(r[6] != "" and r[5] == "" for r in got) > 20
+
+
+@pytest.mark.parametrize("n", [200, 1000, 5000])
+@pytest.mark.parametrize("kind", ["varied", "frequent"])
+def test_paraphrases_are_found_however_many_items_there_are(spark, n, kind):
+    """Items of 30 words, each once with every sixth word replaced, so that no run of 8 words is left."""
+    from docweave.llm import lsa_decontaminate
+
+    rng = np.random.default_rng(n)
+    size = 30_000 if kind == "frequent" else 10**9
+    draw = lambda k: [f"w{x}" for x in (rng.zipf(1.2, k * 4) % size if kind == "frequent" else rng.integers(0, size, k))[:k]]
+    items = [draw(30) for _ in range(n)]
+    docs = []
+    for i, words in enumerate(items):
+        own = list(words)
+        for at in range(3, 30, 6):
+            own[at] = f"other{i}x{at}"
+        docs.append((i, " ".join([*draw(20), *own, *draw(20)])))
+    clean = [(n + i, " ".join(draw(80))) for i in range(300)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = lsa_decontaminate.find_leaks(spark.createDataFrame(docs + clean, "doc_id bigint, text string"), benchmark).collect()
+    right = {r.doc_id for r in got if r.doc_id == r.item_id}
+    assert len(right) >= 0.9 * n
+    assert sum(r.doc_id >= n for r in got) <= 0.01 * n + 3  # clean documents
