@@ -100,6 +100,8 @@ TAG_PATTERNS = {
     "location": [rf"([^，,。\n]*{unit}[^，,。\n]*)" for unit in ("市", "省", "区")],
     "person": [r"法定代表人[：:]\s*([^，,。\n]+)", r"代表人[：:]\s*([^，,。\n]+)", r"联系人[：:]\s*([^，,。\n]+)", r"签字[：:]?\s*([^，,。\n]+)"],
 }
+#: Least and greatest length of a tag of a kind, where that is bounded.
+TAG_LENGTHS = {"location": (2, 10)}
 DATE_PATTERNS = [
     ("ymd", r"(\d{4})年(\d{1,2})月(\d{1,2})日"),
     ("dash", r"(\d{4})-(\d{1,2})-(\d{1,2})"),

@@ -117,6 +117,11 @@ def extract_tags(c: Column, patterns: list[str], shortest: int = 1, longest: int
     return F.array_sort(F.array_distinct(kept))
 
 
+def business_tags(c: Column, patterns: dict[str, list[str]] = rules.TAG_PATTERNS) -> dict[str, Column]:
+    """The tags of each kind, of the lengths that kind may have."""
+    return {kind: extract_tags(c, ps, *rules.TAG_LENGTHS.get(kind, (1, 2**31 - 1))) for kind, ps in patterns.items()}
+
+
 def to_date(raw: Column) -> Column:
     """A date from its digits: year, month, day, whatever stands between; null without a year or if there's none such."""
     digits = F.regexp_extract_all(raw, F.lit(r"(\d+)"), F.lit(1))

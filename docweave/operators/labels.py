@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import rules
-from docweave.functions.text import contains_any, first_rule, strip
+from docweave.functions.text import first_rule, strip
 from docweave.operators.once import compute_once
 
 
@@ -151,5 +151,19 @@ def rank_classes(text: Column, classes: list[tuple[str, list[str]]]) -> Column:
     return F.transform(kept, lambda h: F.struct(h["label"].alias("label"), (-h["s"] / most).alias("share")))
 
 
-def has_word(text: Column, words: list[str]) -> Column:
-    return contains_any(F.lower(text), words)
+#: Document types that have a domain of their own; any other is OTHER.
+DOMAIN_TYPES = ("CONTRACT", "AGREEMENT")
+
+
+def classify_document(title: Column, content: Column, types=rules.DOCUMENT_TYPES, domains=rules.CONTRACT_DOMAINS, with_domain: tuple[str, ...] = DOMAIN_TYPES) -> Column:
+    """``{type, type_confidence, domain, domain_confidence}`` by the words of title and content.
+
+    The first declared of equals wins, also with no word at all; a type outside ``with_domain``
+    has the domain OTHER with confidence 0.
+    """
+    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))
+    kind, domain = classify(text, types), classify(text, domains)
+    own = kind["label"].isin(*with_domain)
+    return F.struct(
+        kind["label"].alias("type"), kind["confidence"].alias("type_confidence"), F.when(own, domain["label"]).otherwise("OTHER").alias("domain"), F.when(own, domain["confidence"]).otherwise(0.0).alias("domain_confidence")
+    )

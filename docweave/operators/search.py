@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import dot
@@ -16,12 +16,6 @@ from docweave.operators.once import cut_lineage
 BLOCK_ROWS = 2048
 
 
-def top_k(table: DataFrame, vector: str, query: list[float], k: int, key: str) -> DataFrame:
-    """The k rows with the greatest inner product with one query, ids in order on ties."""
-    score = F.round(dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 6)
-    return table.withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
-
-
 def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """``size, ids, m``: up to BLOCK_ROWS vectors of one length, their ids as an array, the vectors as one matrix of doubles."""
     kind = dict(rows.dtypes)[key]
@@ -226,14 +220,36 @@ def nest_hits(hits: DataFrame, query: str = "query_id", rank: str = "rank", unit
     return every.select(query, F.row_number().over(order).alias("place"), unit_type, clause, item, score, "sub_items")
 
 
-def keyword_hits(tables: list[tuple[DataFrame, str, str, list[str]]], keyword: str) -> DataFrame:
-    """``unit_type, id, relevance`` over several (table, unit_type, id, columns): 1 where the keyword is in, in any case."""
+def keyword_hits(tables: list[tuple[DataFrame, str, str, list[str]]], keyword: str, equals: dict[str, object] | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """``unit_type, id, relevance`` over several (table, unit_type, id, columns): 1 where the keyword is in, in any case.
+
+    equals: values that columns such as region or doc_id must have; a table without the column
+    has no hits.  With a limit, that many from ``skip`` on: tables in the order given, then ids.
+    """
     out = None
-    for table, unit, key, columns in tables:
+    for i, (table, unit, key, columns) in enumerate(tables):
         any_of = F.lower(F.concat_ws("\n", *columns)).contains(keyword.lower())
-        hits = table.where(any_of).select(F.lit(unit).alias("unit_type"), F.col(key).cast("bigint").alias("id"), F.lit(1.0).alias("relevance"))
+        for c, v in (equals or {}).items():
+            any_of = any_of & (F.col(c) == F.lit(v) if c in table.columns else F.lit(False))
+        hits = table.where(any_of).select(F.lit(i).alias("_t"), F.lit(unit).alias("unit_type"), F.col(key).cast("bigint").alias("id"), F.lit(1.0).alias("relevance"))
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return (out if limit is None else out.orderBy("_t", "id").offset(skip).limit(limit)).drop("_t")
+
+
+def endpoint_hybrid(semantic: DataFrame, keyword: DataFrame, keys: list[str], limit: int, weights: tuple[float, float] = (0.7, 0.3), within: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``merge_hybrid`` as it is asked for: scores clamped to 0 to 1 on both sides, weights that add up to 1, the ``limit`` best of each query.
+
+    Both sides are cut to twice the limit per query before they meet, as each was asked for so
+    many; equals by key.  Adds ``rank``.
+    """
+    sides = []
+    for hits in (semantic, keyword):
+        w = Window.partitionBy(*within).orderBy(F.desc("score"), *keys)
+        clamped = hits.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score").cast("double"))))
+        sides.append(clamped.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2 * limit).drop("_r"))
+    merged = merge_hybrid(*sides, keys, normalize_weights(*weights)[0])
+    w = Window.partitionBy(*within).orderBy(F.desc("score"), *keys)
+    return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def merge_hybrid(semantic: DataFrame, keyword: DataFrame, keys: list[str], weight: float = 0.7) -> DataFrame:
@@ -257,5 +273,6 @@ def context_of(hits: DataFrame, key: str, rank: str, title: str, content: str, m
     return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, line.alias("line")))), lambda r: r["line"]), "\n\n").alias("context"))
 
 
-def vector_text(*parts: str):
+def vector_text(*parts: str) -> Column:
+    """What is embedded of an item: its number, title and content, those that aren't empty, with spaces between."""
     return F.concat_ws(" ", *[F.nullif(F.col(p), F.lit("")) for p in parts])

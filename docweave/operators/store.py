@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import like_any, storage_path
+from docweave.operators.once import cut_lineage
 
 
 def live(table: DataFrame) -> DataFrame:
@@ -168,12 +169,19 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return append(table, rows.join(table, key, "left_anti"))
 
 
-def deduplicate_uploads(files: DataFrame, key: str, content: str, extension: Column) -> DataFrame:
-    """Adds checksum, duplicate_of (the first row with the content; null for itself) and storage_path."""
+def deduplicate_uploads(files: DataFrame, key: str, content: str, extension: Column, known: DataFrame | None = None) -> DataFrame:
+    """Adds checksum, duplicate_of (the first row with the content; null for itself) and storage_path.
+
+    known: a table of files stored before (key, checksum), of which live rows count: a content
+    that is there is a duplicate of its first row, whatever else comes with this upload.
+    """
     summed = files.withColumn("checksum", F.sha2(content, 256))
     first = summed.groupBy("checksum").agg(F.min(key).alias("_first"))
-    out = summed.join(first, "checksum")
-    return out.withColumns({"duplicate_of": F.when(F.col("_first") != F.col(key), F.col("_first")), "storage_path": storage_path(F.col("checksum"), extension)}).drop("_first")
+    out = summed.join(first, "checksum").withColumn("_of", F.when(F.col("_first") != F.col(key), F.col("_first")))
+    if known is not None:
+        stored = live(known).where("checksum is not null").groupBy("checksum").agg(F.min(key).alias("_stored"))
+        out = out.join(stored, "checksum", "left").withColumn("_of", F.coalesce("_stored", "_of")).drop("_stored")
+    return out.withColumns({"duplicate_of": F.col("_of"), "storage_path": storage_path(F.col("checksum"), extension)}).drop("_first", "_of")
 
 
 def upload_errors(size: Column, mime: Column, most: int = 100 << 20) -> Column:
@@ -181,26 +189,38 @@ def upload_errors(size: Column, mime: Column, most: int = 100 << 20) -> Column:
     return F.when(size > most, "413 too large").when(~F.coalesce(mime.isin(allowed), F.lit(False)), "400 type not allowed")
 
 
-def ingest(items: DataFrame, order: str, content: str, embedding: str, batch: int = 100) -> DataFrame:
-    """Adds item_index (from 0), batch, and ``reason`` for items that can't be stored: no content, or no vector."""
-    placed = _numbered(items, order)
-    reason = F.when(F.coalesce(F.col(content), F.lit("")) == "", "empty content").when(F.col(embedding).isNull(), "no embedding")
-    return placed.withColumns({"batch": F.floor(F.col("item_index") / batch), "reason": reason})
+#: What a vector table holds where an item says nothing.
+INGEST_DEFAULTS = {"section_level": 0, "clause_order_index": 0, "item_order_index": 0}
 
 
-def _numbered(rows: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """item_index by ``order``, a number: counted in ranges of it, so that no task sorts all rows.
+def ingest(items: DataFrame, order: str, content: str, embedding: str, batch: int = 100, whole: bool = False) -> DataFrame:
+    """Adds item_index (from 0), batch, and ``reason`` for items that can't be stored: no content, or no vector.
 
-    The ranges are fixed by approximate quantiles first, so a row's range is the same
-    whenever it is worked out again.
+    whole: a batch with an item that has a content and no vector fails as a whole, as a model's
+    call does: its other items have the reason "batch failed".  INGEST_DEFAULTS fill nulls.
+    """
+    placed = _numbered(items, order).withColumn("batch", F.floor(F.col("item_index") / batch))
+    empty, none = F.coalesce(F.col(content), F.lit("")) == "", F.col(embedding).isNull()
+    reason = F.when(empty, "empty content").when(none, "no embedding")
+    if whole:
+        failed = placed.where(~empty & none).select("batch").distinct().withColumn("_failed", F.lit(True))
+        placed = placed.join(failed, "batch", "left")
+        reason = reason.when(F.col("_failed"), "batch failed")
+    filled = {c: F.coalesce(c, F.lit(v)) for c, v in INGEST_DEFAULTS.items() if c in items.columns}
+    return placed.withColumns({**filled, "reason": reason}).select(*items.columns, "item_index", "batch", "reason")
+
+
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """item_index by ``order``, of any type that can be sorted: counted in ranges of it, so that no task sorts all rows.
+
+    Sorted ranges are fixed on disk first, as many as the session's shuffles have, so a row's
+    range is the same whenever it is worked out again; each begins behind the ones before it.
     """
-    bounds = sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01)))
-    held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    placed = rows.withColumn("_p", F.size(F.filter(held, lambda b: b < F.col(order))))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    ranged = cut_lineage(rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     base = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row per range
     own = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return placed.withColumn("_i", own).join(base, "_p").withColumn("item_index", F.col("_base") + F.col("_i") - 1).drop("_p", "_i", "_base")
+    return ranged.withColumn("_i", own).join(base, "_p").withColumn("item_index", F.col("_base") + F.col("_i") - 1).drop("_p", "_i", "_base")
 
 
 def ingest_summary(ingested: DataFrame) -> DataFrame:

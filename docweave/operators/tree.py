@@ -19,6 +19,11 @@ from docweave.operators.once import cut_lineage
 NO_JSON, TOO_DEEP, ROWS = "is no JSON", "is nested too deeply", 5000
 
 
+#: Tags that a node may carry, and texts of a document's metadata.
+TAG_NAMES = ("role", "region", "nc_type", "score")
+METADATA_TEXTS = ("title", "type", "created_at", "file_url")
+
+
 def classify_elements(segments: DataFrame, text: str = "text", role: str = "role", nc_type: str = "nc_type") -> DataFrame:
     """Adds element_type (section, clause, clause_item; null: none), level_hint, number_token and title.
 
@@ -110,11 +115,16 @@ def merge_units(rows: DataFrame, key: str, order: str, starts: Column, text: str
 
 
 def group_by_number(rows: DataFrame, key: str, order: str, number: str, text: str, page: str | None = None) -> DataFrame:
-    """Document-wide groups of one number ('unknown' without): title is the first text, content the rest."""
+    """Document-wide groups of one number ('unknown' without): title is the first text, content the rest, ``segments`` their orders.
+
+    With ``page`` also ``pages``, the distinct pages that aren't null, ascending.
+    """
     each = F.array_sort(F.collect_list(F.struct(order, text)))
-    grouped = rows.groupBy(key, F.coalesce(F.col(number), F.lit("unknown")).alias("number")).agg(each.alias("_t"), F.count("*").alias("n"))
+    pages = [] if page is None else [F.array_sort(F.collect_set(page)).alias("pages")]
+    grouped = rows.groupBy(key, F.coalesce(F.col(number), F.lit("unknown")).alias("number")).agg(each.alias("_t"), F.count("*").alias("n"), *pages)
     texts = F.transform("_t", lambda r: r[text])
-    return grouped.select(key, "number", "n", F.get(texts, 0).alias("title"), F.trim(F.array_join(F.slice(texts, F.lit(2), F.size(texts)), "\n")).alias("content"))
+    content = F.trim(F.array_join(F.slice(texts, F.lit(2), F.size(texts)), "\n")).alias("content")
+    return grouped.select(key, "number", "n", F.get(texts, 0).alias("title"), content, F.transform("_t", lambda r: r[order]).alias("segments"), *(["pages"] if pages else []))
 
 
 def _read(text: str | None) -> tuple[object, str | None]:
@@ -154,11 +164,11 @@ def _nodes(root: object) -> Iterator[tuple[object, int, str | None]]:
         todo += [(child, level + 1, own) for child in reversed(_children(node))]
 
 
-NODE_FIELDS = {"id": ("id",), "title": ("title",), "content": ("content",), "role": ("content_tags", "role"), "region": ("content_tags", "region")}
+NODE_FIELDS = {"id": ("id",), "title": ("title",), "content": ("content",), **{t: ("content_tags", t) for t in ("role", "region", "nc_type", "score")}}
 
 
 def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
-    """Nested documents to rows in pre-order: ``key, order_index`` (from 1), ``level, id, parent_id, title, content, role, region, error``.
+    """Nested documents to rows in pre-order: ``key, order_index`` (from 1), ``level, id, parent_id, title, content, role, region, nc_type, score, error``.
 
     One pass: a document is read once and its nodes are passed on as they are met, so neither
     the plan nor the work of a node depends on how deep it lies.  A text that is no JSON is one
@@ -166,7 +176,7 @@ def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
     node without anything; numbers and objects in text fields are their JSON.
     """
     kind = docs.schema[key].dataType.simpleString()
-    names = ["order_index", "level", "id", "parent_id", "title", "content", "role", "region", "error"]
+    names = ["order_index", "level", "id", "parent_id", "title", "content", *TAG_NAMES, "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int32() if n in ("order_index", "level") else pa.string()) for n in names])
@@ -195,11 +205,11 @@ def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
             if made:
                 yield flush()
 
-    return docs.select(key, json).mapInArrow(run, f"`{key}` {kind}, order_index int, level int, id string, parent_id string, title string, content string, role string, region string, error string")
+    return docs.select(key, json).mapInArrow(run, f"`{key}` {kind}, order_index int, level int, id string, parent_id string, title string, content string, {', '.join(f'{t} string' for t in TAG_NAMES)}, error string")
 
 
 def assemble_json(rows: DataFrame, key: str, order: str = "order_index", level: str = "level") -> DataFrame:
-    """The inverse of ``flatten_json``: ``key, json`` of every document from its rows (id, title, content, role, region).
+    """The inverse of ``flatten_json``: ``key, json`` of every document from its rows (id, title, content and, where they are there, the tags).
 
     Rows come by ``order``, as ``flatten_json`` writes them: a level is at most one more than
     that of the row before, the least level is the top.  In JSON text that is brackets only: a node opens with its own
@@ -211,8 +221,9 @@ def assemble_json(rows: DataFrame, key: str, order: str = "order_index", level:
     w = Window.partitionBy(key).orderBy(order)
     held = rows.where(F.col(level).isNotNull())
     tops = Window.partitionBy(key)
-    tags = F.struct("role", "region")
-    named = F.to_json(F.struct("id", "title", "content", F.when(F.coalesce("role", "region").isNotNull(), tags).alias("content_tags")))
+    tags = [t for t in TAG_NAMES if t in rows.columns]
+    tagged = F.when(F.coalesce(*tags).isNotNull(), F.struct(*tags)).alias("content_tags") if tags else None
+    named = F.to_json(F.struct("id", "title", "content", *([] if tagged is None else [tagged])))
     before, after = F.lag(level).over(w), F.lead(level).over(w)
     depth = F.col("_depth")
     placed = held.select(key, order, F.col(level).alias("_l"), named.alias("_own"), before.alias("_b"), after.alias("_a"), F.min(level).over(tops).alias("_top"))
@@ -234,11 +245,6 @@ def tree_text(rows: DataFrame, key: str, order: str, kind: str, title: str, cont
     return lines.groupBy(key).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "_l"))), lambda r: r["_l"])), "\n\n").alias("text"))
 
 
-#: Tags that a node may carry, and texts of a document's metadata.
-TAG_NAMES = ("role", "region", "nc_type", "score")
-METADATA_TEXTS = ("title", "type", "created_at", "file_url")
-
-
 def _wrong_node(node: object) -> Iterator[str]:
     held = node if isinstance(node, dict) else {}
     if "id" not in held:
@@ -326,8 +332,16 @@ def item_tree(rows: DataFrame, key: str, item: str, parent: str) -> DataFrame:
     return out.where(F.col("p.depth").isNotNull() | F.col(f"r.{item}").isNull()).select("r.*", F.coalesce("p.depth", F.lit(0)).alias("depth"), "p.path")
 
 
-def sections_from_headings(segments: DataFrame, role: str = "role", kind: str = "block_type") -> DataFrame:
-    return segments.where((F.col(role) == "NON_CLAUSE") & (F.col(kind) == "heading"))
+def sections_from_headings(segments: DataFrame, key: str, order: str, text: str = "text", role: str = "role", kind: str = "block_type", level: str = "level", page: str = "page") -> DataFrame:
+    """Headings that are no clauses as sections: ``key, section_index`` (from 1), ``title, level, loc`` (segment and page).
+
+    A null level is 1.  The columns of level and page may be missing.
+    """
+    has = lambda c, other: F.col(c) if c in segments.columns else F.lit(other)
+    found = segments.where((F.col(role) == "NON_CLAUSE") & (F.col(kind) == "heading"))
+    index = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    loc = F.struct(F.col(order).alias("segment"), has(page, None).cast("int").alias("page"))
+    return found.select(key, index.alias("section_index"), strip(F.col(text)).alias("title"), F.coalesce(has(level, None).cast("int"), F.lit(1)).alias("level"), loc.alias("loc"))
 
 
 def items_by_pattern(segments: DataFrame, key: str, order: str, text: str, is_clause: Column) -> DataFrame:

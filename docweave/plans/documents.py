@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def ingest_items(units: DataFrame, key: str, title: Column | None = None) -> Dat
 
 def embed(items: DataFrame, content: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """Adds ``embedding`` by a plugged-in model, a batch of texts at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in model(texts.fillna("").tolist())])

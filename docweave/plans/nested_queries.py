@@ -35,7 +35,7 @@ flat AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY p
 SELECT user_id, order_index, level, id, parent_id, title, content, role, NULL AS error FROM flat
 UNION ALL SELECT user_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'is no JSON' FROM d WHERE NOT json_valid(j)""")
 def nested_flatten(t) -> DataFrame:
-    return tree.flatten_json(nested_events(t), "user_id", "j").drop("region")
+    return tree.flatten_json(nested_events(t), "user_id", "j").drop("region", "nc_type", "score")
 
 
 _JUDGED = """'{"metadata": {"id": 1}, "structure": ' || j || '}'"""

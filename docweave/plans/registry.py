@@ -469,7 +469,7 @@ k AS (SELECT l_orderkey, o, coalesce(number, 'unknown') AS number FROM r)
 SELECT l_orderkey, number, count(*) AS n, min(o)::VARCHAR AS title, array_to_string(list(o::VARCHAR ORDER BY o)[2:], chr(10)) AS content FROM k GROUP BY l_orderkey, number""")
 def group_by_number(t) -> DataFrame:
     rows = _numbers(t).withColumn("body", F.col("o").cast("string"))
-    return tree.group_by_number(rows, "l_orderkey", "o", "number", "body")
+    return tree.group_by_number(rows, "l_orderkey", "o", "number", "body").drop("segments")
 
 
 @query("""
@@ -533,4 +533,4 @@ def retrieval_context(t) -> DataFrame:
     return search.context_of(joined, "query_id", "rank", "title", "content", 10).select("query_id", F.md5("context").alias("digest"))
 
 
-from docweave.plans import chunk_queries, item_queries, nested_queries, rule_queries, search_queries  # noqa: E402, F401  they register themselves
+from docweave.plans import chunk_queries, item_queries, nested_queries, rule_queries, search_queries, structure_queries  # noqa: E402, F401  they register themselves

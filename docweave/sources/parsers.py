@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +24,21 @@ def parse_text(docs: DataFrame, key: str, text: str, separator: str = "\n\n") ->
 
 
 class _Blocks(HTMLParser):
-    """Texts of headings, paragraphs, lists, tables, quotes and divisions; nested ones repeat their text."""
+    """Headings, paragraphs, lists, tables, quotes and divisions as ranges of the page's texts; nested ones have ranges inside others.
+
+    Every text is kept once.  An element is where it begins and ends among the texts, so reading
+    is linear in the page, however deep its elements lie and whatever is never closed.
+    """
 
     KINDS = {**{f"h{i}": ("heading", i) for i in range(1, 7)}, "p": ("paragraph", 1), "ul": ("list", 1), "ol": ("list", 1), "table": ("table", 1), "blockquote": ("quote", 1), "div": ("paragraph", 1)}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, list[str]]] = []
-        self.found: list[tuple[int, str, str, int]] = []
-        self.count, self.silent = 0, 0
+        self.open: list[tuple[str, int]] = []
+        self.opened: Counter[str] = Counter()
+        self.texts: list[str] = []
+        self.found: list[list] = []
+        self.silent = 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("script", "style"):
@@ -38,32 +46,59 @@ class _Blocks(HTMLParser):
         elif tag in self.KINDS:
             if tag == "p" and self.open and self.open[-1][0] == "p":
                 self.handle_endtag("p")
-            self.open.append((tag, self.count, []))
-            self.count += 1
+            self.open.append((tag, len(self.found)))
+            self.opened[tag] += 1
+            self.found.append([len(self.texts), None, *self.KINDS[tag]])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
-        elif any(t == tag for t, _, _ in self.open):
+        elif self.opened[tag]:
             while self.open:
-                name, at, parts = self.open.pop()
-                kind, level = self.KINDS[name]
-                self.found.append((at, " ".join("".join(parts).split()), kind, level))
+                name, at = self.open.pop()
+                self.opened[name] -= 1
+                self.found[at][1] = len(self.texts)
                 if name == tag:
                     break
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            for _, _, parts in self.open:
-                parts.append(data)
+        if not self.silent and self.open:
+            self.texts.append(data)
 
 
-def html_blocks(content: str) -> list[tuple[str, str, int]]:
+def html_elements(content: str) -> tuple[list[str], list[tuple[int, int, str, int]]]:
+    """The texts of a page inside its elements, and (begin, end, kind, level) of every element in page order: its texts are those from begin up to end."""
     parser = _Blocks()
     parser.feed(content)
-    while parser.open:
-        parser.handle_endtag(parser.open[-1][0])
-    return [(text, kind, level) for _, text, kind, level in sorted(parser.found) if text]
+    parser.close()
+    end = len(parser.texts)
+    return parser.texts, [(a, end if b is None else b, kind, level) for a, b, kind, level in parser.found]
+
+
+def html_blocks(content: str) -> list[tuple[str, str, int]]:
+    texts, elements = html_elements(content)
+    blocks = ((" ".join("".join(texts[a:b]).split()), kind, level) for a, b, kind, level in elements)
+    return [b for b in blocks if b[0]]
+
+
+def parse_html_ranges(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """``key, texts, elements`` (begin, end, block_type, level) of every page: what ``parse`` has as repeated texts, each text once.
+
+    The text of an element is ``F.array_join(F.slice("texts", begin + 1, end - begin), "")``; so a page
+    of many nested or unclosed elements costs no more than its length.  Null pages have neither.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    fields = [("begin", pa.int32()), ("end", pa.int32()), ("block_type", pa.string()), ("level", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                read = [html_elements(c or "") for c in part.column(1).to_pylist()]
+                elements = [[dict(zip(("begin", "end", "block_type", "level"), e, strict=True)) for e in found] for _, found in read]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in read], pa.list_(pa.string())), pa.array(elements, pa.list_(pa.struct(fields)))], names=[key, "texts", "elements"])
+
+    return docs.select(key, html).mapInArrow(run, f"`{key}` {kind}, texts array<string>, elements array<struct<begin:int,end:int,block_type:string,level:int>>")
 
 
 def markdown_blocks(content: str) -> list[tuple[str, str, int]]:
