@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from docweave.functions import rules
 
 #: White space of all scripts, the ideographic space included.
-SPACE = r"[\s\u0085   -     　\x1c-\x1f]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space of any script at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -130,8 +130,9 @@ def to_date(raw: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Inner product in doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    """Inner product in doubles; 0 where it is no finite number."""
+    inner = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.get(F.transform(F.array(inner), lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)), 0)
 
 
 def like_any(columns: list[Column], keyword: str) -> Column:

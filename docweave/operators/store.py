@@ -43,9 +43,15 @@ FILTER_FIELDS = ("doc_id", "unit_type", "region")
 
 
 def safe_filter(table: DataFrame, filters: dict, fields: tuple[str, ...] = FILTER_FIELDS) -> DataFrame:
-    """Equality or membership on allowed fields; other names and None are ignored; values are never put into SQL text."""
+    """Equality or membership on allowed fields; other names and None are ignored; values are never put into SQL text.
+
+    A name that can't be a column's (letters, digits and underscores, no digit first) is refused
+    even where it would be ignored: it was meant for something else.
+    """
     out = table
     for name, value in filters.items():
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+            raise ValueError(f"no field: {name}")
         if name in fields and value is not None:
             if not isinstance(value, (str, int, float, list)):
                 raise ValueError(f"filter on {name}: {type(value).__name__}")
@@ -83,6 +89,12 @@ def page(table: DataFrame, order: list, skip: int = 0, limit: int = 100) -> Data
     return table.orderBy(*order).offset(skip).limit(limit).withColumn("page", F.lit(skip // limit + 1))
 
 
+def page_of_owners(table: DataFrame, owners: list[str], order: list[str], skip: int, limit: int) -> DataFrame:
+    """Of every owner's live rows those from ``skip`` on, ``limit`` at most, with their ``place`` from 1; null owners are an owner."""
+    place = F.row_number().over(Window.partitionBy(*owners).orderBy(*order))
+    return live(table).withColumn("place", place).where((F.col("place") > skip) & (F.col("place") <= skip + limit))
+
+
 def counts(table: DataFrame, key: str, cap: int | None = None) -> DataFrame:
     n = F.count("*")
     return live(table).groupBy(key).agg((F.least(n, F.lit(cap)) if cap else n).alias("n"))

@@ -14,11 +14,11 @@ from docweave.operators import labels, segments, tree
 from docweave.operators.joins import asof_join
 
 
-def labelled_units(docs: DataFrame, key: str, text: str, least: str = "1", **rule_sets) -> DataFrame:
-    """Paragraphs, labelled and scored, those of level ``least`` and up, merged into units that begin at titles."""
+def labelled_units(docs: DataFrame, key: str, text: str, from_level: str = "1", **rule_sets) -> DataFrame:
+    """Paragraphs, labelled and scored, those of level ``from_level`` and up, merged into units that begin at titles."""
     parts = labels.label_segments(segments.split_segments(docs, key, text), **rule_sets)
     scored = parts.withColumn("_s", labels.score_b(F.col("region"), F.col("nc_type"), F.col("role"))).select("*", "_s.score", "_s.score_float").drop("_s")
-    kept = labels.keep_from(scored, "score", least)
+    kept = labels.keep_from(scored, "score", from_level)
     units = tree.merge_units(kept, key, "seg_id", F.coalesce(F.col("nc_type") == "TITLE", F.lit(False)), "text", "score_float")
     return units.withColumn("level", labels.regrade(F.col("score"), F.col("n")))
 

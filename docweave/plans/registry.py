@@ -533,4 +533,4 @@ def retrieval_context(t) -> DataFrame:
     return search.context_of(joined, "query_id", "rank", "title", "content", 10).select("query_id", F.md5("context").alias("digest"))
 
 
-from docweave.plans import chunk_queries, item_queries, nested_queries, rule_queries, search_queries, structure_queries  # noqa: E402, F401  they register themselves
+from docweave.plans import chunk_queries, item_queries, nested_queries, rule_queries, search_queries, structure_queries, table_queries  # noqa: E402, F401  they register themselves
