@@ -38,11 +38,27 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage: later stages read the files, also after an executor is lost.
+    ``discard`` deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that ``settle`` wrote and nothing reads any more; others are left alone.
+
+    What was made from them must be settled itself, so that no lost executor asks for them again.
+    """
+    for t in tables:
+        path = None if t is None else t.__dict__.pop("_settled", None)
+        if path is not None:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -111,8 +127,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         .distinct()
     )
     while True:
-        tasks = math.ceil(e.count() / LINKS_PER_TASK)
+        tasks, before = math.ceil(e.count() / LINKS_PER_TASK), e
         e = settle(e.coalesce(max(1, tasks)).mapInArrow(_contract, "lo bigint, hi bigint"))
+        discard(before)
         if tasks <= 1:
             break
         # large star: neighbours larger than u go to the smallest of u's neighbourhood
@@ -139,6 +156,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         # done when it is a forest of stars: no id is both a centre and a leaf, none has two centres
         leaves = small.groupBy("hi").agg(F.count("*").alias("n"))
         bad = leaves.where("n > 1").select("hi").unionByName(small.select(F.col("lo").alias("hi")).distinct().join(leaves, "hi", "left_semi"))
+        discard(e)
         e = small
         if bad.isEmpty():
             break

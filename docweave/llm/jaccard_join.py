@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import connected_components, settle
+from docweave.llm.common import connected_components, discard, settle
 from docweave.llm.shingles import Sets, mix, set_ids, shingle_sets, slots, word_hashes
 
 WORDS = 5
@@ -459,7 +459,9 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     entries = shared_entries(lists, percent, math.ceil(total / BUCKET_TEXT) + 6)
 
     links, sketches = settle(light_links(lists)), sketch_table(lists)
-    couples, large = split_lists(entries, percent)
+    own, couples, large = split_lists(entries, percent)
+    discard(entries)
+    done = [lists, own, large, nodes]  # what nothing reads once all links are on disk
     tried, labelled = None, large.withColumns({"component": F.col("set_id"), "members": F.lit(1)})
     for k in range(PIVOT_ROUNDS):
         pairs = _pivot_pairs(labelled, percent, k)
@@ -470,36 +472,41 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
         stars = best.select("a", F.explode(F.array_distinct(F.array("one", "two"))).alias("b"), "n_a")
         stars = settle(stars.unionByName(near.where("couple").select("a", "b", "n_a")).distinct())
         found = verify(stars, docs, nodes, key, text, percent)
+        done += [links, near, stars, labelled]
         links, tried = settle(links.unionByName(found)), stars.select("a", "b") if tried is None else tried.unionByName(stars.select("a", "b"))
         labelled = settle(_open_lists(labelled, connected_components(links)))
 
     # what is left: sets of one list in different components
     left = labelled.select("set_id").distinct()
     known = sketches.join(left, "set_id", "left_semi").dropDuplicates(["set_id"])
-    across = across_lists(labelled.join(known, "set_id"), _first_shared(percent) & _near_sketches(percent))
+    across = across_lists(labelled, known, _first_shared(percent) & _near_sketches(percent))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = settle(across.join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(verify(across, docs, nodes, key, text, percent))
+    every = settle(links.unionByName(verify(across, docs, nodes, key, text, percent)))
+    discard(*done, links, labelled, across)
+    return every
 
 
-def across_lists(open_lists: DataFrame, meets: Column) -> DataFrame:
+def across_lists(open_lists: DataFrame, sketches: DataFrame, meets: Column) -> DataFrame:
     """``a, b, n_a``, a < b: pairs of sets of one list (``shingle``) and different components that ``meets`` lets pass.
 
     In a list every set outside its largest component is held against every set, in squares of
     about SQUARE by SQUARE sets, so that no task gets a long list whole; inside the largest
-    component nothing is.  ``meets``: over columns with the suffixes _a and _b.
+    component nothing is.  sketches: one of each set (``set_id, sketch``), which its entries get
+    once their square is known.  ``meets``: over columns with the suffixes _a and _b.
     """
     parts = open_lists.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     sizes = parts.groupBy("shingle").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("large"))
     sides = lambda c: F.ceil(c / SQUARE).cast("int")
     sizes = sizes.select("shingle", F.col("large.component").alias("large"), sides(F.col("all") - F.col("large.size")).alias("rows"), sides(F.col("all")).alias("columns"))
     placed = open_lists.join(sizes, "shingle")
-    columns = ("set_id", "n", "place", "component", "sketch")
+    columns = ("set_id", "n", "place", "component")
     own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "set_id"), F.greatest(n, F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    few = placed.where("component <> large").select("shingle", own(F.col("rows"), 1).alias("i"), every(F.col("columns")).alias("j"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    all_ = placed.where("rows > 0").select("shingle", every(F.col("rows")).alias("i"), own(F.col("columns"), 2).alias("j"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    pairs = few.join(all_, ["shingle", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & meets)
+    few = placed.where("component <> large").select("shingle", own(F.col("rows"), 1).alias("i"), every(F.col("columns")).alias("j"), *columns)
+    all_ = placed.where("rows > 0").select("shingle", every(F.col("rows")).alias("i"), own(F.col("columns"), 2).alias("j"), *columns)
+    a, b = (side.join(sketches, "set_id").select("shingle", "i", "j", *[F.col(c).alias(f"{c}_{name}") for c in (*columns, "sketch")]) for side, name in ((few, "a"), (all_, "b")))
+    pairs = a.join(b, ["shingle", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & meets)
     least, most = F.least("set_id_a", "set_id_b"), F.greatest("set_id_a", "set_id_b")
     return pairs.select(least.alias("a"), most.alias("b"), F.when(least == F.col("set_id_a"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a")).distinct()
 
@@ -513,8 +520,8 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs
 
 
-def split_lists(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``a, b, n_a, n_b, couple`` of lists with two sets, and the entries, each once, of larger ones (on disk).
+def split_lists(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The entries, each once (on disk), ``a, b, n_a, n_b, couple`` of lists with two sets, and the entries of larger ones (on disk).
 
     Most lists hold two sets: they are done with their one pair and take no part in what follows.
     """
@@ -523,7 +530,7 @@ def split_lists(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     lists = own.groupBy("shingle").agg(F.count("*").alias("sets"), F.min(ends).alias("x"), F.max(ends).alias("y"))
     couples = lists.where("sets = 2").select(*[F.col(f"{p}.{c}").alias(f"{c}_{q}") for p, q in ("xa", "yb") for c in ("set_id", "n", "place")])
     couples = couples.where(_first_shared(percent)).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b", F.lit(True).alias("couple")).distinct()
-    return couples, settle(own.join(lists.where("sets > 2").select("shingle"), "shingle", "left_semi"))
+    return own, couples, settle(own.join(lists.where("sets > 2").select("shingle"), "shingle", "left_semi"))
 
 
 def _open_lists(entries: DataFrame, found: DataFrame) -> DataFrame:

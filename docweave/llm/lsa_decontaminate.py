@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import settle
+from docweave.llm.common import discard, settle
 from docweave.llm.shingles import ROLL, mix, word_hashes
 
 #: Words that a smaller share of the documents holds all weigh like one at this share; only
@@ -585,7 +585,9 @@ def find_leaks(
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that give away a benchmark item: every row goes or stays by its own text, whatever its key."""
-    searchers = _searchers(encode(docs.select(F.lit(0).alias("_k"), text), "_k", text), docs.count(), benchmark, "item_id", None)
+    encoded = encode(docs.select(F.lit(0).alias("_k"), text), "_k", text)
+    searchers = _searchers(encoded, docs.count(), benchmark, "item_id", None)
+    discard(encoded)  # the search reads texts
     if not searchers:
         return docs
     place = docs.columns.index(text)

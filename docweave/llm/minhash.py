@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import connected_components, settle
+from docweave.llm.common import connected_components, discard, settle
 from docweave.llm.jaccard_join import SKETCH, _near_sketches, _open_lists, _sketch_bits, _sketches, _small, _texts, across_lists, name_components, verify
 from docweave.llm.shingles import set_ids, shingle_sets
 
@@ -100,7 +100,9 @@ def prefixes(signed: DataFrame, matches: int) -> DataFrame:
     own = own.where(F.size("posts") >= matches).select("set_id", F.posexplode(looked_up).alias("place", "entry"))
     entries = settle(own.select(F.col("entry.post").alias("shingle"), "set_id", "place").join(signed.select("set_id", F.col("n").cast("int").alias("n")), "set_id"))
     shared = entries.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
-    return settle(entries.join(shared, "shingle", "left_semi"))
+    kept = settle(entries.join(shared, "shingle", "left_semi"))
+    discard(entries)
+    return kept
 
 
 def collide(pairs: DataFrame, signed: DataFrame, percent: int, matches: int) -> DataFrame:
@@ -133,7 +135,7 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     nodes = settle(rows.where(F.col(key).isNotNull()).groupBy("set_id").agg(F.min(key).alias("_doc")))
     signed = settle(rows.where("signature is not null").select("set_id", "n", "signature", "sketch").dropDuplicates(["set_id"]))
     entries = prefixes(signed, matches)
-    links, tried = None, None
+    links, tried, done = None, None, [nodes, signed, entries]
     labelled = entries.withColumns({"component": F.col("set_id"), "members": F.lit(1)})
     for k in range(ROUNDS):
         pairs = _pivot_pairs(labelled, k)
@@ -143,16 +145,19 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
         best = near.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("one"), F.min_by("b", F.xxhash64("b")).alias("two"), F.first("n_a").alias("n_a"))
         stars = settle(best.select("a", F.explode(F.array_distinct(F.array("one", "two"))).alias("b"), "n_a"))
         found = verify(stars, docs, nodes, key, text, percent, WORDS)
+        done += [links, near, stars, labelled]
         links = settle(found if links is None else links.unionByName(found))
         tried = stars.select("a", "b") if tried is None else tried.unionByName(stars.select("a", "b"))
         labelled = settle(_open_lists(labelled, connected_components(links)))
 
     # what is left: sets of one list in different components
     known = signed.select("set_id", "sketch").join(labelled.select("set_id").distinct(), "set_id", "left_semi")
-    across = across_lists(labelled.join(known, "set_id"), _near_sketches(percent)).select("a", "b")
+    across = across_lists(labelled, known, _near_sketches(percent)).select("a", "b")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = settle(collide(across.join(tried, ["a", "b"], "left_anti"), signed, percent, matches))
-    return links.unionByName(verify(across, docs, nodes, key, text, percent, WORDS))
+    every = settle(links.unionByName(verify(across, docs, nodes, key, text, percent, WORDS)))
+    discard(*done, links, labelled, across)  # nothing reads them once all links are on disk
+    return every
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, matches: int = MATCHES) -> DataFrame:

@@ -160,9 +160,10 @@ def test_minhash_group_of_near_copies(spark, monkeypatch):
 
 def test_lists_are_split_and_only_sets_outside_the_largest_component_meet_all(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SQUARE", 4)
-    rows = [(1, i, 10, 0, 0 if i < 20 else i, [0] * 16) for i in range(26)] + [(2, i, 10, 0, i, [0] * 16) for i in range(5)] + [(3, i, 10, 0, 3, [0] * 16) for i in range(9)]
-    lists = spark.createDataFrame(rows, "shingle bigint, set_id bigint, n int, place int, component bigint, sketch array<bigint>")
-    got = {(r.a, r.b) for r in jaccard_join.across_lists(lists, F.lit(True)).collect()}
+    rows = [(1, i, 10, 0, 0 if i < 20 else i) for i in range(26)] + [(2, i, 10, 0, i) for i in range(5)] + [(3, i, 10, 0, 3) for i in range(9)]
+    lists = spark.createDataFrame(rows, "shingle bigint, set_id bigint, n int, place int, component bigint")
+    sketches = spark.createDataFrame([(i, [0] * 16) for i in range(26)], "set_id bigint, sketch array<bigint>")
+    got = {(r.a, r.b) for r in jaccard_join.across_lists(lists, sketches, F.lit(True)).collect()}
     assert got == {(a, b) for a, b in itertools.combinations(range(26), 2) if b >= 20} | set(itertools.combinations(range(5), 2))
 
 
