@@ -10,10 +10,9 @@ from docweave.functions.text import lstrip, strip
 
 def split_segments(docs: DataFrame, key: str, text: str, separator: str = "\n", dense: bool = True) -> DataFrame:
     """``key, seg_id, text``: stripped, blank ones dropped; seg_id counts from 0, without gaps if ``dense``."""
-    pieces = docs.select(key, F.posexplode(F.split(text, separator)).alias("seg_id", "_raw")).select(key, "seg_id", strip(F.col("_raw")).alias("text"))
-    kept = pieces.where("text <> ''")
     if not dense:
-        return kept
+        pieces = docs.select(key, F.posexplode(F.split(text, separator)).alias("seg_id", "_raw")).select(key, "seg_id", strip(F.col("_raw")).alias("text"))
+        return pieces.where("text <> ''")
     # counted inside the row's own array: no shuffle by document
     cleaned = F.filter(F.transform(F.split(text, separator), strip), lambda s: s != "")
     return docs.select(key, F.posexplode(cleaned).alias("seg_id", "text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import rules
 from docweave.functions.text import stable_id
-from docweave.operators import labels, segments, tree
+from docweave.operators import labels, search, segments, tree
 from docweave.operators.joins import asof_join
 
 
@@ -42,10 +42,39 @@ def ingest_items(units: DataFrame, key: str, title: Column | None = None) -> Dat
     )
 
 
-def embed(items: DataFrame, content: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """Adds ``embedding`` by a plugged-in model, a batch of texts at a time."""
+Model = Callable[[list[str]], list[list[float]]]
+#: Embedding models by name, as callers add them.
+MODELS: dict[str, Model] = {}
+
+
+def register_model(name: str, model: Model) -> None:
+    MODELS[name] = model
+
+
+def embed(items: DataFrame, content: str, model: str | Model, out: str = "embedding") -> DataFrame:
+    """Adds ``out`` by a model, plugged in or registered by name, a batch of texts at a time; null texts are empty ones."""
+    if isinstance(model, str):
+        if model not in MODELS:
+            raise ValueError(f"no model {model}: register it; known: {', '.join(sorted(MODELS)) or 'none'}")
+        model = MODELS[model]
+    call = model
+
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in model(texts.fillna("").tolist())])
+        return pd.Series([list(map(float, v)) for v in call(texts.fillna("").tolist())])
+
+    return items.withColumn(out, vectors(F.col(content)))
+
+
+def search_texts(queries: DataFrame, table: DataFrame, key: str, text: str, model: str | Model, k: int, unit_type: str = "unit_type", clause: str = "clause") -> DataFrame:
+    """Texts looked for in a table of vectors: ``query_id, place, unit_type, clause, <key>, score, sub_items``.
 
-    return items.withColumn("embedding", vectors(F.col(content)))
+    queries: key and text; table: key, ``embedding``, unit type and clause.  The texts are
+    embedded by the model that made the table's vectors, the k nearest by cosine found, and
+    items put under the clauses that were found before them (``search.nest_hits``).  Only the
+    hits' rows are looked up.
+    """
+    asked = search.unit_vectors(embed(queries.select(key, text), text, model), "embedding")
+    hits = search.search_all(asked, search.unit_vectors(table.select(key, "embedding"), "embedding"), key, "embedding", k)
+    known = hits.join(table.select(key, unit_type, clause), key)
+    return search.nest_hits(known, unit_type=unit_type, clause=clause, item=key)

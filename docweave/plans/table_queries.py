@@ -172,3 +172,25 @@ def capped_children(t) -> DataFrame:
     found = items.with_children(t("customer").select("c_custkey"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", ["o_orderkey"], [], "orders").where(F.size("orders") > 0)
     first = F.transform(F.slice("orders", 1, 3), lambda o: o["o_orderkey"].cast("string"))
     return found.select(F.col("c_custkey").alias("o_custkey"), F.array_join(first, ",").alias("first_orders"), F.size("orders").cast("bigint").alias("n"))
+
+
+_FOUND = """
+v AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS b FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, a / sqrt(a * a + b * b) AS a, b / sqrt(a * a + b * b) AS b FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.doc_id AS query_id, t.doc_id, round(q.a * t.a + q.b * t.b, 6) AS score FROM u q, u t WHERE q.doc_id % 50 = 0)),
+h AS (SELECT query_id, rank, doc_id, doc_id % 25 AS clause, CASE WHEN doc_id % 3 = 0 THEN 'CLAUSE' ELSE 'CLAUSE_ITEM' END AS unit_type, score FROM r WHERE rank <= 30),
+f AS (SELECT query_id, clause, min(rank) AS first, arg_min(rank, (-score, rank)) AS best FROM h WHERE unit_type = 'CLAUSE' GROUP BY ALL),
+p AS (SELECT h.*, f.first, f.best FROM h LEFT JOIN f USING (query_id, clause)),
+s AS (SELECT query_id, clause, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS sub FROM p WHERE unit_type = 'CLAUSE_ITEM' AND rank > best GROUP BY ALL),
+e AS (SELECT p.*, 0 AS alone, first AS met FROM p WHERE unit_type = 'CLAUSE' AND rank = best UNION ALL SELECT p.*, 1, rank FROM p WHERE unit_type = 'CLAUSE_ITEM' AND (first IS NULL OR rank < first))"""
+
+
+@query(f"""
+WITH {_FOUND}
+SELECT e.query_id, CAST(row_number() OVER (PARTITION BY e.query_id ORDER BY score DESC, alone, met) AS INT) AS place, unit_type, e.clause, doc_id, score, CASE WHEN alone = 0 THEN coalesce(sub, '') ELSE '' END AS sub_items
+FROM e LEFT JOIN s USING (query_id, clause)""")
+def search_texts(t) -> DataFrame:
+    docs = t("documents").where("text <> ''")
+    table = documents.embed(docs, "text", _lengths).select("doc_id", "embedding", F.when(F.col("doc_id") % 3 == 0, "CLAUSE").otherwise("CLAUSE_ITEM").alias("unit_type"), (F.col("doc_id") % 25).alias("clause"))
+    found = documents.search_texts(docs.where("doc_id % 50 = 0"), table, "doc_id", "text", _lengths, 30)
+    return found.withColumn("sub_items", F.array_join(F.transform("sub_items", lambda s: s["item"].cast("string")), ","))

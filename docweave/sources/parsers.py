@@ -6,7 +6,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from docweave.functions.text import block_type, strip
 
 Parser = Callable[[str], list[tuple[str, str, int]]]
+#: Characters of blocks that are passed on at once.
+BATCH_CHARS = 4 << 20
 
 
 def parse_text(docs: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
@@ -147,13 +148,27 @@ def parse(docs: DataFrame, key: str, content: str, file_type: str) -> DataFrame:
     if file_type not in PARSERS:
         raise ValueError(f"no parser for {file_type}: register one")
     parser, kind = PARSERS[file_type], docs.schema[key].dataType.simpleString()
+    fields = pa.schema([("pos", pa.int32()), ("text", pa.string()), ("block_type", pa.string()), ("level", pa.int32())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, *b) for k, c in zip(batch[key], batch[content], strict=True) for i, b in enumerate(parser(c or ""))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "text", "block_type", "level"])
+    def packed(batch: pa.RecordBatch, at: list[int], rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *pa.RecordBatch.from_pylist(rows, schema=fields).columns], names=[key, *fields.names])
 
-    return docs.select(key, content).mapInPandas(run, f"`{key}` {kind}, pos int, text string, block_type string, level int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, size = [], [], 0
+            contents = batch.column(1)
+            for i in range(batch.num_rows):
+                blocks = parser(contents[i].as_py() or "")
+                at += [i] * len(blocks)
+                rows += [{"pos": k, "text": t, "block_type": kind_, "level": level} for k, (t, kind_, level) in enumerate(blocks)]
+                size += sum(len(t) for t, _, _ in blocks)
+                if rows and (size > BATCH_CHARS or i == batch.num_rows - 1):
+                    yield packed(batch, at, rows)
+                    at, rows, size = [], [], 0
+            if rows:
+                yield packed(batch, at, rows)
+
+    return docs.select(key, content).mapInArrow(run, f"`{key}` {kind}, pos int, text string, block_type string, level int")
 
 
 def read_binary_files(spark, path: str) -> DataFrame:

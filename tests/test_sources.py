@@ -122,6 +122,10 @@ def test_units_and_their_vectors(spark):
     rows = documents.ingest_items(units, "k")
     made = documents.embed(rows, "content", lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
     assert {r.k for r in made} == {"d"} and all(r.embedding == [float(len(r.content)), 1.0] and r.unit_type == "CLAUSE" and len(r.item_id) == 64 for r in made)
+    documents.register_model("lengths", lambda texts: [[float(len(t))] for t in texts])
+    assert documents.embed(frame(spark, [(None,)], "content string"), "content", "lengths").first().embedding == [0.0]
+    with pytest.raises(ValueError, match="no model other: register it; known: lengths"):
+        documents.embed(docs, "t", "other")
     parts = frame(spark, [("1.", None, "c"), ("", "t", ""), (None, None, None)], "n string, t string, c string")
     assert [r.v for r in parts.select(search.vector_text("n", "t", "c").alias("v")).collect()] == ["1. c", "t", ""]
 
