@@ -88,11 +88,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in counts.items():
-            terms = sorted(n)
-            columns = [[None, *terms], [0, *[n[t] for t in terms]], [0, *[docs[t] for t in terms]]]
+            columns = [[None, *n], [0, *n.values()], [0, *[docs[t] for t in n]]]
             for at in range(0, len(columns[0]), 20_000):
                 term, k, d = (c[at : at + 20_000] for c in columns)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array([source] * len(k)), pa.array(term, pa.binary()).cast(pa.string()), pa.array(k, pa.int64()), pa.array(d, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(k)), pa.repeat(source, len(k)), pa.array(term, pa.binary()).cast(pa.string()), pa.array(k, pa.int64()), pa.array(d, pa.int64())], schema=schema)
         counts.clear()
 
     held = 0
@@ -114,12 +113,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """On disk: ``lang, source, term, n, docs``, and a row with a null term for every lang and source."""
+    """On disk: ``lang, source, term, n, docs``, and a row with a null term for every lang and source.
+
+    Tasks have added up their texts' counts themselves, so these are dealt out by term as they
+    are; adding them up once more before that would find little to add.
+    """
     empty = F.lit("")
     rows = docs.select(*[F.coalesce(F.col(c), empty).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     texts = rows.mapInArrow(_collapse, _COLLAPSED)
     together = texts.repartition("lang", "digest").sortWithinPartitions("lang", "digest")
-    return settle(together.mapInArrow(_count, _COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    counted = together.mapInArrow(_count, _COUNTED).repartition("lang", "term")
+    return settle(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
