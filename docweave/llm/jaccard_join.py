@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import connected_components, discard, settle
+from docweave.llm.common import collect_garbage, connected_components, discard, settle, tidily
 from docweave.llm.shingles import Sets, mix, set_ids, shingle_sets, slots, word_hashes
 
 WORDS = 5
@@ -157,7 +157,7 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
                 columns[column] = pa.array(values[part].astype(np.int64))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return settle(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, set_id bigint, n bigint, slot int, words bigint, bits bigint"))
+    return settle(docs.select(key, text).mapInArrow(tidily(run), f"`{key}` {kind}, set_id bigint, n bigint, slot int, words bigint, bits bigint"))
 
 
 def word_levels(measured: DataFrame) -> np.ndarray:
@@ -274,7 +274,7 @@ def write_lists(docs: DataFrame, text: str, levels: np.ndarray, frequent: np.nda
                 size = 0
         yield from flush()
 
-    return settle(docs.select(text).mapInArrow(run, "block string, kind string, a binary, b binary, c binary"))
+    return settle(docs.select(text).mapInArrow(tidily(run), "block string, kind string, a binary, b binary, c binary"))
 
 
 def is_early(place, n, percent: int):
@@ -432,7 +432,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
         return t.select(["set_id", "pivot"]).filter(pa.array(similar)).rename_columns(["a", "b"])
 
     kind = docs.schema[key].dataType.simpleString()
-    bodies = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("text"), slot(key).alias("slot")).mapInArrow(send, f"_doc {kind}, body binary")
+    bodies = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("text"), slot(key).alias("slot")).mapInArrow(tidily(send), f"_doc {kind}, body binary")
     rows = bodies.join(wanted, "_doc").select("set_id", "pivot", "g", "is_pivot", "body")
     return rows.groupBy("pivot", "g").applyInArrow(run, "a bigint, b bigint")
 
@@ -461,6 +461,7 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     links, sketches = settle(light_links(lists)), sketch_table(lists)
     own, couples, large = split_lists(entries, percent)
     discard(entries)
+    collect_garbage(docs)
     done = [lists, own, large, nodes]  # what nothing reads once all links are on disk
     tried, labelled = None, large.withColumns({"component": F.col("set_id"), "members": F.lit(1)})
     for k in range(PIVOT_ROUNDS):
@@ -484,6 +485,7 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     across = settle(across.join(tried, ["a", "b"], "left_anti"))
     every = settle(links.unionByName(verify(across, docs, nodes, key, text, percent)))
     discard(*done, links, labelled, across)
+    collect_garbage(docs)
     return every
 
 

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import discard, settle
+from docweave.llm.common import collect_garbage, discard, settle, tidily
 from docweave.llm.shingles import ROLL, mix, word_hashes
 
 #: Words that a smaller share of the documents holds all weigh like one at this share; only
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
         if words:
             yield from _counted(*_merged(words, counts), few.schema.field(0).type)
 
-    return settle(docs.select(key, text).mapInArrow(run, f"keys array<{kind.simpleString()}>, bounds binary, words binary, places binary, word bigint, docs bigint"))
+    return settle(docs.select(key, text).mapInArrow(tidily(run), f"keys array<{kind.simpleString()}>, bounds binary, words binary, places binary, word bigint, docs bigint"))
 
 
 def _row(keys: pa.Array, bounds: bytes, words: bytes, places: bytes, kind: pa.DataType) -> pa.RecordBatch:
@@ -304,7 +304,7 @@ def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np
             random = np.random.default_rng(11).standard_normal((len(idf), size - 3 * size // 4), np.float32)
             yield from _parts(np.linalg.qr(np.hstack([leading_directions(item_parts(), len(idf), 3 * size // 4), random]))[0])
 
-    test = _matrix(spark.range(1, numPartitions=1).mapInArrow(begin, schema).collect(), size, len(words))
+    test = _matrix(spark.range(1, numPartitions=1).mapInArrow(tidily(begin), schema).collect(), size, len(words))
     shared = spark.sparkContext.broadcast((test, idf, words, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +334,8 @@ def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np
         product += np.float32(max([1, *(r["n"] for r in rows)]) / max(1, sum(len(w) for _, w in own))) * _product(iter(own), test)[0]
         yield from _parts(nystroem(test, product, rank))
 
-    summed = batches.select("bounds", "words", "places").coalesce(FIT_TASKS).mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
-    rows = summed.repartition(1).mapInArrow(finish, schema).collect()  # one matrix
+    summed = batches.select("bounds", "words", "places").coalesce(FIT_TASKS).mapInArrow(tidily(run), schema).groupBy("part").applyInArrow(add, schema)
+    rows = summed.repartition(1).mapInArrow(tidily(finish), schema).collect()  # one matrix
     shared.destroy()
     vectors = _matrix(rows, len(rows[0]["m"]) // 4 // min(PART, len(words)), len(words)) if rows else np.zeros((len(words), rank), np.float32)
     return Space(words, idf.astype(np.float64), unknown, vectors)
@@ -580,7 +580,7 @@ def find_leaks(
                 keys = batch.column(0)[at].values.take(pa.array(picked, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, "item_id", "start", "cosine", "subsequence", "answer"])
 
-    return batches_of(encoded).mapInArrow(run, schema)
+    return batches_of(encoded).mapInArrow(tidily(run), schema)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -588,6 +588,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     encoded = encode(docs.select(F.lit(0).alias("_k"), text), "_k", text)
     searchers = _searchers(encoded, docs.count(), benchmark, "item_id", None)
     discard(encoded)  # the search reads texts
+    collect_garbage(docs)
     if not searchers:
         return docs
     place = docs.columns.index(text)
@@ -600,4 +601,4 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
                 kept[search(sent.value[0].index(hashes), bounds)[0]] = False
             yield few.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidily(run), docs.schema)

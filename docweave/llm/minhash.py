@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import connected_components, discard, settle
+from docweave.llm.common import collect_garbage, connected_components, discard, settle, tidily
 from docweave.llm.jaccard_join import SKETCH, _near_sketches, _open_lists, _sketch_bits, _sketches, _small, _texts, across_lists, name_components, verify
 from docweave.llm.shingles import set_ids, shingle_sets
 
@@ -77,7 +77,7 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
             sketched = [row.tolist() if fresh else None for row, fresh in zip(_sketches(sets), new.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids), pa.array(sizes), pa.array(signed, pa.binary()), pa.array(sketched, pa.list_(pa.int64()))], names=[key, "set_id", "n", "signature", "sketch"])
 
-    return settle(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, set_id bigint, n bigint, signature binary, sketch array<bigint>"))
+    return settle(docs.select(key, text).mapInArrow(tidily(run), f"`{key}` {kind}, set_id bigint, n bigint, signature binary, sketch array<bigint>"))
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +157,7 @@ def find_links(docs: DataFrame, measured: DataFrame, key: str, text: str, percen
     across = settle(collide(across.join(tried, ["a", "b"], "left_anti"), signed, percent, matches))
     every = settle(links.unionByName(verify(across, docs, nodes, key, text, percent, WORDS)))
     discard(*done, links, labelled, across)  # nothing reads them once all links are on disk
+    collect_garbage(docs)
     return every
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import settle
+from docweave.llm.common import settle, tidily
 
 #: Words in each generation of a task's cache.
 CACHED_WORDS = 600_000
@@ -167,7 +167,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "source", "part", "part_start", "n", "ids"])
 
     plain = docs.select(F.col(key), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return settle(plain.mapInArrow(run, schema))
+    return settle(plain.mapInArrow(tidily(run), schema))
 
 
 @dataclass(frozen=True)
@@ -297,5 +297,5 @@ def pack(
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(picked, pa.int64())), *[pa.array(v, t) for v, t in zip(out, types, strict=True)]], names=names_out)
 
     placed = tokens.join(starts, ["part", "source"]).select(key, "source", (F.col("queue_start") + F.col("part_start")).alias("x"), "n", "ids")
-    return placed.mapInArrow(cut, schema)
+    return placed.mapInArrow(tidily(cut), schema)
 
