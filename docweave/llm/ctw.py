@@ -19,10 +19,15 @@ How it runs:
 1. One pass cuts the rows into blocks of text and writes them, with the block's distinct
    (context, byte) pairs and words, and how often training rows hold them.  All else works
    on these, so no text is shuffled until the end.
-2. Pairs are summed over blocks.  The trees grow bottom-up and the mixture goes top-down:
-   deep levels in groups of whole subtrees, the upper levels as DataFrame steps.
-3. Every block gets back the code lengths of its own pairs, and only those, and scores its
-   texts.  A task holds a block and its slice of the model, never the model.
+2. Pairs are summed over blocks, by bucket.  A block is dealt out into at most FAN buckets;
+   where the corpus needs more, that many blocks are merged, and the merged rows dealt out
+   into finer buckets, as often as it takes.  So the rows are at most FAN a block and step,
+   and twice the corpus makes twice the rows, not four times.  The trees grow bottom-up and
+   the mixture goes top-down: deep levels in groups of whole subtrees, the upper levels as
+   DataFrame steps.
+3. Every block gets back the code lengths of its own pairs, and only those, on the way the
+   pairs came, and scores its texts.  A task holds a block and its slice of the model, never
+   the model.  Code lengths travel as 32-bit floats; sums over a text are 64-bit.
 """
 
 from __future__ import annotations
@@ -44,6 +49,7 @@ DEPTH = 5  # bytes of context: with the byte itself 48 bits of a 64-bit number
 END = b"\xff"  # ends every text; no UTF-8 text holds this byte
 NEAR = 3  # contexts up to this long are grouped by Spark, longer ones within groups
 BLOCK_BYTES = 16 << 20
+FAN = 509  # buckets that a block, or a merged group of them, is dealt out into at most; odd
 STEP_BYTES = 1 << 20
 LN2, LN_PI = math.log(2), math.log(math.pi)
 
@@ -134,6 +140,75 @@ def count_pairs(texts: list[bytes], learn: list[bool], end: bytes = b"") -> tupl
     return _merge(kept) if kept else (np.array([], np.uint64), np.array([], np.int64))
 
 
+def moduli(buckets: int, fan: int = FAN) -> list[int]:
+    """Numbers of buckets by step: each divides the next one, which is at most ``fan`` times as large; the last is ``buckets`` or a little more.
+
+    All are odd if ``buckets`` and ``fan`` are: a key's lowest bits are the byte alone.
+    """
+    steps = [min(buckets, fan)]
+    while steps[-1] < buckets:
+        steps.append(steps[-1] * min(fan, -(-buckets // steps[-1]) | 1))
+    return steps
+
+
+class Pairs:
+    """Rows of (context, byte) keys, sorted, and a number for each."""
+
+    kind, values = "pairs", "<f4"
+    merge = staticmethod(_merge)
+
+    @staticmethod
+    def keys(a: bytes) -> np.ndarray:
+        return _unpack_sorted(a)
+
+    @staticmethod
+    def deal(keys: np.ndarray, counts: np.ndarray, buckets: int, width: str) -> Iterator[tuple[int, bytes, bytes]]:
+        of = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        keys, counts, of = keys[order], counts[order], of[order]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+            yield int(of[i]), _pack_sorted(keys[i:j]), _compress(counts[i:j].astype(width).tobytes())
+
+    @staticmethod
+    def lookup(known: list[tuple[np.ndarray, np.ndarray]]):
+        keys, values = (np.concatenate(x) for x in zip(*known, strict=True))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        return lambda wanted: values[np.searchsorted(keys, wanted)]
+
+
+class Words:
+    """Rows of words and a number for each."""
+
+    kind, values = "words", "<i8"
+
+    @staticmethod
+    def keys(a: bytes) -> list[bytes]:
+        return _decompress(a).split(b" ")
+
+    @staticmethod
+    def merge(kept: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
+        total: dict[bytes, int] = {}
+        for words, counts in kept:
+            for w, n in zip(words, counts.tolist(), strict=True):
+                total[w] = total.get(w, 0) + n
+        return list(total), np.array(list(total.values()), np.int64)
+
+    @staticmethod
+    def deal(words: list[bytes], counts: np.ndarray, buckets: int, width: str) -> Iterator[tuple[int, bytes, bytes]]:
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(_word_bucket(w, buckets), []).append(i)
+        for bucket, mine in by.items():
+            yield bucket, _compress(b" ".join([words[i] for i in mine])), _compress(counts[mine].astype(width).tobytes())
+
+    @staticmethod
+    def lookup(known: list[tuple[list[bytes], np.ndarray]]):
+        of = {w: n for words, values in known for w, n in zip(words, values.tolist(), strict=True)}
+        return lambda wanted: np.array([of[w] for w in wanted], np.int64)
+
+
 def write_blocks(docs: DataFrame, key: str, text: str, learn: Column, buckets: int) -> DataFrame:
     """On disk, rows of three kinds: a block's texts; its pairs and its words by bucket."""
     kind = docs.schema[key].dataType.simpleString()
@@ -142,21 +217,13 @@ def write_blocks(docs: DataFrame, key: str, text: str, learn: Column, buckets: i
     def rows(block: str, ids: list, texts: list[bytes], learns: list[bool]) -> Iterator[dict]:
         sizes = np.array([len(t) for t in texts], "<i8").tobytes()
         yield {"block": block, "kind": "text", "bucket": -1, "ids": ids, "sizes": sizes, "learn": bytes(learns), "a": _compress_all(texts), "b": None}
-        keys, counts = count_pairs(texts, learns, END)
-        of = (keys % np.uint64(buckets)).astype(np.int32)
-        for bucket in range(buckets):
-            mine = of == bucket
-            if mine.any():
-                yield {"block": block, "kind": "pairs", "bucket": bucket, "a": _pack_sorted(keys[mine]), "b": _compress(counts[mine].astype("<u4").tobytes())}
+        for bucket, keys, counts in Pairs.deal(*count_pairs(texts, learns, END), buckets, "<u4"):
+            yield {"block": block, "kind": "pairs", "bucket": bucket, "a": keys, "b": counts}
         words: Counter = Counter()
         for t, x in zip(texts, learns, strict=True):
             words.update(t.split()) if x else words.update(dict.fromkeys(t.split(), 0))
-        by: dict[int, list[bytes]] = {}
-        for w in words:
-            by.setdefault(_word_bucket(w, buckets), []).append(w)
-        for bucket, ws in by.items():
-            counts = np.array([words[w] for w in ws], "<u4").tobytes()
-            yield {"block": block, "kind": "words", "bucket": bucket, "a": _compress(b" ".join(ws)), "b": _compress(counts)}
+        for bucket, ws, counts in Words.deal(list(words), np.array(list(words.values()), np.int64), buckets, "<u4"):
+            yield {"block": block, "kind": "words", "bucket": bucket, "a": ws, "b": counts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -309,53 +376,94 @@ def code_lengths(pairs: DataFrame, groups: int) -> DataFrame:
 # -- sums over blocks, and back ------------------------------------------------------------
 
 
-def sum_pairs(blocks: DataFrame) -> DataFrame:
-    """``key, n, bucket`` over all blocks; a group is one bucket, of which there are more the more text there is."""
+def _merged(rows_of: type[Pairs] | type[Words], width: str, buckets: int):
+    """The function that merges the members of a group and bucket and deals them out into finer ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        kept = [(_unpack_sorted(a), np.frombuffer(_decompress(b), "<u4").astype(np.int64)) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+        kept = [(rows_of.keys(a), np.frombuffer(_decompress(b), width).astype(np.int64)) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+        bucket, a, b = zip(*rows_of.deal(*rows_of.merge(kept), buckets, "<i8"), strict=True)
+        return pa.table({"member": pa.array([t["up"][0].as_py()] * len(a), pa.string()), "bucket": pa.array(bucket, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def steps_up(blocks: DataFrame, rows_of: type[Pairs] | type[Words], buckets: list[int]) -> list[DataFrame]:
+    """Per step of ``buckets`` the rows ``member, bucket, a, b, up``: members are blocks, then merged groups of members.
+
+    up: the group that a member is merged into.  A group has about as many members as it is
+    dealt out into, so it holds no more than a block does.
+    """
+    rows = blocks.where(F.col("kind") == rows_of.kind).select(F.col("block").alias("member"), "bucket", "a", "b")
+    members, out = None, []
+    for i, (size, finer) in enumerate(zip(buckets, buckets[1:], strict=False)):
+        members = blocks.where("kind = 'text'").count() if members is None else members
+        members = max(1, math.ceil(members * size / finer))
+        rows = rows.withColumn("up", F.pmod(F.crc32(F.concat(F.lit(f"{i} "), "member")), F.lit(members)).cast("string"))
+        out.append(rows)
+        merged = _merged(rows_of, "<u4" if i == 0 else "<i8", finer)
+        rows = settle(rows.groupBy("up", "bucket").applyInArrow(merged, "member string, bucket int, a binary, b binary"))
+    return [*out, rows]
+
+
+def sum_pairs(rows: DataFrame, width: str) -> DataFrame:
+    """``key, n`` over the rows of the last step; a group is one bucket, of which there are more the more text there is."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kept = [(_unpack_sorted(a), np.frombuffer(_decompress(b), width).astype(np.int64)) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
         keys, counts = _merge(kept)
-        return pa.table({"key": keys.astype(np.int64), "n": counts, "bucket": pa.array([t["bucket"][0].as_py()] * len(keys), pa.int32())})
+        return pa.table({"key": keys.astype(np.int64), "n": counts})
 
-    return blocks.where("kind = 'pairs'").select("bucket", "a", "b").groupBy("bucket").applyInArrow(run, "key bigint, n bigint, bucket int")
+    return rows.select("bucket", "a", "b").groupBy("bucket").applyInArrow(run, "key bigint, n bigint")
 
 
-def sum_words(blocks: DataFrame) -> DataFrame:
-    """Per block and bucket its words and their counts over all blocks; the bucket's totals on its first row."""
+def sum_words(rows: DataFrame, width: str) -> DataFrame:
+    """Per member and bucket of the last step its words and their counts over all; the bucket's totals on its first row."""
 
     def run(t: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        lists = [_decompress(a).split(b" ") for a in t["a"].to_pylist()]
-        for words, b in zip(lists, t["b"].to_pylist(), strict=True):
-            for w, n in zip(words, np.frombuffer(_decompress(b), "<u4").tolist(), strict=True):
-                total[w] = total.get(w, 0) + n
+        lists = [Words.keys(a) for a in t["a"].to_pylist()]
+        words, counts = Words.merge([(ws, np.frombuffer(_decompress(b), width)) for ws, b in zip(lists, t["b"].to_pylist(), strict=True)])
+        total = dict(zip(words, counts.tolist(), strict=True))
         n_rows = len(lists)
         return pa.table(
             {
-                "block": t["block"], "kind": pa.array(["words"] * n_rows), "a": t["a"],
-                "b": pa.array([_compress(np.array([total[w] for w in words], "<i8").tobytes()) for words in lists], pa.binary()),
+                "member": t["member"], "bucket": t["bucket"], "a": t["a"],
+                "b": pa.array([_compress(np.array([total[w] for w in ws], "<i8").tobytes()) for ws in lists], pa.binary()),
                 "n": pa.array([sum(total.values()), *[0] * (n_rows - 1)], pa.int64()),
                 "v": pa.array([sum(n > 0 for n in total.values()), *[0] * (n_rows - 1)], pa.int64()),
             }
         )
 
-    rows = blocks.where("kind = 'words'").select("block", "bucket", "a", "b")
-    return settle(rows.groupBy("bucket").applyInArrow(run, "block string, kind string, a binary, b binary, n bigint, v bigint"))
+    grouped = rows.select("member", "bucket", "a", "b").groupBy("bucket")
+    return settle(grouped.applyInArrow(run, "member string, bucket int, a binary, b binary, n bigint, v bigint"))
 
 
-def lengths_by_block(blocks: DataFrame, lengths: DataFrame, buckets: int) -> DataFrame:
-    """Per block and bucket its pairs and their log10p."""
+def lengths_by_member(rows: DataFrame, lengths: DataFrame, buckets: int) -> DataFrame:
+    """Per member and bucket of the last step its pairs and their log10p."""
 
     def run(mine: pa.Table, model: pa.Table) -> pa.Table:
-        keys = model["key"].to_numpy().astype(np.uint64)
-        order = np.argsort(keys)
-        keys, values = keys[order], model["log10p"].to_numpy()[order]
-        found = [_compress(values[np.searchsorted(keys, _unpack_sorted(a))].astype("<f4").tobytes()) for a in mine["a"].to_pylist()]
-        return pa.table({"block": mine["block"], "kind": pa.array(["pairs"] * len(found), pa.string()), "a": mine["a"], "b": pa.array(found, pa.binary())})
+        find = Pairs.lookup([(model["key"].to_numpy().astype(np.uint64), model["log10p"].to_numpy())])
+        found = [_compress(find(_unpack_sorted(a)).astype("<f4").tobytes()) for a in mine["a"].to_pylist()]
+        return pa.table({"member": mine["member"], "bucket": mine["bucket"], "a": mine["a"], "b": pa.array(found, pa.binary())})
 
-    left = blocks.where("kind = 'pairs'").select("block", "bucket", "a").groupBy("bucket")
+    left = rows.select("member", "bucket", "a").groupBy("bucket")
     right = lengths.select("key", "log10p", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")).groupBy("bucket")
-    return left.cogroup(right).applyInArrow(run, "block string, kind string, a binary, b binary")
+    return left.cogroup(right).applyInArrow(run, "member string, bucket int, a binary, b binary")
+
+
+def steps_down(steps: list[DataFrame], rows_of: type[Pairs] | type[Words], buckets: list[int], found: DataFrame) -> DataFrame:
+    """``block, kind, a, b``: what the last step's members ``found``, handed down to the members that they were merged from."""
+
+    def run(mine: pa.Table, known: pa.Table) -> pa.Table:
+        find = rows_of.lookup([(rows_of.keys(a), np.frombuffer(_decompress(b), rows_of.values)) for a, b in zip(known["a"].to_pylist(), known["b"].to_pylist(), strict=True)])
+        values = [_compress(find(rows_of.keys(a)).astype(rows_of.values).tobytes()) for a in mine["a"].to_pylist()]
+        return pa.table({"member": mine["member"], "bucket": mine["bucket"], "a": mine["a"], "b": pa.array(values, pa.binary())})
+
+    for rows, size in zip(reversed(steps[:-1]), reversed(buckets[:-1]), strict=True):
+        found = settle(found)
+        left = rows.select("member", "bucket", "a", "up").groupBy("up", "bucket")
+        right = found.select(F.col("member").alias("up"), F.pmod("bucket", F.lit(size)).alias("coarse"), "a", "b").groupBy("up", "coarse")
+        found = left.cogroup(right).applyInArrow(run, "member string, bucket int, a binary, b binary")
+    return found.select(F.col("member").alias("block"), F.lit(rows_of.kind).alias("kind"), "a", "b")
 
 
 def _score_texts(texts: Iterable[bytes], n: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -372,10 +480,11 @@ def _score_texts(texts: Iterable[bytes], n: int, keys: np.ndarray, values: np.nd
     return total
 
 
-def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", fan: int = FAN) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` of every row.
 
-    learn: the rows to learn from; null counts as true.  score: log10 of the model's
+    learn: the rows to learn from; null counts as true.  fan: buckets that a block is dealt
+    out into at most (odd); the rows don't depend on it but for the last digits.  score: log10 of the model's
     probability of the text, A-Z lower-cased, and its end; bits_per_byte: the code length
     of the same over its bytes and end.  base_score: the add-one unigram's.
     A null text is empty (one token: the end); texts of any length are read whole; repeated
@@ -383,14 +492,16 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     empty table gives no rows; other columns are ignored.
     """
     size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).alias("n"), F.sum(F.when(F.coalesce(learn, F.lit(True)), 1).otherwise(0)).alias("ends")).first()
-    buckets = 2 * math.ceil((size["n"] or 0) / BLOCK_BYTES) + 7  # odd
+    buckets = moduli(2 * math.ceil((size["n"] or 0) / BLOCK_BYTES) + 7, fan)  # odd
+    width = "<u4" if len(buckets) == 1 else "<i8"
     ends = size["ends"] or 0
-    blocks = write_blocks(docs, key, text, learn, buckets)
-    words = sum_words(blocks)
+    blocks = write_blocks(docs, key, text, learn, buckets[0])
+    by_words, by_pairs = (steps_up(blocks, rows_of, buckets) for rows_of in (Words, Pairs))
+    words = sum_words(by_words[-1], width)
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     train, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
-    pairs = settle(sum_pairs(blocks))
-    lengths = lengths_by_block(blocks, code_lengths(pairs.select("key", "n"), buckets), buckets)
+    pairs = settle(sum_pairs(by_pairs[-1], width))
+    lengths = lengths_by_member(by_pairs[-1], code_lengths(pairs, buckets[-1]), buckets[-1])
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
@@ -434,7 +545,7 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
             )
         return pa.concat_tables(out)
 
-    model = lengths.unionByName(words.select("block", "kind", "a", "b"))
+    model = steps_down(by_pairs, Pairs, buckets, lengths).unionByName(steps_down(by_words, Words, buckets, words.select("member", "bucket", "a", "b")))
     texts = blocks.where("kind = 'text'").select("block", "ids", "sizes", "learn", "a")
     return texts.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(score, schema)
 

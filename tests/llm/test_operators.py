@@ -124,6 +124,34 @@ def test_ctw_beats_unigrams_on_held_out(spark):
     assert held.bits < 3.3  # of about log2(10) = 3.3 per letter if words were not learnt
 
 
+def test_ctw_deals_out_in_steps(spark, docs, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(0, 90)))) for i in range(300)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")).repartition(12, "doc_id")
+    learn = F.col("doc_id") % 3 != 0
+    plain = sorted(map(tuple, ctw.score_texts(texts, learn).collect()), key=str)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 12_000)
+    seen, up = [], ctw.steps_up
+    monkeypatch.setattr(ctw, "steps_up", lambda blocks, rows_of, buckets: seen.append((buckets, up(blocks, rows_of, buckets))) or seen[-1][1])
+    got = sorted(map(tuple, ctw.score_texts(texts, learn, fan=5).collect()), key=str)
+    assert len(got) == len(plain) == len(rows) + len(DOCS)
+    for a, b in zip(got, plain, strict=True):
+        assert a[:5] == b[:5] and all(abs(x - y) <= 1e-6 * max(1, abs(y)) for x, y in zip(a[5:], b[5:], strict=True))
+    for buckets, steps in seen:
+        assert len(steps) == len(buckets) == 3 and steps[0].select("member").distinct().count() > 5
+        for size, finer in zip(buckets, buckets[1:], strict=False):
+            assert finer % size == 0 and finer // size <= 5
+        for k, step in enumerate(steps):  # fan rows a block, and one a bucket, not blocks times buckets
+            assert step.count() <= buckets[0] * steps[0].select("member").distinct().count() + sum(buckets[1 : k + 1])
+
+
+def test_ctw_moduli():
+    for buckets in [7, 509, 511, 10_001, 12_000_001]:
+        steps = ctw.moduli(buckets)
+        assert steps[-1] >= buckets and all(b % a == 0 and b // a <= ctw.FAN for a, b in zip(steps, steps[1:], strict=False)) and steps[0] <= ctw.FAN
+        assert all(n % 2 for n in steps) and steps[-1] <= 2 * buckets + ctw.FAN
+
+
 # -- 2: licenses ----------------------------------------------------------------------------------
 
 
