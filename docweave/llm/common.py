@@ -113,6 +113,26 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(new)))
 
 
+#: Buckets that a block of rows, or a merged group of blocks, is dealt out into at most; odd.
+FAN = 509
+
+
+def moduli(buckets: int, fan: int = FAN) -> list[int]:
+    """Numbers of buckets by step: each divides the next one, which is at most ``fan`` times as large; the last is ``buckets`` or a little more.
+
+    All are odd if ``buckets`` and ``fan`` are: a key's lowest bits are the byte alone.
+    """
+    steps = [min(buckets, fan)]
+    while steps[-1] < buckets:
+        steps.append(steps[-1] * min(fan, -(-buckets // steps[-1]) | 1))
+    return steps
+
+
+def group_of(member: str, step: int, groups: int) -> Column:
+    """The group, of so many, that a member is merged into after a step."""
+    return F.pmod(F.crc32(F.concat(F.lit(f"{step} "), member)), F.lit(groups)).cast("string")
+
+
 #: Links that one task contracts.
 LINKS_PER_TASK = 500_000
 

@@ -43,13 +43,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import settle
+from docweave.llm.common import FAN, group_of, moduli, settle
 
 DEPTH = 5  # bytes of context: with the byte itself 48 bits of a 64-bit number
 END = b"\xff"  # ends every text; no UTF-8 text holds this byte
 NEAR = 3  # contexts up to this long are grouped by Spark, longer ones within groups
 BLOCK_BYTES = 16 << 20
-FAN = 509  # buckets that a block, or a merged group of them, is dealt out into at most; odd
 STEP_BYTES = 1 << 20
 LN2, LN_PI = math.log(2), math.log(math.pi)
 
@@ -140,17 +139,6 @@ def count_pairs(texts: list[bytes], learn: list[bool], end: bytes = b"") -> tupl
     return _merge(kept) if kept else (np.array([], np.uint64), np.array([], np.int64))
 
 
-def moduli(buckets: int, fan: int = FAN) -> list[int]:
-    """Numbers of buckets by step: each divides the next one, which is at most ``fan`` times as large; the last is ``buckets`` or a little more.
-
-    All are odd if ``buckets`` and ``fan`` are: a key's lowest bits are the byte alone.
-    """
-    steps = [min(buckets, fan)]
-    while steps[-1] < buckets:
-        steps.append(steps[-1] * min(fan, -(-buckets // steps[-1]) | 1))
-    return steps
-
-
 class Pairs:
     """Rows of (context, byte) keys, sorted, and a number for each."""
 
@@ -398,7 +386,7 @@ def steps_up(blocks: DataFrame, rows_of: type[Pairs] | type[Words], buckets: lis
     for i, (size, finer) in enumerate(zip(buckets, buckets[1:], strict=False)):
         members = blocks.where("kind = 'text'").count() if members is None else members
         members = max(1, math.ceil(members * size / finer))
-        rows = rows.withColumn("up", F.pmod(F.crc32(F.concat(F.lit(f"{i} "), "member")), F.lit(members)).cast("string"))
+        rows = rows.withColumn("up", group_of("member", i, members))
         out.append(rows)
         merged = _merged(rows_of, "<u4" if i == 0 else "<i8", finer)
         rows = settle(rows.groupBy("up", "bucket").applyInArrow(merged, "member string, bucket int, a binary, b binary"))

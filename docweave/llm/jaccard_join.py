@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import collect_garbage, connected_components, discard, settle, tidily
+from docweave.llm.common import FAN, collect_garbage, connected_components, discard, group_of, moduli, settle, tidily
 from docweave.llm.shingles import Sets, mix, set_ids, shingle_sets, slots, word_hashes
 
 WORDS = 5
@@ -289,18 +289,31 @@ def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
 
     First the distinct shingles of the blocks are counted, by bucket; then every block gets
     its own shared ones back and lets the rest of its entries go.  Both sides are as large
-    as a block; a list's length plays no part.
+    as a block; a list's length plays no part.  A block is dealt out into at most FAN
+    buckets.  Where more are needed, groups of blocks are merged, and dealt out into finer
+    ones, and what is shared comes back on the same way: rows grow with the blocks, not
+    with blocks times buckets.
     A list in which no set is early (``is_early``) is not the first that two similar sets
     share, as the smaller one would be: it goes, too.
     """
 
+    steps = moduli(buckets, FAN)
+
     def placed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entries of each set, place of each entry)."""
         lengths = sizes - -(-percent * sizes // 100) + 1  # prefix_length
         return lengths, np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
+    def deal(keys: np.ndarray, often: np.ndarray, into: int) -> Iterator[tuple[int, bytes, bytes]]:
+        of = (keys % np.uint64(into)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        keys, often, of = keys[order], often[order], of[order]
+        first = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        for i, j in zip(first, [*first[1:], len(of)], strict=True):
+            yield int(of[i]), _planes(_gaps(keys[i:j])), often[i:j].tobytes()
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+        schema = pa.schema([("member", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
         for batch in batches:
             for block, a, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 keys, sizes = _sums(_from_planes(a)), np.frombuffer(c, "<u4").astype(np.int64)
@@ -311,22 +324,37 @@ def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
                 often = np.minimum(np.diff(first, append=len(keys)), 2).astype(np.uint8)  # 1 or 2: sets; 4: one is early
                 often |= np.logical_or.reduceat(early, first).astype(np.uint8) << 2
-                keys = keys[first]
-                of = (keys % np.uint64(buckets)).astype(np.int64)
-                parts = [(int(k), of == k) for k in np.unique(of)]
-                yield pa.RecordBatch.from_pylist([{"block": block, "bucket": k, "a": _planes(_gaps(keys[m])), "b": often[m].tobytes()} for k, m in parts], schema=schema)
+                rows = [{"member": block, "bucket": k, "a": x, "b": y} for k, x, y in deal(keys[first], often, steps[0])]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def count(t: pa.Table) -> pa.Table:
-        blocks = [_sums(_from_planes(a)) for a in t["a"].to_pylist()]
-        keys = np.concatenate(blocks)
+    def merged(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Each row's shingles, and the distinct ones of all with how often they are held."""
+        own = [_sums(_from_planes(a)) for a in t["a"].to_pylist()]
+        keys = np.concatenate(own)
         often = np.concatenate([np.frombuffer(b, np.uint8) for b in t["b"].to_pylist()])
         order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        enough = np.add.reduceat((often[order] & 3).astype(np.int64), first) > 1
-        shared = ordered[first][enough & (np.maximum.reduceat(often[order], first) >= 4)]
-        mine = [_planes(_gaps(b[np.isin(b, shared, assume_unique=True)])) for b in blocks]
-        return pa.table({"at": t["block"], "a": pa.array(mine, pa.binary())})
+        keys, often = keys[order], often[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sets = np.minimum(np.add.reduceat((often & 3).astype(np.int64), first), 2).astype(np.uint8)
+        return own, keys[first], sets | (np.maximum.reduceat(often, first) & 4)
+
+    def only(own: list[np.ndarray], shared: np.ndarray) -> pa.Array:
+        return pa.array([_planes(_gaps(x[np.isin(x, shared, assume_unique=True)])) for x in own], pa.binary())
+
+    def into(finer: int):
+        def run(t: pa.Table) -> pa.Table:
+            bucket, a, b = zip(*deal(*merged(t)[1:], finer), strict=True)
+            return pa.table({"member": pa.array([t["up"][0].as_py()] * len(a), pa.string()), "bucket": pa.array(bucket, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+        return run
+
+    def count(t: pa.Table) -> pa.Table:
+        own, keys, often = merged(t)
+        return pa.table({"member": t["member"], "bucket": t["bucket"], "a": only(own, keys[often == 6])})  # two sets, one early
+
+    def hand_down(mine: pa.Table, known: pa.Table) -> pa.Table:
+        shared = np.concatenate([_sums(_from_planes(a)) for a in known["a"].to_pylist()])
+        return pa.table({"member": mine["member"], "bucket": mine["bucket"], "a": only([_sums(_from_planes(a)) for a in mine["a"].to_pylist()], shared)})
 
     def pick(entries: pa.Table, shared: pa.Table) -> pa.Table:
         keys = np.sort(np.concatenate([np.array([], np.uint64), *[_sums(_from_planes(a)) for a in shared["a"].to_pylist()]]))
@@ -343,10 +371,23 @@ def shared_entries(lists: DataFrame, percent: int, buckets: int) -> DataFrame:
         return pa.table({name: np.concatenate(v) for name, v in zip(("shingle", "set_id", "n", "place", "share"), columns, strict=True)})
 
     entries = lists.where("kind = 'prefixes'").select("block", "a", "b", "c")
-    spread_out = entries.select("block", "a", "c").mapInArrow(spread, "block string, bucket int, a binary, b binary")
-    counted = spread_out.groupBy("bucket").applyInArrow(count, "at string, a binary")
-    picked = entries.groupBy("block").cogroup(counted.groupBy("at")).applyInArrow(pick, "shingle bigint, set_id bigint, n int, place int, share int")
-    return settle(picked)
+    rows = entries.select("block", "a", "c").mapInArrow(spread, "member string, bucket int, a binary, b binary")
+    members, levels = None, []
+    for i, (size, finer) in enumerate(zip(steps, steps[1:], strict=False)):
+        members = entries.count() if members is None else members
+        members = max(1, math.ceil(members * size / finer))
+        rows, up = settle(rows), group_of("member", i, members).alias("up")
+        levels.append((rows, size, up))
+        rows = rows.select("*", up).groupBy("up", "bucket").applyInArrow(into(finer), "member string, bucket int, a binary, b binary")
+    found = rows.select("member", "bucket", "a", "b").groupBy("bucket").applyInArrow(count, "member string, bucket int, a binary")
+    for level, size, up in reversed(levels):
+        known = found.select(F.col("member").alias("up"), F.pmod("bucket", F.lit(size)).alias("coarse"), "a").groupBy("up", "coarse")
+        mine = level.select("member", "bucket", "a", up).groupBy("up", "bucket")
+        found = mine.cogroup(known).applyInArrow(hand_down, "member string, bucket int, a binary")
+    shared = found.select("member", "a").groupBy("member")
+    picked = settle(entries.groupBy("block").cogroup(shared).applyInArrow(pick, "shingle bigint, set_id bigint, n int, place int, share int"))
+    discard(*[level for level, _, _ in levels])
+    return picked
 
 
 def light_links(lists: DataFrame) -> DataFrame:

@@ -639,6 +639,28 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
         assert (bits[i] != bits[j]).sum() <= len(a ^ b)
 
 
+def test_jaccard_join_deals_out_in_steps(spark, monkeypatch):
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choices(pool, k=rng.randint(5, 80))) for _ in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else rng.choice(pool) for w in rng.choice(base).split())) for i in range(500)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id bigint, text string").repartition(12, "doc_id")
+    measured = jaccard_join.measure(docs, "doc_id", "text")
+    lists = jaccard_join.write_lists(docs, "text", jaccard_join.word_levels(measured), jaccard_join.frequent_shingles(measured), 75, 3)
+    plain = sorted(map(tuple, jaccard_join.shared_entries(lists, 75, 7).collect()))
+    monkeypatch.setattr(jaccard_join, "FAN", 5)
+    written, keep = [], jaccard_join.settle
+    monkeypatch.setattr(jaccard_join, "settle", lambda df: written.append((df.columns, (out := keep(df)).count())) or out)
+    assert sorted(map(tuple, jaccard_join.shared_entries(lists, 75, 60).collect())) == plain and len(plain) > 1000
+    dealt = [n for columns, n in written if "bucket" in columns]
+    blocks = lists.where("kind = 'prefixes'").count()
+    assert len(dealt) == 2 and dealt[0] <= 5 * blocks and dealt[1] <= 5 * blocks + 25
+    monkeypatch.setattr(jaccard_join, "BUCKET_TEXT", 1000)
+    got = jaccard_join.similar_components(docs).collect()
+    monkeypatch.undo()
+    assert sorted(got) == sorted(jaccard_join.similar_components(docs).collect())
+
+
 def test_jaccard_join_empty(spark, none):
     assert jaccard_join.similar_components(none).count() == 0
 
