@@ -14,6 +14,10 @@ from docweave.functions.text import dot
 from docweave.operators.once import cut_lineage
 
 BLOCK_ROWS = 2048
+#: Parts that a table's blocks are dealt into; a query gets k rows of each.
+PARTS = 16
+#: Queries of a block whose scores are in memory at once, and blocks of queries a task keeps results of.
+QUERIES_AT_ONCE, BLOCKS_HELD = 256, 8
 
 
 def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -37,31 +41,104 @@ def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return kept.mapInArrow(run, f"size int, ids array<{kind}>, m binary")
 
 
+def _order(scores: np.ndarray) -> np.ndarray:
+    """What scores are ordered by: one that is no number comes first, as it does in SQL."""
+    return np.where(np.isnan(scores), np.inf, scores)
+
+
+class _Best:
+    """The k best rows of every query of a block among those looked at so far, equals by id.
+
+    Once a query has k of them, of the next blocks only rows that come before the last of these
+    are kept.  floor: per query a score that k rows are known to reach.
+    """
+
+    def __init__(self, q_ids: pa.Array, left: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.q_ids, self.left, self.k = q_ids, left, k
+        self.floor = np.full(len(q_ids), -np.inf) if floor is None else floor.copy()
+        self.last: pa.Array | None = None  # the id of the k-th best, null where there is none yet
+        self.at, self.scores, self.ids, self.waiting = [], [], [], 0
+
+    def look(self, ids: pa.Array, right: np.ndarray) -> None:
+        if self.last is not None:
+            ranks = pc.rank(pa.concat_arrays([ids, self.last]), tiebreaker="dense").to_numpy()
+            own, last = ranks[: len(ids)], ranks[len(ids) :]
+        for at in range(0, len(self.left), QUERIES_AT_ONCE):
+            scores = self.left[at : at + QUERIES_AT_ONCE] @ right.T
+            floor = least = self.floor[at : at + QUERIES_AT_ONCE]
+            if len(ids) > self.k and np.isneginf(floor).any():
+                least = np.fmax(floor, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            # scores are rounded to six places: what is lower by less may round to the same
+            asked, found = np.nonzero(~(scores < (least - 2e-6 - np.abs(least) * 1e-12)[:, None]))
+            rounded = np.round(scores[asked, found], 6)
+            by, floor = _order(rounded), floor[asked]
+            kept = by >= floor if self.last is None else (by > floor) | ((by == floor) & (own[found] < last[at + asked]))
+            self.at.append(at + asked[kept])
+            self.scores.append(rounded[kept])
+            self.ids.append(ids.take(pa.array(found[kept])))
+            self.waiting += int(kept.sum())
+        if self.last is None or self.waiting > self.k * len(self.q_ids):
+            self.cut()
+
+    def cut(self) -> None:
+        at, scores, ids = np.concatenate(self.at), np.concatenate(self.scores), pa.concat_arrays(self.ids)
+        order = np.lexsort((pc.rank(ids, tiebreaker="dense").to_numpy(), -_order(scores), at))
+        place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        order, place = order[place < self.k], place[place < self.k]
+        at, scores, ids = at[order], scores[order], ids.take(pa.array(order))
+        ends = np.flatnonzero(place == self.k - 1)
+        self.floor[at[ends]] = _order(scores[ends])
+        which = np.full(len(self.q_ids), -1)
+        which[at[ends]] = ends
+        self.last = ids.take(pa.array(which, mask=which < 0))
+        self.at, self.scores, self.ids, self.waiting = [at], [scores], [ids], 0
+
+    def found(self, key: str) -> pa.RecordBatch:
+        self.cut()
+        return pa.RecordBatch.from_arrays([self.q_ids.take(pa.array(self.at[0])), self.ids[0], pa.array(self.scores[0])], names=["query_id", key, "score"])
+
+
 def _best_of(batches: Iterator[pa.RecordBatch], k: int, key: str) -> Iterator[pa.RecordBatch]:
-    """The k best rows per query of every pair of blocks (``q_ids, q_m, ids, m``), equals by id."""
+    """The k best rows per query among a task's pairs of blocks (``q, q_ids, q_m, ids, m`` and, where they are known, ``floors``), q: the number of the queries' block.
+
+    A block of queries keeps its best from pair to pair, so it gives k rows for each query,
+    however many blocks it meets.
+    """
+    held: dict[int, _Best] = {}
     for batch in batches:
         for row in range(batch.num_rows):
-            q_ids, ids = (batch.column(c)[row].values for c in (0, 2))
-            left, right = (np.frombuffer(batch.column(c)[row].as_py()).reshape(len(own), -1) for c, own in ((1, q_ids), (3, ids)))
-            order = np.argsort(pc.array_sort_indices(ids).to_numpy())  # an id's place among the ids
-            scores = np.round(left @ right.T, 6)
-            best = np.lexsort((np.broadcast_to(order, scores.shape), -scores), axis=1)[:, :k]
-            asked = q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), best.shape[1])))
-            yield pa.RecordBatch.from_arrays([asked, ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", key, "score"])
+            cell = {c: batch.column(c)[row] for c in batch.schema.names}
+            matrix = lambda c, own: np.frombuffer(cell[c].as_buffer()).reshape(len(own), -1)  # noqa: E731, B023
+            q, ids = cell["q"].as_py(), cell["ids"].values
+            if q not in held:
+                while len(held) >= BLOCKS_HELD:
+                    yield held.pop(next(iter(held))).found(key)
+                q_ids = cell["q_ids"].values
+                floors = cell["floors"].values.to_numpy(zero_copy_only=False) if "floors" in cell else None
+                held[q] = _Best(q_ids, matrix("q_m", q_ids).copy(), k, floors)
+            held[q].look(ids, matrix("m", ids))
+    for best in held.values():
+        yield best.found(key)
 
 
 def search_all(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k best rows of ``table`` for every query, itself included: ``query_id, rank, key, score``.
 
     Both sides are cut into blocks of BLOCK_ROWS vectors; every pair of blocks is one
-    matrix product that keeps k rows per query; the k best of those are the result.
-    Exact, and no task holds more than two blocks.  Ids are of any type that can be sorted;
-    vectors are compared with those of their own length; null vectors, ids and elements aren't
-    found and find nothing.
+    matrix product.  The table's blocks are dealt into PARTS parts, and each part keeps k rows
+    per query from pair to pair; the k best of those are the result.  So what is ranked grows
+    with the queries only, and the pairs are shared among the tasks.
+    Exact, and no task holds more than two blocks, what they found and a part of the table's.
+    Ids are of any type that can be sorted; vectors are compared with those of their own length;
+    null vectors, ids and elements aren't found and find nothing.
     """
-    kind = dict(table.dtypes)[key]
-    left = _blocks(queries, key, vector).select(F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    pairs = left.join(_blocks(table, key, vector), how="cross").where("q_size = size").select("q_ids", "q_m", "ids", "m")  # blocks, not rows
+    kind, asked = dict(table.dtypes)[key], max(4, queries.sparkSession.sparkContext.defaultParallelism // 4)
+    # queries are few and far between: they meet in a few parts before they are cut into blocks
+    left = _blocks(queries.select(key, vector).repartition(asked), key, vector).withColumn("q", F.monotonically_increasing_id())
+    left = left.select("q", F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m")).repartition(asked)
+    right = _blocks(table, key, vector).repartition(PARTS)
+    # not as an equality: that would bring all blocks of a size to one task
+    pairs = left.join(right, ~(F.col("q_size") < F.col("size")) & ~(F.col("q_size") > F.col("size"))).select("q", "q_ids", "q_m", "ids", "m")
     best = pairs.mapInArrow(lambda batches: _best_of(batches, k, key), f"query_id {dict(queries.dtypes)[key]}, `{key}` {kind}, score double")
     return _ranked(best, key, k)
 

@@ -7,10 +7,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import chunk, items, matches, plugs, search, segments, store, summaries, tree
+from docweave.operators import chunk, items, joins, matches, plugs, search, segments, store, summaries, tree
 
 
 def frame(spark, rows, schema):
@@ -231,6 +232,42 @@ def test_clustered_index_finds_what_the_whole_search_finds(spark, cells):
     assert share == 1 if cells == 1 else share < 0.9
 
 
+def test_whole_search_is_shared_among_tasks_and_ranks_few_rows(spark):
+    # blocks of one size used to meet in one task, and to give k rows per query each
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(9000, 2)), 1)  # many equals
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+    found = search.search_all(df.where("id % 900 = 0"), df, "id", "v", 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "q_size" in plan
+    want = set()
+    for q in range(0, 9000, 900):
+        scores = np.round(vectors @ vectors[q], 6)
+        want |= {(q, rank, int(i), float(scores[i])) for rank, i in enumerate(np.lexsort((np.arange(9000), -scores))[:7], 1)}
+    assert {(r.query_id, r["rank"], r.id, r.score) for r in found.collect()} == want
+
+
+def test_a_block_of_queries_gives_k_rows_however_many_blocks_it_meets():
+    rng = np.random.default_rng(6)
+    queries, rows = rng.normal(size=(300, 4)), rng.integers(-3, 3, size=(5000, 4)).astype(float)
+    pairs = pa.RecordBatch.from_pylist([
+        {"q": 0, "q_ids": list(range(300)), "q_m": queries.tobytes(), "ids": list(range(at, at + 500)), "m": rows[at : at + 500].tobytes()} for at in rng.permutation(10) * 500
+    ])
+    found = list(search._best_of(iter([pairs]), 5, "id"))
+    assert sum(b.num_rows for b in found) == 300 * 5
+    got = {(r["query_id"], r["id"], r["score"]) for b in found for r in b.to_pylist()}
+    scores = np.round(queries @ rows.T, 6)
+    assert got == {(q, int(i), float(scores[q, i])) for q in range(300) for i in np.lexsort((np.arange(5000), -scores[q]))[:5]}
+
+
+def test_join_on_few_values_is_shared_among_tasks(spark):
+    many = spark.range(1000).select("id", (F.col("id") % 2).alias("kind"))
+    few = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "kind long, name string")
+    out = joins.join_spread(many, few, "kind", "id")
+    assert sorted(map(tuple, out.select("id", "name").collect())) == sorted((i, n) for i in range(1000) for n in ("ab" if i % 2 == 0 else "c"))
+    assert len({r[0] for r in out.select(F.spark_partition_id()).collect()}) > 8
+
+
 def plain_nest(hits):
     clauses, alone = {}, []
     for h in sorted(hits, key=lambda h: h["rank"]):
