@@ -60,6 +60,17 @@ def containing_span(segments: DataFrame, spans: DataFrame, key: str, segment_id:
     return segments.join(best, [key, segment_id], "left")
 
 
+def join_spread(many: DataFrame, few: DataFrame, key: str, by: str, parts: int = 16) -> DataFrame:
+    """``many`` joined with ``few`` on a key that has few values: a value's rows of ``many`` are dealt by ``by`` into parts, each with a copy of the value's rows of ``few``.
+
+    What comes out may be far more than what goes in, so the numbers of tasks are given: by the
+    size of what goes in, adaptive execution would make it one.
+    """
+    dealt = many.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.repartition(4 * parts, key, "_part").join(copies.repartition(4 * parts, key, "_part"), [key, "_part"]).drop("_part")
+
+
 def lookup_chain(rows: DataFrame, *steps: tuple[DataFrame, str, str, str, str]) -> DataFrame:
     """Left lookups one after the other; a step: (table, foreign key, its key, its value, name). Missing: ''."""
     for table, foreign, own, value, name in steps:

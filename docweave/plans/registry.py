@@ -97,7 +97,7 @@ SELECT query_id, item, coalesce(h.score, 0) * 0.7::DOUBLE + coalesce(k.score, 0)
 FROM h FULL JOIN k USING (query_id, item)""")
 def hybrid_merge(t) -> DataFrame:
     asked = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("quality"))
-    keyword = t("labels").where("toxic = 0").join(asked, "quality").select("query_id", F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("score"))
+    keyword = joins.join_spread(t("labels").where("toxic = 0"), asked, "quality", "doc_id").select("query_id", F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("score"))
     return search.merge_hybrid(_hits(t).select("query_id", "item", "score"), keyword, ["query_id", "item"], search.normalize_weights(0.7, 0.3)[0])
 
 
