@@ -18,6 +18,8 @@ BLOCK_ROWS = 2048
 PARTS = 16
 #: Queries of a block whose scores are in memory at once, and blocks of queries a task keeps results of.
 QUERIES_AT_ONCE, BLOCKS_HELD = 256, 8
+#: Blocks of a cell's vectors that are one part.
+PART_BLOCKS = 8
 
 
 def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -46,6 +48,46 @@ def _order(scores: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(scores), np.inf, scores)
 
 
+def _cell_blocks(rows: DataFrame, key: str, vector: str, ids: str, m: str, *more: str) -> DataFrame:
+    """``cell, part, <ids>, <m>``: up to BLOCK_ROWS vectors of one cell's part, and arrays of other columns of doubles, named in the plural."""
+    kind = dict(rows.dtypes)[key]
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = lambda c: pa.concat_arrays([p.column(c) for p in parts])
+        listed = lambda c: pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), whole(c))
+        size = sum(p.num_rows for p in parts)
+        matrix = pa.array([whole(3).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([parts[0].column(0)[:1], parts[0].column(1)[:1], listed(2), matrix, *[listed(4 + i) for i in range(len(more))]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        of, size = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(c).to_numpy() for c in (0, 1)])
+            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                own = tuple(marks[:, begin].tolist())
+                if held and own != of:
+                    yield block(held)
+                    held, size = [], 0
+                of = own
+                while begin < end:
+                    took = min(end - begin, BLOCK_ROWS - size)
+                    held.append(batch.slice(begin, took))
+                    begin, size = begin + took, size + took
+                    if size == BLOCK_ROWS:
+                        yield block(held)
+                        held, size = [], 0
+        if held:
+            yield block(held)
+
+    names = ["cell", "part", ids, m, *[f"{c}s" for c in more]]
+    sorted_ = rows.select("cell", "part", key, vector, *more).repartition("cell", "part").sortWithinPartitions("cell", "part")
+    return sorted_.mapInArrow(run, f"cell int, part int, {ids} array<{kind}>, {m} binary{''.join(f', {c}s array<double>' for c in more)}")
+
+
 class _Best:
     """The k best rows of every query of a block among those looked at so far, equals by id.
 
@@ -155,11 +197,12 @@ class ClusteredIndex:
     R the cell's greatest |r|.  First every query reads its PROBES most promising cells; its
     k-th best score there is a floor.  Then it reads all others whose bound is no lower, and no
     more: whatever is left can't be among the k best.  If no bound is low enough that is every
-    cell, and the search is that of ``search_all``.
+    cell, and the search is that of ``search_all``.  What is read is read in blocks, a matrix
+    product for each pair of a block of queries and one of the cell's vectors.
 
     Centres are k-means of a sample of at most SAMPLE vectors (a documented bound: centres only
-    decide what is read, never what is found); every vector is indexed.  Cells are written by
-    cell, so that reading one is reading its files.
+    decide what is read, never what is found); every vector is indexed.  Cells are written as
+    blocks of vectors, which searches join by cell.
     """
 
     SAMPLE, CELLS, PROBES = 20_000, 1024, 4
@@ -184,8 +227,14 @@ class ClusteredIndex:
                 off = np.linalg.norm(own - centres[cell], axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(off)], names=[key, "_v", "cell", "off"])
 
-        self.rows = cut_lineage(rows.mapInArrow(place, f"`{key}` {kind}, _v array<double>, cell int, off double").repartition("cell"))
-        self.radii = {r["cell"]: (r["off"], r["n"]) for r in self.rows.groupBy("cell").agg(F.max("off").alias("off"), F.count("*").alias("n")).collect()}  # a row per cell
+        placed = cut_lineage(rows.mapInArrow(place, f"`{key}` {kind}, _v array<double>, cell int, off double"))
+        self.radii = {r["cell"]: (r["off"], r["n"]) for r in placed.groupBy("cell").agg(F.max("off").alias("off"), F.count("*").alias("n")).collect()}  # a row per cell
+        # a cell of many vectors is several parts, so that no task reads all of it
+        many = {c: -(-n // (PART_BLOCKS * BLOCK_ROWS)) for c, (_, n) in self.radii.items() if n > PART_BLOCKS * BLOCK_ROWS}
+        parts = F.create_map(*[F.lit(x) for pair in sorted(many.items()) for x in pair])
+        self.parts = F.coalesce(F.try_element_at(parts, F.col("cell")), F.lit(1)) if many else F.lit(1)
+        dealt = placed.withColumn("part", F.pmod(F.xxhash64(key), self.parts).cast("int"))
+        self.blocks = cut_lineage(_cell_blocks(dealt, key, "_v", "ids", "m"))
 
     @staticmethod
     def _means(rows: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -199,10 +248,10 @@ class ClusteredIndex:
         return centres
 
     def _bounds(self, queries: DataFrame) -> DataFrame:
-        """``query_id, _q, cell, bound, turn``: all cells of a query, the most promising first."""
+        """``query_id, cell, bound, turn, n``: all cells of a query and how many vectors they hold, the most promising first."""
         centres, radii = self.centres, self.radii
         held = np.array(sorted(radii), np.int32)
-        far = np.array([radii[c][0] for c in held.tolist()])
+        far, sizes = (np.array([radii[c][i] for c in held.tolist()]) for i in (0, 1))
         kind = dict(queries.dtypes)[self.key]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,30 +264,36 @@ class ClusteredIndex:
                     order = np.argsort(-bounds, axis=1, kind="stable")
                     each = pa.array(np.repeat(np.arange(part.num_rows), len(held)))
                     turns = np.tile(np.arange(len(held), dtype=np.int32), part.num_rows)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(each), pa.array(held[order].ravel()), pa.array(np.take_along_axis(bounds, order, 1).ravel()), pa.array(turns)], names=["query_id", "cell", "bound", "turn"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(each), pa.array(held[order].ravel()), pa.array(np.take_along_axis(bounds, order, 1).ravel()), pa.array(turns), pa.array(sizes[order].ravel())], names=["query_id", "cell", "bound", "turn", "n"])
 
         asked = queries.where(F.col(self.vector).isNotNull()).select(self.key, F.transform(self.vector, lambda x: x.cast("double")).alias("_v"))
-        return asked.mapInArrow(run, f"query_id {kind}, cell int, bound double, turn int")
+        return asked.mapInArrow(run, f"query_id {kind}, cell int, bound double, turn int, n bigint")
 
     def _read(self, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """The k best of the cells ``asked`` (query_id, cell), per query."""
+        """The k best of the cells ``asked`` (query_id, cell, floor), per query and block of queries.
+
+        The queries of a cell are cut into blocks as its vectors are; each pair of blocks is one
+        matrix product that keeps k rows per query, none below its floor.
+        """
         vectors = queries.where(F.col(self.vector).isNotNull()).select(F.col(self.key).alias("query_id"), F.transform(self.vector, lambda x: x.cast("double")).alias("_q"))
-        pairs = asked.join(self.rows, "cell").join(vectors, "query_id")
-        scored = pairs.select("query_id", self.key, F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
-        return _ranked(scored, self.key, k)
+        each = asked.join(vectors, "query_id").withColumn("part", F.explode(F.sequence(F.lit(0), self.parts - 1)))
+        left = _cell_blocks(each, "query_id", "_q", "q_ids", "q_m", "floor").withColumn("q", F.monotonically_increasing_id())
+        pairs = left.join(self.blocks, ["cell", "part"]).select("q", "q_ids", "q_m", "floors", "ids", "m")
+        key, kinds = self.key, (dict(queries.dtypes)[self.key], self.blocks.schema["ids"].dataType.elementType.simpleString())
+        return pairs.mapInArrow(lambda batches: _best_of(batches, k, key), f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double")
 
     def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """What ``search_all`` finds, and ``query_id, cells, share``: how many cells a query read, and what share of the vectors."""
         bounds = cut_lineage(self._bounds(queries))
-        first = cut_lineage(self._read(bounds.where(F.col("turn") < self.PROBES), queries, k))
+        some = bounds.where(F.col("turn") < self.PROBES)
+        first = cut_lineage(_ranked(self._read(some.withColumn("floor", F.lit(float("-inf"))), queries, k), self.key, k))
         floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
         more = bounds.where(F.col("turn") >= self.PROBES).join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
-        more = cut_lineage(more.select("query_id", "cell"))
-        found = _ranked(first.drop("rank").unionByName(self._read(more, queries, k).drop("rank")), self.key, k)
-        sizes = F.create_map(*[F.lit(x) for c, (_, n) in sorted(self.radii.items()) for x in (c, n)])
+        more = cut_lineage(more.select("query_id", "cell", "n", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
+        found = _ranked(first.drop("rank").unionByName(self._read(more, queries, k)), self.key, k)
         total = max(1, sum(n for _, n in self.radii.values()))
-        read = bounds.where(F.col("turn") < self.PROBES).select("query_id", "cell").unionByName(more)
-        return found, read.groupBy("query_id").agg(F.count("*").alias("cells"), (F.sum(sizes[F.col("cell")]) / total).alias("share"))
+        read = some.select("query_id", "cell", "n").unionByName(more.drop("floor"))
+        return found, read.groupBy("query_id").agg(F.count("*").alias("cells"), (F.sum("n") / total).alias("share"))
 
 
 def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:

@@ -268,6 +268,23 @@ def test_join_on_few_values_is_shared_among_tasks(spark):
     assert len({r[0] for r in out.select(F.spark_partition_id()).collect()}) > 8
 
 
+def test_a_cell_of_many_vectors_is_read_in_blocks_by_several_tasks(spark, monkeypatch):
+    # a cell was a task, and every query and vector of it a row
+    monkeypatch.setattr(search, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(search, "PART_BLOCKS", 2)
+    rng = np.random.default_rng(8)
+    vectors = [(i, [1.0, 0.0, 2.0] if i % 2 else rng.normal(size=3).tolist()) for i in range(3000)]
+    df = frame(spark, vectors, "id long, v array<double>")
+    index = search.ClusteredIndex(df, "id", "v", cells=3)
+    parts = index.blocks.groupBy("cell").agg(F.count_distinct("part").alias("n"), F.sum(F.size("ids")).alias("held")).collect()
+    assert max(r.n for r in parts) > 5 and sum(r.held for r in parts) == 3000
+    asked = df.where("id % 60 < 2")
+    found, read = index.search(asked, 4)
+    rows = lambda hits: sorted((r.query_id, r["rank"], r.id, r.score) for r in hits.collect())
+    assert rows(found) == rows(search.search_all(asked, df, "id", "v", 4))
+    assert read.where("share <= 0 or share > 1").count() == 0
+
+
 def plain_nest(hits):
     clauses, alone = {}, []
     for h in sorted(hits, key=lambda h: h["rank"]):
