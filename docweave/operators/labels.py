@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import rules
 from docweave.functions.text import first_rule, strip
-from docweave.operators.once import compute_once
+from docweave.operators.once import compute_once, let
 
 
 def nc_type_of(lowered: Column, region: Column, words: dict = rules.NC_TYPE_WORDS) -> Column:
@@ -144,11 +144,11 @@ def classify(text: Column, classes: list[tuple[str, list[str]]], divisor: float
 
 def rank_classes(text: Column, classes: list[tuple[str, list[str]]]) -> Column:
     """All classes with a word in the text, by share of the best, equals as declared: array of ``{label, share}``."""
-    t = F.lower(text)
-    hits = F.array(*[F.struct(F.lit(name).alias("label"), F.lit(i).alias("place"), sum((F.when(t.contains(w), 1).otherwise(0) for w in words), F.lit(0)).alias("score")) for i, (name, words) in enumerate(classes)])
-    most = F.array_max(F.transform(hits, lambda h: h["score"]))
-    kept = F.array_sort(F.transform(F.filter(hits, lambda h: h["score"] > 0), lambda h: F.struct((-h["score"]).alias("s"), h["place"].alias("p"), h["label"].alias("label"))))
-    return F.transform(kept, lambda h: F.struct(h["label"].alias("label"), (-h["s"] / most).alias("share")))
+    words_in = lambda t, words: sum((F.when(t.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+    hits = lambda t: F.array(*[F.struct((-words_in(t, words)).alias("s"), F.lit(i).alias("p"), F.lit(name).alias("label")) for i, (name, words) in enumerate(classes)])
+    # the best comes first
+    ranked = let(F.lower(text), lambda t: F.array_sort(F.filter(hits(t), lambda h: h["s"] < 0)))
+    return let(ranked, lambda r: F.transform(r, lambda h: F.struct(h["label"].alias("label"), (h["s"] / F.get(r, 0)["s"]).alias("share"))))
 
 
 #: Document types that have a domain of their own; any other is OTHER.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,16 @@ def compute_once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def share_out(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly among all cores: small files of which much is to be worked out would be read by one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to spark.checkpoint.dir and read from there, so that later rounds begin at files.
 

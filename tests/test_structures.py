@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import chunk, items, joins, matches, plugs, search, segments, store, summaries, tree
+from docweave.operators import chunk, items, joins, labels, matches, once, plugs, search, segments, store, structure, summaries, tree
 
 
 def frame(spark, rows, schema):
@@ -285,6 +285,47 @@ def test_a_cell_of_many_vectors_is_read_in_blocks_by_several_tasks(spark, monkey
     assert read.where("share <= 0 or share > 1").count() == 0
 
 
+def test_documents_are_taken_apart_once_for_a_structure(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    text = json.dumps({"id": "r", "title": "第1章 a", "children": [{"id": "c", "title": "第1条 b"}]})
+    docs = frame(spark, [(i, text) for i in range(20)], "k long, j string").select("k", seen.asNondeterministic()("j").alias("j"))
+    built = structure.build(tree.flatten_json(docs, "k", "j"), "k")
+    assert built.clauses.where("section_id = 'r'").count() == 20
+    assert read.value == 20
+
+
+def test_errors_of_documents_are_passed_on_as_they_are_found(spark, monkeypatch):
+    docs = frame(spark, [(i, None if i % 3 else "{") for i in range(50)], "k long, j string")
+    got = {}
+    monkeypatch.setattr(tree, "ROWS", 7)
+    schema = type("Docs", (), {"schema": docs.schema, "select": lambda self, *c: self, "mapInArrow": lambda self, run, kind: run})()
+    batch = pa.RecordBatch.from_pydict({"k": list(range(50)), "j": [None if i % 3 else "{" for i in range(50)]})
+    parts = list(tree.validate(schema, "k", "j")(iter([batch])))
+    assert len(parts) > 5
+    for part in parts:
+        got |= {r["k"]: r["errors"] for r in part.to_pylist()}
+    assert got == {r.k: r.errors for r in tree.validate(docs, "k", "j").collect()}
+
+
+def test_texts_are_lowered_once_for_all_words(spark):
+    classes = [("a", ["one", "two"]), ("b", ["three"]), ("c", ["none"])]
+    df = frame(spark, [("ONE and Three, two",), ("three",), ("",), (None,)], "t string")
+    out = df.select(labels.rank_classes(F.col("t"), classes).alias("r"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r.r and [(h.label, h.share) for h in r.r] for r in out.collect()] == [[("a", 1.0), ("b", 0.5)], [("b", 1.0)], [], []]
+
+
+def test_little_to_read_is_shared_among_cores(spark):
+    rows = once.share_out(spark.range(1000).coalesce(1))
+    assert len({r[0] for r in rows.select(F.spark_partition_id()).collect()}) > 4
+
+
 def plain_nest(hits):
     clauses, alone = {}, []
     for h in sorted(hits, key=lambda h: h["rank"]):
