@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import rules, text
 from docweave.operators import labels, tree
+from docweave.operators.once import share_out
 from docweave.plans.registry import query
 
 #: A part's name under one of the numberings that the rules know, or none.
@@ -89,7 +90,7 @@ WITH x AS (SELECT c_custkey, {_TAGGED} AS t FROM customer)
 SELECT c_custkey, {', '.join(f"array_to_string(list_sort(list_distinct(list_transform(flatten([{', '.join(f"regexp_extract_all(t, '{p}', 1)" for p in ps)}]), lambda s: trim(s)))), '|') AS {name}" for name, ps in rules.TAG_PATTERNS.items())} FROM x""")
 def extract_tags(t) -> DataFrame:
     made = F.expr(_TAGGED)
-    return t("customer").select("c_custkey", *[F.array_join(text.extract_tags(made, ps), "|").alias(name) for name, ps in rules.TAG_PATTERNS.items()])
+    return share_out(t("customer").select("c_custkey", "c_name", "c_mktsegment")).select("c_custkey", *[F.array_join(text.extract_tags(made, ps), "|").alias(name) for name, ps in rules.TAG_PATTERNS.items()])
 
 
 _TITLE = "CASE p_partkey % 5 WHEN 0 THEN '买卖合同' WHEN 1 THEN '公司章程' WHEN 2 THEN '一般条款' ELSE p_brand END"
