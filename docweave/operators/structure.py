@@ -30,7 +30,8 @@ def build(flat: DataFrame, key: str) -> Structure:
     Rows with an error, and nodes without an id, are no elements.
     """
     nodes = flat.where(F.col("error").isNull() & F.col("id").isNotNull())
-    nodes = nodes.withColumn("kind", tree.node_type(F.col("title"), F.col("content"), F.col("role"), F.col("region")))
+    # written once: the nodes are read twice, and documents would be put together and taken apart for each
+    nodes = cut_lineage(nodes.withColumn("kind", tree.node_type(F.col("title"), F.col("content"), F.col("role"), F.col("region"))))
     kinds = nodes.groupBy(F.col(key).alias("_k"), F.col("id").alias("parent_id")).agg(F.min("kind").alias("_up"))
     held = nodes.join(kinds, F.col(key).eqNullSafe(F.col("_k")) & (nodes["parent_id"] == kinds["parent_id"]), "left").drop("_k", kinds["parent_id"])
     held = cut_lineage(held)  # documents are read once, not for each of the tables

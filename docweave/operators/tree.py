@@ -164,9 +164,6 @@ def _nodes(root: object) -> Iterator[tuple[object, int, str | None]]:
         todo += [(child, level + 1, own) for child in reversed(_children(node))]
 
 
-NODE_FIELDS = {"id": ("id",), "title": ("title",), "content": ("content",), **{t: ("content_tags", t) for t in ("role", "region", "nc_type", "score")}}
-
-
 def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
     """Nested documents to rows in pre-order: ``key, order_index`` (from 1), ``level, id, parent_id, title, content, role, region, nc_type, score, error``.
 
@@ -176,33 +173,45 @@ def flatten_json(docs: DataFrame, key: str, json: str) -> DataFrame:
     node without anything; numbers and objects in text fields are their JSON.
     """
     kind = docs.schema[key].dataType.simpleString()
-    names = ["order_index", "level", "id", "parent_id", "title", "content", *TAG_NAMES, "error"]
+    names, no_tags = ["order_index", "level", "id", "parent_id", "title", "content", *TAG_NAMES, "error"], [None] * len(TAG_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, pa.int32() if n in ("order_index", "level") else pa.string()) for n in names])
-        made: list[dict] = []
+        types = [pa.int32() if n in ("order_index", "level") else pa.string() for n in names]
         for batch in batches:
             at: list[int] = []
-
-            def flush(batch=batch, at=at) -> pa.RecordBatch:
-                rows = pa.RecordBatch.from_pylist(made, schema=schema)
-                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *rows.columns], names=[key, *names])
-                made.clear()
-                at.clear()
+            made: list[list] = [[] for _ in names]
+            add = [column.append for column in made]
+            texts = add[2:-1]
+
+            def flush(batch=batch, at=at, made=made) -> pa.RecordBatch:
+                columns = [pa.array(column, t) for column, t in zip(made, types, strict=True)]
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, *names])
+                for column in (at, *made):
+                    column.clear()
                 return out
 
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                root, error = _read(text)
+            for i, text in enumerate(batch.column(1)):  # one by one: a batch of texts is held as Arrow only
+                root, error = _read(text.as_py())
                 if error:
                     at.append(i)
-                    made.append({"error": error})
+                    for put in add[:-1]:
+                        put(None)
+                    add[-1](error)
                     continue
                 for k, (node, level, parent) in enumerate(_nodes(root), 1):
                     at.append(i)
-                    made.append({"order_index": k, "level": level, "parent_id": parent, **{n: _text(_field(node, *p)) for n, p in NODE_FIELDS.items()}})
-                    if len(made) == ROWS:
+                    held = node if isinstance(node, dict) else {}
+                    tags = held.get("content_tags")
+                    tags = tags if isinstance(tags, dict) else {}
+                    values = (held.get("id"), parent, held.get("title"), held.get("content"), *([tags.get(t) for t in TAG_NAMES] if tags else no_tags))
+                    add[0](k)
+                    add[1](level)
+                    for put, value in zip(texts, values, strict=True):
+                        put(value if value is None or type(value) is str else _text(value))
+                    add[-1](None)
+                    if len(at) == ROWS:
                         yield flush()
-            if made:
+            if at:
                 yield flush()
 
     return docs.select(key, json).mapInArrow(run, f"`{key}` {kind}, order_index int, level int, id string, parent_id string, title string, content string, {', '.join(f'{t} string' for t in TAG_NAMES)}, error string")
@@ -294,11 +303,16 @@ def validate(docs: DataFrame, key: str, json: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                root, error = _read(text)
+            found: list[list[str]] = []
+            begun = size = 0
+            out = lambda b, n, found: pa.RecordBatch.from_arrays([b.column(0).slice(n, len(found)), pa.array(found, pa.list_(pa.string()))], names=[key, "errors"])
+            for i, text in enumerate(batch.column(1), 1):  # one by one: a batch of texts is held as Arrow only
+                root, error = _read(text.as_py())
                 found.append([error] if error else list(_wrong(root)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=[key, "errors"])
+                size += 1 + len(found[-1])
+                if size >= ROWS or i == batch.num_rows:
+                    yield out(batch, begun, found)
+                    found, begun, size = [], i, 0
 
     return docs.select(key, json).mapInArrow(run, f"`{key}` {kind}, errors array<string>")
 
