@@ -90,7 +90,8 @@ def parent_by_prefix(rows: DataFrame, key: str, order: str, number: str, out: st
     numbered = rows.where(F.coalesce(F.col(number), F.lit("")) != "").select(key, order, digits.alias("_d"))
     prefixes = F.transform(F.sequence(F.lit(0), F.size("_d")), lambda k: F.struct(F.array_join(F.slice("_d", F.lit(1), k), ".").alias("_p"), F.when(k == F.size("_d"), F.col(order)).alias("_o")))
     under = Window.partitionBy(key, "_p").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    looked = numbered.select(key, order, F.inline(prefixes)).withColumn("_f", F.max("_o").over(under))
+    # dealt out again: tasks are measured by these rows, and don't sort them beside those they come from
+    looked = numbered.select(key, order, F.inline(prefixes)).repartition(key, "_p").withColumn("_f", F.max("_o").over(under))
     found = looked.where(F.col("_o").isNull()).groupBy(key, order).agg(F.max("_f").alias(out)).where(F.col(out).isNotNull())
     return rows.join(found, [key, order], "left")
 

@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.operators import chunk, items, joins, labels, matches, once, plugs, search, segments, store, structure, summaries, tree
@@ -326,6 +327,16 @@ def test_little_to_read_is_shared_among_cores(spark):
     assert len({r[0] for r in rows.select(F.spark_partition_id()).collect()}) > 4
 
 
+def test_prefixes_are_sorted_in_a_stage_of_their_own(spark):
+    # what numbers the rows sorts them too; both sorts in one task held their memory at once
+    rows = frame(spark, [(1, i, n) for i, n in enumerate(["1", "1.2", "2", None, "1.2.3"])], "k long, at long, number string")
+    rows = rows.withColumn("o", F.row_number().over(Window.partitionBy("k").orderBy("at")))
+    out = tree.parent_by_prefix(rows, "k", "o", "number")
+    assert sorted((r.o, r.parent) for r in out.collect()) == [(1, None), (2, 1), (3, None), (4, None), (5, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(k#\d+L?, _p#\d+", plan)
+
+
 def plain_nest(hits):
     clauses, alone = {}, []
     for h in sorted(hits, key=lambda h: h["rank"]):
