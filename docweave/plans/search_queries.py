@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import rules
 from docweave.operators import chunk, items, labels, matches, plugs, search, segments, summaries
+from docweave.operators.once import cut_lineage
 from docweave.plans.chunk_queries import MODE, _chunk_sql
 from docweave.plans.registry import _case, _ranked, query
 
@@ -117,7 +118,7 @@ WITH RECURSIVE chunks AS ({_chunk_sql(MODE)}),
 u AS (SELECT *, {_case(rules.NEUTRAL_REGIONS, "'MAIN'")} AS region, CASE WHEN {' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in rules.NEUTRAL_ROLE_WORDS)} >= 4 THEN 'CLAUSE' ELSE 'NON_CLAUSE' END AS role FROM chunks)
 SELECT CASE role WHEN 'CLAUSE' THEN 'CLAUSE' ELSE 'CLAUSE_ITEM' END AS unit_type, doc_id, doc_id || '_chunk_' || chunk AS clause_id, chunk AS clause_order_index, role, region, text AS content, first AS span_from, first + n - 1 AS span_to, n AS block_count FROM u""")
 def chunk_items(t) -> DataFrame:
-    chunks = chunk.chunk_texts(t("documents"), "doc_id", "text", MODE)
+    chunks = cut_lineage(chunk.chunk_texts(t("documents"), "doc_id", "text", MODE))  # read twice
     labelled = labels.label_segments(chunks, "text", rules.NEUTRAL_REGIONS, rules.NEUTRAL_NC_TYPES, rules.NEUTRAL_ROLE_WORDS, r"\A(?!)", 4)
     tags = labelled.select("doc_id", (F.col("chunk") * 3 + 5).alias("order"), "role", "region", "nc_type")  # numbers of their own, with gaps
     made = items.chunk_items(chunks, tags, "doc_id")
