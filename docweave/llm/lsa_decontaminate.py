@@ -56,6 +56,8 @@ TABLE = 1 << 20
 COUNTED = 1 << 21  # words that a task counts before it hands them on
 TOGETHER = 32  # passages that are multiplied together
 ITEMS_TOGETHER = 512  # items that windows are compared with together
+HELD = 1 << 18  # words around places found that are looked up together
+KEPT = 512  # words of an item whose bits are kept for the next place
 RUN = 8  # words of an item that make a place worth a check by themselves
 PART = 1024  # rows of a matrix that are summed together
 
@@ -343,15 +345,66 @@ def fit_space(batches: DataFrame, items: list[bytes], words: np.ndarray, idf: np
 
 def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence: one bit per word of ``a``, one step per word of ``b``."""
+    return _common(_bits(a), len(a), b)
+
+
+def _bits(a: list) -> dict:
+    """The places of each word of ``a``, a bit for each."""
     places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return places
+
+
+def _common(places: dict, n: int, b: list) -> int:
+    full = (1 << n) - 1
     row = full
     for w in b:
         hit = row & places.get(w, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+@dataclass
+class Held:
+    """The items' words: a bit for each word of the vocabulary and item that has it, and (item, word) with how often it does, sorted."""
+
+    marks: np.ndarray
+    entries: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, own: list[list[int]], size: int) -> Held:
+        marks = np.zeros((size + 1, -(-len(own) // 8)), np.uint8)  # behind the words: those without a place, which no item has
+        for i, words in enumerate(own):
+            marks[words, i >> 3] |= np.uint8(1 << (i & 7))
+        item = np.repeat(np.arange(len(own)), [len(words) for words in own])
+        return cls(marks, *np.unique(item * len(marks) + np.concatenate(own), return_counts=True))
+
+    def has(self, words: np.ndarray, item: np.ndarray | int) -> np.ndarray:
+        return self.marks[words, item >> 3] >> (item & 7) & 1 > 0
+
+    def most(self, places: np.ndarray, first: np.ndarray, count: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """How many words each stretch has in common with its item in any order, repeats as often as both have them: no common subsequence is longer."""
+        out, group = np.zeros(len(first), np.int64), (np.cumsum(count) - count) // HELD
+        for few in np.split(np.arange(len(first)), np.flatnonzero(np.diff(group)) + 1):
+            which, word = np.repeat(few, count[few]), places[_runs(first[few], count[few])]
+            hit = self.has(word, item[which])
+            if not hit.any():
+                continue
+            which, word = which[hit], word[hit]
+            entry = np.searchsorted(self.entries, item[which] * len(self.marks) + word)
+            seen, n = np.unique((which - few[0]) * len(self.entries) + entry, return_counts=True)
+            out[few] = np.bincount(seen // len(self.entries), np.minimum(n, self.times[seen % len(self.entries)]), len(few)).astype(np.int64)
+        return out
+
+
+def places_around(found: list[tuple], bounds: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, item) of what is compared with the item at every place found."""
+    row, start, n, item = np.array([h[:4] for h in found], np.int64).reshape(-1, 4).T
+    middle, reach = start + n // 2, np.maximum(n // 2, lengths[item])
+    low, size = np.maximum(0, middle - reach), bounds[row + 1] - bounds[row]
+    return bounds[row] + low, np.maximum(0, np.minimum(middle + reach, size) - low), item
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -422,9 +475,10 @@ def find_windows(
             vectors = sums[high] - sums[low]
             for few in range(0, len(items), ITEMS_TOGETHER):
                 dots = vectors @ queries[:, items[few : few + ITEMS_TOGETHER]]
-                for w, k in zip(*np.nonzero(dots >= least * norm[:, None]), strict=True):
-                    s = mine[which[w]]
-                    yield int(text[s]), int(begin[s] + a[w] * BLOCK), int(b[w] - a[w]) * BLOCK, int(items[few + k]), float(dots[w, k] / norm[w])
+                w, k = np.nonzero(dots >= least * norm[:, None])
+                s = mine[which[w]]
+                columns = text[s], begin[s] + a[w] * BLOCK, (b[w] - a[w]) * BLOCK, items[few + k], dots[w, k] / norm[w]
+                yield from zip(*(c.tolist() for c in columns), strict=True)
 
 
 @dataclass
@@ -518,28 +572,38 @@ def _searcher(encoded: DataFrame, total: int, rows: list, item: str, limits: Thr
         queries.append(vector / max(1e-9, float(np.linalg.norm(vector))))  # by what the space keeps of the item
     own = [places[a:b].tolist() for a, b in zip(item_bounds, item_bounds[1:])]  # noqa: B905
     answers = [space.index(word_hashes([b" ".join(answer_of(r["text"]))])[0]).tolist() for r in rows]
-    sent = encoded.sparkSession.sparkContext.broadcast((space, np.array(queries, np.float32).T.copy(), own, answers, item_runs(item_words, item_bounds)))
-    windows = windows_for(np.diff(item_bounds))
+    windows, lengths = windows_for(np.diff(item_bounds)), np.diff(item_bounds)
+    sent = encoded.sparkSession.sparkContext.broadcast((space, np.array(queries, np.float32).T.copy(), own, answers, item_runs(item_words, item_bounds), lengths, Held.of(own, len(words))))
 
     def search(places: np.ndarray, bounds: np.ndarray) -> tuple[list[int], list[tuple]]:
-        space, queries, item_words, answers, runs = sent.value
-        picked, out = [], []
+        space, queries, item_words, answers, runs, lengths, held = sent.value
+        picked, out, kept_bits = [], [], {}
         found = [*find_windows(places, bounds, space, queries, windows, limits.cosine)]
         # last, without a cosine yet: places with a run of an item's words, whatever the space keeps of it
         hashes = np.where(places >= 0, space.words[places], np.uint64(0))  # items have no unknown words
         found += [(row, start, len(item_words[i]), i, -2.0) for row, i, start in find_runs(hashes, bounds, runs)]
+        # most places lack the words: only the others are compared word by word
+        first, count, item = places_around(found, bounds, lengths)
+        most = held.most(places, first, count, item)
+        likely = np.flatnonzero(most / lengths[item] >= limits.subsequence).tolist()
+        found = [(*found[f], int(first[f]), int(first[f] + count[f]), int(most[f])) for f in likely]
         found.sort(key=lambda h: (h[0], h[3], -h[4], h[1]))
         for row, hits in groupby(found, key=lambda h: h[0]):
             split, best = places[bounds[row] : bounds[row + 1]], {}
-            for _, start, n, i, cosine in hits:
-                if i in best and best[i][2] >= 1:
-                    continue
+            for _, start, n, i, cosine, low, high, most in hits:
                 wanted = item_words[i]
-                middle, reach = start + n // 2, max(n // 2, len(wanted))
-                around = split[max(0, middle - reach) : middle + reach].tolist()
-                share = common_subsequence(wanted, around) / len(wanted)
-                answer = common_subsequence(answers[i], around) / len(answers[i])
-                if share >= limits.subsequence and answer >= limits.answer and (i not in best or share > best[i][2]):
+                if i in best and best[i][2] >= min(1, most / len(wanted)):
+                    continue
+                around = places[low:high]
+                bits = kept_bits.get(i) or _bits(wanted)
+                if len(wanted) <= KEPT:
+                    kept_bits[i] = bits
+                own = around[held.has(around, i)].tolist()  # others don't change what is common
+                share = _common(bits, len(wanted), own) / len(wanted)
+                if share < limits.subsequence or i in best and share <= best[i][2]:
+                    continue
+                answer = common_subsequence(answers[i], around.tolist()) / len(answers[i])
+                if answer >= limits.answer:
                     if cosine < -1:
                         cosine = space.cosine(split[start : start + n], queries[:, i])
                     best[i] = (start, cosine, share, answer)

@@ -518,6 +518,42 @@ def test_common_subsequence():
         assert lsa_decontaminate.common_subsequence(a, b) == best
 
 
+def test_places_that_lack_an_items_words_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    weights = 1 / np.arange(1, 400)
+    text = lambda n: " ".join(f"w{k}" for k in rng.choice(399, n, p=weights / weights.sum()))
+    items, docs = [text(n) for n in (3, 9, 30, 30, 90, 30)], [text(int(n)) for n in rng.integers(0, 300, 200)]
+    docs[17], docs[30] = f"{docs[17]} {items[2]} {docs[3]}", items[4]
+    held = lsa_decontaminate.Held.of([[int(w[1:]) for w in t.split()] for t in items], 399)
+    places = np.array([int(w[1:]) if rng.random() < 0.9 else -1 for d in docs for w in d.split()])
+    first, count, item = rng.integers(0, len(places) - 100, 500), rng.integers(0, 100, 500), rng.integers(0, len(items), 500)
+    monkeypatch.setattr(lsa_decontaminate, "HELD", 1000)  # many steps
+    for a, n, i, most in zip(first, count, item, held.most(places, first, count, item).tolist(), strict=True):
+        own, around = [int(w[1:]) for w in items[i].split()], places[a : a + n].tolist()
+        assert most == sum((collections.Counter(own) & collections.Counter(around)).values()) >= lsa_decontaminate.common_subsequence(own, around)
+
+    compared, common = [], lsa_decontaminate._common
+    monkeypatch.setattr(lsa_decontaminate, "_common", lambda places, n, b: compared.append(n) or common(places, n, b))
+    encoded = lsa_decontaminate.encode(spark.createDataFrame(list(enumerate(docs)), "k bigint, t string"), "k", "t")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    ((sent, search),) = lsa_decontaminate._searchers(encoded, len(docs), bench, "item_id", lsa_decontaminate.Thresholds(cosine=0.05))
+    hashes, bounds = shingles.word_hashes([d.encode() for d in docs])
+    places = sent.value[0].index(hashes)
+    space, queries = sent.value[:2]
+    found = [*lsa_decontaminate.find_windows(places, bounds, space, queries, lsa_decontaminate.windows_for(np.array([len(t.split()) for t in items])), 0.05)]
+    texts, leaks = search(places, bounds)
+    searched = len(compared)
+    assert {(17, 2), (30, 4)} <= {(t, leak[0]) for t, leak in zip(texts, leaks, strict=True)}
+    want = set()  # every place, word by word
+    for t, start, n, i, _ in found:
+        own, split = [int(w) for w in space.index(shingles.word_hashes([items[i].encode()])[0])], places[bounds[t] : bounds[t + 1]].tolist()
+        middle, reach = start + n // 2, max(n // 2, len(own))
+        around = split[max(0, middle - reach) : middle + reach]
+        if lsa_decontaminate.common_subsequence(own, around) / len(own) >= 0.6:
+            want.add((t, i))
+    assert want <= {(t, leak[0]) for t, leak in zip(texts, leaks, strict=True)} and searched < len(found) // 2
+
+
 def is_in(s, b):
     it = iter(b)
     return all(x in it for x in s)
