@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.operators import store, tree
-from docweave.operators.joins import asof_join
-from docweave.operators.once import cut_lineage
+from docweave.operators.once import compute_once, let, settle
 
 #: What a node has where its tags say nothing: role, nc_type and score of each kind.
 DEFAULTS = {"section": ("NON_CLAUSE", None, None), "clause": ("CLAUSE", "CLAUSE_BODY", 2), "clause_item": ("CLAUSE", "CLAUSE_BODY", 2)}
 
 
+#: Columns that hold the parents of each kind, in its table.
+PARENTS = {"section": ["parent_id"], "clause": ["section_id", "parent_clause_id"], "clause_item": ["clause_id", "parent_item_id"]}
+LINKS = [c for links in PARENTS.values() for c in links]
+
+
 class Structure(NamedTuple):
     sections: DataFrame
     clauses: DataFrame
@@ -29,48 +33,98 @@ def build(flat: DataFrame, key: str) -> Structure:
     kind is one: a section's section, a clause's clause and section, an item's clause and item.
     Rows with an error, and nodes without an id, are no elements.
     """
-    nodes = flat.where(F.col("error").isNull() & F.col("id").isNotNull())
-    # written once: the nodes are read twice, and documents would be put together and taken apart for each
-    nodes = cut_lineage(nodes.withColumn("kind", tree.node_type(F.col("title"), F.col("content"), F.col("role"), F.col("region"))))
-    kinds = nodes.groupBy(F.col(key).alias("_k"), F.col("id").alias("parent_id")).agg(F.min("kind").alias("_up"))
-    held = nodes.join(kinds, F.col(key).eqNullSafe(F.col("_k")) & (nodes["parent_id"] == kinds["parent_id"]), "left").drop("_k", kinds["parent_id"])
-    held = cut_lineage(held)  # documents are read once, not for each of the tables
-    under = lambda kind: F.when(F.col("_up") == kind, F.col("parent_id"))
-
-    def of(kind: str, **parents: Column) -> DataFrame:
-        role, nc_type, score = DEFAULTS[kind]
-        split = tree.split_number(F.coalesce(F.col("content" if kind == "clause_item" else "title"), F.lit("")))
-        return held.where(F.col("kind") == kind).withColumn("_n", split).select(
-            key, "id", "order_index", "level", "_n.number", "_n.title", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("role", F.lit(role)).alias("role"), F.coalesce("region", F.lit("MAIN")).alias("region"),
-            F.coalesce("nc_type", F.lit(nc_type)).alias("nc_type"), F.coalesce(F.try_to_number("score", F.lit("9999")).cast("int"), F.lit(score)).alias("score"), *[c.alias(n) for n, c in parents.items()],
-        ).withColumnRenamed("number", "number_token")
-
-    return Structure(
-        of("section", parent_id=under("section")), of("clause", section_id=under("section"), parent_clause_id=under("clause")), of("clause_item", clause_id=under("clause"), parent_item_id=under("clause_item"))
-    )
+    return _built(_find_parents(_elements(flat, key), key, near=False), key)
+
+
+def build_related(flat: DataFrame, key: str) -> Structure:
+    """``relate(build(flat, key), key)`` in one pass: nodes are dealt out once, by document, and written once."""
+    return _built(_find_parents(_elements(flat, key), key), key)
 
 
 def relate(built: Structure, key: str) -> Structure:
     """Parents where there is none: a clause's nearest section before it, an item's nearest clause; among clauses by number, among items by bracket.
 
     A parent that is there stays.  Elements before the first of what they look for have none.
+    order_index: whole numbers, one for an element of a document.
     """
-    mark = lambda rows, name: rows.select(key, "order_index", F.col("id").alias("_o"), F.lit(name).alias("_")).drop("_")
-
-    def nearest(rows: DataFrame, targets: DataFrame, out: str) -> DataFrame:
-        found = asof_join(rows.drop(out), mark(targets, out), key, "order_index", "_o", "_near")
-        return found.join(rows.select(key, "id", "order_index", F.col(out).alias("_own")), [key, "id", "order_index"]).withColumn(out, F.coalesce("_own", "_near")).drop("_own", "_near")
-
-    def named(rows: DataFrame, found: DataFrame, out: str) -> DataFrame:
-        ids = rows.select(key, F.col("order_index").alias("_place"), F.col("id").alias("_id"))
-        joined = found.withColumnRenamed("parent", "_place").join(ids, [key, "_place"], "left")
-        return joined.withColumn(out, F.coalesce(out, "_id")).drop("_place", "_id")
-
-    clauses = nearest(built.clauses, built.sections, "section_id")
-    clauses = named(clauses, tree.parent_by_prefix(clauses, key, "order_index", "number_token"), "parent_clause_id")
-    items = nearest(built.items, built.clauses, "clause_id")
-    items = named(items, tree.parent_item(items, key, "order_index", "number_token"), "parent_item_id")
-    return Structure(built.sections, clauses, items)
+    parts = []
+    for kind, rows in zip(PARENTS, built, strict=True):
+        seen = [(F.col(c) if c in ("id", "number_token", *PARENTS[kind]) and c in rows.columns else F.lit(None).cast("string")).alias(c) for c in ("id", "number_token", *LINKS)]
+        # a table's row travels as one column, so tables may differ in what else they have
+        whole = [(F.struct(*t.columns) if k == kind else F.lit(None).cast(t.schema)).alias(f"_{k}") for k, t in zip(PARENTS, built, strict=True)]
+        parts.append(rows.select(key, "order_index", F.lit(kind).alias("kind"), *seen, *whole))
+    found = settle(_find_parents(parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(key), key, own=False))
+
+    def of(kind: str, rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c not in PARENTS[kind]]
+        return found.where(F.col("kind") == kind).select(*[F.col(f"_{kind}")[c].alias(c) for c in others], *PARENTS[kind])
+
+    return Structure(built.sections, of("clause", built.clauses), of("clause_item", built.items))
+
+
+def _elements(flat: DataFrame, key: str) -> DataFrame:
+    """Nodes that are elements with their ``kind``, number and title, dealt out by document."""
+    nodes = flat.where(F.col("error").isNull() & F.col("id").isNotNull()).drop("error").repartition(key)
+    nodes = compute_once(nodes, kind=tree.node_type(F.col("title"), F.col("content"), F.col("role"), F.col("region")))
+    text = F.when(F.col("kind") == "clause_item", F.col("content")).otherwise(F.col("title"))
+    nodes = compute_once(nodes, _n=tree.split_number(F.coalesce(text, F.lit(""))))
+    return nodes.select(*[c for c in nodes.columns if c not in ("title", "_n")], F.col("_n.number").alias("number_token"), "_n.title")
+
+
+def _built(found: DataFrame, key: str) -> Structure:
+    """Elements with their parents, in one table, as three, with what is missing filled in."""
+    default = lambda at: F.coalesce(*[F.when(F.col("kind") == k, F.lit(values[at])) for k, values in DEFAULTS.items()])
+    score = F.coalesce(F.try_to_number("score", F.lit("9999")).cast("int"), default(2))
+    filled = {"content": F.coalesce("content", F.lit("")), "role": F.coalesce("role", default(0)), "region": F.coalesce("region", F.lit("MAIN")), "nc_type": F.coalesce("nc_type", default(1)), "score": score}
+    rows = settle(found.withColumns(filled))
+    shown = [key, "id", "order_index", "level", "number_token", "title", "content", "role", "region", "nc_type", "score"]
+    return Structure(*[rows.where(F.col("kind") == kind).select(*shown, *links) for kind, links in PARENTS.items()])
+
+
+def _find_parents(rows: DataFrame, key: str, own: bool = True, near: bool = True) -> DataFrame:
+    """Adds the columns of LINKS to elements in one table that is dealt out by document; nothing leaves its task.
+
+    own: parents are those that ``parent_id`` names, if of the right kind; else LINKS are there
+    already.  near: those that ``relate`` finds where there is none.  What would be a join is a
+    window over places where those that look for something meet those that have it: a row as
+    a whole stands under its parent's id, and its kind under its own; a clause's id stands under
+    its number's digits, and the clause looks under each strict prefix of them
+    (``tree.parent_by_prefix`` has the orders of these).
+    """
+    columns = [c for c in rows.columns if c != key]
+    nothing = F.lit(None).cast("string")
+
+    def place(at: Column, held: Column = nothing, by_number: bool = True, looks: Column | bool = False, row: Column | None = None) -> Column:
+        row = F.lit(None).cast(whole_type) if row is None else row
+        return F.struct(F.lit(by_number).alias("_by_number"), at.alias("_at"), F.col("order_index").alias("_order"), held.alias("_held"), F.lit(looks).alias("_looks"), row.alias("_row"))
+
+    whole = F.struct(*columns)
+    whole_type = rows.select(whole.alias("_row")).schema["_row"].dataType
+    places = F.array(place(F.col("parent_id") if own else nothing, by_number=False, row=whole), *([place(F.col("id"), F.col("kind"), by_number=False)] if own else []))
+    if near:
+        numbered = (F.col("kind") == "clause") & (F.coalesce("number_token", F.lit("")) != "")
+        prefixes = lambda d: F.transform(F.sequence(F.lit(0), F.size(d)), lambda k: place(F.array_join(F.slice(d, F.lit(1), k), "."), F.when(k == F.size(d), F.col("id")), looks=k < F.size(d)))
+        by_number = let(F.regexp_extract_all("number_token", F.lit(r"(\d+)"), F.lit(1)), prefixes)
+        places = F.when(numbered, F.concat(places, by_number)).otherwise(places)
+    met = Window.partitionBy(key, "_by_number", "_at").orderBy("_order")
+    seen = rows.select(key, F.inline(places)).withColumns({
+        "_up": F.min("_held").over(met.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "_last": F.max(F.when(F.col("_held").isNotNull(), F.struct("_order", "_held"))).over(met.rangeBetween(Window.unboundedPreceding, -1)),
+    })
+    seen = seen.where(F.col("_row").isNotNull() | F.col("_looks")).select(key, "_order", "_looks", "_row", "_up", "_last")
+    kind, links = F.col("_row.kind"), {c: F.col(f"_row.{c}") for c in LINKS if not own}
+    if own:
+        under = lambda own, up: F.when((kind == own) & (F.col("_up") == up), F.col("_row.parent_id"))
+        links = {"parent_id": under("section", "section"), "section_id": under("clause", "section"), "parent_clause_id": under("clause", "clause"), "clause_id": under("clause_item", "clause"), "parent_item_id": under("clause_item", "clause_item")}
+    if near:
+        seen = tree.parent_item(seen, key, "_order", "_row.number_token", "_item", value="_row.id", among=kind == "clause_item")
+        along = Window.partitionBy(key).orderBy("_order")
+        last = lambda of: F.last(F.when(kind == of, F.col("_row.id")), ignorenulls=True).over(along.rangeBetween(Window.unboundedPreceding, -1))
+        by_number = F.max(F.when(F.col("_looks"), F.col("_last"))).over(along.rangeBetween(Window.currentRow, Window.currentRow))
+        seen = seen.withColumns({"_section": last("section"), "_clause": last("clause"), "_numbered": by_number})
+        found = {"section_id": F.when(kind == "clause", F.col("_section")), "parent_clause_id": F.when(kind == "clause", F.col("_numbered._held")), "clause_id": F.when(kind == "clause_item", F.col("_clause")), "parent_item_id": F.col("_item")}
+        links |= {c: F.coalesce(links[c], f) for c, f in found.items()}
+    return seen.where(F.col("_row").isNotNull()).select(key, *[F.col(f"_row.{c}").alias(c) for c in columns if c not in LINKS], *[c.alias(n) for n, c in links.items()])
 
 
 def save(documents: DataFrame, tables: Structure, built: Structure, key: str, redone: DataFrame) -> tuple[DataFrame, Structure]:
@@ -98,7 +152,7 @@ def structure_documents(documents: DataFrame, json: str, key: str) -> tuple[Data
     ready = checked.where(F.col("error").isNull()).select(key, json)
     flat = tree.flatten_json(ready, key, json)
     broken = flat.where(F.col("error").isNotNull()).select(key, F.col("error").alias("_broken"))
-    built = relate(build(flat, key), key)
+    built = build_related(flat, key)
     counts = None
     for name, rows in built._asdict().items():
         own = rows.groupBy(key).agg(F.count("*").alias(f"total_{name}"))
@@ -116,26 +170,40 @@ def read_back(tables: Structure, key: str) -> DataFrame:
     """``key, sections, clauses, items``: every document as arrays in arrays, live rows only, by order_index.
 
     sections have their clauses, those their items; clauses of no section that is there, and
-    items of no such clause, stand in the document's own arrays, so nothing is lost.
+    items of no such clause, stand in the document's own arrays, so nothing is lost.  Rows are
+    dealt out once, by document; there children and their parent meet as a group of one id.
     """
-    live = Structure(*[store.live(t) for t in tables])
-    shown = ["id", "number_token", "title", "content", "role", "region"]
-
-    def gather(rows: DataFrame, by: list[str], name: str, extra: list[str]) -> DataFrame:
-        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("order_index", *shown, *extra))).alias(name))
-
-    def adopt(parents: DataFrame, children: DataFrame, link: str, name: str, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Parents with an array of their children, and the children that found no parent."""
-        ids = parents.select(key, F.col("id").alias(link)).distinct()
-        owned = gather(children.join(ids, [key, link], "left_semi"), [key, link], name, extra).withColumnRenamed(link, "id")
-        out = parents.join(owned, [key, "id"], "left").withColumn(name, F.coalesce(name, F.array().cast(owned.schema[name].dataType)))
-        return out, children.join(ids, [key, link], "left_anti")
-
-    clauses, loose_items = adopt(live.clauses, live.items, "clause_id", "items", [])
-    sections, loose_clauses = adopt(live.sections, clauses, "section_id", "clauses", ["items"])
-    parts = [gather(sections, [key], "sections", ["clauses"]), gather(loose_clauses, [key], "clauses", ["items"]), gather(loose_items, [key], "items", [])]
-    out = parts[0].join(parts[1], key, "full_outer").join(parts[2], key, "full_outer")
-    return out.select(key, *[F.coalesce(n, F.array().cast(p.schema[n].dataType)).alias(n) for n, p in zip(("sections", "clauses", "items"), parts, strict=True)])
+    shown = ["order_index", "id", "number_token", "title", "content", "role", "region"]
+    parts = []
+    for kind, link, rows in zip(PARENTS, (None, "section_id", "clause_id"), tables, strict=True):
+        up = F.lit(None) if link is None else F.col(link)
+        parts.append(store.live(rows).select(key, F.lit(kind).alias("_kind"), up.alias("_up"), F.struct(*shown).alias("_e")))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(key)
+    of = lambda kind, *columns: F.collect_list(F.when(F.col("_kind") == kind, F.struct(*columns)))
+    own_id = lambda kind: F.when(F.col("_kind") == kind, F.col("_e.id"))
+    there = F.col("_at").isNotNull() & (F.size("_parents") > 0)
+    none = lambda met, name: F.array().cast(met.schema[name].dataType)
+    fields = lambda e: [e[c].alias(c) for c in shown]
+    as_row = lambda kind, up, e, items: F.struct(F.lit(kind).alias("_kind"), up.cast(rows.schema["_up"].dataType).alias("_up"), e.cast(rows.schema["_e"].dataType).alias("_e"), items.alias("_items"))
+
+    # items under their clauses; sections, and items of no clause as one row, go on beside them
+    met = rows.groupBy(key, F.coalesce(own_id("clause"), F.when(F.col("_kind") == "clause_item", F.col("_up"))).alias("_at"))
+    met = met.agg(of("section", "_e").alias("_sections"), of("clause", "_up", "_e").alias("_parents"), F.sort_array(of("clause_item", "_e.*")).alias("_items"))
+    no_items = none(met, "_items")
+    onwards = [
+        F.transform("_sections", lambda s: as_row("section", F.lit(None), s["_e"], no_items)),
+        F.transform("_parents", lambda p: as_row("clause", p["_up"], p["_e"], F.when(there, F.col("_items")).otherwise(no_items))),
+        F.filter(F.array(as_row("clause_item", F.lit(None), F.lit(None), F.col("_items"))), lambda _: ~there & (F.size("_items") > 0)),
+    ]
+    rows_on = met.select(key, F.inline(F.concat(*onwards)))
+    # clauses under their sections
+    met = rows_on.groupBy(key, F.coalesce(own_id("section"), F.when(F.col("_kind") == "clause", F.col("_up"))).alias("_at"))
+    with_items = of("clause", *fields(F.col("_e")), F.col("_items").alias("items"))
+    met = met.agg(of("section", "_e").alias("_parents"), F.sort_array(with_items).alias("_clauses"), F.flatten(F.collect_list(F.when(F.col("_kind") == "clause_item", F.col("_items")))).alias("items"))
+    no_clauses = none(met, "_clauses")
+    sections = F.transform("_parents", lambda p: F.struct(*fields(p["_e"]), F.when(there, F.col("_clauses")).otherwise(no_clauses).alias("clauses")))
+    out = met.select(key, sections.alias("sections"), F.when(there, no_clauses).otherwise(F.col("_clauses")).alias("clauses"), "items")
+    return out.groupBy(key).agg(*[F.sort_array(F.flatten(F.collect_list(n))).alias(n) for n in ("sections", "clauses", "items")])
 
 
 def segments_text(segments: DataFrame, key: str, order: str = "order_index", text: str = "text") -> DataFrame:

@@ -96,11 +96,14 @@ def parent_by_prefix(rows: DataFrame, key: str, order: str, number: str, out: st
     return rows.join(found, [key, order], "left")
 
 
-def parent_item(rows: DataFrame, key: str, order: str, number: str, out: str = "parent") -> DataFrame:
-    """Adds the nearest earlier item that can own this one: a bracketed one owns ``1)``, ``(1)`` owns ``a)``."""
+def parent_item(rows: DataFrame, key: str, order: str, number: str, out: str = "parent", value: str | None = None, among: Column | None = None) -> DataFrame:
+    """Adds the nearest earlier item that can own this one: a bracketed one owns ``1)``, ``(1)`` owns ``a)``.
+
+    value: what is added of it, its order if not given.  among: which rows are items, if not all.
+    """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.coalesce(F.col(number), F.lit(""))
-    last = lambda cond: F.last(F.when(cond & (n != ""), F.col(order)), ignorenulls=True).over(w)
+    n = F.coalesce(F.col(number) if among is None else F.when(among, F.col(number)), F.lit(""))
+    last = lambda cond: F.last(F.when(cond & (n != ""), F.col(value or order)), ignorenulls=True).over(w)
     bracket, digit = last(n.contains("（") | n.contains("(")), last(n.rlike(r"^\(\d+\)"))
     return rows.withColumn(out, F.when(n.rlike(r"^\d+\)"), bracket).when(n.rlike(r"^[a-zA-Z]\)"), digit))
 

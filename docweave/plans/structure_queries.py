@@ -36,7 +36,7 @@ def _nested_orders(t) -> DataFrame:
 
 
 def _built(t) -> Structure:
-    return structure.relate(structure.build(tree.flatten_json(_nested_orders(t), "l_orderkey", "json"), "l_orderkey"), "l_orderkey")
+    return structure.build_related(tree.flatten_json(_nested_orders(t), "l_orderkey", "json"), "l_orderkey")
 
 
 @query(f"""

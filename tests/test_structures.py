@@ -390,3 +390,108 @@ def test_hits_of_clauses_with_several_rows_stay_single(spark):
     clauses = frame(spark, [("c", 9), ("c", 7)], "clause_id string, page int")
     spans = frame(spark, [], "owner_type string, owner_id string, seq int, span_id string")
     assert [(r.hit, r.page) for r in items.hydrate(hits, clauses, spans).collect()] == [(1, 7)] * 2
+
+
+# -- structures read back -------------------------------------------------------------------------
+
+
+def random_element(rng, depth=0):
+    pick = lambda *values: rng.choice(values)
+    node = {"id": pick(None, *[f"n{i}" for i in range(9)]), "title": pick(None, "", "第1章 a", "第2条 b", "1.1 c", "1.1.2 d", "1 e", "第x条 f"), "content": pick(None, "（1）g", "1) h", "(2) i", "a) j", "k", "l")}
+    if rng.random() < 0.5:
+        node["content_tags"] = {"role": pick("CLAUSE", "NON_CLAUSE"), "score": pick(1, "x")}
+    if depth < 4:
+        node["children"] = [random_element(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    return node
+
+
+def plain_structure(flat, tokens):
+    """Elements of one document by kind, with their parents, from its flat rows; kind and number as given by order."""
+    rows = [{"id": r.id, "at": r.order_index, "up": r.parent_id, "kind": tokens[r.order_index][0], "number": tokens[r.order_index][1]} for r in sorted(flat, key=lambda r: r.order_index) if r.id is not None]
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r["id"]].append(r["kind"])
+    digits = lambda r: re.findall(r"\d+", r["number"]) if r["number"] else None
+    found = {"section": {}, "clause": {}, "clause_item": {}}
+    for i, r in enumerate(rows):
+        before = rows[:i][::-1]
+        up = min(held[r["up"]]) if r["up"] in held else None
+        own = lambda kind, r=r, up=up: r["up"] if up == kind else None
+        last = lambda fits, before=before: next((b["id"] for b in before if fits(b)), None)
+        if r["kind"] == "section":
+            links = (own("section"),)
+        elif r["kind"] == "clause":
+            d = digits(r)
+            prefix = last(lambda b: b["kind"] == "clause" and digits(b) is not None and len(digits(b)) < len(d) and d[: len(digits(b))] == digits(b)) if d is not None else None
+            links = (own("section") or last(lambda b: b["kind"] == "section"), own("clause") or prefix)
+        else:
+            n, item = r["number"] or "", lambda b, pattern: b["kind"] == "clause_item" and re.search(pattern, b["number"] or "")
+            bracket = last(lambda b: item(b, r"[（(]")) if re.match(r"\d+\)", n) else last(lambda b: item(b, r"^\(\d+\)")) if re.match(r"[a-zA-Z]\)", n) else None
+            links = (own("clause") or last(lambda b: b["kind"] == "clause"), own("clause_item") or bracket)
+        found[r["kind"]][r["at"]] = (r["id"], *links)
+    return found
+
+
+def plain_back(found):
+    """Ids in arrays in arrays: sections with clauses with items, clauses of no section, items of no clause."""
+    under = lambda children, id: [c for _, c in sorted(children.items()) if c[1] == id]
+    loose = lambda children, parents: [c for _, c in sorted(children.items()) if c[1] not in {p[0] for p in parents.values()}]
+    clause = lambda c: (c[0], [i[0] for i in under(found["clause_item"], c[0])])
+    sections = [(s[0], [clause(c) for c in under(found["clause"], s[0])]) for _, s in sorted(found["section"].items())]
+    return sections, [clause(c) for c in loose(found["clause"], found["section"])], [i[0] for i in loose(found["clause_item"], found["clause"])]
+
+
+def parents_of(built):
+    kinds = zip(built, [("parent_id",), ("section_id", "parent_clause_id"), ("clause_id", "parent_item_id")], strict=True)
+    out = collections.defaultdict(lambda: {"section": {}, "clause": {}, "clause_item": {}})
+    for kind, (rows, links) in zip(("section", "clause", "clause_item"), kinds, strict=True):
+        for r in rows.collect():
+            assert r.order_index not in out[r.k][kind]
+            out[r.k][kind][r.order_index] = (r.id, *[r[c] for c in links])
+    return out
+
+
+def ids_of(back):
+    clause = lambda c: (c.id, [i.id for i in c["items"]])
+    return {r.k: ([(s.id, [clause(c) for c in s.clauses]) for s in r.sections], [clause(c) for c in r.clauses], [i.id for i in r["items"]]) for r in back.collect()}
+
+
+def test_parents_and_nesting_of_random_documents(spark):
+    rng = random.Random(4)
+    docs = [(k, json.dumps(random_element(rng))) for k in [None, *range(12)]]
+    flat = tree.flatten_json(frame(spark, docs, "k int, j string"), "k", "j")
+    built = structure.build(flat, "k")
+    rows, tokens = collections.defaultdict(list), collections.defaultdict(dict)
+    for r in flat.collect():
+        rows[r.k].append(r)
+    for kind, table in zip(("section", "clause", "clause_item"), built, strict=True):
+        for r in table.collect():
+            tokens[r.k][r.order_index] = (kind, r.number_token)
+    expected = {k: plain_structure(rows[k], tokens[k]) for k in tokens}
+    once_through, in_steps = structure.build_related(flat, "k"), structure.relate(built, "k")
+    assert parents_of(once_through) == expected == parents_of(in_steps)
+    assert [t.columns for t in once_through] == [t.columns for t in built] == [t.columns for t in in_steps]
+    assert sum(len(e["clause"]) for e in expected.values()) > 50 < sum(len(e["clause_item"]) for e in expected.values())
+    assert ids_of(structure.read_back(once_through, "k")) == {k: plain_back(e) for k, e in expected.items()}
+    # rows that were deleted leave children without parents
+    marked = structure.Structure(*[t.withColumn("deleted", F.col("order_index") % 3 == 0) for t in structure.relate(structure.Structure(*[t.withColumn("extra", F.lit(i)) for i, t in enumerate(built)]), "k")])
+    live = {k: {kind: {at: r for at, r in e[kind].items() if at % 3} for kind in e} for k, e in expected.items()}
+    live = {k: e for k, e in live.items() if any(e.values())}
+    got = ids_of(structure.read_back(marked, "k"))
+    assert got == {k: plain_back(e) for k, e in live.items()} and any(b[1] for b in got.values()) and any(b[2] for b in got.values())
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_document_is_dealt_out_once_to_be_structured_and_once_to_be_read_back(spark, monkeypatch):
+    # every join dealt all rows out again, 73 exchanges in the registered query
+    docs = frame(spark, [(k, chain(3)) for k in range(3)], "k int, j string")
+    written, settle = [], structure.settle
+    monkeypatch.setattr(structure, "settle", lambda df: written.append(df) or settle(df))
+    built = structure.build_related(tree.flatten_json(docs, "k", "j"), "k")
+    assert len(written) == 1 and exchanges(written[0]) == 1
+    assert exchanges(structure.read_back(built, "k")) == 1
+    structure.relate(built, "k")
+    assert len(written) == 2 and exchanges(written[1]) == 1
